@@ -22,25 +22,32 @@ def check_chunk(chunk: str) -> None:
         raise Unsafe
 
 
-class _Chunks(dict):
-    def __init__(self, tokenizer, limit: int):
-        self.tokenizer, self.limit = tokenizer, limit
-
-    def __missing__(self, chunk: str) -> bytes:
-        check_chunk(chunk)
+class Recent(dict):
+    """A bounded cache of two generations: when the young one is full it becomes the old one, and what is asked for
+    again moves back, so frequent keys stay. ``make`` works out a value that neither holds."""
+
+    def __init__(self, make, limit: int):
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, chunk: str):
+        out = self.old.get(chunk)
+        if out is None:
+            check_chunk(chunk)
+            out = self.make(chunk)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        out = self[chunk] = np.asarray(self.tokenizer.encode(" " + chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        self[chunk] = out
         return out
 
 
 class IdEncoder:
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.chunks = _Chunks(self.tokenizer, cache)
+        self.chunks = Recent(lambda chunk: self.whole(" " + chunk), cache)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -56,7 +63,7 @@ class IdEncoder:
             return self.whole(text)
 
 
-def encoder(path: str, cache: int = 400_000) -> IdEncoder:
+def encoder(path: str, cache: int = 500_000) -> IdEncoder:
     """One encoder for each worker process."""
     if (path, cache) not in _made:
         _made[path, cache] = IdEncoder(path, cache)
