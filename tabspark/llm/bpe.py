@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .tokenids import Unsafe, check_chunk
+from .tokenids import Recent, Unsafe, check_chunk
 
 _made: dict[str, "Vocabulary"] = {}
 
@@ -103,21 +103,6 @@ class Prefixes:
         return out[::-1]
 
 
-class _Chunks(dict):
-    """Text after a space -> (ids, the ids in decimal joined by spaces, number of ids)."""
-
-    def __init__(self, codec: "Codec", limit: int):
-        self.codec, self.limit = codec, limit
-
-    def __missing__(self, chunk: str) -> tuple[tuple[int, ...], str, int]:
-        check_chunk(chunk)
-        if len(self) >= self.limit:
-            self.clear()
-        ids = tuple(self.codec.matched(" " + chunk))
-        out = self[chunk] = (ids, " ".join(map(str, ids)), len(ids))
-        return out
-
-
 class Codec:
     """Encodes texts piece by piece (each match of the pattern); keeps the ids of chunks in a bounded cache.
 
@@ -128,13 +113,18 @@ class Codec:
     def __init__(self, path: str, pattern: str, cache: int = 300_000):
         with open(path, "rb") as f:
             self.v = Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
-        self.find, self.chunks = regex.compile(pattern).findall, _Chunks(self, cache)
+        self.find, self.chunks = regex.compile(pattern).findall, Recent(self.cached, cache)
 
     def piece(self, piece: str) -> list[int]:
         data = piece.encode("utf-8", "replace")
         known = self.v.rank.get(data)
         return [known] if known is not None else Prefixes(self.v, data).ids()
 
+    def cached(self, chunk: str) -> tuple[tuple[int, ...], str, int]:
+        """Of a chunk after a space: the ids, the ids in decimal joined by spaces, their number."""
+        ids = tuple(self.matched(" " + chunk))
+        return ids, " ".join(map(str, ids)), len(ids)
+
     def matched(self, text: str) -> list[int]:
         return [x for p in self.find(text) for x in self.piece(p)]
 
