@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, planes
+from . import bpe, packing, planes, weak, winnow
 from .common import read
 
 
@@ -24,6 +24,14 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), _file("byte_bpe_50k.json"), 2048)
 
 
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.edited_fingerprints(read(spark, sf_dir, "documents"))
+
+
+def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak.judge(read(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), _file("byte_bpe_50k.tiktoken"), _pattern())
 
@@ -32,5 +40,5 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.id_files(read(spark, sf_dir, "documents"), _file("byte_bpe_50k.json"), "byte")
 
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op7_byte_bpe, op10_token_planes)}
+QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op5_winnowing, op6_weak_supervision, op7_byte_bpe, op10_token_planes)}
 ORACLE_SQL: dict[str, str] = {}

@@ -13,32 +13,35 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(WORD_SQL), F.lit(0)), F.array().cast("array<string>"))
 
 
-def _last(values: Column) -> Column:
-    return values[0]
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), lambda x: body(x))[0]
 
 
-def repeated_words(words: Column, size: int = 8) -> Column:
-    """Words in windows of ``size`` words that the text has twice or more, the first included.
+def repeated_words(keys: Column, size: int = 8) -> Column:
+    """Words in windows of ``size`` words that the text has twice or more, the first included; ``keys`` are the words
+    or 64-bit hashes of them.
 
     Windows are compared by 64-bit hashes. Only a text with an equal pair sorts them; the places of equal ones, in
     order, then cover min(size, distance to the next place) words each, and ``size`` words at the end.
     """
-    n = F.size(words)
-    keys = F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.xxhash64(F.slice(words, i, F.lit(size))))
 
-    def marked(keys: Column) -> Column:
-        tagged = F.array_sort(F.transform(keys, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    def windows(k: Column) -> Column:
+        return F.slice(F.transform(k, lambda x, i: F.xxhash64(x, *[F.get(k, i + j) for j in range(1, size)])), F.lit(1), F.size(k) - (size - 1))
 
-        def again(t: Column) -> Column:
-            same = F.filter(t, lambda x, j: (F.get(t, j - 1)["h"] == x["h"]) | (F.get(t, j + 1)["h"] == x["h"]))
-            return F.array_sort(F.transform(same, lambda x: x["i"]))
+    def again(tagged: Column) -> Column:
+        same = F.filter(tagged, lambda x, j: F.coalesce(F.get(tagged, j - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(tagged, j + 1)["h"] == x["h"], F.lit(False)))
+        return F.sort_array(F.transform(same, lambda x: x["i"]))
 
-        places = F.transform(F.array(tagged), again)[0]
-        covered = F.transform(F.array(places), lambda p: F.aggregate(F.zip_with(p, F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: F.least(F.coalesce(b - a, F.lit(size)), F.lit(size))), F.lit(0).cast("long"), lambda s, x: s + x))
-        return covered[0]
+    def covered(places: Column) -> Column:
+        steps = F.transform(places, lambda p, j: F.least(F.coalesce(F.get(places, j + 1) - p, F.lit(size)), F.lit(size)))
+        return F.aggregate(steps, F.lit(0).cast("long"), lambda s, x: s + x)
 
-    count = F.transform(F.array(keys), lambda k: F.when(F.size(F.array_distinct(k)) == F.size(k), F.lit(0).cast("long")).otherwise(marked(k)))[0]
-    return F.when(n <= size, F.lit(0).cast("long")).otherwise(count)
+    def count(w: Column) -> Column:
+        tagged = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("long")).otherwise(let(let(tagged, again), covered))
+
+    return F.when(F.size(keys) <= size, F.lit(0).cast("long")).otherwise(let(windows(keys), count))
 
 
 def repeated_lines(text: Column) -> Column:
@@ -48,31 +51,35 @@ def repeated_lines(text: Column) -> Column:
 
 
 def counted(text: Column, pattern: str) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
+    """Characters of a class, given as the class of all others."""
+    return F.coalesce(F.char_length(F.regexp_replace(text, pattern, "")), F.lit(0)).cast("long")
 
 
 def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` and the struct ``stat`` of counts over the whole text, all 0 for a null text."""
+    """``df`` and the struct ``stat`` of counts over the whole text, all 0 for a null text.
+
+    The text is read three times: for its words, its lines, and what it has besides small letters and spaces; all
+    characters that are counted are in the last, which is short.
+    """
     text = F.col(text_col)
-    with_words = df.withColumn("_words", words(text))
-    w = F.col("_words")
-    neighbours = F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: a.eqNullSafe(b).cast("int"))
+    w, keys, rare = F.col("_words"), F.col("_keys"), F.col("_rare")
+    ready = df.withColumns({"_words": words(text), "_rare": F.coalesce(F.regexp_replace(text, r"[a-z ]+", ""), F.lit(""))})
+    ready = ready.withColumn("_keys", F.transform("_words", lambda x: F.xxhash64(x)))
     stat = F.struct(
         F.size(w).cast("long").alias("n_words"),
         F.coalesce(F.char_length(F.concat_ws("", w)), F.lit(0)).cast("long").alias("word_chars"),
-        counted(text, "[#*$%&|<>]").alias("n_symbols"),
+        counted(rare, "[^#*$%&|<>]+").alias("n_symbols"),
         repeated_lines(text).alias("n_dup_lines"),
-        repeated_words(w).alias("n_repeat_words"),
-        F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
-        F.coalesce(F.aggregate(neighbours, F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x, F.lit(0))), F.lit(0).cast("long")).alias("n_same_next"),
-        counted(text, r"\p{Lu}").alias("n_upper"),
-        counted(text, "[!?]").alias("n_marks"),
-        counted(text, "[.,;:]").alias("n_points"),
-        counted(text, "[0-9]").alias("n_digits"),
-        (counted(text, "\n") + F.when(F.char_length(text) > 0, 1).otherwise(0)).cast("long").alias("n_lines"),
-        counted(text, r"https?://|www\.|@").alias("n_links"),
+        repeated_words(keys).alias("n_repeat_words"),
+        F.size(F.array_distinct(keys)).cast("long").alias("n_distinct"),
+        counted(rare, r"\P{Lu}+").alias("n_upper"),
+        counted(rare, "[^!?]+").alias("n_marks"),
+        counted(rare, "[^.,;:]+").alias("n_points"),
+        counted(rare, "[^0-9]+").alias("n_digits"),
+        (counted(rare, "[^\n]+") + F.when(F.char_length(text) > 0, 1).otherwise(0)).cast("long").alias("n_lines"),
+        counted(rare, "[^/@]+").alias("n_links"),
     )
-    return with_words.withColumn("stat", stat).drop("_words")
+    return ready.withColumn("stat", stat).drop("_words", "_keys", "_rare")
 
 
 def rates(stat: Column) -> dict[str, Column]:
@@ -81,6 +88,6 @@ def rates(stat: Column) -> dict[str, Column]:
     return {
         "log_words": F.log1p(stat["n_words"].cast("double")), "mean_word": per("word_chars", "n_words"), "symbols": per("n_symbols", "word_chars"),
         "dup_lines": per("n_dup_lines", "n_lines"), "repeats": per("n_repeat_words", "n_words"), "distinct": per("n_distinct", "n_words"),
-        "same_next": per("n_same_next", "n_words"), "upper": per("n_upper", "word_chars"), "marks": per("n_marks", "n_words"),
+        "upper": per("n_upper", "word_chars"), "marks": per("n_marks", "n_words"),
         "points": per("n_points", "n_words"), "digits": per("n_digits", "word_chars"), "line_words": per("n_words", "n_lines"), "links": per("n_links", "n_words"),
     }

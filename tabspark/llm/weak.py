@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared_dir, stored
 from .stats import rates, with_statistics
 
 PRIOR = 0.8  # share of good texts to start from
@@ -31,7 +32,6 @@ def rules(stat: Column) -> dict[str, Column]:
         "symbols": vote(r["symbols"], r["symbols"] > 0.05, r["symbols"] < 0.01),
         "repeats": vote(r["repeats"], r["repeats"] > 0.2, r["repeats"] < 0.05),
         "variety": vote(r["distinct"], (r["distinct"] < 0.15) & (words < 2000), r["distinct"] > 0.3, 30),
-        "stutter": vote(r["same_next"], r["same_next"] > 0.2, r["same_next"] < 0.05),
         "capitals": vote(r["upper"], r["upper"] > 0.4, r["upper"] < 0.2),
         "marks": vote(r["marks"], r["marks"] > 0.3, r["marks"] < 0.1),
         "lines": vote(r["dup_lines"], (r["dup_lines"] > 0.3) & (stat["n_lines"] > 2), r["dup_lines"] < 0.1),
@@ -78,15 +78,15 @@ def fit(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[fl
 def judge(df: DataFrame, keep: float = KEEP) -> DataFrame:
     """doc_id, the base counts, base_failed, posterior and kept for every text (a null text has no words).
 
-    The votes of all texts are counted first; the counts of patterns are written to no file and come to the driver,
-    at most 3**9 short rows. Repeated rows stay; an empty table gives no rows; extra columns are not read.
+    Statistics and votes are stored, then the votes of all texts are counted; the counts of patterns come to the
+    driver, at most 3**8 short rows. Repeated rows stay; an empty table gives no rows; extra columns are not read.
     """
     spark = df.sparkSession
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     voted = with_statistics(docs).select("doc_id", "stat")
     votes = rules(F.col("stat"))
     names = list(votes)
-    voted = voted.select("doc_id", "stat", *[v.alias(n) for n, v in votes.items()])
+    voted = stored(voted.select("doc_id", "stat", *[v.alias(n) for n, v in votes.items()]), shared_dir(spark), "votes")
     seen = voted.groupBy(*names).agg(F.count("*").alias("n")).collect()
     patterns = spark.createDataFrame([tuple(r) for r in seen], ", ".join(f"{n} int" for n in names) + ", n long").coalesce(1)
     prior, acc = fit(patterns, names)

@@ -1,11 +1,10 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-The k-grams are of UTF-8 bytes. Each gets a 32-bit hash; of every window of ``w`` neighbouring k-grams the least hash
-is chosen, of equal ones the rightmost; each choice is kept once with its position. Any passage of at least
-w + k - 1 bytes that two texts share gives them a common hash. A text with fewer k-grams than a window has one
-window of all of them; one shorter than k is its own k-gram; an empty text has no fingerprint entry.
-
-Long texts are worked on in blocks of windows, so that no array is longer than a block but that of the choices.
+Tokens are words (cut at white space) and single letters of scripts without case (CJK and others). Each k-gram of
+tokens gets a 32-bit hash; of every window of ``w`` neighbouring k-grams the least hash is chosen, of equal ones the
+rightmost; each choice is kept once with its position (in tokens). Any passage of at least w + k - 1 tokens that two
+texts share gives them a common hash. A text with fewer k-grams than a window has one window of all of them; one of
+fewer than k tokens is one k-gram; a text without tokens has an empty fingerprint.
 """
 
 from __future__ import annotations
@@ -13,51 +12,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, W = 16, 32
-BLOCK = 8192
+K, W = 5, 8
+TOKEN = r"\p{Lo}|[^\x20\x09-\x0D\p{Lo}]+"
 _LOW = 4_294_967_295  # 2**32 - 1
 
 
-def _least_of(values: Column, step: int) -> Column:
-    """Lesser of each value and the one ``step`` places on."""
-    return F.transform(F.array(values), lambda a: F.zip_with(F.slice(a, F.lit(1), F.size(a) - step), F.slice(a, F.lit(1 + step), F.size(a) - step), lambda x, y: F.least(x, y)))[0]
+def _first(values: Column, n: Column) -> Column:
+    return F.slice(values, F.lit(1), n)
 
 
-def _window_minima(values: Column, w: int) -> Column:
-    """Least value of every w neighbours, by doubling; the array must have at least w values."""
-    have = 1
-    while have < w:
-        step = min(have, w - have)
-        values = _least_of(values, step)
-        have += step
-    return values
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), lambda x: body(x))[0]
 
 
-def winnow(text: Column, k: int = K, w: int = W, block: int = BLOCK) -> Column:
-    """array<struct<hash int, pos long>> of a text, in order of position (bytes from 0). Null for a null text.
+def winnow(text: Column, k: int = K, w: int = W) -> Column:
+    """array<struct<hash int, pos long>> of a text, in order of position. Null for a null text.
 
     Hash and place are packed into one number, the hash above and the place counted down below it, so that the least
-    number is the least hash with the rightmost place.
+    number is the least hash with the rightmost place. ``get`` gives null past the end, which hash and least skip.
     """
-    data = text.cast("binary")
-
-    def packed(data: Column, first: Column, n: Column) -> Column:
-        return F.transform(F.sequence(first, first + n - 1), lambda p: F.shiftleft(F.hash(F.substring(data, (p + 1).cast("int"), F.lit(k))).cast("long"), 32) + (F.lit(_LOW) - p))
-
-    def chosen(data: Column) -> Column:
-        grams = F.greatest(F.octet_length(data).cast("long") - (k - 1), F.lit(1).cast("long"))
-        windows = F.greatest(grams - (w - 1), F.lit(1).cast("long"))
-        blocks = F.sequence(F.lit(0).cast("long"), F.floor((windows - 1) / block))
 
-        def one(b: Column) -> Column:
-            n = F.least(grams - b * block, F.lit(block + w - 1))
-            return F.array_distinct(_window_minima(packed(data, b * block, n), w))
+    def packed(tokens: Column) -> Column:
+        grams = F.transform(tokens, lambda t, i: F.shiftleft(F.hash(t, *[F.get(tokens, i + j) for j in range(1, k)]).cast("long"), 32) + (F.lit(_LOW) - i))
+        return _first(grams, F.greatest(F.size(tokens) - (k - 1), F.least(F.size(tokens), F.lit(1))))
 
-        many = F.array_distinct(F.flatten(F.transform(blocks, one)))
-        few = F.array(F.array_min(packed(data, F.lit(0).cast("long"), grams)))
-        return F.when(grams >= w, many).otherwise(few)
+    def chosen(p: Column) -> Column:
+        minima = F.transform(p, lambda x, i: F.least(x, *[F.get(p, i + j) for j in range(1, w)]))
+        return F.array_distinct(_first(minima, F.greatest(F.size(p) - (w - 1), F.least(F.size(p), F.lit(1)))))
 
-    picks = F.when(F.octet_length(data) == 0, F.array().cast("array<bigint>")).otherwise(chosen(data))
+    tokens = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
+    picks = _let(_let(tokens, packed), chosen)
     return F.transform(picks, lambda v: F.struct(F.shiftright(v, 32).cast("int").alias("hash"), (F.lit(_LOW) - v.bitwiseAND(F.lit(_LOW))).alias("pos")))
 
 
@@ -94,7 +79,7 @@ def with_next(df: DataFrame, carried: list[str], ranges: int = 1024) -> DataFram
     else:
         bounds = sorted({*cuts["cuts"], cuts["high"]})
     tops = F.lit(bounds)
-    here = F.expr(f"array_size(filter(bounds, b -> b < id))")
+    here = F.expr("array_size(filter(bounds, b -> b < id))")
     rows = df.select(key.alias("id"), "doc_id", *carried).withColumn("bounds", tops).withColumn("range", here.cast("int"))
     at_cut = F.array_contains("bounds", F.col("id"))
     above = F.when(F.col("range") + 1 < len(bounds), F.col("range") + 1).otherwise(F.lit(0))
