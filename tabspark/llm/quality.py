@@ -102,5 +102,10 @@ def classify(docs: DataFrame, rules: Rules, cut: float = CUT, keep: list[str] |
     return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
+def good_only(docs: DataFrame, rules: Rules, cut: float = CUT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores ``cut`` or more."""
+    return with_statistics(docs).filter(rules.score(F.col("stat")) >= cut).select(*docs.columns)
+
+
 def run(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return classify(docs, learn(docs, labels))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, planes, weak, winnow
+from . import bpe, html, langid, minhash, packing, planes, quality, toxicity, weak, winnow
 from .common import read
 
 
@@ -20,6 +20,18 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(read(spark, sf_dir, "documents"), 85)
+
+
+def op2_wrapper_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
+def op3_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.run(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), _file("byte_bpe_50k.json"), 2048)
 
@@ -36,9 +48,33 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), _file("byte_bpe_50k.tiktoken"), _pattern())
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.run(read(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.run(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.id_files(read(spark, sf_dir, "documents"), _file("byte_bpe_50k.json"), "byte")
 
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op5_winnowing, op6_weak_supervision, op7_byte_bpe, op10_token_planes)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_wrapper_html, op3_rule_quality, op4_best_fit_packing, op5_winnowing, op6_weak_supervision, op7_byte_bpe, op8_language, op9_toxicity, op10_token_planes)}
+
+# Only classes of near duplicates can be said in SQL without a model or a hash function of the library.
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+g AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS k FROM g),
+links AS (
+  SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS c FROM e a JOIN e b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL)
+  WHERE 100 * c >= 85 * (nx + ny - c)),
+reach AS (SELECT doc_id, doc_id AS other FROM g UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON reach.other = links.x)
+SELECT g.doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, min(reach.other) AS component_id, g.doc_id = min(reach.other) AS kept
+FROM g JOIN reach USING (doc_id) GROUP BY g.doc_id, len(g.s)""",
+}

@@ -178,5 +178,18 @@ def classify(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     return map_texts(rows, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores below ``cut``."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        f = Features(model.lexicon)
+        for b in slices(batches, limit=1_000_000):
+            x = np.array([f.of(t) for t in b.column(at).to_pylist()], float).reshape(-1, len(FEATURES))
+            yield b.filter(pa.array(model.score(x) < cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def run(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return classify(docs, learn(docs, labels))
