@@ -1,6 +1,42 @@
-STAGES = []
-ORACLE_SQL = None
+"""The corpus pipeline: four stages over ``documents``, each writing what the next one reads."""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+
+from tabspark.llm import minhash, packing, quality, toxicity
+from tabspark.llm.common import read, shared_dir, stored
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, learned from the labelled ones among them, does not reject."""
+    return toxicity.without_toxic(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules, learned from the labelled ones among them, accept."""
+    return quality.good_only(docs, quality.learn(docs, read(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the least id, of each class of near duplicates (similarity 0.8 or more)."""
+    kept = minhash.classes(docs, 80).filter("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents left, with their places in sequences of 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048)
+
+
+STAGES = [("toxicity", drop_toxic), ("quality", keep_quality), ("near_dedup", drop_near_copies), ("pack", pack)]
+ORACLE_SQL = None  # the models can't be said in SQL
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, folder = read(spark, sf_dir, "documents"), shared_dir(spark)
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), folder, name)
+    return STAGES[-1][1](spark, docs, sf_dir)
