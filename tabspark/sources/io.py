@@ -1,0 +1,171 @@
+"""Sources and sinks (S): JSON, JSONL, COCO, TSV, XML, binary frames, and writers."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.scalars import NOTATION, midi_of, parse_object, spell_pitch
+
+STORE = {
+    "projects": "score_id string, user_id long, title string, source_kind string, source_id string, status string, tempo_bpm double, tempo_source string, tempo_locked boolean, created_at timestamp",
+    "assets": "asset_id string, score_id string, kind string, stored_path string, media_type string, sort_order int, created_at timestamp",
+    "sync_points": "point_id long, score_id string, measure_number int, time_seconds double, score_position double, label string",
+    "owners": "user_id long, email string, display_name string, created_at timestamp",
+    "sessions": "token_hash string, user_id long, created_at timestamp, expires_at timestamp",
+}
+NOTE = "struct<string:int,fret:int,technique:string>"
+EVENT = f"struct<onset:double,duration:double,rest:boolean,notes:array<{NOTE}>>"
+DIAGNOSTICS = (
+    "engine string, score_id string, parse_errors array<string>, sync_suggestions array<struct<measure_number:int,time_seconds:double>>, "
+    "frames array<struct<name:string,time_seconds:double,start_measure:int,start_measure_confidence:double,highlighted_index:int,layout:string,polarity:string>>, "
+    f"measures array<struct<number:int,quality:double,source_time:double,events:array<{EVENT}>,ocr_events:array<{EVENT}>,human_verified:boolean>>"
+)
+LABELS = (
+    "source_id string, track_index int, systems array<struct<master_bars:array<struct<number:int,bars:array<struct<beats:array<struct<duration:int,dots:int,is_rest:boolean,display_start_ticks:long,on_notes_x:double,"
+    "notes:array<struct<fret:int,string:int,is_stringed:boolean,is_dead:boolean,is_ghost:boolean,is_tie_destination:boolean,harmonic_type:int>>>>>>>>>>"
+)
+
+
+def load_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a store, by declared schemas."""
+    return {t: spark.read.schema(s).parquet(f"{path}/{t}") for t, s in STORE.items()}
+
+
+def read_diagnostics(spark: SparkSession, path: str, engine: str | None = None) -> dict[str, DataFrame]:
+    """S3: one document for each score, as tables frames, measures, events, notes, sync_suggestions."""
+    docs = spark.read.schema(DIAGNOSTICS).json(path, multiLine=True)
+    docs = docs if engine is None else docs.filter(F.col("engine") == engine)
+    measures = docs.select("score_id", F.explode("measures").alias("m")).select("score_id", "m.*")
+    events = measures.select("score_id", "number", F.posexplode("events").alias("ix", "e")).select("score_id", "number", "ix", "e.*")
+    return {
+        "frames": docs.select("score_id", F.posexplode("frames").alias("ix", "f")).select("score_id", "ix", "f.*"),
+        "measures": measures, "events": events, "notes": events.select("score_id", "number", "ix", "onset", "duration", F.inline("notes")),
+        "sync_suggestions": docs.select("score_id", F.inline("sync_suggestions")),
+    }
+
+
+def read_manifest(spark: SparkSession, path: str, schema: str = "source_id string, source_path string, status string, error string") -> DataFrame:
+    """Good rows of a JSONL manifest; blank lines are passed over."""
+    return spark.read.schema(schema).json(path).filter("status = 'ok'")
+
+
+def flatten_labels(df: DataFrame, level: str = "note") -> DataFrame:
+    """A label tree as one row for each beat or note."""
+    bars = df.select("source_id", "track_index", F.posexplode("systems").alias("system", "s")).select("source_id", "track_index", "system", F.inline("s.master_bars")).select("source_id", "track_index", "system", "number", F.posexplode("bars").alias("bar", "b"))
+    beats = bars.select("source_id", "track_index", "system", "number", "bar", F.posexplode("b.beats").alias("beat", "t")).select("source_id", "track_index", "system", "number", "bar", "beat", "t.*")
+    return beats if level == "beat" else beats.select(*[c for c in beats.columns if c != "notes"], F.inline("notes"))
+
+
+def read_coco(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Images, annotations, categories of a detection set."""
+    schema = "images array<struct<id:long,file_name:string,width:int,height:int>>, annotations array<struct<id:long,image_id:long,category_id:int,bbox:array<double>,area:double,iscrowd:int>>, categories array<struct<id:int,name:string>>"
+    d = spark.read.schema(schema).json(path, multiLine=True)
+    return {t: d.select(F.inline(t)) for t in ("images", "annotations", "categories")}
+
+
+def read_ocr_words(spark: SparkSession, path: str) -> DataFrame:
+    """Words of an OCR table; rows with bad numbers or without text go."""
+    d = spark.read.csv(path, sep="\t", header=True, quote="")
+    ints = [F.col(c).try_cast("int").alias(c) for c in ("page_num", "block_num", "par_num", "line_num", "left", "top", "width", "height")]
+    return d.select(*ints, F.col("conf").try_cast("double").alias("conf"), F.trim("text").alias("text")).filter("left is not null and top is not null and conf >= 0 and text <> ''")
+
+
+def read_label_list(spark: SparkSession, path: str) -> DataFrame:
+    """Path and label of a list; labels 0 to 22 only."""
+    d = spark.read.csv(path, sep="\t", schema="path string, label string")
+    return d.filter(F.col("label").rlike(r"^\d+$") & (F.col("label").try_cast("int") <= 22)).withColumn("label", F.col("label").cast("int"))
+
+
+def read_score_xml(spark: SparkSession, path: str) -> DataFrame:
+    """Notes of the measures of score files; ``rest`` is present for rests."""
+    schema = "_number int, note array<struct<rest:string,duration:int,type:string,notations:struct<technical:struct<string:int,fret:int>>>>"
+    m = spark.read.format("xml").option("rowTag", "measure").schema(schema).load(path).withColumn("path", F.input_file_name())
+    n = m.select("path", F.col("_number").alias("number"), F.posexplode("note").alias("ix", "n"))
+    return n.select("path", "number", "ix", F.col("n.rest").isNotNull().alias("rest"), "n.duration", F.col("n.notations.technical.string").alias("string"), F.col("n.notations.technical.fret").alias("fret"))
+
+
+def read_project_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """Project objects of many files; of one id the last file's; values that are not objects go."""
+    d = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
+    p = d.withColumn("o", F.from_json(F.get_json_object("value", "$.projects"), "map<string,string>")).select("path", F.explode("o").alias("project_id", "json"))
+    p = p.filter(parse_object(F.col("json"), "source_id string").isNotNull())
+    return p.groupBy("project_id").agg(F.max(F.struct("path", "json")).alias("l")).select("project_id", F.get_json_object("l.json", "$.source_id").alias("source_id"), "l.json")
+
+
+def scan_frames(spark: SparkSession, path: str) -> DataFrame:
+    """Frame files with their number, run and project by the path; only the hash of the content is kept."""
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "frame-*").load(path)
+    parts = F.split("path", "/")
+    return d.select("path", F.regexp_extract("path", r"frame-(\d+)\.[^.]+$", 1).cast("int").alias("frame"), F.element_at(parts, -2).alias("run_id"), F.element_at(parts, -4).alias("project_id"), F.sha2("content", 256).alias("sha256"), "length")
+
+
+def write_split(df: DataFrame, path: str) -> None:
+    """JSON lines by split."""
+    df.write.mode("overwrite").partitionBy("split").json(path)
+
+
+def write_tsv(df: DataFrame, path: str, digits: int = 4) -> None:
+    """Tab-separated, with doubles at fixed decimals."""
+    cols = [F.format_string(f"%.{digits}f", F.col(c)).alias(c) if t == "double" else F.col(c).cast("string").alias(c) for c, t in df.dtypes]
+    df.select(*cols).write.mode("overwrite").csv(path, sep="\t")
+
+
+def render_score_xml(events: DataFrame) -> DataFrame:
+    """(score_id, xml) of events (score_id, number, onset64, duration64, notes, ts_num, ts_den, changed): one
+    measure element for each number with its attributes where the signature changes, chords, and gaps as rests. Built
+    from strings in each measure, then joined in order for each score; what meets in one row is one score."""
+    name = lambda d: _of(d, 0, "eighth")
+    kind = lambda d: F.concat(F.lit("<duration>"), d.cast("string"), F.lit("</duration><type>"), name(d), F.lit("</type>"), F.repeat(F.lit("<dot/>"), _of(d, 1, 0).cast("int")))
+
+    def note(n: Column, i: Column, d: Column) -> Column:
+        p = spell_pitch(midi_of(n["string"], n["fret"]))
+        alter = F.when(p["alter"] > 0, F.concat(F.lit("<alter>"), p["alter"].cast("string"), F.lit("</alter>"))).otherwise("")
+        return F.concat(F.lit("<note>"), F.when(i > 0, "<chord/>").otherwise(""), F.lit("<pitch><step>"), p["step"], F.lit("</step>"), alter, F.lit("<octave>"), p["octave"].cast("string"), F.lit("</octave></pitch>"), kind(d), F.lit("<notations><technical><string>"), n["string"].cast("string"), F.lit("</string><fret>"), n["fret"].cast("string"), F.lit("</fret></technical></notations></note>"))
+
+    from ..operators.seq import fill_rests
+
+    keys = ["score_id", "number"]
+    sounding = F.array_join(F.transform("notes", lambda n, i: note(n, i, F.col("duration64"))), "")
+    silent = F.concat(F.lit("<note><rest/>"), kind(F.col("duration64")), F.lit("</note>"))
+    ordered = events.withColumn("ord", F.col("onset64"))
+    body = events.select(*keys, "onset64", F.when(F.size("notes") > 0, sounding).otherwise(silent).alias("x")).unionByName(fill_rests(ordered, keys).select(*keys, "onset64", silent.alias("x")))
+    sig = events.groupBy(*keys).agg(F.max(F.struct("ts_num", "ts_den", "changed")).alias("s"))
+    m = body.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("onset64", "x"))), lambda e: e["x"]), "").alias("x")).join(sig, keys)
+    head = F.when(F.col("s.changed"), F.concat(F.lit("<attributes><time><beats>"), F.col("s.ts_num").cast("string"), F.lit("</beats><beat-type>"), F.col("s.ts_den").cast("string"), F.lit("</beat-type></time></attributes>"))).otherwise("")
+    m = m.select("score_id", "number", F.concat(F.lit('<measure number="'), F.col("number").cast("string"), F.lit('">'), head, F.col("x"), F.lit("</measure>")).alias("x"))
+    return m.groupBy("score_id").agg(F.concat(F.lit("<part>"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", "x"))), lambda e: e["x"]), ""), F.lit("</part>")).alias("xml"))
+
+
+def _of(d: Column, i: int, default) -> Column:
+    out = F.lit(default)
+    for k, v in NOTATION.items():
+        out = F.when(d == k, F.lit(v[i])).otherwise(out)
+    return out
+
+
+def publish(df: DataFrame, path: str, key: str = "score_id") -> str:
+    """Write a whole version beside the others and then the pointer to it, so a reader sees one version or the
+    next. Returns the version's path."""
+    version = f"{path}/v-{uuid.uuid4().hex}"
+    df.write.partitionBy(key).parquet(version)
+    df.sparkSession.createDataFrame([(version,)], "current string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
+    return version
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(spark.read.text(f"{path}/current").first()[0])
+
+
+def write_summary(df: DataFrame, path: str, **aggregates: Column) -> None:
+    """One JSON object of counts."""
+    df.agg(F.to_json(F.struct(*[v.alias(k) for k, v in aggregates.items()])).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def with_errors(df: DataFrame, parsed: Column, columns: Sequence[str], reason: str = "unreadable", chars: int = 300) -> tuple[DataFrame, DataFrame]:
+    """Rows that could be read and, apart, those that could not with a clipped reason; the run goes on."""
+    d = df.withColumn("parsed", parsed)
+    return d.filter("parsed is not null"), d.filter("parsed is null").select(*columns, F.substring(F.lit(reason), 1, chars).alias("error"))
