@@ -6,9 +6,14 @@ documents of similarity s meet in a table unless they differ in all of A or all
 P(miss) <= 2 * (1 - s**WIDTH)**SUB, which is 1.5e-5 at s = 0.85.
 
 Exact copies (equal sets, by a 128-bit digest) become one representative first. Sub-keys that only one document has
-are dropped before pairs are formed. In each table entry all members are compared with its least member; what these
-comparisons have not joined is compared with all members of other components in the entry. So every pair that meets
-in a table is either compared or already in one component, without emitting all pairs of a group of near copies.
+are dropped before pairs are formed. The full sets of the documents left give a bound: a shingle that no other of
+them has is in no intersection, so with ``m`` shared shingles of ``n`` two documents have at most min(m, m') in
+common. A document whose bound is below the threshold against every set goes; a pair whose bound is below it is not
+compared. Both are exact: nothing that is linked is lost.
+
+In each table entry all members are compared with its least member; what these comparisons have not joined is
+compared with all members of other components in the entry. So every pair that meets in a table is compared, ruled
+out by the bound or already in one component, without emitting all pairs of a group of near copies.
 """
 
 from __future__ import annotations
@@ -118,16 +123,13 @@ def alike(both: Column, a: Column, b: Column, threshold: int) -> Column:
     return 100 * both >= threshold * (a + b - both)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose full sets are alike. Sets are made again from the texts of the ids in pairs.
+def possible(na: Column, ma: Column, nb: Column, mb: Column, threshold: int) -> Column:
+    """Whether sets of these sizes, with so many shingles that others have, can be alike."""
+    return alike(F.least(ma, mb, na, nb), na, nb, threshold)
 
-    Sizes alone rule a pair out first: the smaller set must be at least ``threshold`` per cent of the larger one.
-    """
-    folder = shared_dir(docs.sparkSession)
-    pairs = stored(pairs.filter(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")), folder, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
-    sets = stored(map_texts(texts, _full_sets, "rep long, grams array<long>"), folder, "sets")
+
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose full sets (rep, grams) are alike."""
     left, right = sets.select(F.col("rep").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("rep").alias("b"), F.col("grams").alias("gb"))
     full = pairs.select("a", "b").join(left, "a").join(right, "b")
     both = F.size(F.array_intersect("ga", "gb"))
@@ -157,15 +159,19 @@ def components(edges: DataFrame, folder: str, name: str = "cc", rounds: int = 60
     return roots.union(roots.select(F.col("component").alias("node"), "component").distinct())
 
 
-def _meetings(reps: DataFrame, folder: str) -> DataFrame:
-    """(table, rep, n): members of table entries that two or more representatives share."""
+def _candidates(reps: DataFrame) -> DataFrame:
+    """(rep, n, ka, kb): representatives with the sub-keys of A and of B that another one has too, some of each."""
     sub = reps.select("rep", "n", F.explode("keys").alias("key"))
     shared = sub.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     met = sub.join(shared, "key").groupBy("rep", "n").agg(F.collect_list("key").alias("keys"))
     odd = lambda k: k.bitwiseAND(F.lit(1)) == 1
-    sides = met.select("rep", "n", F.filter("keys", lambda k: ~odd(k)).alias("ka"), F.filter("keys", odd).alias("kb")).filter("size(ka) > 0 and size(kb) > 0")
+    return met.select("rep", "n", F.filter("keys", lambda k: ~odd(k)).alias("ka"), F.filter("keys", odd).alias("kb")).filter("size(ka) > 0 and size(kb) > 0")
+
+
+def _tables(live: DataFrame) -> DataFrame:
+    """(table, rep, n, m): entries of all tables."""
     table = F.flatten(F.transform("ka", lambda a: F.transform("kb", lambda b: F.xxhash64(a, b))))
-    return stored(sides.select(F.explode(table).alias("table"), "rep", "n"), folder, "tables")
+    return live.select(F.explode(table).alias("table"), "rep", "n", "m")
 
 
 def classes(df: DataFrame, threshold: int = 85) -> DataFrame:
@@ -187,23 +193,30 @@ def classes(df: DataFrame, threshold: int = 85) -> DataFrame:
     firsts = sig.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
     firsts = stored(firsts, folder, "representatives")
     reps = sig.join(firsts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "keys")
-    tables = _meetings(reps, folder)
-    entries = stored(tables.groupBy("table").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("c")).filter("c > 1"), folder, "entries")
-    stars = tables.join(entries, "table").filter(F.col("rep") != F.col("hub.rep"))
-    stars = stars.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct()
-    edges = stored(confirmed(stars, docs, threshold), folder, "edges-1")
+    met = stored(_candidates(reps), folder, "candidates")
+    texts = docs.join(met.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+    sets = stored(map_texts(texts, _full_sets, "rep long, grams array<long>"), folder, "sets")
+    alone = sets.select("rep", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("c"), F.min("rep").alias("rep"))
+    alone = alone.filter("c = 1").groupBy("rep").agg(F.count("*").alias("u"))
+    live = met.join(alone, "rep", "left").withColumn("m", F.col("n") - F.coalesce("u", F.lit(0)))
+    live = live.filter(100 * F.col("m") >= threshold * F.col("n"))
+    tables = stored(_tables(live), folder, "tables")
+    entries = stored(tables.groupBy("table").agg(F.min(F.struct("rep", "n", "m")).alias("hub"), F.count("*").alias("c")).filter("c > 1"), folder, "entries")
+    stars = tables.join(entries, "table").filter(F.col("rep") != F.col("hub.rep")).filter(possible(F.col("hub.n"), F.col("hub.m"), F.col("n"), F.col("m"), threshold))
+    stars = stars.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    edges = stored(confirmed(stars, sets, threshold), folder, "edges-1")
     found = components(edges, folder, "cc1")
     # entries of three and more members that are not one component yet: compare across components
     many = tables.join(entries.filter("c > 2").select("table", F.col("hub.rep").alias("hub")), "table")
     named = many.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_ = named.groupBy("table").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("table")
-    open_members = stored(named.join(open_, "table", "left_semi"), folder, "open")
-    hubs = open_members.filter("rep = hub").select("table", F.col("component").alias("hub_component"))
-    others = open_members.filter("rep <> hub").select("table", "rep", "n", "component")
-    apart = others.join(hubs, "table").filter("component <> hub_component").select("table", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    cross = apart.join(others, "table").filter("cx <> component").filter(100 * F.least("n", "nx") >= threshold * F.greatest("n", "nx"))
-    cross = cross.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"), F.when(F.col("x") < F.col("rep"), F.col("nx")).otherwise(F.col("n")).alias("na"), F.when(F.col("x") < F.col("rep"), F.col("n")).otherwise(F.col("nx")).alias("nb")).distinct()
-    more = stored(confirmed(cross, docs, threshold), folder, "edges-2")
+    members = stored(named.join(open_, "table", "left_semi"), folder, "open")
+    hubs = members.filter("rep = hub").select("table", F.col("component").alias("hub_component"))
+    others = members.filter("rep <> hub").select("table", "rep", "n", "m", "component")
+    apart = others.join(hubs, "table").filter("component <> hub_component").select("table", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "m", "component")])
+    cross = apart.join(others, "table").filter("x_component <> component").filter(possible(F.col("x_n"), F.col("x_m"), F.col("n"), F.col("m"), threshold))
+    cross = cross.select(F.least("x_rep", "rep").alias("a"), F.greatest("x_rep", "rep").alias("b")).distinct()
+    more = stored(confirmed(cross, sets, threshold), folder, "edges-2")
     if not more.isEmpty():
         found = components(edges.union(more), folder, "cc2")
     whole = firsts.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
