@@ -13,13 +13,15 @@ from .seq import moving_baseline, peaks, thin_peaks
 FRAME, HOP, RATE = 2048, 512, 11_025
 
 
-def frame_signal(audio: DataFrame, size: int = FRAME, hop: int = HOP) -> DataFrame:
-    """Overlapping frames of each recording's samples, the last ones padded by zeros."""
+def frame_signal(audio: DataFrame, size: int = FRAME, hop: int = HOP, block: int = 64) -> DataFrame:
+    """Overlapping frames of each recording's samples, the last ones padded by zeros. Samples are first cut into
+    blocks of some frames, so that no row carries a whole recording along with one frame."""
     n = F.greatest(F.lit(1), F.ceil((F.size("samples") - size) / hop) + 1).cast("int")
-    f = audio.withColumn("frame_ix", F.explode(F.sequence(F.lit(0), n - 1)))
-    cut = F.slice("samples", F.col("frame_ix") * hop + 1, F.lit(size))
-    pad = F.concat(cut, F.array_repeat(F.lit(0.0), F.lit(size) - F.size(cut)))
-    return f.select("score_id", "frame_ix", (F.col("frame_ix") * hop / RATE).alias("t"), pad.cast("array<double>").alias("frame"))
+    cut = F.transform(F.sequence(F.lit(0), F.ceil(n / block).cast("int") - 1), lambda b: F.struct(b.alias("b"), n.alias("n"), F.slice("samples", b * (block * hop) + 1, F.lit((block - 1) * hop + size)).alias("s")))
+    blocks = audio.select("score_id", F.inline(cut))
+    pad = lambda f: F.concat(f, F.array_repeat(F.lit(0.0), F.lit(size) - F.size(f)))
+    frames = F.transform(F.sequence(F.lit(0), F.least(F.lit(block - 1), F.col("n") - 1 - F.col("b") * block)), lambda i: F.struct((F.col("b") * block + i).alias("frame_ix"), pad(F.slice("s", i * hop + 1, F.lit(size))).cast("array<double>").alias("frame")))
+    return blocks.select("score_id", F.inline(frames)).select("score_id", "frame_ix", (F.col("frame_ix") * hop / RATE).alias("t"), "frame")
 
 
 def rms(frame: Column) -> Column:
