@@ -281,3 +281,23 @@ def replace_slice(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFr
 def split_leaks(df: DataFrame, source: str, split: str) -> DataFrame:
     """Sources that are in more than one split."""
     return df.groupBy(source).agg(F.countDistinct(split).alias("splits")).filter("splits > 1")
+
+
+# -- tempo by document order, and one small relabelling ----------------------------------------------------------
+
+def tempo_from_pages(pages: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The first tempo mark (name or note = number) of a document's pages, in page order, that is 30 to 300."""
+    found = F.regexp_extract_all("text", F.lit(r"(?i)(?:[A-Za-z♩♪]+)\s*=\s*(\d{2,3}(?:\.\d+)?)"), F.lit(1))
+    m = pages.select(*keys, "page", F.posexplode(found).alias("ix", "v")).withColumn("tempo", F.col("v").try_cast("double")).filter("tempo between 30 and 300")
+    return m.groupBy(*keys).agg(F.min(F.struct("page", "ix", "tempo")).alias("f")).select(*keys, F.col("f.tempo").alias("tempo"))
+
+
+def tempo_from_score(marks: DataFrame, keys: Sequence[str] = ("score_id",)) -> DataFrame:
+    """The first positive tempo (text) in document order (ord), to a tenth."""
+    m = marks.withColumn("_t", F.col("tempo").try_cast("double")).filter("_t > 0")
+    return m.groupBy(*keys).agg(F.min(F.struct("ord", "_t")).alias("f")).select(*keys, F.round("f._t", 1).alias("tempo"))
+
+
+def collapse_categories(annotations: DataFrame, category: int = 1) -> DataFrame:
+    """All boxes of one class."""
+    return annotations.withColumn("category_id", F.lit(category))

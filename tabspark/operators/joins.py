@@ -279,3 +279,26 @@ def assign_rhythm(tokens: DataFrame, components: DataFrame, keys: Sequence[str],
     wide = c("b.c_w") >= 0.7 * s
     units = F.when(wide, F.when(c("b.c_beam_bands") >= 2, 0.5).otherwise(1.0)).otherwise(F.when(c("_dot"), 3.0).otherwise(2.0))
     return tokens.join(shape.select(*keys, "token_id", units.alias("duration_units")), [*keys, "token_id"], "left")
+
+
+def tick_rate(anchors: DataFrame, queries: DataFrame, keys: Sequence[str], x: str, y: str, low: float = 0.5, high: float = 2.0) -> DataFrame:
+    """Slope of the anchors' segment at each query's x (that of the nearest segment beyond the ends), clamped; 1
+    where there is no segment."""
+    w = Window.partitionBy(*keys).orderBy(x)
+    slope = (F.lead(y).over(w) - F.col(y)) / F.nullif(F.lead(x).over(w) - F.col(x), F.lit(0))
+    seg = anchors.withColumn("rate", slope).filter("rate is not null").select(*keys, x, "rate", F.lit(0).alias("ord"))
+    first = seg.groupBy(*keys).agg(F.min(F.struct(x, "rate")).alias("_f"))
+    found = asof_backward(queries, seg, keys, x, ["rate"]).join(first, list(keys), "left")
+    rate = F.coalesce("rate", "_f.rate", F.lit(1.0))
+    return found.withColumn("rate", F.least(F.lit(high), F.greatest(F.lit(low), rate))).drop("_f")
+
+
+def nearest_section(suggestions: DataFrame, sections: DataFrame, keys: Sequence[str] = ("score_id",)) -> DataFrame:
+    """The label of the section whose start is nearest to a suggestion's time."""
+    near = nearest_in_time(suggestions, sections, keys, "time_seconds", "start_seconds", "section")
+    return near.join(sections.select(*keys, F.col("section").alias("nearest_id"), F.col("label").alias("section_label")), [*keys, "nearest_id"], "left").drop("nearest_id")
+
+
+def match_chords(pred: DataFrame, truth: DataFrame, gap: float) -> DataFrame:
+    """Chords (image_id, notes, x, ord) with the same notes at most ``gap`` apart, in the order of x."""
+    return match_events(pred, truth, ["image_id", "notes"], "x", gap)

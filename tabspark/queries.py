@@ -495,6 +495,12 @@ def a28_outcomes(spark, d):
     return A.outcome_counts(points(spark, d), ["score_id"], c("value") > 50)
 
 
+@query("SELECT doc_id, first(CAST(v AS DOUBLE) ORDER BY i) AS tempo FROM (SELECT doc_id, unnest(range(len(m))) AS i, unnest(m) AS v FROM (SELECT c_custkey AS doc_id, [CAST(c_nationkey + 20 AS VARCHAR), CAST(c_nationkey * 9 + 25 AS VARCHAR)] AS m FROM customer)) WHERE CAST(v AS DOUBLE) BETWEEN 30 AND 300 GROUP BY doc_id")
+def p13_tempo_pages(spark, d):
+    t = F.concat(F.lit("Slow = "), (c("c_nationkey") + 20).cast("string"), F.lit(" and q = "), (c("c_nationkey") * 9 + 25).cast("string"))
+    return A.tempo_from_pages(table(spark, d, "customer").select(c("c_custkey").alias("doc_id"), F.lit(1).alias("page"), t.alias("text")))
+
+
 # -- windows, sequences, folds ---------------------------------------------------------------------------------
 
 @query(f"""WITH {POINTS}, i AS (SELECT *, sum(CASE WHEN us - p <= 3600000000 THEN 0 ELSE 1 END) OVER (PARTITION BY score_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, lag(us) OVER (PARTITION BY score_id ORDER BY us) AS p FROM points))

@@ -220,3 +220,29 @@ def test_empty_tables(spark):
     assert A.validate_measures(e, ["score_id", "number"], F.lit(64)).count() == 0
     assert W.fill_rests(e, ["score_id", "number"]).count() == 0
     assert A.missing_measures(e, ["score_id"]).count() == 0
+
+
+def test_plans(spark):
+    from tabspark.plans import analysis
+
+    rows = [("s", i, float(t), k, v, 90.0) for i, (t, ls) in enumerate([(0, [1, 2]), (2, [2, 3]), (4, [4, 5])]) for k, v in enumerate(ls)]
+    labels = spark.createDataFrame(rows, "score_id string, frame_id int, t double, index int, value int, conf double")
+    cand = labels.select("score_id", "frame_id", "index", F.concat(F.lit("sig"), F.col("value")).alias("signature"), F.lit(1.0).alias("quality"), F.col("frame_id").alias("ord"))
+    out = analysis.recognise_measures(labels, cand, F.lit(64))
+    assert sorted(values(out["measures"], "number", "votes")) == [(1, 1), (2, 2), (3, 1), (4, 1), (5, 1)] and out["missing"].count() == 0
+    ev = spark.createDataFrame([("s", 1, "1:5", 0, 0.0, 2.0), ("s", 1, "2:5", 1, 2.0, 2.0)], "score_id string, number int, notes string, ord int, onset double, duration double")
+    r = analysis.score_recognition(ev, ev.filter("ord = 0")).first()
+    assert (r.tp, r.precision, r.recall, r.duration_accuracy) == (1, 0.5, 1.0, 1.0)
+
+
+def test_rates_sections_and_marks(spark):
+    a = spark.createDataFrame([(1, 0.0, 0.0), (1, 10.0, 10.0), (1, 20.0, 60.0)], "k int, t double, pos double")
+    q = spark.createDataFrame([(1, -1.0), (1, 5.0), (1, 15.0), (2, 1.0)], "k int, t double")
+    assert sorted(values(J.tick_rate(a, q, ["k"], "t", "pos"), "k", "t", "rate")) == [(1, -1.0, 1.0), (1, 5.0, 1.0), (1, 15.0, 2.0), (2, 1.0, 1.0)]
+    s = spark.createDataFrame([("s", 0, 0.0, "A"), ("s", 1, 10.0, "B")], "score_id string, section int, start_seconds double, label string")
+    g = spark.createDataFrame([("s", 4.0), ("s", 5.0), ("s", 6.0)], "score_id string, time_seconds double")
+    assert sorted(values(J.nearest_section(g, s), "time_seconds", "section_label")) == [(4.0, "A"), (5.0, "A"), (6.0, "B")]
+    p = spark.createDataFrame([(1, 2, "Moderate = 180"), (1, 1, "x = 12 then q = 90.5")], "doc_id int, page int, text string")
+    assert values(A.tempo_from_pages(p), "tempo") == [(90.5,)]
+    m = spark.createDataFrame([("s", 0, "bad"), ("s", 1, "92.04"), ("s", 2, "80")], "score_id string, ord int, tempo string")
+    assert values(A.tempo_from_score(m), "tempo") == [(92.0,)]
