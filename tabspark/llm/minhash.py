@@ -177,13 +177,14 @@ def _tables(live: DataFrame) -> DataFrame:
 def classes(df: DataFrame, threshold: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document; near-duplicate if 100 * |A & B| >= threshold * |A | B|.
 
-    A null text, or one without words, has no shingles and is alone. Rows with a null doc_id are left out (they have
-    no id to stand for); of repeated rows of one doc_id one stays, the one with the greatest text, since a document
-    is its id. An empty table gives no rows; extra columns are not read.
+    A null text, or one without words, has no shingles and is alone. A row with a null doc_id can't be linked: it has
+    a null component_id and is kept. A document is its id: of repeated rows of one doc_id the one with the greatest
+    text counts, and one row is returned. An empty table gives no rows; extra columns are not read.
     """
     spark = df.sparkSession
     folder = shared_dir(spark)
-    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    nameless, docs = docs.filter("doc_id is null"), docs.filter("doc_id is not null")
     sig = stored(map_texts(docs, _signatures, "doc_id long, n long, d1 long, d2 long, keys array<long>"), folder, "signatures")
     repeated = sig.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").limit(1).count()
     if repeated:
@@ -222,4 +223,6 @@ def classes(df: DataFrame, threshold: int = 85) -> DataFrame:
     whole = firsts.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
     out = sig.select("doc_id", *same).join(whole, same, "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    others = map_texts(nameless, _signatures, "doc_id long, n long, d1 long, d2 long, keys array<long>")
+    others = others.select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id")).unionByName(others)

@@ -104,7 +104,8 @@ def classify(docs: DataFrame, rules: Rules, cut: float = CUT, keep: list[str] |
 
 def good_only(docs: DataFrame, rules: Rules, cut: float = CUT) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text scores ``cut`` or more."""
-    return with_statistics(docs).filter(rules.score(F.col("stat")) >= cut).select(*docs.columns)
+    rows = with_statistics(docs.select(F.struct("*").alias("_row"), F.col("text")))
+    return rows.filter(rules.score(F.col("stat")) >= cut).select("_row.*")
 
 
 def run(docs: DataFrame, labels: DataFrame) -> DataFrame:

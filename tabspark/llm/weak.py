@@ -63,10 +63,11 @@ def fit(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[fl
     prior, acc = PRIOR, {n: (START, START) for n in names}
     held = lambda x: min(0.999, max(0.55, x))
     for _ in range(rounds):
-        weighed = patterns.withColumn("g", posterior(names, prior, acc) * F.col("n")).withColumn("b", F.col("n") - F.col("g"))
-        sums = [F.sum("g").alias("g"), F.sum("n").alias("n")]
+        weighed = patterns.withColumn("_good", posterior(names, prior, acc) * F.col("n")).withColumn("_bad", F.col("n") - F.col("_good"))
+        sums = [F.sum("_good").alias("g"), F.sum("n").alias("n")]
         for n in names:
-            sums += [F.sum(F.when(F.col(n).isNotNull(), F.col("g"))).alias(f"g_{n}"), F.sum(F.when(F.col(n) == 1, F.col("g"))).alias(f"g1_{n}"), F.sum(F.when(F.col(n).isNotNull(), F.col("b"))).alias(f"b_{n}"), F.sum(F.when(F.col(n) == 0, F.col("b"))).alias(f"b0_{n}")]
+            voted = F.col(n).isNotNull()
+            sums += [F.sum(F.when(voted, F.col("_good"))).alias(f"g_{n}"), F.sum(F.when(F.col(n) == 1, F.col("_good"))).alias(f"g1_{n}"), F.sum(F.when(voted, F.col("_bad"))).alias(f"b_{n}"), F.sum(F.when(F.col(n) == 0, F.col("_bad"))).alias(f"b0_{n}")]
         s = {k: v or 0.0 for k, v in weighed.agg(*sums).first().asDict().items()}
         if not s["n"]:
             break
