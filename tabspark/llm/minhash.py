@@ -31,6 +31,7 @@ from .common import WORD, map_texts, shared_dir, slices, stored
 SHINGLE = 5  # words
 SUB = 16  # sub-keys in each collection
 WIDTH = 4  # minhash values in each sub-key
+LEAST = 5  # sub-keys of 2 * SUB that a pair of different components must share; at 0.85 17 are expected, fewer than 5 have a probability of 3e-6
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _U = np.uint64
 
@@ -195,12 +196,13 @@ def classes(df: DataFrame, threshold: int = 85) -> DataFrame:
     firsts = stored(firsts, folder, "representatives")
     reps = sig.join(firsts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "keys")
     met = stored(_candidates(reps), folder, "candidates")
-    texts = docs.join(met.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+    # a merge join at every size: the ids grow with the input, so they are never broadcast
+    texts = docs.join(met.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
     sets = stored(map_texts(texts, _full_sets, "rep long, grams array<long>"), folder, "sets")
     alone = sets.select("rep", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("c"), F.min("rep").alias("rep"))
     alone = alone.filter("c = 1").groupBy("rep").agg(F.count("*").alias("u"))
     live = met.join(alone, "rep", "left").withColumn("m", F.col("n") - F.coalesce("u", F.lit(0)))
-    live = live.filter(100 * F.col("m") >= threshold * F.col("n"))
+    live = stored(live.filter(100 * F.col("m") >= threshold * F.col("n")).select("rep", "n", "m", "ka", "kb"), folder, "live")
     tables = stored(_tables(live), folder, "tables")
     entries = stored(tables.groupBy("table").agg(F.min(F.struct("rep", "n", "m")).alias("hub"), F.count("*").alias("c")).filter("c > 1"), folder, "entries")
     stars = tables.join(entries, "table").filter(F.col("rep") != F.col("hub.rep")).filter(possible(F.col("hub.n"), F.col("hub.m"), F.col("n"), F.col("m"), threshold))
@@ -211,11 +213,15 @@ def classes(df: DataFrame, threshold: int = 85) -> DataFrame:
     many = tables.join(entries.filter("c > 2").select("table", F.col("hub.rep").alias("hub")), "table")
     named = many.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_ = named.groupBy("table").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("table")
-    members = stored(named.join(open_, "table", "left_semi"), folder, "open")
+    members = stored(named.join(open_, "table", "left_semi").join(live.select("rep", "ka", "kb"), "rep"), folder, "open")
     hubs = members.filter("rep = hub").select("table", F.col("component").alias("hub_component"))
-    others = members.filter("rep <> hub").select("table", "rep", "n", "m", "component")
-    apart = others.join(hubs, "table").filter("component <> hub_component").select("table", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "m", "component")])
-    cross = apart.join(others, "table").filter("x_component <> component").filter(possible(F.col("x_n"), F.col("x_m"), F.col("n"), F.col("m"), threshold))
+    columns = ("rep", "n", "m", "component", "ka", "kb")
+    others = members.filter("rep <> hub").select("table", *columns)
+    apart = others.join(hubs, "table").filter("component <> hub_component").select("table", *[F.col(c).alias(f"x_{c}") for c in columns])
+    # a pair is taken in the first of its tables only, and if it has as many sub-keys in common as similar sets have
+    a, b = F.array_intersect("x_ka", "ka"), F.array_intersect("x_kb", "kb")
+    here = (F.col("table") == F.xxhash64(F.array_min(a), F.array_min(b))) & (F.size(a) + F.size(b) >= LEAST)
+    cross = apart.join(others, "table").filter("x_component <> component").filter(possible(F.col("x_n"), F.col("x_m"), F.col("n"), F.col("m"), threshold)).filter(here)
     cross = cross.select(F.least("x_rep", "rep").alias("a"), F.greatest("x_rep", "rep").alias("b")).distinct()
     more = stored(confirmed(cross, sets, threshold), folder, "edges-2")
     if not more.isEmpty():
