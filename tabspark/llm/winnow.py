@@ -98,12 +98,14 @@ def edited_fingerprints(df: DataFrame, k: int = K, w: int = W) -> DataFrame:
     counts as empty; repeated rows stay; extra columns are not read; an empty table gives no rows.
     """
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    pairs = with_next(docs.withColumn("fp", winnow(F.col("text"), k, w)), ["text", "fp"])
+    pairs = with_next(docs, ["text"])
     n = F.char_length("text").cast("long")
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substring("next_text", F.lit(1), cut))
     out = pairs.withColumn("n_chars", n).withColumn("edited", edited)
-    out = out.withColumn("edited_fp", winnow(F.col("edited"), k, w)).withColumn("own", hashes(F.col("fp")))
+    # the next text's fingerprint is made again here: choices don't compress, so carrying them doubles the shuffle
+    out = out.withColumns({"fp": winnow(F.col("text"), k, w), "edited_fp": winnow(F.col("edited"), k, w), "next_fp": winnow(F.col("next_text"), k, w)})
+    out = out.withColumn("own", hashes(F.col("fp")))
     return out.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), told(F.col("fp")).alias("fingerprint"), told(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("own"), hashes(F.col("edited_fp"))).alias("near_edited"), likeness(F.col("own"), hashes(F.col("next_fp"))).alias("near_next"),
