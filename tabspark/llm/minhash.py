@@ -31,7 +31,6 @@ from .common import WORD, map_texts, shared_dir, slices, stored
 SHINGLE = 5  # words
 SUB = 16  # sub-keys in each collection
 WIDTH = 4  # minhash values in each sub-key
-LEAST = 5  # sub-keys of 2 * SUB that a pair of different components must share; at 0.85 17 are expected, fewer than 5 have a probability of 3e-6
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _U = np.uint64
 
@@ -218,9 +217,9 @@ def classes(df: DataFrame, threshold: int = 85) -> DataFrame:
     columns = ("rep", "n", "m", "component", "ka", "kb")
     others = members.filter("rep <> hub").select("table", *columns)
     apart = others.join(hubs, "table").filter("component <> hub_component").select("table", *[F.col(c).alias(f"x_{c}") for c in columns])
-    # a pair is taken in the first of its tables only, and if it has as many sub-keys in common as similar sets have
+    # a pair is taken in the first of its tables only
     a, b = F.array_intersect("x_ka", "ka"), F.array_intersect("x_kb", "kb")
-    here = (F.col("table") == F.xxhash64(F.array_min(a), F.array_min(b))) & (F.size(a) + F.size(b) >= LEAST)
+    here = F.col("table") == F.xxhash64(F.array_min(a), F.array_min(b))
     cross = apart.join(others, "table").filter("x_component <> component").filter(possible(F.col("x_n"), F.col("x_m"), F.col("n"), F.col("m"), threshold)).filter(here)
     cross = cross.select(F.least("x_rep", "rep").alias("a"), F.greatest("x_rep", "rep").alias("b")).distinct()
     more = stored(confirmed(cross, sets, threshold), folder, "edges-2")

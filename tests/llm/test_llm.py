@@ -8,6 +8,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,30 @@ def test_minhash_chain_and_near_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.classes(df).collect()} == brute_classes(rows, 85)
 
 
+def test_minhash_links_all_alike_pairs_that_meet(spark):
+    texts = {}
+    for g in range(300):  # two texts that are alike, and four with lesser ids that meet them and are like no other
+        base = [f"g{g}-{i}" for i in range(100)]
+        for k in range(4):
+            t = list(base)
+            t[16 + 15 * k : 31 + 15 * k : 5] = [f"h{g}-{k}-{i}" for i in range(3)]
+            texts[6 * g + k] = " ".join(t)
+        texts[6 * g + 4] = " ".join([*(f"x{g}-{i}" for i in range(11)), *base[11:]])
+        texts[6 * g + 5] = " ".join([*base[:89], *(f"y{g}-{i}" for i in range(11))])
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    batch = pa.RecordBatch.from_arrays([pa.array(list(texts)), pa.array(list(texts.values()))], names=["doc_id", "text"])
+    keys = {r["doc_id"]: r["keys"] for b in minhash._signatures(iter([batch])) for r in b.to_pylist()}
+    want = {i: i for i in texts}
+    for g in range(0, len(texts), 6):
+        alike = [(a, b) for a in range(g, g + 6) for b in range(a + 1, g + 6) if 100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b])]
+        assert alike == [(g + 4, g + 5)]
+        a, b = keys[g + 4], keys[g + 5]
+        if set(a[: minhash.SUB]) & set(b[: minhash.SUB]) and set(a[minhash.SUB :]) & set(b[minhash.SUB :]):
+            want[g + 5] = g + 4
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in minhash.classes(df, 60).collect()} == want
+
+
 def test_minhash_odd_rows(odd, empty):
     got = {r.doc_id: r for r in minhash.classes(odd).collect()}
     assert len(got) == len(ODD) + 1 and got[3].n_shingles == 0 and got[3].kept and got[5].component_id == 4 and not got[5].kept and got[None].kept
