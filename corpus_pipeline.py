@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from tabspark.llm import minhash, packing, quality, toxicity
 from tabspark.llm.common import read, shared_dir, stored
@@ -14,14 +15,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules, learned from the labelled ones among them, accept."""
-    return quality.good_only(docs, quality.learn(docs, read(spark, sf_dir, "labels")))
+    """Documents that the quality rules, learned from the labelled ones among them, accept; all if there is nothing to
+    learn from, as rules that score all texts alike tell none apart."""
+    rules = quality.learn(docs, read(spark, sf_dir, "labels"))
+    return quality.good_only(docs, rules) if rules.rules else docs
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each class of near duplicates (similarity 0.8 or more)."""
-    kept = minhash.classes(docs, 80).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document, that with the least id, of each class of near duplicates (similarity 0.8 or more). Rows without
+    an id all stay; of repeated rows of one id one with the greatest text stays, which is the text that was judged."""
+    kept = minhash.classes(docs, 80).filter("kept and doc_id is not null").select("doc_id")
+    named = docs.filter("doc_id is not null")
+    if not named.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc_nulls_last("text"), F.xxhash64(*docs.columns)))
+        named = named.withColumn("_place", place).filter("_place = 1")
+    return named.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -403,5 +403,24 @@ def test_pipeline_stages(spark, docs, texts):
     assert {r.doc_id for r in packed.collect()} == seen and len(seen) > 0.7 * len(texts)
 
 
+def test_pipeline_stages_keep_odd_rows(spark, odd, empty, tmp_path):
+    import corpus_pipeline
+
+    empty.selectExpr("doc_id", "0 quality", "0 toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    count = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    rows = count(odd)
+    d = stages["quality"](spark, stages["toxicity"](spark, odd, str(tmp_path)), str(tmp_path))
+    assert count(d) == rows and d.columns == odd.columns
+    d = stages["near_dedup"](spark, d, str(tmp_path))
+    want = Counter({k: 1 for k in rows if k[0] != 5})  # 5 is a copy of 4
+    assert count(d) == want and d.columns == odd.columns
+    assert {r.doc_id for r in stages["pack"](spark, d, str(tmp_path)).collect()} == {k[0] for k in want}
+    base = " ".join(f"a{i}" for i in range(60))
+    other = " ".join(f"b{i}" for i in range(60))
+    twice = spark.createDataFrame([(1, base), (2, base), (2, other), (2, other), (None, base), (None, base)], "doc_id long, text string")
+    assert count(stages["near_dedup"](spark, twice, str(tmp_path))) == Counter({(1, base): 1, (2, other): 1, (None, base): 2})
+
+
 def test_statistics_of_odd_texts(odd):
     assert with_statistics(odd.select("doc_id", "text")).filter("stat.n_words is null").count() == 0
