@@ -2,8 +2,9 @@
 
 For each language a suffix automaton of a bounded sample of its labelled text is built. A text is parsed greedily
 into the longest phrases that occur in that sample; the language that needs the fewest phrases, normalised by how
-many phrases held-back text of the language itself needs, wins. The automata are tables [state, symbol]; where a
-phrase cannot go on, the table holds the state that the next phrase starts with, marked, so a parse is one walk.
+many phrases held-back text of the language itself needs, wins. The automata are sparse tables: the rows of all
+states lie over one another in one array, shifted so that no two entries meet, and an entry names its state. So the
+alphabet holds every character of the training text, and every language that has a training text is learned.
 
 All characters are parsed. So that many texts walk side by side in numpy, texts are cut into stretches of
 ``STRETCH`` characters; a stretch starts a new phrase, alike for every language.
@@ -23,11 +24,8 @@ from .common import map_texts, slices, split_of
 
 SAMPLE_CHARS = 40_000  # characters of each language that its automaton is built from, at most
 CHECK_CHARS = 10_000  # characters of each language that its norm is measured on, at most
-HEAD_CHARS = 400  # characters that one training text gives, so that many texts count
-SYMBOLS = 96  # symbols of the table: 0 for all that is rare
-MAX_LANGUAGES = 64
+HEAD_CHARS = 400  # characters that one training text gives, from a place anywhere in it, so that many texts count
 STRETCH = 512
-_MARK = 1 << 30
 
 
 def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
@@ -59,20 +57,56 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
-def table_of(text: np.ndarray) -> np.ndarray:
-    """Flat walk table: entry [state * SYMBOLS + symbol] is the next state, marked if a new phrase starts there."""
-    moves = suffix_automaton(text.tolist())
-    out = np.empty((len(moves), SYMBOLS), np.int32)
-    root = np.zeros(SYMBOLS, np.int32)
-    for c, s in moves[0].items():
-        root[c] = s
-    out[:] = root | _MARK
-    out[:, 0] = _MARK  # a rare character is a phrase by itself
-    for s, m in enumerate(moves):
-        for c, t in m.items():
-            if c:
-                out[s, c] = t
-    return out.ravel()
+@dataclass
+class Table:
+    """Entry ``base[state] + symbol`` of ``state`` and ``to`` is a move, if ``state`` there is the state; else a new phrase starts in ``root[symbol]``."""
+
+    base: np.ndarray
+    state: np.ndarray
+    to: np.ndarray
+    root: np.ndarray
+
+
+def table_of(text: np.ndarray, symbols: int = 0) -> Table:
+    """Walk table for symbols below ``symbols``; symbol 0 is a character that no training text has, a phrase by itself."""
+    moves = [{c: t for c, t in m.items() if c} for m in suffix_automaton(text.tolist())]
+    width = max(symbols, int(text.max(initial=0)) + 1)
+    total = sum(map(len, moves))
+    state, to = np.full(2 * width + 2 * total, -1, np.int32), np.zeros(2 * width + 2 * total, np.int32)
+    base, root = np.zeros(len(moves), np.int32), np.zeros(width, np.int32)
+    for c, t in moves[0].items():
+        root[c] = to[c] = t
+        state[c] = 0
+    low, end = width, width  # rows of other states start at ``width`` or later; entries below ``low`` are taken or passed over
+    for s in sorted((s for s in range(1, len(moves)) if len(moves[s]) > 1), key=lambda s: -len(moves[s])):
+        shape = np.fromiter(sorted(moves[s]), np.int64, len(moves[s]))
+        shape -= shape[0]
+        at = low
+        while True:
+            while at + shape[-1] + 256 >= len(state):
+                state, to = np.append(state, np.full(len(state), -1, np.int32)), np.append(to, np.zeros(len(to), np.int32))
+            fits = np.flatnonzero((state[at + shape[:, None] + np.arange(256)] < 0).all(axis=0))
+            if len(fits):
+                at += int(fits[0])
+                break
+            at += 256
+        if at >= low + 256:
+            low += 256
+        first = min(moves[s])
+        base[s] = at - first
+        for c, t in moves[s].items():
+            state[base[s] + c], to[base[s] + c] = s, t
+        end = max(end, at + int(shape[-1]) + 1)
+    single = [s for s in range(1, len(moves)) if len(moves[s]) == 1]
+    room = np.flatnonzero(state[width:end] < 0)[: len(single)] + width
+    room = np.append(room, end + np.arange(len(single) - len(room)))
+    size = max(end, int(room.max(initial=0)) + 1) + width
+    state = np.append(state, np.full(max(0, size - len(state)), -1, np.int32))[:size]
+    to = np.append(to, np.zeros(max(0, size - len(to)), np.int32))[:size]
+    for s, p in zip(single, room.tolist()):
+        ((c, t),) = moves[s].items()
+        base[s], state[p], to[p] = p - c, s, t
+    return Table(base, state, to, root)
 
 
 def folded(text: str) -> np.ndarray:
@@ -89,7 +123,7 @@ def letters() -> np.ndarray:
 class Model:
     languages: list[str]
     symbol: np.ndarray  # code point -> symbol
-    tables: list[np.ndarray]
+    tables: list[Table]
     norms: np.ndarray  # phrases per character of held-back text of the language
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -114,12 +148,11 @@ class Model:
             state, found = np.zeros(len(parts), np.int32), np.ones(len(parts), np.int32)
             for step in range(sizes[0]):
                 n = live[step]
-                at = state[:n]
-                np.multiply(at, SYMBOLS, out=at)
-                np.add(at, lanes[step, :n], out=at)
-                got = table[at]
-                found[:n] += got >> 30
-                np.bitwise_and(got, _MARK - 1, out=at)
+                at, symbol = state[:n], lanes[step, :n]
+                to = table.base[at] + symbol
+                goes = table.state[to] == at
+                found[:n] += ~goes
+                state[:n] = np.where(goes, table.to[to], table.root[symbol])
             out[:, k] = np.bincount(own, found, len(texts))
         return out
 
@@ -137,32 +170,32 @@ class Model:
 
 
 def learn(docs: DataFrame, chars: int = SAMPLE_CHARS, check: int = CHECK_CHARS, head: int = HEAD_CHARS) -> Model:
-    """Fit on the starts of documents whose crc32 of the id modulo 5 is not 0, in the order of a hash of the id, with
-    at most ``chars`` + ``check`` characters of each of at most ``MAX_LANGUAGES`` languages."""
+    """Fit on stretches of documents whose crc32 of the id modulo 5 is not 0, in the order of a hash of the id, with
+    at most ``chars`` + ``check`` characters of each language that occurs. A stretch starts at a place chosen by a hash
+    of the id."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (split_of("doc_id", 5) != 0))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = known.groupBy("lang").agg(F.count("*").alias("size"))
     wanted = 4 * (chars + check) // head  # texts of each language; some are short
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(wanted / n)).otherwise(share)
     place = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_003))
-    chosen = known.filter(place / F.lit(1_000_003.0) < share).select("lang", place.alias("place"), "doc_id", F.substring("text", 1, head).alias("text"))
-    rows = sorted(chosen.collect(), key=lambda r: (r["place"], r["doc_id"]))
-    langs = sorted(sizes)
-    texts = {x: [folded(r["text"]) for r in rows if r["lang"] == x] for x in langs}
+    start = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.greatest(F.length("text") - head + 1, F.lit(1))).cast("int") + 1
+    chosen = known.select("lang", place.alias("place"), "doc_id", F.col("text").substr(start, F.lit(head)).alias("text"))
+    chosen = chosen.join(F.broadcast(sizes), "lang").filter(F.col("place") / F.lit(1_000_003.0) < wanted / F.col("size"))
+    texts: dict[str, list[np.ndarray]] = {}
+    for r in sorted(chosen.collect(), key=lambda r: (r["place"], r["doc_id"])):
+        texts.setdefault(r["lang"], []).append(folded(r["text"]))
+    langs = sorted(texts)
     train, held = {}, {}
     for x in langs:
-        both = np.concatenate([np.append(t, 32) for t in texts[x]] or [np.zeros(0)]).astype(np.uint32)[: chars + check]
+        both = np.concatenate([np.append(t, 32) for t in texts[x]]).astype(np.uint32)[: chars + check]
         cut = len(both) * chars // (chars + check)
         train[x], held[x] = both[:cut], both[cut:]
     langs = [x for x in langs if len(held[x])]
-    points, n = np.unique(np.concatenate([train[x] for x in langs] or [np.zeros(0, np.uint32)]), return_counts=True)
-    common = points[np.argsort(-n, kind="stable")][: SYMBOLS - 1]
-    symbol = np.zeros(0x110000, np.uint8)
-    symbol[common] = np.arange(1, len(common) + 1)
-    model = Model(langs, symbol, [table_of(symbol[train[x]]) for x in langs], np.ones(len(langs)))
+    points = np.unique(np.concatenate([train[x] for x in langs] or [np.zeros(0, np.uint32)]))
+    symbol = np.zeros(0x110000, np.int32)
+    symbol[points] = np.arange(1, len(points) + 1)
+    model = Model(langs, symbol, [table_of(symbol[train[x]], len(points) + 1) for x in langs], np.ones(len(langs)))
     for k, x in enumerate(langs):
-        model.norms[k] = model.phrases([held[x]])[0, k] / len(held[x])
+        model.norms[k] = Model([x], symbol, [model.tables[k]], np.ones(1)).phrases([held[x]])[0, 0] / len(held[x])
     return model
 
 

@@ -326,6 +326,26 @@ def test_language(docs, odd, empty):
     assert {r.lang_pred for r in langid.identify(docs.limit(3), langid.learn(empty)).collect()} == {"und"}
 
 
+def test_language_learns_rare_languages_all_scripts_and_late_text(spark):
+    rng, rows = np.random.default_rng(7), []
+
+    def add(lang, letters, n, head=""):
+        words = ["".join(rng.choice(letters, 5)) for _ in range(30)]
+        for _ in range(n):
+            rows.append((len(rows), head + " ".join(rng.choice(words, 60)), lang))
+
+    for k in range(66):
+        add(f"l{k:02}", list("abcdefghijklmnopqrstuvwxyz"), 24 if k < 65 else 16)
+    add("han-a", [chr(0x4E00 + i) for i in range(300)], 16)
+    add("han-b", [chr(0x5E00 + i) for i in range(300)], 16)
+    add("late-a", list("abcdefghijklm"), 16, "0123456789 " * 40)
+    add("late-b", list("nopqrstuvwxyz"), 16, "0123456789 " * 40)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = langid.identify(df, langid.learn(df, 4000, 1000, 400)).join(df.select("doc_id", "lang"), "doc_id").collect()
+    for x in ("l65", "han-a", "han-b", "late-a", "late-b"):
+        assert np.mean([r.lang_pred == x for r in got if r.lang == x and r.held_out]) > 0.8
+
+
 def test_cross_parse_counts_longest_matches():
     train, text = "abracadabra", "abracabrazz"
     table = langid.table_of(np.array([ord(x) - 96 for x in train], np.uint8))
