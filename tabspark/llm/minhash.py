@@ -3,7 +3,8 @@
 Two small collections A and B of sub-keys are made for each document, each sub-key of a few minhash values; every
 pair (A_i, B_j) is the key of one hash table, so SUB * SUB tables cost only 2 * SUB * WIDTH minhash values. Two
 documents of similarity s meet in a table unless they differ in all of A or all of B:
-P(miss) <= 2 * (1 - s**WIDTH)**SUB, which is 1.5e-5 at s = 0.85.
+P(miss) <= 2 * (1 - s**width)**SUB. The width is the largest for which that is at most MISS at the threshold: 4 values
+at 0.85 (1.5e-5), 3 at 0.8 (2.1e-5).
 
 Exact copies (equal sets, by a 128-bit digest) become one representative first. Sub-keys that only one document has
 are dropped before pairs are formed. The full sets of the documents left give a bound: a shingle that no other of
@@ -11,14 +12,16 @@ them has is in no intersection, so with ``m`` shared shingles of ``n`` two docum
 common. A document whose bound is below the threshold against every set goes; a pair whose bound is below it is not
 compared. Both are exact: nothing that is linked is lost.
 
-In each table entry all members are compared with its least member; what these comparisons have not joined is
-compared with all members of other components in the entry. So every pair that meets in a table is compared, ruled
-out by the bound or already in one component, without emitting all pairs of a group of near copies.
+In each table entry all members are compared with its least member. What these comparisons have not joined is taken
+across components: pairs that meet and that two exact bounds allow, the one above and that of parity sketches (the
+sketches of two sets differ in at most as many bits as the sets in elements). Both bounds and the components are
+conditions of the join, so only pairs that are very likely alike leave it, to be compared on full sets. So every pair
+that meets in a table is compared, ruled out for certain, or already in one component.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,8 @@ from .common import WORD, map_texts, shared_dir, slices, stored
 
 SHINGLE = 5  # words
 SUB = 16  # sub-keys in each collection
-WIDTH = 4  # minhash values in each sub-key
+MISS = 3e-5  # probability, at most, that two sets of the least similarity meet in no table
+SKETCH = 512  # bits of a parity sketch
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _U = np.uint64
 
@@ -40,8 +44,12 @@ def _odd(seed: int, n: int) -> np.ndarray:
 
 
 _MIX = _odd(11, SHINGLE)
-_FACTORS, _TERMS = _odd(12, 2 * SUB * WIDTH), _odd(13, 2 * SUB * WIDTH)
-_FOLD = _odd(14, WIDTH)
+_FOLD = _odd(14, 8)
+
+
+def width_for(threshold: int) -> int:
+    """Minhash values in each sub-key, 8 at most."""
+    return max([w for w in range(1, 9) if 2 * (1 - (threshold / 100) ** w) ** SUB <= MISS], default=1)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -84,29 +92,46 @@ def shingles(text: str | None, words: Words) -> np.ndarray:
     return np.unique(mixed(out + _U(SHINGLE)))
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = Words()
-    for b in slices(batches, limit=2_000_000):
-        sets = [shingles(t, words) for t in b.column(1).to_pylist()]
-        size = np.array([len(x) for x in sets], np.int64)
-        live = np.flatnonzero(size)
-        digest = np.zeros((2, len(sets)), np.uint64)
-        keys = np.zeros((len(sets), 2 * SUB), np.uint64)
-        if len(live):
-            flat = np.concatenate([sets[i] for i in live])
-            start = np.concatenate([[0], np.cumsum(size[live])[:-1]])
-            digest[0, live] = np.add.reduceat(mixed(flat + _FOLD[0]), start)
-            digest[1, live] = np.add.reduceat(mixed(flat ^ _FOLD[1]), start)
-            least = np.empty((len(live), 2 * SUB * WIDTH), np.uint64)
-            for k in range(2 * SUB * WIDTH):
-                least[:, k] = np.minimum.reduceat(flat * _FACTORS[k] + _TERMS[k], start)
-            sub = mixed((least.reshape(len(live), 2 * SUB, WIDTH) * _FOLD).sum(axis=2, dtype=np.uint64) + np.arange(2 * SUB, dtype=np.uint64) * _MIX[0])
-            sub[:, :SUB] &= ~_U(1)  # collection A: even; B: odd
-            sub[:, SUB:] |= _U(1)
-            keys[live] = sub
-        offsets = np.concatenate([[0], np.cumsum(np.where(size > 0, 2 * SUB, 0))]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[live].ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), lists], names=["doc_id", "n", "d1", "d2", "keys"])
+SIGNATURE = "doc_id long, n long, d1 long, d2 long, keys array<long>"
+
+
+def signatures(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Maps (doc_id, text) to the size of the shingle set, its digest, and its sub-keys of ``width`` minhash values."""
+    factors, terms = _odd(12, 2 * SUB * width), _odd(13, 2 * SUB * width)
+
+    def run(batches):
+        words = Words()
+        for b in slices(batches, limit=2_000_000):
+            sets = [shingles(t, words) for t in b.column(1).to_pylist()]
+            size = np.array([len(x) for x in sets], np.int64)
+            live = np.flatnonzero(size)
+            digest = np.zeros((2, len(sets)), np.uint64)
+            keys = np.zeros((len(sets), 2 * SUB), np.uint64)
+            if len(live):
+                flat = np.concatenate([sets[i] for i in live])
+                start = np.concatenate([[0], np.cumsum(size[live])[:-1]])
+                digest[0, live] = np.add.reduceat(mixed(flat + _FOLD[0]), start)
+                digest[1, live] = np.add.reduceat(mixed(flat ^ _FOLD[1]), start)
+                least = np.empty((len(live), 2 * SUB * width), np.uint64)
+                for k in range(2 * SUB * width):
+                    least[:, k] = np.minimum.reduceat(flat * factors[k] + terms[k], start)
+                sub = mixed((least.reshape(len(live), 2 * SUB, width) * _FOLD[:width]).sum(axis=2, dtype=np.uint64) + np.arange(2 * SUB, dtype=np.uint64) * _MIX[0])
+                sub[:, :SUB] &= ~_U(1)  # collection A: even; B: odd
+                sub[:, SUB:] |= _U(1)
+                keys[live] = sub
+            offsets = np.concatenate([[0], np.cumsum(np.where(size > 0, 2 * SUB, 0))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[live].ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), lists], names=["doc_id", "n", "d1", "d2", "keys"])
+
+    return run
+
+
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """[set, SKETCH / 64] whether an odd number of a set's elements has each hash value, as bits of 64-bit numbers."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    bit = (np.concatenate(sets).view(np.uint64) >> _U(20)) % _U(SKETCH) if sets else np.zeros(0, np.uint64)
+    odd = np.bincount(owner * SKETCH + bit.astype(np.int64), minlength=len(sets) * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(sets), SKETCH), axis=1).view(np.int64)
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +140,9 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingles(t, words).view(np.int64) for t in b.column(1).to_pylist()]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
         flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["rep", "grams"])
+        ends = np.arange(len(sets) + 1, dtype=np.int32) * (SKETCH // 64)
+        bits = pa.ListArray.from_arrays(pa.array(ends), pa.array(sketches(sets).ravel()))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), bits], names=["rep", "grams", "sketch"])
 
 
 def alike(both: Column, a: Column, b: Column, threshold: int) -> Column:
@@ -128,6 +155,12 @@ def possible(na: Column, ma: Column, nb: Column, mb: Column, threshold: int) ->
     return alike(F.least(ma, mb, na, nb), na, nb, threshold)
 
 
+def sketched(a: Column, b: Column, na: Column, nb: Column, threshold: int) -> Column:
+    """Whether sets with these sketches can be alike: they have at most (na + nb - bits that differ) / 2 in common."""
+    differ = sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(SKETCH // 64)), F.lit(0))
+    return alike((na + nb - differ) / 2, na, nb, threshold)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose full sets (rep, grams) are alike."""
     left, right = sets.select(F.col("rep").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("rep").alias("b"), F.col("grams").alias("gb"))
@@ -183,13 +216,14 @@ def classes(df: DataFrame, threshold: int = 85) -> DataFrame:
     """
     spark = df.sparkSession
     folder = shared_dir(spark)
+    signed = signatures(width_for(threshold))
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     nameless, docs = docs.filter("doc_id is null"), docs.filter("doc_id is not null")
-    sig = stored(map_texts(docs, _signatures, "doc_id long, n long, d1 long, d2 long, keys array<long>"), folder, "signatures")
+    sig = stored(map_texts(docs, signed, SIGNATURE), folder, "signatures")
     repeated = sig.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").limit(1).count()
     if repeated:
         docs = stored(docs.groupBy("doc_id").agg(F.max("text").alias("text")), folder, "documents")
-        sig = stored(map_texts(docs, _signatures, "doc_id long, n long, d1 long, d2 long, keys array<long>"), folder, "signatures-single")
+        sig = stored(map_texts(docs, signed, SIGNATURE), folder, "signatures-single")
     same = ["n", "d1", "d2"]
     firsts = sig.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
     firsts = stored(firsts, folder, "representatives")
@@ -197,37 +231,35 @@ def classes(df: DataFrame, threshold: int = 85) -> DataFrame:
     met = stored(_candidates(reps), folder, "candidates")
     # a merge join at every size: the ids grow with the input, so they are never broadcast
     texts = docs.join(met.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
-    sets = stored(map_texts(texts, _full_sets, "rep long, grams array<long>"), folder, "sets")
+    sets = stored(map_texts(texts, _full_sets, "rep long, grams array<long>, sketch array<long>"), folder, "sets")
     alone = sets.select("rep", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("c"), F.min("rep").alias("rep"))
     alone = alone.filter("c = 1").groupBy("rep").agg(F.count("*").alias("u"))
     live = met.join(alone, "rep", "left").withColumn("m", F.col("n") - F.coalesce("u", F.lit(0)))
-    live = stored(live.filter(100 * F.col("m") >= threshold * F.col("n")).select("rep", "n", "m", "ka", "kb"), folder, "live")
+    live = live.filter(100 * F.col("m") >= threshold * F.col("n")).join(sets.select("rep", "sketch"), "rep")
+    live = stored(live.select("rep", "n", "m", "ka", "kb", "sketch"), folder, "live")
     tables = stored(_tables(live), folder, "tables")
     entries = stored(tables.groupBy("table").agg(F.min(F.struct("rep", "n", "m")).alias("hub"), F.count("*").alias("c")).filter("c > 1"), folder, "entries")
     stars = tables.join(entries, "table").filter(F.col("rep") != F.col("hub.rep")).filter(possible(F.col("hub.n"), F.col("hub.m"), F.col("n"), F.col("m"), threshold))
     stars = stars.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
     edges = stored(confirmed(stars, sets, threshold), folder, "edges-1")
     found = components(edges, folder, "cc1")
-    # entries of three and more members that are not one component yet: compare across components
-    many = tables.join(entries.filter("c > 2").select("table", F.col("hub.rep").alias("hub")), "table")
-    named = many.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = named.groupBy("table").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("table")
-    members = stored(named.join(open_, "table", "left_semi").join(live.select("rep", "ka", "kb"), "rep"), folder, "open")
-    hubs = members.filter("rep = hub").select("table", F.col("component").alias("hub_component"))
-    columns = ("rep", "n", "m", "component", "ka", "kb")
-    others = members.filter("rep <> hub").select("table", *columns)
-    apart = others.join(hubs, "table").filter("component <> hub_component").select("table", *[F.col(c).alias(f"x_{c}") for c in columns])
-    # a pair is taken in the first of its tables only
-    a, b = F.array_intersect("x_ka", "ka"), F.array_intersect("x_kb", "kb")
-    here = F.col("table") == F.xxhash64(F.array_min(a), F.array_min(b))
-    cross = apart.join(others, "table").filter("x_component <> component").filter(possible(F.col("x_n"), F.col("x_m"), F.col("n"), F.col("m"), threshold)).filter(here)
-    cross = cross.select(F.least("x_rep", "rep").alias("a"), F.greatest("x_rep", "rep").alias("b")).distinct()
+    # two that meet have a sub-key of A in common: those of several components are paired by it
+    named = live.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    members = stored(named.select("rep", "n", "m", "kb", "sketch", "component", F.explode("ka").alias("key")), folder, "members")
+    several = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    open_ = stored(members.join(several, "key", "left_semi"), folder, "open")
+    x, y = open_.alias("x"), open_.alias("y")
+    both = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))
+    both &= possible(F.col("x.n"), F.col("x.m"), F.col("y.n"), F.col("y.m"), threshold)
+    both &= sketched(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n"), F.col("y.n"), threshold)
+    both &= F.arrays_overlap("x.kb", "y.kb")
+    cross = x.join(y.hint("merge"), both).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     more = stored(confirmed(cross, sets, threshold), folder, "edges-2")
     if not more.isEmpty():
         found = components(edges.union(more), folder, "cc2")
     whole = firsts.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
     out = sig.select("doc_id", *same).join(whole, same, "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    others = map_texts(nameless, _signatures, "doc_id long, n long, d1 long, d2 long, keys array<long>")
+    others = map_texts(nameless, signed, SIGNATURE)
     others = others.select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id")).unionByName(others)
