@@ -1,13 +1,14 @@
 """Main text of web pages by wrapper induction.
 
-Pages become small trees (long runs of like siblings count as one repeated node). All pages of a host are aligned with
-one page of it, the host's pivot, by simple tree matching. Over the host's pages, every pivot node counts how many
-pages were aligned with it and in how many the text was the pivot's: nodes that hardly vary are the template, the
-others are slots. A page's text is that of its slots, and of the nodes that only it has.
-
-Which slots hold content is read off the tags and names around them: menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and comments are never content, however their text varies; and what stands inside an
-article (or main) element is content even if a host repeats it, so that pages with the same article keep it.
+Pages become small trees (long runs of like siblings count as one repeated node). Every page of a host is aligned with
+one page of it, the host's pivot, by simple tree matching, which names each of its nodes: by the pivot's node that it
+is aligned with, or by its path below the last one that is. Over the host's pages, texts that stand in the same place
+on most pages that have the place are the template; what varies is a slot. A page's text is that of its slots.
+
+A host may repeat an article, and a copy is no template. So inside an article (or main) element, pages with the same
+longest text count once. Elsewhere every page counts. What is neither constant nor article is read off the tags and
+names around it: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are never
+content, however their text varies; and if a page marks an article, only slots inside it are content.
 """
 
 from __future__ import annotations
@@ -16,15 +17,18 @@ import re
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, shared_dir, slices, stored
 
-CONSTANT = 0.6  # share of aligned pages with the pivot's text from which a node is template
-LEAST = 3  # pages that must be aligned with a node for that
+CONSTANT = 0.6  # share of the pages with a place that have the same text there, from which it is template
+LEAST = 3  # pages that must have the text for that
 RUN = 4  # like siblings in a row that are aligned one by one; longer runs count as one repeated node
-WIDTH = 200  # children of one node that are aligned, after runs are joined; the rest are nodes of their own
+WIDTH = 200  # children that are aligned at once; more are aligned block by block
+SPLIT = 2000  # pages of one host that meet its pivot in one group
+LARGE = 200_000  # hosts of more than SPLIT pages that are broadcast, at most; if there are more, they are joined
 
 # Elements of HTML by role.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
@@ -40,16 +44,16 @@ NAMES = re.compile(
     r"subscribe\w*|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|replies|reply|disqus|respond|toolbar|pagination|pager|widget|copyright|legal|search|skip|contentinfo|complementary|form)(?=$|[-_ ])"
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>|<[!?][^>]*(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "name", "skip", "article", "children", "blocks", "number")
+    __slots__ = ("tag", "name", "skip", "article", "children", "key")
 
     def __init__(self, tag: str, name: str, skip: bool, article: bool):
         self.tag, self.name, self.skip, self.article = tag, name, skip, article
-        self.children, self.blocks, self.number = [], [], -1
+        self.children, self.key = [], ""
 
     @property
     def label(self) -> str:
@@ -88,7 +92,6 @@ def parse(html: str | None) -> tuple[Node, list[tuple[Node, str]]]:
             run.clear()
             if words:
                 blocks.append((stack[-1], words))
-                stack[-1].blocks.append(words)
 
     def close_to(i: int):
         flush()
@@ -138,10 +141,19 @@ def parse(html: str | None) -> tuple[Node, list[tuple[Node, str]]]:
     return root, blocks
 
 
-def groups(node: Node) -> list[list[Node]]:
-    """Children, with runs of more than RUN of the same label joined to one repeated node."""
+class Run:
+    """One node, or like siblings in a row that count as one, in a tree of runs."""
+
+    __slots__ = ("label", "nodes", "kids", "key")
+
+    def __init__(self, nodes: list[Node]):
+        self.label, self.nodes, self.kids, self.key = nodes[0].label, nodes, [], ""
+
+
+def groups(nodes: list[Node]) -> list[list[Node]]:
+    """Nodes one by one, but runs of more than RUN of the same label together."""
     runs: list[list[Node]] = []
-    for c in node.children:
+    for c in nodes:
         if runs and runs[-1][0].label == c.label:
             runs[-1].append(c)
         else:
@@ -149,134 +161,175 @@ def groups(node: Node) -> list[list[Node]]:
     return [g for r in runs for g in ([r] if len(r) > RUN else [[c] for c in r])]
 
 
-def number(root: Node) -> list[Node]:
-    """Give the nodes of a pivot numbers in page order; all nodes of a run have one number for each place inside."""
-    seen: list[Node] = []
-
-    def visit(run: list[Node]):
-        for x in run:
-            x.number = len(seen)
-        seen.append(run[0])
-        merged = Node("", "", False, False)
-        merged.children = [c for x in run for c in x.children]
-        for g in groups(merged):
-            visit(g)
-
-    visit([root])
-    return seen
-
-
-def match(a: list[Node], b: list[Node], pairs: list[tuple[Node, Node]] | None = None) -> int:
-    """Simple tree matching of two runs of nodes: size of the largest order-keeping matching; fills in ``pairs``
-    (node of a page, node of the pivot) if given. Labels must agree; children are aligned by dynamic programming."""
-    if a[0].label != b[0].label:
-        return 0
-    if pairs is not None:
-        pairs.extend((x, b[0]) for x in a)
-    whole_a, whole_b = Node("", "", False, False), Node("", "", False, False)
-    whole_a.children, whole_b.children = [c for x in a for c in x.children], [c for x in b for c in x.children]
-    ga, gb = groups(whole_a)[:WIDTH], groups(whole_b)[:WIDTH]
-    if not ga or not gb:
-        return 1
-    best = [[0] * (len(gb) + 1) for _ in range(len(ga) + 1)]
-    for i, x in enumerate(ga, 1):
-        for j, y in enumerate(gb, 1):
-            w = match(x, y) if x[0].label == y[0].label else 0
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w)
-    if pairs is not None:
-        i, j = len(ga), len(gb)
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                match(ga[i], gb[j], pairs)
-    return 1 + best[-1][-1]
-
-
-def host_of(url: "F.Column") -> "F.Column":
+def folded(root: Node) -> Run:
+    """The tree of runs of a page, each with a number as its key."""
+    todo, n = [top := Run([root])], 0
+    while todo:
+        run = todo.pop()
+        run.key, n = str(n), n + 1
+        run.kids = [Run(g) for g in groups([c for x in run.nodes for c in x.children])]
+        todo += reversed(run.kids)
+    return top
+
+
+def blocks_of(a: list[Run], b: list[Run]) -> list[tuple[list[Run], list[Run]]]:
+    return [(a[i : i + WIDTH], b[i : i + WIDTH]) for i in range(0, min(len(a), len(b)), WIDTH)]
+
+
+def aligned(page: Run, pivot: Run) -> list[tuple[Run, Run]]:
+    """Pairs of the largest matching of two trees that keeps order, parents and labels (simple tree matching: the
+    children of a pair are aligned by dynamic programming). Pairs are listed from the root down and weighed from the
+    leaves up, so depth does not matter."""
+    pairs = [(page, pivot)]
+    for a, b in pairs:
+        for x, y in blocks_of(a.kids, b.kids):
+            pairs += [(u, v) for u in x for v in y if u.label == v.label]
+    weight: dict[tuple[int, int], int] = {}
+    tables: dict[tuple[int, int], list[list[list[int]]]] = {}
+    for a, b in reversed(pairs):
+        total, made = 1, []
+        for x, y in blocks_of(a.kids, b.kids):
+            best = [[0] * (len(y) + 1)]
+            for u in x:
+                above, row = best[-1], [0]
+                for j, v in enumerate(y):
+                    row.append(max(above[j + 1], row[j], above[j] + weight.get((id(u), id(v)), 0)))
+                best.append(row)
+            total += best[-1][-1]
+            made.append(best)
+        weight[id(a), id(b)] = total
+        tables[id(a), id(b)] = made
+    chosen = [(page, pivot)]
+    for a, b in chosen:
+        for (x, y), best in zip(blocks_of(a.kids, b.kids), tables[id(a), id(b)]):
+            i, j = len(x), len(y)
+            while i and j:
+                if best[i][j] == best[i - 1][j]:
+                    i -= 1
+                elif best[i][j] == best[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    chosen.append((x[i], y[j]))
+    return chosen
+
+
+def name_places(root: Node, pivot: Run | None) -> None:
+    """Give every node of a page the name of its place: that of the pivot's node it is aligned with, or else the
+    name of the place around it and its own label."""
+    page = folded(root)
+    known = {id(x): y.key for x, y in aligned(page, pivot)} if pivot is not None else {}
+    page.key, todo = "0", [page]
+    while todo:
+        run = todo.pop()
+        for x in run.nodes:
+            x.key = run.key
+        for k in run.kids:
+            k.key = known.get(id(k)) or f"{run.key}/{k.label}"
+        todo += run.kids
+
+
+def place_id(key: str, text: str = "") -> int:
+    """A signed 64-bit number for a place, or for a text in a place."""
+    return xxhash.xxh64_intdigest(f"{key}\0{text}") - 2**63
+
+
+def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def aligned(root: Node, pivot: Node) -> list[tuple[Node, Node]]:
-    pairs: list[tuple[Node, Node]] = []
-    match([root], [pivot], pairs)
-    return pairs
-
-
-def _text(node: Node) -> str:
-    return " ".join(node.blocks)
+def longest_text(html: Column) -> Column:
+    """A hash of the longest text between two tags, never 0."""
+    texts = F.split(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", ""), "<[^>]*>")
+    longest = F.array_max(F.transform(texts, lambda t: F.struct(F.length(F.trim(t)).alias("n"), F.xxhash64(F.trim(t)).alias("h"))))
+    return F.when(longest["h"] == 0, F.lit(1).cast("long")).otherwise(longest["h"])
 
 
 def main_text(blocks: list[tuple[Node, str]], template: frozenset[int]) -> str:
-    """Blocks of the article element if there is one, else those of the slots; blocks of what is never content go."""
+    """The blocks of slots: not template, not what is never content, and inside the article if the page marks one."""
     kept = [(x, t) for x, t in blocks if not x.skip]
     if any(x.article for x, _ in kept):
-        return " ".join(t for x, t in kept if x.article)
-    return " ".join(t for x, t in kept if x.number not in template)
-
-
-def _with_pivot(pages: DataFrame, pivots: DataFrame) -> DataFrame:
-    return pages.join(pivots, "host", "left")
+        kept = [(x, t) for x, t in kept if x.article]
+    return " ".join(t for x, t in kept if place_id(x.key, t) not in template)
+
+
+class Pivots:
+    """The trees of pivots that a task has met last."""
+
+    def __init__(self, limit: int = 256):
+        self.limit, self.known = limit, {}
+
+    def __call__(self, host: str, html: str | None) -> Run | None:
+        if html is None:
+            return None
+        if host not in self.known:
+            if len(self.known) >= self.limit:
+                self.known.clear()
+            self.known[host] = folded(parse(html)[0])
+        return self.known[host]
+
+
+def _count(batches):
+    pivots = Pivots()
+    for b in slices(batches, "html"):
+        seen: dict[tuple[str, int, int, int], int] = {}
+        for html, host, pivot, once in zip(*(b.column(i).to_pylist() for i in range(4))):
+            if not html:
+                continue
+            root, blocks = parse(html)
+            name_places(root, pivots(host, pivot))
+            here = set()
+            for x, t in blocks:
+                if not x.skip:
+                    place, page = place_id(x.key), once if x.article else 0
+                    here |= {(host, place, 0, page), (host, place, place_id(x.key, t), page)}
+            for k in here:
+                seen[k] = seen.get(k, 0) + 1
+        keys = list(zip(*seen)) if seen else [(), (), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), *(pa.array(k, pa.int64()) for k in (*keys[1:], list(seen.values())))], names=["host", "place", "text", "page", "n"])
+
+
+def _take(batches):
+    pivots = Pivots()
+    for b in slices(batches, "html"):
+        out = []
+        for html, host, pivot, template in zip(*(b.column(i).to_pylist() for i in range(2, 6))):
+            root, blocks = parse(html)
+            name_places(root, pivots(host, pivot))
+            out.append(main_text(blocks, frozenset(template or ())))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
     Two passes over the pages: one counts, for each host, what its template is; one extracts. A host's pivot is its
-    page with the least page_id (of equal ones, the least html); hosts meet their pages in a join that Spark can
-    split, and counts are added up in tasks before they are shuffled. A null or empty html has an empty text; a url
-    without a host belongs to the host ``''``; repeated rows stay; an empty table gives no rows.
+    page with the least page_id of those that have a tag (of equal ones, the least html). Pages meet their pivot in
+    groups of about SPLIT pages of a host, so no task gets a whole large host; counts are added up in tasks before
+    they are shuffled. A null or empty html has an empty text; a url without a host belongs to the host ``''``;
+    repeated rows stay; an empty table gives no rows; other columns are not read.
     """
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
-    firsts = rows.filter(F.col("html").isNotNull()).groupBy("host").agg(F.min("page_id").alias("page_id"))
-    pivots = rows.join(firsts, ["host", "page_id"]).groupBy("host").agg(F.min("html").alias("pivot"))
     folder = shared_dir(pages.sparkSession)
+    firsts = rows.groupBy("host").agg(F.min(F.when(F.col("html").contains("<"), F.col("page_id"))).alias("page_id"), F.count("*").alias("size"))
+    firsts = stored(firsts.withColumn("parts", F.ceil(F.col("size") / SPLIT).cast("int")), folder, "hosts")
+    pivots = rows.filter(F.col("html").contains("<")).join(firsts, ["host", "page_id"]).groupBy("host", "parts").agg(F.min("html").alias("pivot"))
     pivots = stored(pivots, folder, "pivots")
-
-    def count(batches):
-        seen, parsed = {}, {}
-        for b in slices(batches, "html"):
-            for html, host, pivot in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if pivot is None or html is None:
-                    continue
-                if host not in parsed:
-                    if len(parsed) >= 256:
-                        parsed.clear()
-                    parsed[host] = parse(pivot)[0]
-                    number(parsed[host])
-                root, _ = parse(html)
-                for x, y in aligned(root, parsed[host]):
-                    if y.blocks and x.blocks and not x.skip and not x.article:
-                        n = seen.setdefault((host, y.number), [0, 0])
-                        n[0] += 1
-                        n[1] += _text(x) == _text(y)
-        keys, values = list(seen), list(seen.values())
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([v[0] for v in values], pa.int64()), pa.array([v[1] for v in values], pa.int64())], names=["host", "node", "n", "same"])
-
-    counts = map_texts(_with_pivot(rows.select("html", "host"), pivots).select("html", "host", "pivot"), count, "host string, node int, n long, same long")
-    fixed = counts.groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum("same").alias("same")).filter((F.col("n") >= LEAST) & (F.col("same") >= CONSTANT * F.col("n")))
-    templates = fixed.groupBy("host").agg(F.collect_list("node").alias("template"))
+    large = firsts.filter("parts > 1").select("host", "parts")
+    large = F.broadcast(large) if large.count() <= LARGE else large  # about 50 bytes a row
+    dealt = rows.join(large, "host", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("page_id"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+
+    def met(given: DataFrame, wrappers: DataFrame) -> DataFrame:
+        parts = wrappers.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        return given.join(parts, ["host", "part"], "left")
+
+    counted = met(dealt.filter(F.length("html") > 0).select("html", "host", "part", longest_text(F.col("html")).alias("once")), pivots)
+    seen = map_texts(counted.select("html", "host", "pivot", "once"), _count, "host string, place long, text long, page long, n long")
+    seen = seen.groupBy("host", "place", "text", "page").agg(F.sum("n").alias("n")).withColumn("n", F.when(F.col("page") == 0, F.col("n")).otherwise(1))
+    seen = stored(seen.groupBy("host", "place", "text").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST), folder, "seen")
+    places = seen.filter("text = 0").select("host", "place", F.col("n").alias("pages"))
+    fixed = seen.filter("text <> 0").join(places, ["host", "place"]).filter(F.col("n") >= CONSTANT * F.col("pages"))
+    templates = fixed.groupBy("host").agg(F.collect_list("text").alias("template"))
     wrappers = stored(pivots.join(templates, "host", "left"), folder, "wrappers")
-
-    def take(batches):
-        parsed = {}
-        for b in slices(batches, "html"):
-            out = []
-            for html, host, pivot, template in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5))):
-                root, blocks = parse(html)
-                if pivot is not None and template and not any(x.article for x, _ in blocks):
-                    if host not in parsed:
-                        if len(parsed) >= 256:
-                            parsed.clear()
-                        parsed[host] = parse(pivot)[0]
-                        number(parsed[host])
-                    for x, y in aligned(root, parsed[host]):
-                        x.number = y.number
-                out.append(main_text(blocks, frozenset(template or ())))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    full = _with_pivot(rows, wrappers).select("page_id", "url", "html", "host", "pivot", "template")
-    return map_texts(full, take, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long")
+    full = met(dealt, wrappers).select("page_id", "url", "html", "host", "pivot", "template")
+    return map_texts(full, _take, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long")
