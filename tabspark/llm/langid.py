@@ -6,8 +6,10 @@ many phrases held-back text of the language itself needs, wins. The automata are
 states lie over one another in one array, shifted so that no two entries meet, and an entry names its state. So the
 alphabet holds every character of the training text, and every language that has a training text is learned.
 
-All characters are parsed. So that many texts walk side by side in numpy, texts are cut into stretches of
-``STRETCH`` characters; a stretch starts a new phrase, alike for every language.
+All characters are parsed, and the phrases are those of one walk over the whole text. So that numpy can walk many
+places at once, texts are cut into stretches of ``STRETCH`` characters that are first parsed each from a new phrase;
+then the true parse goes on from every stretch into the next until it starts a phrase where the stretch's own parse
+did too, from where both are the same.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from .common import map_texts, slices, split_of
 SAMPLE_CHARS = 40_000  # characters of each language that its automaton is built from, at most
 CHECK_CHARS = 10_000  # characters of each language that its norm is measured on, at most
 HEAD_CHARS = 400  # characters that one training text gives, from a place anywhere in it, so that many texts count
+ALL_CHARS = 2_000_000  # characters of all languages together, at most, so that the tables are small (about 40 bytes each)
 STRETCH = 512
 
 
@@ -66,6 +69,13 @@ class Table:
     to: np.ndarray
     root: np.ndarray
 
+    def move(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and whether a new phrase starts. State 0 is that before any phrase and after a phrase of
+        one unknown character."""
+        at = self.base[state] + symbol
+        new = (self.state[at] != state) | (state == 0)
+        return np.where(new, self.root[symbol], self.to[at]), new
+
 
 def table_of(text: np.ndarray, symbols: int = 0) -> Table:
     """Walk table for symbols below ``symbols``; symbol 0 is a character that no training text has, a phrase by itself."""
@@ -138,24 +148,55 @@ class Model:
         if not parts:
             return out
         order = np.argsort([-len(p) for p in parts], kind="stable")
+        lane = np.argsort(order)  # of each part
         sizes = np.array([len(parts[i]) for i in order])
         lanes = np.zeros((sizes[0], len(parts)), np.int32)
-        for lane, i in enumerate(order):
-            lanes[: sizes[lane], lane] = parts[i]
+        for k, i in enumerate(order):
+            lanes[: sizes[k], k] = parts[i]
         live = len(parts) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), "right")
-        own = np.asarray(owner)[order]
+        own = np.asarray(owner)
+        goes_on = np.flatnonzero(own[1:] == own[:-1]) + 1  # parts that are not the first of their text
         for k, table in enumerate(self.tables):
-            state, found = np.zeros(len(parts), np.int32), np.ones(len(parts), np.int32)
+            state, starts = np.zeros(len(parts), np.int32), np.zeros(lanes.shape, bool)
             for step in range(sizes[0]):
                 n = live[step]
-                at, symbol = state[:n], lanes[step, :n]
-                to = table.base[at] + symbol
-                goes = table.state[to] == at
-                found[:n] += ~goes
-                state[:n] = np.where(goes, table.to[to], table.root[symbol])
+                to, new = table.move(state[:n], lanes[step, :n])
+                state[:n], starts[step, :n] = to, new
+            found = starts.sum(axis=0, dtype=np.int64)[lane]
+            if len(goes_on):
+                found[goes_on] += self._joined(table, lanes, starts, sizes, state, lane, goes_on)
             out[:, k] = np.bincount(own, found, len(texts))
         return out
 
+    @staticmethod
+    def _joined(table: Table, lanes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, state: np.ndarray, lane: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """How many phrases more each of ``parts`` has when the parse of the part before goes on into it."""
+
+        def walk(at: np.ndarray, s: np.ndarray):
+            """Differences, states at the end and whether both parses met, of lanes ``at`` entered in states ``s``."""
+            more, met, end = np.zeros(len(at), np.int64), np.zeros(len(at), bool), state[at].copy()
+            todo, s = np.arange(len(at)), s.copy()
+            for step in range(len(lanes)):
+                todo, s = todo[keep := sizes[at[todo]] > step], s[keep]
+                if not len(todo):
+                    break
+                to, new = table.move(s, lanes[step, at[todo]])
+                own = starts[step, at[todo]]
+                more[todo] += new.astype(np.int64) - own
+                met[todo] = same = new & own
+                end[todo[~same]] = to[~same]
+                todo, s = todo[~same], to[~same]
+            return more, end, met
+
+        more, end, met = walk(lane[parts], state[lane[parts - 1]])
+        place = {int(p): i for i, p in enumerate(parts)}
+        for i in np.flatnonzero(~met).tolist():  # the next part was entered in a state that is not that of the true parse
+            while not met[i] and (j := place.get(int(parts[i]) + 1)) is not None:
+                x, e, m = walk(lane[parts[j : j + 1]], end[i : i + 1])
+                more[j], end[j], met[j] = x[0], e[0], m[0]
+                i = j
+        return more
+
     def predict(self, texts: list[str | None], is_letter: np.ndarray) -> tuple[list[str], np.ndarray]:
         points = [folded(t) if t else np.zeros(0, np.uint32) for t in texts]
         known = np.array([bool(len(p)) and bool(is_letter[p].any()) for p in points], bool)
@@ -169,17 +210,20 @@ class Model:
         return [self.languages[b] if k else "und" for b, k in zip(best, known)], np.clip(score, 0, 1)
 
 
-def learn(docs: DataFrame, chars: int = SAMPLE_CHARS, check: int = CHECK_CHARS, head: int = HEAD_CHARS) -> Model:
+def learn(docs: DataFrame, chars: int = SAMPLE_CHARS, check: int = CHECK_CHARS, head: int = HEAD_CHARS, total: int = ALL_CHARS) -> Model:
     """Fit on stretches of documents whose crc32 of the id modulo 5 is not 0, in the order of a hash of the id, with
-    at most ``chars`` + ``check`` characters of each language that occurs. A stretch starts at a place chosen by a hash
+    at most ``chars`` + ``check`` characters of each language that occurs (less each if all came to more than ``total``);
+    a language with too little text to measure its norm gets the mean of the others'. A stretch starts at a place chosen by a hash
     of the id."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (split_of("doc_id", 5) != 0))
     sizes = known.groupBy("lang").agg(F.count("*").alias("size"))
-    wanted = 4 * (chars + check) // head  # texts of each language; some are short
+    share = min(1.0, total / max(1, (chars + check) * sizes.count()))
+    chars, check = max(1, int(chars * share)), max(1, int(check * share))
+    wanted = max(1, 4 * (chars + check) // head)  # texts of each language; some are short
     place = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_003))
     start = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.greatest(F.length("text") - head + 1, F.lit(1))).cast("int") + 1
     chosen = known.select("lang", place.alias("place"), "doc_id", F.col("text").substr(start, F.lit(head)).alias("text"))
-    chosen = chosen.join(F.broadcast(sizes), "lang").filter(F.col("place") / F.lit(1_000_003.0) < wanted / F.col("size"))
+    chosen = chosen.join(sizes, "lang").filter(F.col("place") / F.lit(1_000_003.0) < wanted / F.col("size"))
     texts: dict[str, list[np.ndarray]] = {}
     for r in sorted(chosen.collect(), key=lambda r: (r["place"], r["doc_id"])):
         texts.setdefault(r["lang"], []).append(folded(r["text"]))
@@ -187,15 +231,14 @@ def learn(docs: DataFrame, chars: int = SAMPLE_CHARS, check: int = CHECK_CHARS,
     train, held = {}, {}
     for x in langs:
         both = np.concatenate([np.append(t, 32) for t in texts[x]]).astype(np.uint32)[: chars + check]
-        cut = len(both) * chars // (chars + check)
+        cut = max(1, len(both) * chars // (chars + check))
         train[x], held[x] = both[:cut], both[cut:]
-    langs = [x for x in langs if len(held[x])]
     points = np.unique(np.concatenate([train[x] for x in langs] or [np.zeros(0, np.uint32)]))
     symbol = np.zeros(0x110000, np.int32)
     symbol[points] = np.arange(1, len(points) + 1)
     model = Model(langs, symbol, [table_of(symbol[train[x]], len(points) + 1) for x in langs], np.ones(len(langs)))
-    for k, x in enumerate(langs):
-        model.norms[k] = Model([x], symbol, [model.tables[k]], np.ones(1)).phrases([held[x]])[0, 0] / len(held[x])
+    norms = [Model([x], symbol, [t], np.ones(1)).phrases([held[x]])[0, 0] / len(held[x]) if len(held[x]) else np.nan for x, t in zip(langs, model.tables)]
+    model.norms = np.where(np.isnan(norms), np.nanmean(norms) if np.isfinite(norms).any() else 1.0, norms) if langs else model.norms
     return model
 
 
