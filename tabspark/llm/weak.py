@@ -1,12 +1,14 @@
 """Quality rules by weak supervision: rules vote or abstain, expectation-maximisation estimates how right each is.
 
 Every rule votes good (1), bad (0) or abstains (null). Texts with the same votes count together, so the model reads
-a table of at most 3**rules vote patterns with their counts. Each round of expectation-maximisation is one
-aggregation of that table, whose single row of sums (the accuracies) comes to the driver. DataFrame functions only.
+a table of at most 3**rules vote patterns with their counts. That bounded table comes to the driver, where
+expectation-maximisation is a few sums over it; texts are read, voted on and judged by DataFrame functions only.
 """
 
 from __future__ import annotations
 
+from math import exp, log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,24 +57,34 @@ def posterior(names: list[str], prior: float, acc: dict[str, tuple[float, float]
     return F.lit(1.0) / (F.lit(1.0) + F.exp(F.greatest(F.least(-odds, F.lit(500.0)), F.lit(-500.0))))
 
 
-def fit(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[float, dict[str, tuple[float, float]]]:
-    """(share of good texts, accuracy of each rule on good and on bad texts) from vote patterns with a count ``n``.
+def fit(patterns: dict[tuple, int], names: list[str], rounds: int = ROUNDS) -> tuple[float, dict[str, tuple[float, float]]]:
+    """(share of good texts, accuracy of each rule on good and on bad texts) from the counts of vote patterns, whose
+    places are those of ``names``.
 
     Accuracies stay within 0.55 and 0.999: a rule is taken to be better than chance, and never certain.
     """
     prior, acc = PRIOR, {n: (START, START) for n in names}
     held = lambda x: min(0.999, max(0.55, x))
-    for _ in range(rounds):
-        weighed = patterns.withColumn("_good", posterior(names, prior, acc) * F.col("n")).withColumn("_bad", F.col("n") - F.col("_good"))
-        sums = [F.sum("_good").alias("g"), F.sum("n").alias("n")]
-        for n in names:
-            voted = F.col(n).isNotNull()
-            sums += [F.sum(F.when(voted, F.col("_good"))).alias(f"g_{n}"), F.sum(F.when(F.col(n) == 1, F.col("_good"))).alias(f"g1_{n}"), F.sum(F.when(voted, F.col("_bad"))).alias(f"b_{n}"), F.sum(F.when(F.col(n) == 0, F.col("_bad"))).alias(f"b0_{n}")]
-        s = {k: v or 0.0 for k, v in weighed.agg(*sums).first().asDict().items()}
-        if not s["n"]:
-            break
-        prior = min(0.99, max(0.01, s["g"] / s["n"]))
-        acc = {n: (held((s[f"g1_{n}"] + 9) / (s[f"g_{n}"] + 10)), held((s[f"b0_{n}"] + 9) / (s[f"b_{n}"] + 10))) for n in names}
+    total = sum(patterns.values())
+    for _ in range(rounds if total else 0):
+        good_all, seen = 0.0, {n: [0.0, 0.0, 0.0, 0.0] for n in names}  # weights of votes by good texts, right ones, by bad texts, right ones
+        for votes, count in patterns.items():
+            odds = log(prior) - log(1 - prior)
+            for n, v in zip(names, votes):
+                if v is not None:
+                    g, b = acc[n]
+                    odds += (log(g) - log(1 - b)) if v else (log(1 - g) - log(b))
+            good = count / (1 + exp(max(-500.0, min(500.0, -odds))))
+            good_all += good
+            for n, v in zip(names, votes):
+                if v is not None:
+                    s = seen[n]
+                    s[0] += good
+                    s[1] += good * v
+                    s[2] += count - good
+                    s[3] += (count - good) * (1 - v)
+        prior = min(0.99, max(0.01, good_all / total))
+        acc = {n: (held((s[1] + 9) / (s[0] + 10)), held((s[3] + 9) / (s[2] + 10))) for n, s in seen.items()}
     return prior, acc
 
 
@@ -82,15 +94,13 @@ def judge(df: DataFrame, keep: float = KEEP) -> DataFrame:
     Statistics and votes are stored, then the votes of all texts are counted; the counts of patterns come to the
     driver, at most 3**8 short rows. Repeated rows stay; an empty table gives no rows; extra columns are not read.
     """
-    spark = df.sparkSession
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     voted = with_statistics(docs).select("doc_id", "stat")
     votes = rules(F.col("stat"))
     names = list(votes)
-    voted = stored(voted.select("doc_id", "stat", *[v.alias(n) for n, v in votes.items()]), shared_dir(spark), "votes")
+    voted = stored(voted.select("doc_id", "stat", *[v.alias(n) for n, v in votes.items()]), shared_dir(df.sparkSession), "votes")
     seen = voted.groupBy(*names).agg(F.count("*").alias("n")).collect()
-    patterns = spark.createDataFrame([tuple(r) for r in seen], ", ".join(f"{n} int" for n in names) + ", n long").coalesce(1)
-    prior, acc = fit(patterns, names)
+    prior, acc = fit({tuple(r)[:-1]: r["n"] for r in seen}, names)
     failed = (F.col("stat.n_words") < 20) | (100 * F.col("stat.n_repeat_words") > 30 * F.col("stat.n_words"))
     out = voted.select("doc_id", "stat.n_words", "stat.word_chars", "stat.n_symbols", "stat.n_dup_lines", "stat.n_repeat_words", failed.alias("base_failed"), posterior(names, prior, acc).alias("posterior"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep))
