@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, W = 5, 8
+PER_RANGE = 20_000  # rows that one range of ids has, about
+RANGES = 16_384  # ranges at most; then they grow with the table
 TOKEN = r"\p{Lo}|[^\x20\x09-\x0D\p{Lo}]+"
 _LOW = 4_294_967_295  # 2**32 - 1
 
@@ -63,28 +65,33 @@ def told(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.concat(F.lpad(F.hex(x["hash"].cast("long").bitwiseAND(F.lit(_LOW))), 8, "0"), F.lit("@"), x["pos"].cast("string"))), " ")
 
 
-def with_next(df: DataFrame, carried: list[str], ranges: int = 1024) -> DataFrame:
+def _range_of(bounds: list[int], value: Column) -> Column:
+    """Number of ``bounds`` (in order) below ``value``, found in two steps of about the root of their number."""
+    step = max(1, int(len(bounds) ** 0.5))
+    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    block = F.greatest(F.size(F.filter(F.lit([x[0] for x in blocks]), lambda b: b < value)), F.lit(1)) - 1
+    inside = F.get(F.array(*[F.lit(x) for x in blocks]), block)
+    return block * step + F.size(F.filter(inside, lambda b: b < value))
+
+
+def with_next(df: DataFrame, carried: list[str], ranges: int | None = None) -> DataFrame:
     """(doc_id, *carried, next_*): each row with the columns of the row that follows in descending doc_id; the first
     row follows the last.
 
-    Rows are dealt by ranges of ids, cut at ids that occur (``ranges`` of them, found by approximate quantiles, are
-    all that comes to the driver). The row at a cut is also sent to the range above it, where it follows that range's
-    last row; so every row is shuffled once and no task orders more than one range. Equal ids follow each other in
-    the order of their columns; a null id comes last.
+    Rows are dealt by ranges of ids, cut at ids that occur (found by approximate quantiles, which are all that comes to
+    the driver; their number grows with the table, up to RANGES). The row at a cut is also sent to the range above it,
+    where it follows that range's last row; so every row is shuffled once and no task orders more than one range. Equal
+    ids follow each other in the order of their columns; a null id comes last.
     """
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    cuts = df.select(F.percentile_approx(key, [i / ranges for i in range(ranges)] + [1.0], 100_000).alias("cuts"), F.min(key).alias("low"), F.max(key).alias("high")).first()
-    if cuts["low"] is None:
-        bounds = [0]
-    else:
-        bounds = sorted({*cuts["cuts"], cuts["high"]})
-    tops = F.lit(bounds)
-    here = F.expr("array_size(filter(bounds, b -> b < id))")
-    rows = df.select(key.alias("id"), "doc_id", *carried).withColumn("bounds", tops).withColumn("range", here.cast("int"))
-    at_cut = F.array_contains("bounds", F.col("id"))
+    ranges = ranges or min(RANGES, max(64, df.count() // PER_RANGE))
+    cuts = df.select(F.percentile_approx(key, [i / ranges for i in range(ranges)] + [1.0], 100_000).alias("cuts"), F.max(key).alias("high")).first()
+    bounds = [0] if cuts["high"] is None else sorted({*cuts["cuts"], cuts["high"]})
+    rows = df.select(key.alias("id"), "doc_id", *carried).withColumn("range", _range_of(bounds, F.col("id")).cast("int"))
+    at_cut = F.get(F.lit(bounds), F.col("range")) == F.col("id")
     above = F.when(F.col("range") + 1 < len(bounds), F.col("range") + 1).otherwise(F.lit(0))
-    sent = F.when(at_cut, F.array(F.struct(F.col("range").alias("to"), F.lit(0).alias("ghost")), F.struct(above.alias("to"), F.lit(1).alias("ghost"))))
-    sent = sent.otherwise(F.array(F.struct(F.col("range").alias("to"), F.lit(0).alias("ghost"))))
+    own = F.struct(F.col("range").alias("to"), F.lit(0).alias("ghost"))
+    sent = F.when(at_cut, F.array(own, F.struct(above.alias("to"), F.lit(1).alias("ghost")))).otherwise(F.array(own))
     dealt = rows.withColumn("sent", F.explode(sent)).select("sent.to", "sent.ghost", "id", "doc_id", *carried)
     order = Window.partitionBy("to").orderBy("ghost", F.desc("id"), *[c for c in carried if dict(df.dtypes)[c] in ("string", "bigint", "int")])
     following = F.lead(F.struct(*carried)).over(order)
