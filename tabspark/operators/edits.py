@@ -105,7 +105,7 @@ def lock_tempo(projects: DataFrame, locks: DataFrame, xml: str = "xml") -> DataF
     """Set and lock a tempo, clear the audio analysis, and write the tempo into the score's text."""
     j = projects.join(locks.select("score_id", F.col("tempo_bpm").alias("_t")), "score_id", "left")
     on = F.col("_t").isNotNull()
-    text = F.regexp_replace(F.col(xml), F.lit(r'tempo="[^"]*"'), F.concat(F.lit('tempo="'), F.format_number(F.col("_t"), "0.0"), F.lit('"')))
+    text = F.regexp_replace(F.col(xml), F.lit(r'tempo="[^"]*"'), F.concat(F.lit('tempo="'), F.format_string("%.1f", F.col("_t").cast("double")), F.lit('"')))
     cols = {"tempo_bpm": F.coalesce("_t", "tempo_bpm"), "tempo_source": F.when(on, "user").otherwise(F.col("tempo_source")), "tempo_locked": F.when(on, True).otherwise(F.col("tempo_locked")), xml: F.when(on, text).otherwise(F.col(xml))}
     if "audio_analysis" in projects.columns:
         cols["audio_analysis"] = F.when(on, None).otherwise(F.col("audio_analysis"))
@@ -147,20 +147,29 @@ def subtract_interval(rests: DataFrame, cuts: DataFrame, keys: Sequence[str]) ->
 
 
 def insert_notes(events: DataFrame, inserts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One note for each measure that ``inserts`` (at64, string, fret, length64) names: into the chord at that
-    place; else the event that covers the place is cut there, and the new event ends at the next onset at the latest."""
-    w = Window.partitionBy(*keys).orderBy("onset64")
-    note = F.struct(F.col("string").cast("int").alias("string"), F.col("fret").cast("int").alias("fret"), F.lit(None).cast("string").alias("technique"))
-    j = events.withColumn("_next", F.lead("onset64").over(w)).join(inserts, list(keys), "left")
-    chord = F.col("onset64") == F.col("at64")
-    merged = F.concat(F.filter("notes", lambda n: n["string"] != F.col("string")), F.array(note))
-    covers = (F.col("onset64") < F.col("at64")) & (F.col("onset64") + F.col("duration64") > F.col("at64"))
-    kept = j.select(*keys, "onset64", F.when(covers, F.col("at64") - F.col("onset64")).otherwise(F.col("duration64")).alias("duration64"), F.when(chord, False).otherwise(F.col("rest")).alias("rest"), F.when(chord, merged).otherwise(F.col("notes")).alias("notes"))
-    has = events.join(inserts, list(keys)).filter("onset64 = at64").select(*keys).distinct()
-    nxt = events.join(inserts.select(*keys, "at64"), list(keys)).filter("onset64 > at64").groupBy(*keys).agg(F.min("onset64").alias("_n"))
-    new = inserts.join(has, list(keys), "left_anti").join(nxt, list(keys), "left")
-    new = new.select(*keys, F.col("at64").alias("onset64"), F.least("length64", F.coalesce(F.col("_n") - F.col("at64"), F.col("length64"))).alias("duration64"), F.lit(False).alias("rest"), F.array(note).alias("notes"))
-    return kept.unionByName(new)
+    """Notes (at64, string, fret, length64) put into measures one after the other, by place and string: into the
+    chord at that place; else the event that covers the place is cut there, and the new event ends at the next onset
+    at the latest. A measure has at most some dozen events and inserts, which are folded as arrays."""
+    made = "array<struct<onset64:int,duration64:int,rest:boolean,notes:array<struct<string:int,fret:int,technique:string>>>>"
+    own = events.groupBy(*keys).agg(F.collect_list(F.struct("onset64", "duration64", "rest", "notes")).cast(made).alias("_e"))
+    new = inserts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*[F.col(x).cast("int").alias(x) for x in ("at64", "string", "fret", "length64")]))).alias("_i"))
+
+    def event(onset: Column, duration: Column, rest: Column, notes: Column) -> Column:
+        return F.struct(onset.alias("onset64"), duration.alias("duration64"), rest.alias("rest"), notes.alias("notes"))
+
+    def step(es: Column, i: Column) -> Column:
+        at = i["at64"]
+        note = F.array(F.struct(i["string"].alias("string"), i["fret"].alias("fret"), F.lit(None).cast("string").alias("technique")))
+        chord = F.transform(es, lambda e: F.when(e["onset64"] == at, event(at, e["duration64"], F.lit(False), F.concat(F.filter(e["notes"], lambda n: n["string"] != i["string"]), note))).otherwise(e))
+        cut = F.transform(es, lambda e: F.when((e["onset64"] < at) & (e["onset64"] + e["duration64"] > at), event(e["onset64"], at - e["onset64"], e["rest"], e["notes"])).otherwise(e))
+        following = F.array_min(F.filter(F.transform(es, lambda e: e["onset64"]), lambda o: o > at))
+        alone = event(at, F.least(i["length64"], F.coalesce(following - at, i["length64"])), F.lit(False), note)
+        return F.when(F.exists(es, lambda e: e["onset64"] == at), chord).otherwise(F.concat(cut, F.array(alone))).cast(made)
+
+    both = own.join(new, list(keys), "full_outer")
+    empty = F.array().cast(made)
+    folded = F.aggregate(F.coalesce("_i", F.array().cast("array<struct<at64:int,string:int,fret:int,length64:int>>")), F.coalesce("_e", empty), step)
+    return both.select(*keys, F.inline(folded))
 
 
 def delete_notes(events: DataFrame, deletes: DataFrame, keys: Sequence[str]) -> DataFrame:

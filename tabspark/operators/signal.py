@@ -142,13 +142,37 @@ def segment_novelty(df: DataFrame, keys: Sequence[str], order: str, values: Sequ
     return df.withColumn("segment_novelty", F.sqrt(d))
 
 
-def section_boundaries(df: DataFrame, keys: Sequence[str], t: str = "t", value: str = "segment_novelty", gap: float = 8.0, most: int = 8, q: float = 0.58) -> DataFrame:
-    """Times of the highest novelty (over the quantile), at least ``gap`` apart, ``most`` of them."""
-    h = df.groupBy(*keys).agg(F.percentile(value, q).alias("_q"))
-    c = df.join(h, list(keys)).filter(F.col(value) >= F.col("_q"))
-    xs = c.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col(value)).alias("v"), F.col(t).cast("double").alias("t")))).alias("_xs"))
-    step = lambda s, x: F.when((F.size(s) < most) & F.forall(s, lambda y: F.abs(y - x["t"]) >= gap), F.concat(s, F.array(x["t"]))).otherwise(s)
-    return xs.select(*keys, F.explode(F.array_sort(F.aggregate("_xs", F.array().cast("array<double>"), step))).alias(t))
+def section_boundaries(df: DataFrame, keys: Sequence[str], segment: str = "segment", value: str = "segment_novelty", gap: int = 8, most: int = 8, widest: int = 28, q: float = 0.58) -> DataFrame:
+    """Sections (start, end, in segments from 0) of a track.
+
+    Boundaries are the start, and, in the order of their novelty, segments ``gap`` from both ends and from each other
+    whose novelty is at the quantile ``q`` of the positive ones; ``most`` with the start. While there are fewer than
+    ``most`` sections, the widest (of equal ones the last) is cut at its highest novelty, if it is over ``widest``. A
+    track has some hundred segments, which are folded as one array.
+    """
+    v = F.col(value).cast("double")
+    own = df.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(segment, v.alias("v")))), lambda x: x["v"]).alias("_v"), F.percentile(F.when(v > 0, v), q).alias("_q"))
+    n = F.size("_v")
+    pairs = F.transform("_v", lambda x, i: F.struct((-x).alias("v"), i.alias("i")))
+    inner = F.sort_array(F.filter(pairs, lambda x: (x["i"] >= gap) & (x["i"] < n - gap) & (-x["v"] >= F.col("_q"))))
+    greedy = lambda s, x: F.when((F.size(s) < most) & F.forall(s, lambda b: F.abs(b - x["i"]) >= gap), F.concat(s, F.array(x["i"]))).otherwise(s)
+    chosen = F.array_sort(F.concat(F.aggregate(inner, F.array(F.lit(0)), greedy), F.array(n)))
+
+    def split(s: Column, _: Column) -> Column:
+        spans = F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda left, i: F.struct((F.get(s, i + 1) - left).alias("n"), left.alias("left"), F.get(s, i + 1).alias("right")))
+        wide = F.array_max(spans)
+        best = F.array_max(F.transform(F.sequence(wide["left"] + gap, wide["right"] - gap), lambda i: F.struct(F.get("_v", i).alias("v"), (-i).alias("i"))))
+        return F.when((F.size(s) <= most) & (wide["n"] > widest), F.array_sort(F.concat(s, F.array(-best["i"])))).otherwise(s)
+
+    edges = own.withColumn("_b", chosen).withColumn("_b", F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.col("_b"), split))
+    spans = F.transform(F.slice("_b", F.lit(1), F.size("_b") - 1), lambda left, i: F.struct(left.alias("start"), F.get("_b", i + 1).alias("end")))
+    return edges.select(*keys, F.inline(spans))
+
+
+def boundary_confidence(start: Column, novelty: Column, peak: Column) -> Column:
+    """Confidence that a section begins at a segment of this novelty, ``peak`` being the track's greatest; that of
+    the first section is the least."""
+    return F.round(F.when(start == 0, 0.35).otherwise(F.least(F.lit(0.95), F.lit(0.35) + novelty / (peak + 1e-8) * 0.6)), 3)
 
 
 def cosine(a: Column, b: Column) -> Column:

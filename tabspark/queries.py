@@ -653,12 +653,10 @@ def t14_segment_novelty(spark, d):
     return T.segment_novelty(points(spark, d), ["score_id"], "us", ["value"]).select("score_id", "event_id", F.round("segment_novelty", 6).alias("segment_novelty"))
 
 
-@query()
-def t15_boundaries(spark, d):
-    return T.section_boundaries(T.segment_novelty(points(spark, d), ["score_id"], "us", ["value"]), ["score_id"], gap=3600.0)
-
-
-@query()
+@query("""WITH RECURSIVE e AS (SELECT vec_id AS start, CAST(vec_id // 8 AS BIGINT) AS score_id, row_number() OVER (PARTITION BY vec_id // 8 ORDER BY vec_id) AS k, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+r AS (SELECT DISTINCT score_id, CAST(0 AS BIGINT) AS k, CAST([] AS DOUBLE[][]) AS ts, CAST(NULL AS INT) AS label FROM e UNION ALL
+ SELECT score_id, k, CASE WHEN hit > 0 THEN ts ELSE list_append(ts, v) END, CAST(CASE WHEN hit > 0 THEN hit - 1 ELSE len(ts) END AS INT) FROM (SELECT r.score_id, e.k, ts, e.v, coalesce(list_position(list_transform(ts, lambda t: list_cosine_similarity(t, e.v) >= 0.6), true), 0) AS hit FROM r JOIN e ON e.score_id = r.score_id AND e.k = r.k + 1))
+SELECT e.score_id, e.start, r.label FROM r JOIN e USING (score_id, k)""")
 def t16_section_labels(spark, d):
     e = table(spark, d, "embeddings").withColumn("start", c("vec_id")).withColumn("score_id", F.floor(c("vec_id") / 8))
     return T.label_sections(e, ["score_id"], "start", "embedding", 0.6)
@@ -670,7 +668,9 @@ def t18_align_grid(spark, d):
     return T.align_grid(s)
 
 
-@query()
+@query(f"""WITH RECURSIVE {NOTES}, p AS (SELECT DISTINCT score_id, measure AS m FROM notes), x AS (SELECT score_id, m, min(m) OVER (PARTITION BY score_id ORDER BY m RANGE BETWEEN 8 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM p),
+r AS (SELECT score_id, min(m) AS m FROM p GROUP BY score_id UNION ALL SELECT x.score_id, x.nxt FROM r JOIN x ON x.score_id = r.score_id AND x.m = r.m WHERE x.nxt IS NOT NULL)
+SELECT score_id, m AS measure_number, m * 2.0::DOUBLE AS time_seconds, 'video_highlight' AS basis FROM (SELECT * FROM r UNION SELECT score_id, max(m) FROM p GROUP BY score_id)""")
 def t17_align_video(spark, d):
     n = notes(spark, d).select("score_id", c("measure").alias("measure_number"), (c("measure") * 2.0).alias("time_seconds")).distinct()
     return T.align_video(n, ["score_id"])
