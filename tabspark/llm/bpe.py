@@ -1,18 +1,16 @@
 """Byte-level BPE by prefix dynamic programming.
 
-``last[i]`` is the one token that ends the encoding of the first i bytes of a piece: the longest token t ending at i
-such that the encoding of the bytes before t ends in a token that BPE leaves standing next to t. The whole encoding
-is read back from the last entry. Appending bytes only adds entries; after an edit, entries before it stay valid.
+``last[i]`` is the one token that ends the encoding of the first i + 1 bytes of a piece: the token t ending there such
+that the encoding of the bytes before t ends in a token that BPE leaves standing next to t. The whole encoding is read
+back from the last entry. Appending bytes only adds entries; after an edit, entries before it stay valid. So pieces
+are worked out in sorted order in one table, where each keeps the entries of what it shares with the piece before.
 Whether two tokens stand next to each other is asked by undoing merges, from the highest rank downwards.
 """
 
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
 from hashlib import sha256
-from itertools import chain
-from operator import itemgetter
 
 import pyarrow as pa
 import regex
@@ -20,23 +18,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .tokenids import Recent, Unsafe, check_chunk
+from .tokenids import PATTERN, SLICE, Pieces
 
-_made: dict[str, "Vocabulary"] = {}
+PAIRS = 1_000_000  # answers about pairs of tokens that are kept
+_made: dict[tuple[str, str], "Codec"] = {}
 
 
 class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.rank = ranks
         self.bytes = {r: t for t, r in ranks.items()}
-        self.longest = max(map(len, ranks))
+        self.size = {r: len(t) for t, r in ranks.items()}
+        self.name = {r: b"%d " % r for r in ranks.values()}
+        self.ends: dict[bytes, tuple[tuple[int, int], ...]] = {}  # of every ending of a token: (length, rank) of the tokens that it ends in, longest first
         self.parts: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
+        self.asked: dict[tuple[int, int], bool] = {}
         for token, r in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) > 1 and (pair := self._last_merge(token, r)):
                 self.parts[r] = pair
                 self.merged[pair] = r
-        self.stands = lru_cache(500_000)(self._stands)
+        for ending in sorted({t[i:] for t in ranks for i in range(len(t))}, key=len):
+            shorter = self.ends.get(ending[1:], ())
+            self.ends[ending] = ((len(ending), ranks[ending]), *shorter) if ending in ranks else shorter
 
     def _last_merge(self, token: bytes, below: int) -> tuple[int, int] | None:
         """The two tokens that BPE, using ranks under ``below`` only, leaves of ``token``."""
@@ -49,8 +53,16 @@ class Vocabulary:
             left[i : i + 2] = [left[i] + left[i + 1]]
         return self.rank[left[0]], self.rank[left[1]]
 
+    def stands(self, pair: tuple[int, int]) -> bool:
+        """True if the bytes of the two tokens together are encoded as these two again."""
+        known = self.asked.get(pair)
+        if known is None:
+            if len(self.asked) >= PAIRS:
+                self.asked.clear()
+            known = self.asked[pair] = self._stands(*pair)
+        return known
+
     def _stands(self, a: int, b: int) -> bool:
-        """True if the bytes of a and b together are encoded as a and b again."""
         limit = len(self.bytes) + 1
         while True:
             if (m := self.merged.get((a, b))) is not None and m < limit:
@@ -71,102 +83,118 @@ class Vocabulary:
 
 
 class Prefixes:
-    """The table of one growing piece."""
+    """The table of one piece that grows and changes."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.v, self.data, self.last = vocabulary, bytearray(), []
+        self.v, self.data, self.last = vocabulary, b"", []
         self.append(data)
 
     def append(self, more: bytes) -> "Prefixes":
-        v, rank, stands = self.v, self.v.rank, self.v.stands
         self.data += more
-        data = bytes(self.data)
-        for end in range(len(self.last) + 1, len(data) + 1):
-            for start in range(max(0, end - v.longest), end):
-                token = rank.get(data[start:end])
-                if token is not None and (not start or stands(self.last[start - 1], token)):
-                    self.last.append(token)
+        data, last, ends, asked = self.data, self.last, self.v.ends, self.v.asked
+        for end in range(len(last) + 1, len(data) + 1):
+            start, found = end - 1, ()
+            while start >= 0 and (more := ends.get(data[start:end])) is not None:
+                found = more
+                start -= 1
+            for size, token in found:
+                if size == end:
+                    break
+                known = asked.get(pair := (last[end - size - 1], token))
+                if known or (known is None and self.v.stands(pair)):
                     break
+            last.append(token)
         return self
 
     def edit(self, at: int, removed: int, added: bytes) -> "Prefixes":
         """Replace bytes; only prefixes that reach past ``at`` are worked out again."""
-        rest = bytes(self.data[at + removed :])
-        del self.data[at:], self.last[at:]
+        rest = self.data[at + removed :]
+        self.data = self.data[:at]
+        del self.last[at:]
         return self.append(added + rest)
 
-    def ids(self) -> list[int]:
-        out, end = [], len(self.data)
+    def become(self, data: bytes) -> "Prefixes":
+        """Change to ``data``, keeping the entries of the bytes that both begin with."""
+        same = 0
+        for a, b in zip(self.data, data):
+            if a != b:
+                break
+            same += 1
+        return self.edit(same, len(self.data) - same, data[same:])
+
+    def ids(self) -> tuple[int, ...]:
+        out, end, size = [], len(self.data), self.v.size
         while end:
-            out.append(self.last[end - 1])
-            end -= len(self.v.bytes[out[-1]])
-        return out[::-1]
+            token = self.last[end - 1]
+            out.append(token)
+            end -= size[token]
+        return tuple(out[::-1])
 
 
 class Codec:
-    """Encodes texts piece by piece (each match of the pattern); keeps the ids of chunks in a bounded cache.
-
-    A single space between characters that are not white space always starts a match, so a text is cut there; a text
-    with other white space beside a space is matched as a whole.
-    """
+    """Encodes texts piece by piece (each match of the pattern) and keeps what it learns of pieces in a bounded cache.
+    Texts are first cut at spaces under the pattern of ``tokenids`` only, which allows that."""
 
-    def __init__(self, path: str, pattern: str, cache: int = 300_000):
+    def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
             self.v = Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
-        self.find, self.chunks = regex.compile(pattern).findall, Recent(self.cached, cache)
-
-    def piece(self, piece: str) -> list[int]:
-        data = piece.encode("utf-8", "replace")
-        known = self.v.rank.get(data)
-        return [known] if known is not None else Prefixes(self.v, data).ids()
-
-    def cached(self, chunk: str) -> tuple[tuple[int, ...], str, int]:
-        """Of a chunk after a space: the ids, the ids in decimal joined by spaces, their number."""
-        ids = tuple(self.matched(" " + chunk))
-        return ids, " ".join(map(str, ids)), len(ids)
-
-    def matched(self, text: str) -> list[int]:
-        return [x for p in self.find(text) for x in self.piece(p)]
-
-    def parts(self, text: str) -> list[tuple[tuple[int, ...], str, int]]:
-        first, *rest = text.split(" ")
-        try:
-            check_chunk(first)
-            out = list(map(self.chunks.__getitem__, rest))
-            ids = tuple(self.matched(first))
-        except Unsafe:
-            ids, out = tuple(self.matched(text)), []
-        return [(ids, " ".join(map(str, ids)), len(ids)), *out] if ids else out
+        self.find = regex.compile(pattern).findall
+        self.pieces = Pieces(self.fresh, self.whole, 2)
+        self.cuts = pattern == PATTERN
+
+    def ids(self, pieces: list[str]) -> list[tuple[int, ...]]:
+        """Ids of pieces, worked out in sorted order in one table."""
+        data = [p.encode("utf-8", "replace") for p in pieces]
+        ids, table = {}, Prefixes(self.v)
+        for x in sorted(data):
+            known = self.v.rank.get(x)
+            ids[x] = (known,) if known is not None else table.become(x).ids()
+        return [ids[x] for x in data]
+
+    def fresh(self, pieces: list[str]) -> list[tuple[bytes, bytes]]:
+        """Of pieces: the ids in decimal, a space after each, and the bytes that they stand for."""
+        name = self.v.name
+        return [(b"".join(map(name.__getitem__, ids)), self.decode(ids)) for ids in self.ids(pieces)]
+
+    def whole(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """The same of texts that are cut by the pattern here."""
+        cut = [self.find(t) for t in texts]
+        known = self.pieces.recent.table(set().union(*cut))
+        return [(b"".join([known[p][0] for p in c]), b"".join([known[p][1] for p in c])) for c in cut]
+
+    def columns(self, texts: pa.Array) -> list[list[memoryview | bytes]]:
+        """What ``fresh`` says, of each text, in two columns."""
+        if self.cuts:
+            return self.pieces.of(texts)
+        return [list(x) for x in zip(*self.whole([t or "" for t in texts.to_pylist()]))]
 
     def encode(self, text: str) -> list[int]:
-        return [x for p in self.parts(text) for x in p[0]]
+        return [x for ids in self.ids(self.find(text)) for x in ids]
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids) -> bytes:
         return b"".join(map(self.v.bytes.__getitem__, ids))
 
 
 def codec(path: str, pattern: str) -> Codec:
-    if path not in _made:
-        _made[path] = Codec(path, pattern)
-    return _made[path]
+    """One codec for each worker process, vocabulary and pattern."""
+    if (path, pattern) not in _made:
+        _made[path, pattern] = Codec(path, pattern)
+    return _made[path, pattern]
 
 
 def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of whole texts; the second digest is of the decoded ids.
 
-    A null text counts as empty; repeated rows stay; other columns are not read.
+    A null text counts as empty; repeated rows stay; an empty table gives no rows; other columns are not read.
     """
 
     def run(batches):
         c = codec(path, pattern)
-        for b in slices(batches):
-            n, told, back = [], [], []
-            for text in b.column(1).to_pylist():
-                got = c.parts(text) if text else []
-                n.append(sum(map(itemgetter(2), got)))
-                told.append(sha256(" ".join(map(itemgetter(1), got)).encode()).hexdigest())
-                back.append(sha256(c.decode(chain.from_iterable(map(itemgetter(0), got)))).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(told, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for b in slices(batches, limit=SLICE, rows=8192):
+            told, back = c.columns(b.column(1))
+            n = [bytes(x).count(b" ") for x in told]
+            names, data = [sha256(x[:-1]).hexdigest() for x in told], [sha256(x).hexdigest() for x in back]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(names, pa.string()), pa.array(data, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
