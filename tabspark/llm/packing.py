@@ -1,8 +1,8 @@
 """Best-fit packing of token pieces into sequences by a configuration linear program over the length histogram.
 
 Only the histogram (one count for each length up to the capacity) comes to the driver. Multiplicative weights with a
-knapsack priced by dynamic programming give a fractional solution; rounding down and exhausting what is left gives
-whole multiplicities whose slots are exactly the pieces. A piece finds its slot from its length and its rank there.
+knapsack priced by dynamic programming give a fractional solution; randomised rounding, and programs of what is left,
+give whole multiplicities whose slots are exactly the pieces. A piece finds its slot from its length and its rank there.
 """
 
 from __future__ import annotations
@@ -15,96 +15,113 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, slices, stored
-from .tokenids import END_ID, encoder
+from .tokenids import END_ID, SLICE, encoder
 
 CAPACITY = 2048
+ROUNDS = 4  # of multiplicative weights, at most, for each linear program
+GAP = 0.01  # between a linear program's cover and its bound
+
+
+def knapsack(value: np.ndarray, capacity: int) -> np.ndarray:
+    """``best[c]``: the largest total value of lengths (each as often as one likes) whose sum is at most c;
+    ``value[l]`` is for length l, 0 for one that may not be used."""
+    lengths = np.flatnonzero(value > 0)
+    worth, best = value[lengths], np.zeros(capacity + 1)
+    for c, n in enumerate(np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()):
+        if c:
+            best[c] = max(best[c - 1], (best[c - lengths[:n]] + worth[:n]).max(initial=0.0))
+    return best
+
+
+def filled(first: int, left: np.ndarray, value: np.ndarray, best: np.ndarray, capacity: int) -> tuple[dict[int, int], float]:
+    """The configuration that begins with one ``first`` and goes along the table of the knapsack: at every step the
+    length, of those that ``left`` still has, that loses least against the best value of the room; the longest of
+    equal ones. ``value`` is -inf where ``left`` is 0, and is so again when this returns."""
+    config, room, total, spent = {}, capacity, 0.0, []
+    l = first
+    while True:
+        config[l] = config.get(l, 0) + 1
+        total += value[l]
+        room -= l
+        if config[l] >= left[l]:
+            spent.append((l, value[l]))
+            value[l] = -np.inf
+        if not room:
+            break
+        gain = best[:room] + value[room:0:-1]
+        i = int(gain.argmax())
+        if gain[i] == -np.inf:
+            break
+        l = room - i
+    for l, v in spent:
+        value[l] = v
+    return config, total
 
 
-def knapsack(values: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths of the largest total value whose sum is at most capacity; values[l] is for length l."""
-    lengths = np.flatnonzero(values > 0)
-    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        n = np.searchsorted(lengths, c, "right")
-        if n:
-            ls = lengths[:n]
-            v = best[c - ls] + values[ls]
-            k = int(v.argmax())
-            if v[k] > best[c]:
-                best[c], took[c] = v[k], ls[k]
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if took[c]:
-            out[int(took[c])] = out.get(int(took[c]), 0) + 1
-            c -= int(took[c])
-        else:
-            c -= 1
-    return out
-
-
-def fractional(demand: np.ndarray, capacity: int, rounds: int = 250, eps: float = 0.35) -> list[tuple[dict[int, int], float]]:
-    """Configurations with fractional multiplicities that cover the demand evenly, by multiplicative weights.
-
-    The weights start at the volume of each length, the dual solution of the volume bound.
+def fractional(demand: np.ndarray, capacity: int, rounds: int = ROUNDS, gap: float = GAP, eps: float = 0.1, slack: float = 0.02) -> tuple[dict[tuple, float], float]:
+    """(configurations with their multiplicities, bound): the linear program that covers the demand by as few
+    configurations as it can, by multiplicative weights; multiplicities cover no length more than its demand.
+
+    Every round prices lengths by their weights, starting at their volume (the dual of the volume bound). One knapsack
+    table gives the best value of a configuration, so the sum of all prices over it bounds any solution from below.
+    The round's configurations go along that table, and only those within ``slack`` of the best value enter (or the
+    first, if there is no such). What is covered loses weight. It ends when the cover is within ``gap`` of the bound.
     """
     lengths = np.arange(len(demand))
     live = demand > 0
     weight = np.where(live, lengths * demand, 0).astype(float)
-    covered, found = np.zeros(len(demand)), {}
+    covered, found, bound = np.zeros(len(demand)), {}, 0.0
     for _ in range(rounds):
         value = np.divide(weight, demand, out=np.zeros(len(demand)), where=live)
-        config = {l: min(k, int(demand[l])) for l, k in knapsack(value, capacity).items()}
-        if not config:
+        best = knapsack(value, capacity)
+        bound = max(bound, weight.sum() / best[capacity])
+        left, took, value[~live] = demand.copy(), False, -np.inf
+        for first in np.flatnonzero(live)[::-1].tolist():
+            while left[first] and (not took or value[first] + best[capacity - first] >= (1 - slack) * best[capacity]):
+                config, total = filled(first, left, value, best, capacity)
+                if took and total < (1 - slack) * best[capacity]:
+                    break
+                times = min(int(left[l]) // k for l, k in config.items())
+                key = tuple(sorted(config.items(), reverse=True))
+                found[key] = found.get(key, 0.0) + times
+                for l, k in config.items():
+                    left[l] -= k * times
+                    if not left[l]:
+                        value[l] = -np.inf
+                took = True
+        share = np.divide(demand - left, demand, out=np.zeros(len(demand)), where=live)
+        covered += share
+        weight *= (1 - eps) ** share
+        weight /= weight.max()
+        least = covered[live].min()
+        if least > 0 and sum(found.values()) / least <= (1 + gap) * bound:
             break
-        step = min(demand[l] / k for l, k in config.items())
-        found[key] = found.get(key := tuple(sorted(config.items(), reverse=True)), 0.0) + step
-        for l, k in config.items():
-            covered[l] += k * step / demand[l]
-            weight[l] *= (1 - eps) ** (k * step / demand[l])
-        weight /= weight.max() or 1.0
-    top = max(1.0, covered.max())
-    return [(dict(k), x / top) for k, x in found.items()]
-
-
-def exhaust(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Fill sequences with the longest pieces that still fit, each filling used as often as the counts allow."""
-    left, out = left.copy(), []
-    there = [int(x) for x in np.flatnonzero(left)]
-    while there:
-        room, config, i = capacity, {}, len(there) - 1
-        while i >= 0 and room >= there[0]:
-            l = there[i]
-            if l <= room and (k := min(room // l, int(left[l]))):
-                config[l] = k
-                room -= k * l
-            i = min(i - 1, int(np.searchsorted(there, room, "right")) - 1)
-        times = min(int(left[l]) // k for l, k in config.items())
-        for l, k in config.items():
-            left[l] -= k * times
-        out.append((config, times))
-        there = [x for x in there if left[x] > 0]
-    return out
+    return {k: x / covered.max() for k, x in found.items()}, bound
+
 
+def plan(demand: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, gap: float = GAP, seed: int = 4) -> list[tuple[dict[int, int], int]]:
+    """Whole multiplicities of configurations whose slots are exactly the demand.
 
-def plan(demand: np.ndarray, capacity: int = CAPACITY, rounds: int = 250) -> list[tuple[dict[int, int], int]]:
-    """Whole multiplicities of configurations whose slots are exactly the demand, the better of two roundings:
-    the linear program's, rounded down, with the rest exhausted; or exhaustion alone."""
-    alone = [({capacity: 1}, int(demand[capacity]))] if demand[capacity] else []
-    left = demand.copy()
+    The fractional solution is rounded at random, up with the probability of the fraction, as far as the demand goes;
+    what is left has a linear program of its own, until nothing is left. So every sequence (but the full ones, which
+    need no program) is a column of a program.
+    """
+    chosen = [({capacity: 1}, int(demand[capacity]))] if demand[capacity] else []
+    left, rng = demand.copy(), np.random.default_rng(seed)
     left[capacity] = 0
-    plain = exhaust(left, capacity)
-    chosen, rest = [], left.copy()
-    for config, x in sorted(fractional(left, capacity, rounds) if left.any() else [], key=lambda c: -sum(l * k for l, k in c[0].items())):
-        times = min([int(x), *(int(rest[l]) // k for l, k in config.items())])
-        if times:
-            chosen.append((config, times))
-            for l, k in config.items():
-                rest[l] -= k * times
-    chosen += exhaust(rest, capacity)
-    total = lambda p: sum(t for _, t in p)
-    return alone + (chosen if total(chosen) <= total(plain) else plain)
+    while left.any():
+        columns, _ = fractional(left, capacity, rounds, gap)
+        order = sorted(columns, key=lambda k: (-sum(l * n for l, n in k), k))
+        up = rng.random(len(order))
+        took = False
+        for key, u in [*zip(order, up), (max(columns, key=columns.get), None)]:
+            times = min(int(columns[key] + u) if u is not None else 0 if took else 1, *(int(left[l]) // k for l, k in key))
+            if times > 0:
+                took = True
+                chosen.append((dict(key), times))
+                for l, k in key:
+                    left[l] -= k * times
+    return chosen
 
 
 def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,10 +135,10 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
 
     def cut(batches):
         enc = encoder(tokenizer)
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE, rows=8192):
             out = ([], [], [], [], [])
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = enc.encode(text) + end
+            for doc, own in zip(b.column(0).to_pylist(), enc.encode(b.column(1))):
+                ids = bytes(own) + end
                 n, start, k = len(ids) // 4, 0, 0
                 while start < n:
                     length = (n - start) % capacity or capacity
@@ -134,7 +151,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def place(cut: DataFrame, capacity: int = CAPACITY, rounds: int = 250) -> DataFrame:
+def place(cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
     """Add (sequence_id, offset) to stored pieces; every piece is placed once, and sequences have no gaps.
 
     Ranks are counted inside (length, salt) and moved on by the counts of the salts before, so a length that a third
@@ -179,7 +196,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY, rounds: int = 250) -> DataFr
     return ranked.mapInArrow(seat, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, rounds: int = 250) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
     """Pack every text. A null or empty text is one piece with the end id; repeated rows are packed each; an empty
     table gives no rows; other columns are not read."""
     cut = stored(pieces(df, tokenizer, capacity), shared_dir(df.sparkSession), "pieces")
