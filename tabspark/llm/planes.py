@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, slices
-from .tokenids import END_ID, encoder
+from .tokenids import END_ID, SLICE, encoder
 
 MAGIC = b"TIDP0001"
 CHUNK = 65_536
+FILE_BYTES = 64_000_000
 MISSING = -(2**63)  # stands for a null doc_id
 
 
@@ -150,8 +151,8 @@ def _open(uri: str, mode: str):
 def write_ids(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", kind: str = "byte", end_id: int = END_ID) -> list:
     """Write the ids of every text in ascending order of ``id_col`` as files in ``folder``; return the manifest in order.
 
-    One range of ids makes one file (their number is that of the shuffle partitions, so the manifest is bounded).
-    An attempt that is lost or repeated leaves a file that no manifest names. A null text has no ids but the end
+    One range of ids makes one file of about ``FILE_BYTES`` of text, or less where that makes fewer files than shuffle
+    partitions; the manifest has one row a file. An attempt that is lost or repeated leaves a file that no manifest names. A null text has no ids but the end
     id; null ids come first; repeated ids stay, in order of their text. Other columns are not read.
     """
     from pyspark import TaskContext
@@ -163,20 +164,22 @@ def write_ids(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id"
 
     def put(batches):
         enc, out, place = encoder(tokenizer), None, ""
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE, rows=8192):
             if out is None:
                 place = f"{folder}/ids-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tid"
                 stream = _open(place, "w")
                 out = Writer(stream, kind)
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                out.add(MISSING if doc is None else doc, enc.encode(text) + end)
+            for doc, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1))):
+                out.add(MISSING if doc is None else doc, bytes(ids) + end)
         if out is not None:
             out.close()
             stream.close()
             yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "path": [place], "docs": [len(out.docs)], "ids": [out.total]}, schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     return sorted(ordered.mapInArrow(put, "part int, path string, docs long, ids long").collect(), key=lambda r: r["part"])
 
 
