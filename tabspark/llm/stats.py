@@ -59,7 +59,8 @@ def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` and the struct ``stat`` of counts over the whole text, all 0 for a null text.
 
     The text is read three times: for its words, its lines, and what it has besides small letters and spaces; all
-    characters that are counted are in the last, which is short.
+    characters that are counted are in the last, which is short. ``stat`` is the output of a generator (of one row),
+    so a filter or projection over it is never put in place of the counts below it: they are worked out once a text.
     """
     text = F.col(text_col)
     w, keys, rare = F.col("_words"), F.col("_keys"), F.col("_rare")
@@ -79,7 +80,7 @@ def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
         (counted(rare, "[^\n]+") + F.when(F.char_length(text) > 0, 1).otherwise(0)).cast("long").alias("n_lines"),
         counted(rare, "[^/@]+").alias("n_links"),
     )
-    return ready.withColumn("stat", stat).drop("_words", "_keys", "_rare")
+    return ready.select(*df.columns, F.explode(F.array(stat)).alias("stat"))
 
 
 def rates(stat: Column) -> dict[str, Column]:
