@@ -62,7 +62,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class Words:
     """64-bit hashes of words, kept in a bounded table."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 250_000):
         self.known, self.limit = {}, limit
 
     def __call__(self, words: list[str]) -> np.ndarray:

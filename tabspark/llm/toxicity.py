@@ -79,10 +79,10 @@ def lexicon(sample: DataFrame, size: int = LEXICON, least: int = LEAST) -> dict[
 class Features:
     """Feature rows of whole texts. What a word contributes is kept in a bounded cache and added up by numpy."""
 
-    def __init__(self, lexicon: dict[str, float], limit: int = 300_000):
+    def __init__(self, lexicon: dict[str, float], limit: int = 200_000):
         self.lexicon, self.limit, self.you = lexicon, limit, frozenset(SECOND_PERSON.split())
         self.known: dict[str, int] = {}
-        self.rows = np.zeros((1024, 9))
+        self.rows = np.zeros((1024, 9), np.float32)
         self.count = 0
 
     def weight(self, word: str) -> float:
@@ -116,7 +116,7 @@ class Features:
             self.known, self.count = {}, 0
         at = np.fromiter(map(self.number, words), np.int64, n)
         rows = self.rows[at]
-        hits, strong, weight, you, capitals, marks, points, symbols, hidden = rows.sum(axis=0)
+        hits, strong, weight, you, capitals, marks, points, symbols, hidden = rows.sum(axis=0, dtype=float)
         near = 0
         if hits and you:
             there = np.flatnonzero(rows[:, 3])
@@ -125,7 +125,7 @@ class Features:
             gap = np.minimum(np.abs(mine - there[np.minimum(k, len(there) - 1)]), np.abs(mine - there[np.maximum(k - 1, 0)]))
             near = int((gap <= NEAR).sum())
         digits = sum(map(str.isdigit, text)) if any(d in text for d in "0123456789") else 0
-        return [np.log1p(n), hits / n, strong / n, weight / n, np.log1p(hits), near / n, you / n, capitals / n, marks / n, points / n, symbols / n, hidden / n, digits / len(text), rows[:, 2].max()]
+        return [np.log1p(n), hits / n, strong / n, weight / n, np.log1p(hits), near / n, you / n, capitals / n, marks / n, points / n, symbols / n, hidden / n, digits / len(text), float(rows[:, 2].max())]
 
 
 @dataclass
