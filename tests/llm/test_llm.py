@@ -11,10 +11,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tabspark.llm import bpe, html, langid, minhash, packing, planes, quality, toxicity, trees, weak, winnow
+from tabspark.llm.stats import rates as stats_rates
 from tabspark.llm.stats import with_statistics
-from tabspark.llm.tokenids import encoder
 
 public = pytest.importorskip("public_tokenizers")
 DATA = Path("/root/testdata/sf0.001")
@@ -103,7 +104,7 @@ def test_minhash_links_all_alike_pairs_that_meet(spark):
         texts[6 * g + 5] = " ".join([*base[:89], *(f"y{g}-{i}" for i in range(11))])
     sets = {i: shingle_set(t) for i, t in texts.items()}
     batch = pa.RecordBatch.from_arrays([pa.array(list(texts)), pa.array(list(texts.values()))], names=["doc_id", "text"])
-    keys = {r["doc_id"]: r["keys"] for b in minhash._signatures(iter([batch])) for r in b.to_pylist()}
+    keys = {r["doc_id"]: r["keys"] for b in minhash.signatures(minhash.width_for(60))(iter([batch])) for r in b.to_pylist()}
     want = {i: i for i in texts}
     for g in range(0, len(texts), 6):
         alike = [(a, b) for a in range(g, g + 6) for b in range(a + 1, g + 6) if 100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b])]
@@ -115,6 +116,18 @@ def test_minhash_links_all_alike_pairs_that_meet(spark):
     assert {r.doc_id: r.component_id for r in minhash.classes(df, 60).collect()} == want
 
 
+def test_minhash_bounds_are_exact():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 400)
+    sets = [np.unique(np.concatenate([rng.choice(base, n, replace=False), rng.integers(0, 2**63, extra)])) for n, extra in ((400, 0), (380, 15), (200, 90), (5, 1), (390, 2000))] + [np.zeros(0, np.int64)]
+    bits = minhash.sketches(sets)
+    for a in range(len(sets)):
+        for b in range(len(sets)):
+            differ = sum(int(x).bit_count() for x in (bits[a] ^ bits[b]).view(np.uint64).tolist())
+            assert differ <= len(np.setxor1d(sets[a], sets[b]))
+    assert [minhash.width_for(t) for t in (85, 80)] == [4, 3] and 2 * (1 - 0.8**3) ** minhash.SUB <= minhash.MISS
+
+
 def test_minhash_odd_rows(odd, empty):
     got = {r.doc_id: r for r in minhash.classes(odd).collect()}
     assert len(got) == len(ODD) + 1 and got[3].n_shingles == 0 and got[3].kept and got[5].component_id == 4 and not got[5].kept and got[None].kept
@@ -153,11 +166,62 @@ def test_html_on_pages(spark):
         assert got[r.page_id] == " ".join(b for b in blocks if b)
 
 
-def test_tree_matching():
-    a, b = html.parse("<body><div><p>1</p><p>2</p></div><ul><li>x</ul></body>")[0], html.parse("<body><div><p>1</p></div><table></table><ul><li>x<li>y</ul></body>")[0]
-    html.number(b)
-    pairs = html.aligned(a, b)
-    assert {x.tag for x, _ in pairs} == {"", "body", "div", "p", "ul", "li"} and all(x.label == y.label for x, y in pairs)
+def largest_matching(a, b):
+    """Size of the largest simple tree matching, by plain recursion over children lists."""
+    if a.label != b.label:
+        return 0
+
+    def best(x, y):
+        if not x or not y:
+            return 0
+        return max(best(x[1:], y), best(x, y[1:]), best(x[1:], y[1:]) + largest_matching(x[0], y[0]))
+
+    return 1 + best(tuple(a.kids), tuple(b.kids))
+
+
+def test_tree_matching_is_the_largest():
+    rng = np.random.default_rng(4)
+
+    def page(depth):
+        tags = rng.choice(["div", "ul", "section", "table"], rng.integers(0, 4) if depth else 0)
+        return "".join(f"<{t}>{page(depth - 1)}</{t}>" for t in tags)
+
+    for _ in range(40):
+        a, b = html.folded(html.parse(page(3))[0]), html.folded(html.parse(page(3))[0])
+        pairs = html.aligned(a, b)
+        assert len(pairs) == largest_matching(a, b) and all(x.label == y.label for x, y in pairs)
+        assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
+
+
+def test_html_deep_and_wide_pages():
+    deep = html.folded(html.parse("<div>" * 5000 + "x")[0])
+    assert len(html.aligned(deep, html.folded(html.parse("<div>" * 4000)[0]))) == 4001
+    wide = "<h2>a</h2><p>b</p>" * 700
+    root, blocks = html.parse(wide)
+    html.name_places(root, html.folded(html.parse(wide)[0]))
+    assert len({x.key for x, _ in blocks}) == 1400 and all("/" not in x.key for x, _ in blocks)
+    assert html._marks(" data-id='menu' title=\"class\"")[0] == ""
+
+
+def test_html_only_alignment_tells_slot_from_template(spark):
+    rng = np.random.default_rng(6)
+    words = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 10_000, n))
+    rows, want = [], {}
+    for i in range(30):
+        own, last = [words(20) for _ in range(int(rng.integers(1, 9)))], words(5)
+        body = "".join(f"<p>{x}</p>" for x in own)
+        if i % 3 == 0:  # another layout of the host
+            page, text = f"<section><p>Go to start</p></section><table><tr><td>{own[0]}</td><td>All rights</td></tr></table>", own[0]
+        else:
+            page, text = f"<div><p>One two three</p><p>Four five</p></div><div>{body}<p>Tell your friends</p><p>{last}</p></div><div><p>Some name, 2020</p></div>", " ".join([*own, last])
+        rows.append((i, f"http://neutral.example.org/{i}", page))
+        want[i] = text
+    for i in range(30, 40):  # copies of one article, and a line that the host puts inside every article
+        text = words(40) if i < 36 else text
+        rows.append((i, f"http://copies.example.org/{i}", f"<article><p>{text}</p><p>Read more on our site</p><p>{text[:20]}</p></article><p>out</p>"))
+        want[i] = f"{text} {text[:20]}"
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
 
 
 def test_quality_and_statistics(spark, docs, odd, empty):
@@ -172,20 +236,27 @@ def test_quality_and_statistics(spark, docs, odd, empty):
     assert quality.learn(empty, labels).rules == []
 
 
-def test_rules_compile_to_the_same_score(spark):
+def test_rules_compile_to_the_same_score(spark, docs):
+    rates = ["upper", "marks"]
     x = np.random.default_rng(0).random((300, 2))
     y = (x[:, 0] > 0.5).astype(int)
-    rules = quality.fit_rules(x, y, ["upper", "marks"])
+    rules = quality.fit_rules(x, y, rates)
     assert len(rules.rules) and all(abs(r.weight) > 0 for r in rules.rules)
-    z = rules.bias + sum(r.weight * r.holds(x, ["upper", "marks"]) for r in rules.rules)
+    z = rules.bias + sum(r.weight * r.holds(x, rates) for r in rules.rules)
     assert ((z > 0) == (y == 1)).mean() > 0.97
+    rules = quality.Rules(0.3, [quality.Rule((("upper", "<=", 0.1), ("log_words", ">", 4.0)), 1.5), quality.Rule((("points", ">", 0.05),), -2.25), quality.Rule((("repeats", "<=", 0.0),), 0.5)])
+    stats = with_statistics(docs.select("doc_id", "text"))
+    values = stats_rates(F.col("stat"))
+    for r in stats.select(rules.score(F.col("stat")).alias("s"), *[v.alias(n) for n, v in values.items()]).collect():
+        z = 0.3 + 1.5 * (r.upper <= 0.1 and r.log_words > 4.0) - 2.25 * (r.points > 0.05) + 0.5 * (r.repeats <= 0.0)
+        assert r.s == pytest.approx(1 / (1 + np.exp(-z)))
 
 
 def test_packing(docs, texts, odd, empty):
     got = packing.pack(docs, JSON, 2048).toPandas()
-    enc = encoder(JSON)
+    enc = Tokenizer.from_file(JSON)
     for doc, own in got.sort_values("piece").groupby("doc_id"):
-        ids = np.asarray(enc.tokenizer.encode(texts[doc], add_special_tokens=False).ids + [0], "<u4")
+        ids = np.asarray(enc.encode(texts[doc], add_special_tokens=False).ids + [0], "<u4")
         assert own.length.sum() == len(ids) and (own.length.iloc[1:] == 2048).all()
         for p in own.itertuples():
             assert p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes())
@@ -212,7 +283,30 @@ def test_packing_plan_is_exact(seed):
     v = np.zeros(101)
     v[[7, 33, 50]] = 7.5, 33, 51
     best = packing.knapsack(v, 100)
-    assert sum(v[l] * k for l, k in best.items()) == max(7.5 * a + 33 * b + 51 * c for a in range(15) for b in range(4) for c in range(3) if 7 * a + 33 * b + 50 * c <= 100)
+    assert best[100] == max(7.5 * a + 33 * b + 51 * c for a in range(15) for b in range(4) for c in range(3) if 7 * a + 33 * b + 50 * c <= 100)
+
+
+def test_packing_plan_is_optimal_on_small_instances():
+    def least(left, capacity):
+        """The fewest sequences, by trying every configuration that holds the longest piece left."""
+        if not left:
+            return 0
+
+        def fillings(i, room, rest):
+            yield rest
+            for j in range(i, len(rest)):
+                if rest[j] <= room and (j == i or rest[j] != rest[j - 1]):
+                    yield from fillings(j, room - rest[j], rest[:j] + rest[j + 1 :])
+
+        return 1 + min(least(r, capacity) for r in set(fillings(0, capacity - left[0], left[1:])))
+
+    rng = np.random.default_rng(5)
+    for _ in range(12):
+        left = tuple(sorted(rng.integers(2, 20, 8).tolist(), reverse=True))
+        got = sum(t for _, t in packing.plan(np.bincount(left, minlength=21), 20))
+        assert got <= least(left, 20) + 1
+        columns, bound = packing.fractional(np.bincount(left, minlength=21), 20)
+        assert bound <= least(left, 20) + 1e-9 and sum(left) / 20 <= bound + 1e-9
 
 
 def brute_winnow(tokens, k, w):
@@ -222,6 +316,9 @@ def brute_winnow(tokens, k, w):
 
 def test_winnowing_choices(spark, docs, odd):
     rows = docs.limit(60).select("text").union(odd.select("text")).select("text", winnow.winnow(F.col("text")).alias("f"), F.regexp_extract_all("text", F.lit(winnow.TOKEN), F.lit(0)).alias("t"))
+    tokens = F.transform("t", lambda t: F.xxhash64(t))
+    grams = F.transform(tokens, lambda t, i: F.hash(t, *[F.get(tokens, i + j) for j in range(1, winnow.K)]))
+    rows = rows.withColumn("h", grams)
     for r in rows.collect():
         if r.text is None:
             assert r.f is None
@@ -229,9 +326,9 @@ def test_winnowing_choices(spark, docs, odd):
         grams, windows = brute_winnow(r.t, winnow.K, winnow.W)
         picked = {p.pos: p.hash for p in r.f}
         assert list(picked) == sorted(picked)
-        for w in windows:  # the least of a window is chosen, the rightmost of equals
-            inside = [(picked[i], -i) for i in w if i in picked]
-            assert inside
+        # the least hash of a window is chosen, of equal ones the rightmost, and nothing else
+        assert list(picked) == sorted({max(w, key=lambda i: (-r.h[i], i)) for w in windows})
+        assert all(picked[i] == r.h[i] for i in picked)
         same = {}
         for i, h in picked.items():
             assert same.setdefault(grams[i], h) == h
@@ -286,9 +383,22 @@ def test_weak_supervision_em(spark):
     right = {"a": 0.95, "b": 0.8, "c": 0.65}
     votes = {n: np.where(rng.random(4000) < p, truth, ~truth).astype(int) for n, p in right.items()}
     n = Counter(zip(*[v.tolist() for v in votes.values()]))
-    patterns = spark.createDataFrame([(*k, c) for k, c in n.items()], "a int, b int, c int, n long")
-    prior, acc = weak.fit(patterns, ["a", "b", "c"], 25)
+    prior, acc = weak.fit(n, ["a", "b", "c"], 25)
     assert abs(prior - 0.7) < 0.1 and acc["a"][0] > acc["b"][0] > acc["c"][0]
+    known = {"a": (0.9, 0.8), "b": (0.7, 0.6)}  # the posterior by Bayes' rule, and an abstention that says nothing
+    rows = spark.createDataFrame([(a, b) for a in (0, 1, None) for b in (0, 1, None)], "a int, b int")
+    for r in rows.select("a", "b", weak.posterior(["a", "b"], 0.7, known).alias("p")).collect():
+        good, bad = 0.7, 0.3
+        for v, (g, b) in ((r.a, known["a"]), (r.b, known["b"])):
+            good *= 1 if v is None else g if v else 1 - g
+            bad *= 1 if v is None else 1 - b if v else b
+        assert r.p == pytest.approx(good / (good + bad))
+
+
+def test_weak_supervision_rejects_bad_texts(spark, docs):
+    bad = [(10**6 + i, " ".join("".join(chr(65 + (i * 7 + j * k) % 26) for k in range(1, 8)) + "!!!;;#" for j in range(40)), "xx") for i in range(20)]
+    got = weak.judge(docs.select("doc_id", "text", "lang").union(spark.createDataFrame(bad, "doc_id long, text string, lang string"))).collect()
+    assert not any(r.kept for r in got if r.doc_id >= 10**6) and all(0 <= r.posterior <= 1 for r in got)
 
 
 def test_bpe_is_tiktoken(docs, texts, odd, empty):
@@ -347,17 +457,35 @@ def test_language_learns_rare_languages_all_scripts_and_late_text(spark):
 
 
 def test_cross_parse_counts_longest_matches():
-    train, text = "abracadabra", "abracabrazz"
-    table = langid.table_of(np.array([ord(x) - 96 for x in train], np.uint8))
-    model = langid.Model(["x"], np.zeros(0x110000, np.uint8), [table], np.ones(1))
-    model.symbol[[ord(x) for x in "abcdr"]] = [ord(x) - 96 for x in "abcdr"]
-    phrases, at = 0, 0
-    while at < len(text):
-        n = 1
-        while at + n < len(text) and text[at : at + n + 1] in train:
-            n += 1
-        phrases, at = phrases + 1, at + n
-    assert model.phrases([langid.folded(text)])[0, 0] == phrases
+    def brute(train, text):
+        phrases, at = 0, 0
+        while at < len(text):
+            n = 1
+            while at + n < len(text) and text[at : at + n + 1] in train:
+                n += 1
+            phrases, at = phrases + 1, at + n
+        return phrases
+
+    rng = np.random.default_rng(8)
+    pairs = [("abracadabra", "abracabrazz"), ("ab" * 900, "ab" * 1500), ("abc" * 700 + "a", "abc" * 2000)]
+    pairs += [("".join(rng.choice(list("ab c"), 3000)), "".join(rng.choice(list("ab cd"), n))) for n in (1, 511, 512, 513, 1024, 5000)]
+    for train, text in pairs:
+        text = " ".join(text.split())
+        table = langid.table_of(np.array([ord(x) - 31 for x in train], np.int32), 128)
+        model = langid.Model(["x"], np.zeros(0x110000, np.int32), [table], np.ones(1))
+        known = sorted(set(train))
+        model.symbol[[ord(x) for x in known]] = [ord(x) - 31 for x in known]
+        got = model.phrases([langid.folded(text), langid.folded("zz"), langid.folded(text[:700])])
+        assert got[:, 0].tolist() == [brute(train, text), 2, brute(train, " ".join(text[:700].split()))]
+
+
+def test_language_choice_is_least_normalised_phrases(spark):
+    model = langid.Model(["a", "b"], np.zeros(0x110000, np.int32), [], np.array([0.2, 0.4]))
+    model.phrases = lambda texts: np.array([[3.0, 5.0]] * len(texts))
+    lang, score = model.predict(["some text", "12 34", None], langid.letters())
+    assert lang == ["b", "und", "und"] and 0.5 < score[0] < 1 and score[1] == score[2] == 0
+    few = spark.createDataFrame([(i, "abc def ghi " * 30, "x") for i in range(40)] + [(99, "q", "tiny")], "doc_id long, text string, lang string")
+    assert langid.learn(few, 2000, 500, 100).languages == ["tiny", "x"]
 
 
 def test_toxicity(spark, docs, odd, empty):
@@ -399,9 +527,9 @@ def test_planes_round_trip(kind):
 
 def test_id_files(docs, texts, odd, empty):
     got = planes.id_files(docs, JSON).orderBy("doc_id").collect()
-    enc, start = encoder(JSON), 0
+    enc, start = Tokenizer.from_file(JSON), 0
     for r, i in zip(got, sorted(texts)):
-        ids = np.asarray(enc.tokenizer.encode(texts[i], add_special_tokens=False).ids + [0], "<u4")
+        ids = np.asarray(enc.encode(texts[i], add_special_tokens=False).ids + [0], "<u4")
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     assert planes.id_files(odd, JSON, "bit").count() == len(ODD) + 2 and planes.id_files(empty, JSON).count() == 0
