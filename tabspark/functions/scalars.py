@@ -100,6 +100,13 @@ def crop_to_pixels(width: Column, height: Column, x: Column, y: Column, w: Colum
     return F.when(finite & (x >= 0) & (y >= 0) & (w > 0) & (h > 0) & (x + w <= 1.000001) & (y + h <= 1.000001), box)
 
 
+def frame_table(start: Column, end: Column, fps: Column, step: Column, frames: Column) -> Column:
+    """P10: array<struct<i, t, source_frame>> of so many frames of a slice, ``step`` source frames apart; no time is
+    past the end."""
+    first = F.bround(start * fps).cast("long")
+    return F.transform(F.sequence(F.lit(0).cast("long"), frames.cast("long") - 1), lambda i: F.struct(i.alias("i"), F.least(end, start + i * step / fps).alias("t"), (first + i * step).cast("long").alias("source_frame")))
+
+
 def slice_rule(start: Column, end: Column, duration: Column, fps: Column, step: Column, least: float = 0.25, most: float = 1200.0, frames: int = 180) -> Column:
     """The first rule that a requested slice breaks, null if none."""
     return (
@@ -113,6 +120,7 @@ def clip_range(start: Column, end: Column, duration: Column) -> Column:
     return F.struct(start.alias("start"), F.least(end, duration).alias("end"))
 
 
+# The three forms in which a tempo is printed.
 _TEMPOS = (r"(?:B\s*P\s*M|TEMPO)\s*[:=]?\s*(\d{2,3}(?:\.\d+)?)", r"(\d{2,3}(?:\.\d+)?)\s*(?:B\s*P\s*M)", r"(?:[♩♪]|\b(?:Q|J)\b)\s*=\s*(\d{2,3}(?:\.\d+)?)")
 
 
@@ -123,13 +131,16 @@ def tempo_from_text(text: Column) -> Column:
     return F.coalesce(*[F.when(v.between(30, 300), v) for v in found])
 
 
+# What is printed for a technique, in capital letters only; the first that fits counts.
+PRINTED = {
+    "PM": "palm_mute", "NH|AH|PH|HARM": "harmonic", "FULL|BEND": "bend", "^(?:SL|SLIDE)$": "slide", "^(?:LR|LETRING)$": "let_ring", "^H$": "hammer_on", "^P$": "pull_off",
+}
+
+
 def technique_from_text(text: Column) -> Column:
-    """A playing technique printed over a staff, the first of these that applies."""
-    t = F.regexp_replace(F.upper(text), "[^A-Z]", "")
-    return (
-        F.when(t.contains("PM"), "palm_mute").when(t.rlike("NH|AH|PH|HARM"), "harmonic").when(t.rlike("FULL|BEND"), "bend").when(t.isin("SL", "SLIDE"), "slide")
-        .when(t.isin("LR", "LETRING"), "let_ring").when(t == "H", "hammer_on").when(t == "P", "pull_off")
-    )
+    """A playing technique printed over a staff, the first of the table that applies."""
+    letters = F.regexp_replace(F.upper(text), "[^A-Z]", "")
+    return F.coalesce(*[F.when(letters.rlike(pattern), name) for pattern, name in PRINTED.items()])
 
 
 def parse_fret(text: Column, most: int = 36) -> Column:
@@ -305,9 +316,13 @@ def iou(a: Sequence[Column], b: Sequence[Column]) -> Column:
     return F.coalesce(F.try_divide(w * h, a[2] * a[3] + b[2] * b[3] - w * h), F.lit(0.0))
 
 
+# Nodes of natural harmonics by fret; all other frets have that of the octave.
+NODES = {2: 2.4, 3: 3.2, 4: 4.0, 5: 5.0, 7: 7.0, 8: 8.2, 9: 9.0, 10: 9.6, 12: 12.0, 14: 14.7, 15: 14.7, 16: 16.0, 17: 17.0, 19: 19.0, 21: 21.7, 22: 21.7, 24: 24.0}
+
+
 def harmonic_node(fret: Column) -> Column:
     """Node of a natural harmonic over a fret."""
-    return F.when(fret == 2, 2.4).when(fret == 3, 3.2).when(fret.isin(4, 5, 7, 9, 12, 16, 17, 19, 24), fret.cast("double")).when(fret == 8, 8.2).when(fret == 10, 9.6).when(fret.isin(14, 15), 14.7).when(fret.isin(21, 22), 21.7).otherwise(12.0)
+    return F.coalesce(_pick(fret, NODES), F.lit(12.0))
 
 
 def section_label(i: Column) -> Column:

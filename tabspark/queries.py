@@ -181,8 +181,8 @@ def p9_slice_rule(spark, d):
 
 @query(f"WITH {NOTES} SELECT score_id, measure, ix, unnest(generate_series(0, q)) AS i, unnest(list_transform(generate_series(0, q), lambda i: least(CAST(q AS DOUBLE), i * 2.0))) AS t FROM notes WHERE ix = 1")
 def p10_frame_table(spark, d):
-    n = notes(spark, d).filter("ix = 1").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), c("q").cast("long"))))
-    return n.select("score_id", "measure", "ix", "i", F.least(c("q").cast("double"), c("i") * 2.0).alias("t"))
+    n = notes(spark, d).filter("ix = 1").withColumn("f", F.explode(S.frame_table(F.lit(0.0), c("q").cast("double"), F.lit(1.0), F.lit(2), c("q") + 1)))
+    return n.select("score_id", "measure", "ix", "f.i", "f.t")
 
 
 @query("SELECT page_id, regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]+)', 1) AS host, regexp_matches(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]+)', 1), '(^|\\.)example\\.(com|org)$') AS allowed FROM pages")
@@ -244,10 +244,9 @@ def j4_nearest_line(spark, d):
 
 @query("SELECT user_id, event_id, lo FROM (SELECT user_id, event_id, floor(value / 25) * 25 AS lo FROM events)")
 def j5_in_interval(spark, d):
-    e = table(spark, d, "events").select("user_id", "event_id", "value", F.lit(1).alias("k"))
-    top = e.agg((F.floor(F.max("value") / 25)).cast("int").alias("m"), (F.floor(F.min("value") / 25)).cast("int").alias("z"))
-    bands = top.select(F.explode(F.sequence("z", "m")).alias("b")).select(F.lit(1).alias("k"), (c("b") * 25.0).alias("left"), (c("b") * 25.0 + 25.0).alias("right"))
-    return J.in_measure(e, F.broadcast(bands), ["k"], "value").select("user_id", "event_id", c("left").alias("lo"))
+    e = table(spark, d, "events").select("user_id", "event_id", "value", F.floor(c("value") / 25).alias("band"))
+    bands = e.select("band").distinct().select("band", (c("band") * 25.0).alias("left"), (c("band") * 25.0 + 25.0).alias("right"))
+    return J.in_measure(e, bands, ["band"], "value").select("user_id", "event_id", c("left").alias("lo"))
 
 
 @query(f"WITH {POINTS} SELECT p.event_id, r.event_id AS mark FROM (SELECT * FROM points WHERE kind <> 'click') p LEFT JOIN LATERAL (SELECT event_id FROM points k WHERE k.score_id = p.score_id AND k.kind = 'click' AND k.us <= p.us ORDER BY k.us DESC, k.event_id DESC LIMIT 1) r ON true")
@@ -334,7 +333,7 @@ def j16_match_events(spark, d):
 
 @query()
 def j17_match_detections(spark, d):
-    n = notes(spark, d).select((c("measure") % 500).alias("image_id"), c("string").alias("category_id"), (c("measure") * 10 + c("ix")).cast("int").alias("ord"), c("price").alias("x"), F.lit(0.0).alias("y"), (c("q") * 100.0).alias("w"), F.lit(10.0).alias("h"), (c("discount") * 10).alias("score"), "flag")
+    n = notes(spark, d).select(c("measure").alias("image_id"), (c("string") % 2).alias("category_id"), (c("measure") * 10 + c("ix")).cast("int").alias("ord"), c("price").alias("x"), F.lit(0.0).alias("y"), (c("q") * 100.0).alias("w"), F.lit(10.0).alias("h"), (c("discount") * 10).alias("score"), "flag")
     return J.match_detections(n.filter("flag <> 'R'"), n.filter("flag = 'R'")).select("image_id", "category_id", "ord", "score", "truth_ord")
 
 
@@ -534,7 +533,9 @@ def w6_peaks(spark, d):
     return W.peaks(points(spark, d), ["score_id"], "us", "value", F.lit(60.0)).select("score_id", "event_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {POINTS}, w AS (SELECT score_id, us, CAST(value AS DOUBLE) AS v, lag(value) OVER o AS p, lead(value) OVER o AS n FROM points WINDOW o AS (PARTITION BY score_id ORDER BY us)), k AS (SELECT score_id, us, v, row_number() OVER (PARTITION BY score_id ORDER BY us) AS k FROM w WHERE v >= p AND v > n AND v >= 60),
+r AS (SELECT score_id, k, [{{'us': us, 'v': v}}] AS s FROM k WHERE k = 1 UNION ALL SELECT r.score_id, k.k, CASE WHEN k.us - s[-1].us >= 7200000000 THEN list_append(s, {{'us': k.us, 'v': k.v}}) WHEN k.v > s[-1].v THEN list_append(s[:-2], {{'us': k.us, 'v': k.v}}) ELSE s END FROM r JOIN k ON k.score_id = r.score_id AND k.k = r.k + 1),
+z AS (SELECT score_id, unnest(arg_max(s, k)) AS x FROM r GROUP BY score_id) SELECT score_id, x.us AS us, x.v AS value FROM z""")
 def w7_thin_peaks(spark, d):
     return W.thin_peaks(W.peaks(points(spark, d), ["score_id"], "us", "value", F.lit(60.0)), ["score_id"], "us", "value", 7.2e9)
 
@@ -608,13 +609,14 @@ def w22_signatures(spark, d):
 
 @query()
 def w23_smooth_starts(spark, d):
-    n = notes(spark, d).select((c("score_id") % 50).alias("score_id"), c("measure").alias("frame_id"), (c("measure") * 0.5).alias("t"), (c("ix") - 1).alias("index"), (c("measure") / 4 + c("ix")).cast("int").alias("value"), c("q").cast("double").alias("conf"))
-    return W.smooth_starts(n)
+    week = 7 * 24 * 3_600_000_000
+    p = points(spark, d).select((c("score_id") * 1000 + F.floor(c("us") / week) % 1000).alias("score_id"), c("event_id").alias("frame_id"), (c("us") % week / 6e8).alias("t"), (c("event_id") % 3).cast("int").alias("index"), c("value").alias("conf"))
+    return W.smooth_starts(p.withColumn("value", F.when(c("frame_id") % 7 == 0, 900).otherwise((c("t") * 0.75).cast("int") + c("index"))))
 
 
 @query()
 def w24_leader_clusters(spark, d):
-    e = table(spark, d, "embeddings").select(c("label").alias("run_id"), c("vec_id").alias("ord"), F.transform("embedding", lambda x: (x > 0).cast("tinyint")).alias("feature"))
+    e = table(spark, d, "embeddings").select((c("label") * 1_000_000 + F.floor(c("vec_id") / 1000)).alias("run_id"), c("vec_id").alias("ord"), F.transform("embedding", lambda x: (x > 0).cast("tinyint")).alias("feature"))
     return W.leader_clusters(e, 0.3)
 
 
@@ -801,7 +803,12 @@ def u14_set_duration(spark, d):
     return U.set_duration(notes(spark, d), ["measure"], c("string") > 3, F.lit(16)).select("measure", "ix", "rejected", "duration64")
 
 
-@query()
+REFINGER = f"WITH {NOTES}, g0 AS (SELECT measure, ix, string, fret, fret + [64, 59, 55, 50, 45, 40][string] - [64, 59, 55, 50, 45, 40][string + 1] AS f, flag <> 'N' AND string + 1 <= 6 AND coalesce(fret + [64, 59, 55, 50, 45, 40][string] - [64, 59, 55, 50, 45, 40][string + 1] BETWEEN 0 AND 36, false) AS go FROM notes)" + "".join(
+    f", g{i + 1} AS (SELECT measure, ix, string, fret, f, go AND NOT coalesce(list_contains(list(string) FILTER (NOT go) OVER (PARTITION BY measure), string + 1), false) AS go FROM g{i})" for i in range(6)
+)
+
+
+@query(f"{REFINGER} SELECT measure, ix, CASE WHEN go THEN string + 1 ELSE string END AS string, CASE WHEN go THEN f ELSE fret END AS fret, go AS moved FROM g6")
 def u15_refinger(spark, d):
     n = notes(spark, d).withColumn("selected", c("flag") != "N")
     return U.refinger(n, ["measure"], 1).select("measure", "ix", "string", "fret", "moved")

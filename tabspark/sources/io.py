@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import NOTATION, midi_of, parse_object, spell_pitch
@@ -48,9 +49,14 @@ def read_diagnostics(spark: SparkSession, path: str, engine: str | None = None)
     }
 
 
-def read_manifest(spark: SparkSession, path: str, schema: str = "source_id string, source_path string, status string, error string") -> DataFrame:
-    """Good rows of a JSONL manifest; blank lines are passed over."""
-    return spark.read.schema(schema).json(path).filter("status = 'ok'")
+def read_manifest(spark: SparkSession, path: str, schema: str = "source_id string, source_path string, status string, error string", files: str | None = None, pattern: str = "*") -> DataFrame:
+    """Good rows of a JSONL manifest; blank lines are passed over. Where there is no manifest, the files of the
+    folder ``files`` that fit ``pattern``, named by their stem."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if files is None or where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.read.schema(schema).json(path).filter("status = 'ok'")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(files)
+    return found.select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("source_id"), F.col("path").alias("source_path"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"))
 
 
 def flatten_labels(df: DataFrame, level: str = "note") -> DataFrame:
@@ -88,6 +94,16 @@ def read_score_xml(spark: SparkSession, path: str) -> DataFrame:
     return n.select("path", "number", "ix", F.col("n.rest").isNotNull().alias("rest"), "n.duration", F.col("n.notations.technical.string").alias("string"), F.col("n.notations.technical.fret").alias("fret"))
 
 
+def read_score_tempo(spark: SparkSession, path: str) -> DataFrame:
+    """(path, tempo) of score files: the first tempo of a sound element or a metronome mark, in document order,
+    that is 30 to 300, to a tenth; null if there is none."""
+    mark = r"""<(?:[\w-]+:)?sound\b[^>]*?\btempo\s*=\s*["'][^"']*["']|<(?:[\w-]+:)?per-minute>[^<]*<"""
+    d = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
+    number = lambda m: F.regexp_extract(m, r"""(?:tempo\s*=\s*["']|per-minute>)\s*([0-9.]+)\s*["'<]""", 1).try_cast("double")
+    tempos = F.filter(F.transform(F.regexp_extract_all("value", F.lit(mark), F.lit(0)), number), lambda t: t.between(30, 300))
+    return d.select("path", F.round(F.get(tempos, F.lit(0)), 1).alias("tempo"))
+
+
 def read_project_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Project objects of many files; of one id the last file's; values that are not objects go."""
     d = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
@@ -108,23 +124,53 @@ def write_split(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split").json(path)
 
 
-def write_tsv(df: DataFrame, path: str, digits: int = 4) -> None:
-    """Tab-separated, with doubles at fixed decimals."""
+def write_tsv(df: DataFrame, path: str, digits: int = 4, order: Sequence[str] = ()) -> None:
+    """Tab-separated, with doubles at fixed decimals; sorted by ``order`` over all files, if given."""
+    df = df.orderBy(*order) if order else df
     cols = [F.format_string(f"%.{digits}f", F.col(c)).alias(c) if t == "double" else F.col(c).cast("string").alias(c) for c, t in df.dtypes]
     df.select(*cols).write.mode("overwrite").csv(path, sep="\t")
 
 
+# Elements of score XML for techniques that link a note with the next one on its string, and their signs.
+LINKS = {"hammer_on": ("hammer-on", "H"), "pull_off": ("pull-off", "P"), "slide": ("slide", ""), "legato": ("slur", "")}
+
+
+def link_ends(events: DataFrame) -> DataFrame:
+    """Events with notes that also tell which link ``starts`` and which ``stops`` at them: a linking technique holds
+    from its note to the next one of the score on the same string, if there is one."""
+    keys = ["score_id", "number", "onset64"]
+    n = events.select(*keys, F.posexplode("notes").alias("ix", "n")).select(*keys, "ix", "n.*")
+    w = Window.partitionBy("score_id", "string").orderBy("number", "onset64", "ix")
+    link = F.when(F.col("technique").isin(*LINKS), F.col("technique"))
+    n = n.withColumn("starts", F.when(F.lead("string").over(w).isNotNull(), link)).withColumn("stops", F.lag(link).over(w))
+    notes = n.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ix", "string", "fret", "technique", "starts", "stops"))).alias("_n"))
+    return events.join(notes, keys, "left").withColumn("notes", F.coalesce("_n", F.array().cast(notes.schema["_n"].dataType))).drop("_n")
+
+
 def render_score_xml(events: DataFrame) -> DataFrame:
     """(score_id, xml) of events (score_id, number, onset64, duration64, notes, ts_num, ts_den, changed): one
-    measure element for each number with its attributes where the signature changes, chords, and gaps as rests. Built
-    from strings in each measure, then joined in order for each score; what meets in one row is one score."""
+    measure element for each number with its attributes where the signature changes, chords, the two ends of techniques
+    that link notes, and gaps as rests. Built from strings in each measure, then joined in order for each score; what
+    meets in one row is one score."""
+    events = link_ends(events)
     name = lambda d: _of(d, 0, "eighth")
     kind = lambda d: F.concat(F.lit("<duration>"), d.cast("string"), F.lit("</duration><type>"), name(d), F.lit("</type>"), F.repeat(F.lit("<dot/>"), _of(d, 1, 0).cast("int")))
 
     def note(n: Column, i: Column, d: Column) -> Column:
         p = spell_pitch(midi_of(n["string"], n["fret"]))
         alter = F.when(p["alter"] > 0, F.concat(F.lit("<alter>"), p["alter"].cast("string"), F.lit("</alter>"))).otherwise("")
-        return F.concat(F.lit("<note>"), F.when(i > 0, "<chord/>").otherwise(""), F.lit("<pitch><step>"), p["step"], F.lit("</step>"), alter, F.lit("<octave>"), p["octave"].cast("string"), F.lit("</octave></pitch>"), kind(d), F.lit("<notations><technical><string>"), n["string"].cast("string"), F.lit("</string><fret>"), n["fret"].cast("string"), F.lit("</fret></technical></notations></note>"))
+        return F.concat(F.lit("<note>"), F.when(i > 0, "<chord/>").otherwise(""), F.lit("<pitch><step>"), p["step"], F.lit("</step>"), alter, F.lit("<octave>"), p["octave"].cast("string"), F.lit("</octave></pitch>"), kind(d), F.lit("<notations>"), ends(n, False), F.lit("<technical><string>"), n["string"].cast("string"), F.lit("</string><fret>"), n["fret"].cast("string"), F.lit("</fret>"), ends(n, True), F.lit("</technical></notations></note>"))
+
+    def ends(n: Column, technical: bool) -> Column:
+        out = F.lit("")
+        for field, kind_of_end in (("stops", "stop"), ("starts", "start")):
+            part = F.lit("")
+            for technique, (tag, sign) in LINKS.items():
+                if bool(sign) == technical:
+                    element = f'<{tag} type="{kind_of_end}"' + (f">{sign}</{tag}>" if sign else "/>")
+                    part = F.when(n[field] == technique, element).otherwise(part)
+            out = F.concat(out, part)
+        return out
 
     from ..operators.seq import fill_rests
 
@@ -148,16 +194,18 @@ def _of(d: Column, i: int, default) -> Column:
 
 
 def publish(df: DataFrame, path: str, key: str = "score_id") -> str:
-    """Write a whole version beside the others and then the pointer to it, so a reader sees one version or the
-    next. Returns the version's path."""
+    """Write a whole version beside the others, clustered by its key, and then one more pointer file, which
+    appears at once; so a reader sees one version or the next. Returns the version's path."""
     version = f"{path}/v-{uuid.uuid4().hex}"
-    df.write.partitionBy(key).parquet(version)
-    df.sparkSession.createDataFrame([(version,)], "current string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
+    df.repartitionByRange(key).sortWithinPartitions(key).write.parquet(version)
+    df.sparkSession.createDataFrame([(time.time_ns(), version)], "at long, version string").coalesce(1).write.mode("append").parquet(f"{path}/pointers")
     return version
 
 
 def read_published(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(spark.read.text(f"{path}/current").first()[0])
+    """The version that the newest pointer names."""
+    newest = spark.read.schema("at long, version string").parquet(f"{path}/pointers").agg(F.max(F.struct("at", "version")).alias("p")).first()["p"]
+    return spark.read.parquet(newest["version"])
 
 
 def write_summary(df: DataFrame, path: str, **aggregates: Column) -> None:
@@ -165,7 +213,9 @@ def write_summary(df: DataFrame, path: str, **aggregates: Column) -> None:
     df.agg(F.to_json(F.struct(*[v.alias(k) for k, v in aggregates.items()])).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
-def with_errors(df: DataFrame, parsed: Column, columns: Sequence[str], reason: str = "unreadable", chars: int = 300) -> tuple[DataFrame, DataFrame]:
-    """Rows that could be read and, apart, those that could not with a clipped reason; the run goes on."""
+def with_errors(df: DataFrame, parsed: Column, columns: Sequence[str], error: Column | str = "unreadable", chars: int = 300) -> tuple[DataFrame, DataFrame]:
+    """Rows that could be read and, apart, those that could not with what went wrong (a column, or one text for
+    all), clipped; the run goes on."""
+    told = F.lit(error) if isinstance(error, str) else error.cast("string")
     d = df.withColumn("parsed", parsed)
-    return d.filter("parsed is not null"), d.filter("parsed is null").select(*columns, F.substring(F.lit(reason), 1, chars).alias("error"))
+    return d.filter("parsed is not null"), d.filter("parsed is null").select(*columns, F.substring(told, 1, chars).alias("error"))

@@ -246,3 +246,106 @@ def test_rates_sections_and_marks(spark):
     assert values(A.tempo_from_pages(p), "tempo") == [(90.5,)]
     m = spark.createDataFrame([("s", 0, "bad"), ("s", 1, "92.04"), ("s", 2, "80")], "score_id string, ord int, tempo string")
     assert values(A.tempo_from_score(m), "tempo") == [(92.0,)]
+
+
+def test_store_and_files(spark, tmp_path):
+    for t, schema in IO.STORE.items():
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / "store" / t))
+    tables = IO.load_store(spark, str(tmp_path / "store"))
+    assert set(tables) == set(IO.STORE) and all(t.count() == 0 for t in tables.values())
+    coco = {"images": [{"id": 1, "file_name": "a", "width": 9, "height": 4}], "annotations": [{"id": 5, "image_id": 2, "category_id": 1, "bbox": [0, 0, 3, 0]}], "categories": [{"id": 1, "name": "fret"}]}
+    (tmp_path / "c.json").write_text(json.dumps(coco, indent=1))
+    d = IO.read_coco(spark, str(tmp_path / "c.json"))
+    assert values(d["annotations"], "id", "image_id") == [(5, 2)] and values(d["categories"], "name") == [("fret",)]
+    wrong = {tuple(r) for r in U.validate_coco(d["images"], d["annotations"], d["categories"], ["fret", "string"]).collect()}
+    assert wrong == {("missing_category", "string"), ("unknown_image", "5"), ("empty_box", "5"), ("small_image", "1")}
+    for name, projects in (("1.json", {"a": {"source_id": "old"}, "b": 3}), ("2.json", {"a": {"source_id": "new"}})):
+        (tmp_path / "meta").mkdir(exist_ok=True)
+        (tmp_path / "meta" / name).write_text(json.dumps({"projects": projects}))
+    assert values(IO.read_project_metadata(spark, str(tmp_path / "meta")), "project_id", "source_id") == [("a", "new")]
+    run = tmp_path / "media" / "p1" / "runs" / "r7" / "frames"
+    run.mkdir(parents=True)
+    (run / "frame-0012.png").write_bytes(b"x")
+    (run / "other.png").write_bytes(b"y")
+    assert [tuple(r) for r in IO.scan_frames(spark, str(tmp_path / "media")).select("frame", "length").collect()] == [(12, 1)]
+
+
+def test_manifest_without_a_file(spark, tmp_path):
+    (tmp_path / "scores").mkdir()
+    (tmp_path / "scores" / "one.gp5").write_text("x")
+    (tmp_path / "scores" / "two.txt").write_text("x")
+    m = IO.read_manifest(spark, str(tmp_path / "none.jsonl"), files=str(tmp_path / "scores"), pattern="*.gp5")
+    assert values(m, "source_id", "status", "error") == [("one", "ok", None)]
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("b", 2.0, "train"), ("a", 1.23456, "test")], "path string, score double, split string")
+    IO.write_split(df, str(tmp_path / "split"))
+    assert {p.name for p in (tmp_path / "split").iterdir() if p.is_dir()} == {"split=test", "split=train"}
+    IO.write_tsv(df.select("path", "score"), str(tmp_path / "tsv"), order=["path"])
+    lines = [x for p in sorted((tmp_path / "tsv").glob("part-*")) for x in p.read_text().splitlines()]
+    assert lines == ["a\t1.2346", "b\t2.0000"]
+    IO.write_summary(df, str(tmp_path / "sum"), n=F.count("*"), best=F.max("score"))
+    assert json.loads(next((tmp_path / "sum").glob("part-*")).read_text()) == {"n": 2, "best": 2.0}
+    good, bad = IO.with_errors(df, F.when(F.col("score") < 2, F.col("path")), ["path"], F.concat(F.lit("cannot read "), "path", F.lit(" because it is long")), 15)
+    assert values(good, "path", "parsed") == [("a", "a")] and values(bad, "path", "error") == [("b", "cannot read b b")]
+
+
+def test_score_tempo_and_link_ends(spark, tmp_path):
+    (tmp_path / "a.xml").write_text('<score><measure number="1"><direction><per-minute> 12 </per-minute><sound tempo="92.04"/></direction></measure></score>')
+    (tmp_path / "b.xml").write_text("<score/>")
+    got = {r.path.rsplit("/", 1)[1]: r.tempo for r in IO.read_score_tempo(spark, str(tmp_path / "*.xml")).collect()}
+    assert got == {"a.xml": 92.0, "b.xml": None}
+    rows = [("s", 1, 0, 32, [(1, 3, "hammer_on"), (2, 5, "slide")], 4, 4, True), ("s", 1, 32, 32, [(1, 5, "bend")], 4, 4, True), ("s", 2, 0, 64, [(1, 7, "pull_off")], 4, 4, False)]
+    e = spark.createDataFrame(rows, "score_id string, number int, onset64 int, duration64 int, notes array<struct<string:int,fret:int,technique:string>>, ts_num int, ts_den int, changed boolean")
+    xml = IO.render_score_xml(e).first().xml
+    assert xml.count('<hammer-on type="start">H</hammer-on>') == xml.count('<hammer-on type="stop">H</hammer-on>') == 1
+    assert "slide" not in xml and "pull-off" not in xml  # no later note on their strings
+
+
+def test_models(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(5)], "id int, x double")
+    got = models.predict(df, lambda: lambda f: f.assign(x=f["x"] * 2), "id int, x double", batch=2)
+    assert sorted(values(got, "id", "x")) == [(i, 2.0 * i) for i in range(5)]
+    logits = spark.createDataFrame([([[0.1, 0.9, 0.0], [0.0, 0.8, 0.2], [0.9, 0.0, 0.1], [0.1, 0.7, 0.2], [0.2, 0.1, 0.7]],)], "logits array<array<double>>")
+    r = models.read_text(logits, "logits", "37").first()
+    assert r.text == "337" and abs(r.confidence - (0.9 + 0.7 + 0.7) / 3) < 1e-9
+    boxes = spark.createDataFrame([("b", [1, 2], [[0.0, 0.9, 1.0, 1.0, 4.0, 3.0], [1.0, 0.5, 0.0, 0.0, 2.0, 2.0], [0.0, 0.1, 0.0, 0.0, 1.0, 1.0]])], "batch_id string, counts array<int>, boxes array<array<double>>")
+    assert sorted(values(models.decode_detections(boxes, ["fret", "line"]), "image_ix", "label", "w")) == [(0, "fret", 3.0), (1, "line", 2.0)]
+
+
+def test_several_inserts_in_a_measure(spark):
+    e = spark.createDataFrame([(1, 0, 32, False, [(1, 3, None)])], "m int, onset64 int, duration64 int, rest boolean, notes array<struct<string:int,fret:int,technique:string>>")
+    ins = spark.createDataFrame([(1, 16, 2, 5, 8), (1, 16, 3, 6, 8), (1, 0, 1, 9, 8), (2, 4, 1, 1, 8)], "m int, at64 int, string int, fret int, length64 int")
+    got = sorted((r.m, r.onset64, r.duration64, [(n.string, n.fret) for n in r.notes]) for r in U.insert_notes(e, ins, ["m"]).collect())
+    assert got == [(1, 0, 16, [(1, 9)]), (1, 16, 8, [(2, 5), (3, 6)]), (2, 4, 8, [(1, 1)])]
+
+
+def test_section_boundaries(spark):
+    flat = [0.0] * 100
+    flat[20], flat[24], flat[60], flat[96] = 5.0, 4.0, 6.0, 9.0  # 24 is too near to 20, 96 to the end
+    df = spark.createDataFrame([("s", i, v) for i, v in enumerate(flat)] + [("t", i, 0.0) for i in range(9)], "score_id string, segment int, segment_novelty double")
+    got = sorted(values(T.section_boundaries(df, ["score_id"]), "score_id", "start", "end"))
+    assert [g for g in got if g[0] == "t"] == [("t", 0, 9)] and ("s", 20) in [g[:2] for g in got] and ("s", 60) in [g[:2] for g in got]
+    assert all(e - b >= 8 for k, b, e in got if k == "s") and max(e - b for k, b, e in got if k == "s") <= 28
+    assert [r.c for r in spark.createDataFrame([(0, 0.0), (5, 2.0), (9, 4.0)], "a int, n double").select(T.boundary_confidence(F.col("a"), F.col("n"), F.lit(4.0)).alias("c")).collect()] == [0.35, 0.65, 0.95]
+
+
+def test_merged_boundaries_and_chroma(spark):
+    df = spark.createDataFrame([("p", float(x)) for x in (0, 50, 52, 100, 150)], "page string, x double")
+    assert values(W.filter_boundaries(df, ["page"], "x", 5.0).orderBy("x"), "x") == [(0.0,), (51.0,), (100.0,), (150.0,)]
+    c = one(spark, c=T.chroma(F.array(*[F.lit(1.0) if i == 40 else F.lit(0.0) for i in range(513)]))).c
+    hz = 40 * 11_025 / 2 / 512
+    import math
+
+    assert len(c) == 12 and max(range(12), key=c.__getitem__) == round(69 + 12 * math.log2(hz / 440)) % 12 and abs(sum(x * x for x in c) - 1) < 1e-6
+
+
+def test_stream_status(spark, tmp_path):
+    src = tmp_path / "in"
+    spark.createDataFrame([("a", 1, "2024-01-01 00:00:00", "start", "m"), ("a", 2, "2024-01-01 00:01:00", "finish", "n"), ("a", 1, "2024-01-01 00:02:00", "fail", "o")], "score_id string, analysis_id int, ts string, status string, message string").withColumn("ts", F.to_timestamp("ts")).write.parquet(str(src))
+    events = spark.readStream.schema("score_id string, analysis_id int, ts timestamp, status string, message string").parquet(str(src))
+    current = spark.createDataFrame([("a", 2)], "score_id string, analysis_id int")
+    q = Z.stream_status(events, current).writeStream.format("memory").queryName("status").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert values(spark.table("status"), "score_id", "status") == [("a", "finish")]
