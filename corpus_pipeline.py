@@ -1,4 +1,9 @@
-"""The corpus pipeline: four stages over ``documents``, each writing what the next one reads."""
+"""The corpus pipeline: four stages over ``documents``, each writing what the next one reads.
+
+All stages take any extra columns along (the last returns pieces only), give no rows for an empty table, and keep a
+null text as an empty one and a row without an id. Ties (equal scores or texts) fall alike. Repeated rows of one id
+stay until near-dedup, which keeps one of them.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +15,10 @@ from tabspark.llm.common import read, shared_dir, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, learned from the labelled ones among them, does not reject."""
-    return toxicity.without_toxic(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
+    """Documents that the toxicity model, learned from the labelled ones among them, does not reject; all if the labels
+    do not tell toxic from clean ones."""
+    model = toxicity.learn(docs, read(spark, sf_dir, "labels"))
+    return toxicity.without_toxic(docs, model) if model.trees else docs
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -153,7 +153,8 @@ def write_ids(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id"
 
     One range of ids makes one file of about ``FILE_BYTES`` of text, or less where that makes fewer files than shuffle
     partitions; the manifest has one row a file. An attempt that is lost or repeated leaves a file that no manifest names. A null text has no ids but the end
-    id; null ids come first; repeated ids stay, in order of their text. Other columns are not read.
+    id; null ids come first; repeated ids stay, in order of their text; an empty table makes no file. Other columns are
+    not read.
     """
     from pyspark import TaskContext
 

@@ -22,6 +22,7 @@ from .trees import Tree, boost, isotonic, margin
 PER_CLASS = 5000  # labelled rows of each class that a fit reads at most (about)
 LEXICON = 4000  # entries at most, those with the most evidence
 LEAST = 5  # toxic sample texts that an entry must be in
+CANDIDATES = 50_000  # terms that are weighed for the lexicon, at most: those that most toxic sample texts have
 CUT = 0.5
 NEAR = 5  # words between a hit and a second-person word
 # Second-person words of the four languages of the tables, and digits or signs used for letters.
@@ -46,9 +47,10 @@ def terms(word: str) -> list[str]:
     return [f"={word}", *(f"^{word[:n]}" for n in (4, 5, 6) if len(word) > n)] if word else []
 
 
-def lexicon(sample: DataFrame, size: int = LEXICON, least: int = LEAST) -> dict[str, float]:
-    """Log odds of terms from labelled texts (doc_id, text, label). Two passes: terms that enough toxic texts have,
-    then, for these only, how many other texts have them; at most 50,000 terms pass between them."""
+def lexicon(sample: DataFrame, size: int = LEXICON, least: int = LEAST, candidates: int = CANDIDATES) -> dict[str, float]:
+    """Log odds of terms from the sample of labelled texts (doc_id, text, label). Two passes: terms that enough toxic
+    texts have, then, for these only, how many other texts have them. Of more than ``candidates`` terms the rarest
+    have no entry; it is a bound of the fit, and all texts are scored with all entries."""
 
     def document_counts(wanted: frozenset | None):
         def run(batches):
@@ -66,7 +68,7 @@ def lexicon(sample: DataFrame, size: int = LEXICON, least: int = LEAST) -> dict[
     def counts(label: int, wanted=None, floor: int = 1) -> dict[str, int]:
         texts = map_texts(sample.filter(F.col("label") == label).select("text"), document_counts(wanted), "term string, n long")
         total = texts.groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= floor)
-        return {r["term"]: r["n"] for r in total.orderBy(F.desc("n"), "term").limit(50_000).collect()}
+        return {r["term"]: r["n"] for r in total.orderBy(F.desc("n"), "term").limit(candidates).collect()}
 
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     bad = counts(1, floor=least)

@@ -572,3 +572,96 @@ def test_pipeline_stages_keep_odd_rows(spark, odd, empty, tmp_path):
 
 def test_statistics_of_odd_texts(odd):
     assert with_statistics(odd.select("doc_id", "text")).filter("stat.n_words is null").count() == 0
+
+
+LONG = 1_200_000  # characters of the very long text
+
+
+@pytest.fixture(scope="module")
+def long_text(texts):
+    parts, n = [], 0
+    for t in [*texts.values()] * 40:
+        parts.append(t)
+        n += len(t) + 1
+        if n > LONG:
+            break
+    return " ".join(parts)[:LONG]
+
+
+def test_a_very_long_text_is_worked_on_whole(spark, docs, long_text):
+    import base64
+
+    import tiktoken
+
+    other = "Some short text of a few words that stands beside it."
+    df = spark.createDataFrame([(1, long_text, "en"), (2, other, "en"), (3, long_text[:-50] + " end of the copy", "en")], "doc_id long, text string, lang string")
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ids = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(long_text)
+    got = {r.doc_id: r for r in bpe.digests(df, RANKS, public.PATTERN).collect()}
+    assert got[1].n_tokens == len(ids) and got[1].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    assert got[1].decoded_sha256 == hashlib.sha256(long_text.encode()).hexdigest()
+    pieces = packing.pack(df, JSON).toPandas()
+    assert pieces[pieces.doc_id == 1].length.sum() == len(Tokenizer.from_file(JSON).encode(long_text, add_special_tokens=False).ids) + 1
+    files = {r.doc_id: r.n_tokens for r in planes.id_files(df, JSON).collect()}
+    assert files == {d: n for d, n in pieces.groupby("doc_id").length.sum().items()}
+    near = {r.doc_id: r for r in minhash.classes(df).collect()}
+    assert near[1].n_shingles == len(shingle_set(long_text)) and near[3].component_id == 1 and near[2].kept
+    model = langid.learn(docs)
+    assert langid.identify(df, model).filter("lang_pred is not null").count() == 3
+    marks = {r.doc_id: r for r in winnow.edited_fingerprints(df).collect()}
+    assert marks[1].n_chars == len(long_text) and marks[3].near_next < 0.1 < marks[1].near_edited
+    counts = {r.doc_id: r for r in weak.judge(df).collect()}
+    assert (counts[1].n_words, counts[1].word_chars, counts[1].n_symbols, counts[1].n_dup_lines, counts[1].n_repeat_words) == base_counts(long_text)
+    page = f"<body><nav>menu</nav><article><p>{long_text}</p></article></body>"
+    from html import escape
+
+    pages = spark.createDataFrame([(1, "http://a.example.org/", page.replace(long_text, escape(long_text)))], "page_id long, url string, html string")
+    assert html.extract(pages).first().text == " ".join(long_text.split())
+
+
+def test_odd_rows_have_the_stated_values(spark, odd):
+    ids = {r.doc_id: r for r in planes.id_files(odd, JSON).collect()}
+    start = np.asarray([0], "<u4").tobytes()
+    assert ids[3].n_tokens == 1 and ids[3].ids_crc32 == zlib.crc32(start) and sum(r.n_tokens for r in planes.id_files(odd, JSON).collect()) == packing.pack(odd, JSON).agg(F.sum("length")).first()[0]
+    base = {r.doc_id: r for r in weak.judge(odd).collect()}
+    assert (base[3].n_words, base[3].base_failed, base[3].kept) == (0, True, False) and (base[9].n_words, base[9].n_repeat_words, base[9].base_failed) == (3000, 3000, True)
+    labels = spark.read.parquet(str(DATA / "labels.parquet"))
+    rules = quality.learn(spark.read.parquet(str(DATA / "documents.parquet")), labels)
+    scores = quality.classify(odd, rules).collect()
+    assert {r.score for r in scores if r.doc_id == 3} == {r.score for r in scores if r.doc_id == 0} and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in scores)
+    marks = winnow.edited_fingerprints(odd).collect()
+    assert all(r.fingerprint == "" and r.n_chars == 0 for r in marks if r.doc_id in (0, 3)) and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in marks)
+    decoded = {r.doc_id: r for r in bpe.digests(odd, RANKS, public.PATTERN).collect()}
+    assert (decoded[3].n_tokens, decoded[3].ids_sha256, decoded[3].decoded_sha256) == (0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest())
+
+
+def test_special_tokens_are_read_as_the_library_does():
+    from tabspark.llm.tokenids import IdEncoder
+
+    texts = ["hello <|endoftext|> bye", "a <|endoftext|>", "<|endoftext|>", "plain text only", None, ""]
+    plain, default = Tokenizer.from_file(JSON), Tokenizer.from_file(JSON)
+    plain.encode_special_tokens = True
+    for enc, made in ((default, IdEncoder(JSON)), (plain, IdEncoder(JSON, True))):
+        want = [np.asarray(enc.encode(t, add_special_tokens=False).ids if t else [], "<u4").tobytes() for t in texts]
+        assert [bytes(x) for x in made.encode(pa.array(texts))] == want
+
+
+def test_html_columns_may_clash(spark):
+    rows = [(i, f"http://h.example.org/{i}", f"<div><p>own {i}</p></div><p>same</p>", "x", 1, "y", 3) for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, part int, text string, n long")
+    assert {r.page_id: r.text for r in html.extract(df).collect()} == {i: f"own {i}" for i in range(5)}
+
+
+def test_pipeline_stages_on_a_larger_table(spark):
+    """Forty real rules over the statistics: the filter must not work them out again for each rule and word."""
+    import time
+
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.01"
+    d = spark.read.parquet(f"{folder}/documents.parquet")
+    rules = quality.learn(d, spark.read.parquet(f"{folder}/labels.parquet"))
+    begun = time.monotonic()
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["quality"](spark, d, folder).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in quality.classify(d, rules).collect() if r.predicted} and time.monotonic() - begun < 120
