@@ -230,9 +230,25 @@ def head_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= n)
 
 
-def ordered(df: DataFrame, *order: Column) -> DataFrame:
-    """K2, K3, K8: rows in order; the library has no other stable order than one that names its last key."""
-    return df.orderBy(*order)
+def _placed(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
+    return df.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def ordered_assets(assets: DataFrame) -> DataFrame:
+    """K2: assets (score_id, asset_id, sort_order, created_at) with their position in the score: by sort order, then
+    age, then id, so that equal ones have one order."""
+    return _placed(assets, ["score_id"], F.col("sort_order"), F.col("created_at"), F.col("asset_id"))
+
+
+def rank_clusters(clusters: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """K3: clusters (member_count, source_id, project_id, analysis_id, cluster_id) with their position in a group: most
+    members first, equal ones by the four ids."""
+    return _placed(clusters, keys, F.desc("member_count"), *[F.col(k) for k in ("source_id", "project_id", "analysis_id", "cluster_id")])
+
+
+def order_notes(notes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """K8: notes (measure, start, string) with their position in a score, as they are read."""
+    return _placed(notes, keys, F.col("measure"), F.col("start"), F.col("string"))
 
 
 def rank_tracks(tracks: DataFrame, pattern: str) -> DataFrame:

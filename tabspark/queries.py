@@ -631,10 +631,13 @@ def t6_novelty(spark, d):
     return T.novelty(points(spark, d), ["score_id"], "us", "value").select("score_id", "event_id", F.round("novelty", 6).alias("novelty"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {NOVELTY}, h2 AS (SELECT score_id, greatest(0.16, median(novelty) + 0.65 * stddev_pop(novelty)) AS t FROM nov GROUP BY score_id), w AS (SELECT score_id, us, novelty AS v, lag(novelty) OVER o AS p, lead(novelty) OVER o AS n FROM nov WINDOW o AS (PARTITION BY score_id ORDER BY us)),
+k AS (SELECT w.score_id, us, v, row_number() OVER (PARTITION BY w.score_id ORDER BY us) AS k FROM w JOIN h2 ON h2.score_id = w.score_id WHERE v >= p AND v > n AND v >= t),
+r AS (SELECT score_id, k, [{{'us': us, 'v': v}}] AS s FROM k WHERE k = 1 UNION ALL SELECT r.score_id, k.k, CASE WHEN k.us - s[-1].us >= 600000000 THEN list_append(s, {{'us': k.us, 'v': k.v}}) WHEN k.v > s[-1].v THEN list_append(s[:-2], {{'us': k.us, 'v': k.v}}) ELSE s END FROM r JOIN k ON k.score_id = r.score_id AND k.k = r.k + 1),
+z AS (SELECT score_id, unnest(arg_max(s, k)) AS x FROM r GROUP BY score_id) SELECT score_id, x.us AS us, round(x.v, 6) AS novelty FROM z""")
 def t7_onsets(spark, d):
     n = T.novelty(points(spark, d), ["score_id"], "us", "value")
-    return T.onsets(n, ["score_id"], "us", 600_000_000)
+    return T.onsets(n, ["score_id"], "us", 600_000_000).withColumn("novelty", F.round("novelty", 6))
 
 
 @query(f"""WITH {POINTS}, x AS (SELECT score_id, row_number() OVER (PARTITION BY score_id ORDER BY us) - 1 AS i, value - avg(value) OVER (PARTITION BY score_id) AS c FROM points), e AS (SELECT score_id, sum(c * c) AS e FROM x GROUP BY score_id)

@@ -86,10 +86,10 @@ def read_label_list(spark: SparkSession, path: str) -> DataFrame:
     return d.filter(F.col("label").rlike(r"^\d+$") & (F.col("label").try_cast("int") <= 22)).withColumn("label", F.col("label").cast("int"))
 
 
-def read_score_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Notes of the measures of score files; ``rest`` is present for rests."""
+def read_score_xml(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Notes of the measures of score files, or of files with one measure a line; ``rest`` is present for rests."""
     schema = "_number int, note array<struct<rest:string,duration:int,type:string,notations:struct<technical:struct<string:int,fret:int>>>>"
-    m = spark.read.format("xml").option("rowTag", "measure").schema(schema).load(path).withColumn("path", F.input_file_name())
+    m = spark.read.format("xml").option("rowTag", "measure").option("multiLine", not lines).schema(schema).load(path).withColumn("path", F.input_file_name())
     n = m.select("path", F.col("_number").alias("number"), F.posexplode("note").alias("ix", "n"))
     return n.select("path", "number", "ix", F.col("n.rest").isNotNull().alias("rest"), "n.duration", F.col("n.notations.technical.string").alias("string"), F.col("n.notations.technical.fret").alias("fret"))
 
