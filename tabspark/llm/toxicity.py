@@ -13,10 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, labelled_sample, map_texts, slices, split_of
+from .common import GAP_SQL, WORD, labelled_sample, map_texts, slices, split_of
 from .trees import Tree, boost, isotonic, margin
 
 PER_CLASS = 5000  # labelled rows of each class that a fit reads at most (about)
@@ -24,11 +25,13 @@ LEXICON = 4000  # entries at most, those with the most evidence
 LEAST = 5  # toxic sample texts that an entry must be in
 CANDIDATES = 50_000  # terms that are weighed for the lexicon, at most: those that most toxic sample texts have
 CUT = 0.5
+BEGINNINGS = (4, 5, 6)  # lengths of word beginnings in the lexicon
 NEAR = 5  # words between a hit and a second-person word
 # Second-person words of the four languages of the tables, and digits or signs used for letters.
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine deinen ihr euch tu te toi ton ta tes vous votre vos ti tú usted ustedes vosotros"
 LOOKALIKES = str.maketrans("013457@$!|", "oieastasii")
 FEATURES = ("log_words", "hits", "strong", "weight", "log_hits", "near_you", "you", "capitals", "marks", "points", "symbols", "obfuscated", "digits", "top_weight")
+_TRIPLE = re.compile(r"(.)\1\1")
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»„“”‘’…"
 
 
@@ -44,7 +47,7 @@ def plain(word: str) -> str:
 
 def terms(word: str) -> list[str]:
     """What a word may be looked up by: itself (``=``) and its beginnings (``^``)."""
-    return [f"={word}", *(f"^{word[:n]}" for n in (4, 5, 6) if len(word) > n)] if word else []
+    return [f"={word}", *(f"^{word[:n]}" for n in BEGINNINGS if len(word) > n)] if word else []
 
 
 def lexicon(sample: DataFrame, size: int = LEXICON, least: int = LEAST, candidates: int = CANDIDATES) -> dict[str, float]:
@@ -79,55 +82,87 @@ def lexicon(sample: DataFrame, size: int = LEXICON, least: int = LEAST, candidat
 
 
 class Features:
-    """Feature rows of whole texts. What a word contributes is kept in a bounded cache and added up by numpy."""
+    """Feature rows of whole texts. Arrow cuts a slice of texts into words; what a distinct word contributes is looked
+    up in a bounded cache, and numpy adds up what the words of a text contribute."""
 
     def __init__(self, lexicon: dict[str, float], limit: int = 200_000):
-        self.lexicon, self.limit, self.you = lexicon, limit, frozenset(SECOND_PERSON.split())
+        self.limit, self.you = limit, frozenset(SECOND_PERSON.split())
+        self.whole = {t[1:]: w for t, w in lexicon.items() if t[0] == "="}
+        self.begins = {t[1:]: w for t, w in lexicon.items() if t[0] == "^"}
+        self._clear()
+
+    def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.rows = np.zeros((1024, 9), np.float32)
-        self.count = 0
+        self.rows = np.zeros((1024, 9), np.float32)  # row 0 is that of all words that contribute nothing
+        self.count = 1
 
     def weight(self, word: str) -> float:
-        return max((self.lexicon.get(t, 0.0) for t in terms(word)), default=0.0)
-
-    def number(self, word: str) -> int:
-        at = self.known.get(word)
-        if at is not None:
-            return at
-        if self.count >= len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        best, begins = self.whole.get(word, 0.0), self.begins
+        for n in BEGINNINGS:
+            if len(word) > n and (w := begins.get(word[:n])) is not None and w > best:
+                best = w
+        return best
+
+    def row(self, word: str) -> tuple | None:
+        """What a word contributes: hit, strong hit, weight, second person, capitals, marks, points, symbols, hidden;
+        None if nothing."""
         inner = core(word)
         weight = self.weight(inner)
-        signs = sum(not c.isalnum() for c in inner)
-        mixed = any(c.isdigit() for c in inner) and any(c.isalpha() for c in inner)
-        hidden = bool(signs or mixed) or bool(re.search(r"(.)\1\1", inner))
+        if inner.isalpha():
+            hidden = _TRIPLE.search(inner) is not None
+        else:
+            mixed = any(map(str.isdigit, inner)) and any(map(str.isalpha, inner))
+            hidden = inner != "" and (mixed or not inner.isalnum() or _TRIPLE.search(inner) is not None)
         if hidden and weight == 0.0:
             weight = self.weight(plain(word))
-        letters = sum(map(str.isalpha, word))
-        self.rows[self.count] = (weight > 0, weight > 3, weight, inner in self.you, letters > 1 and word.isupper(), sum(c in "!?" for c in word), sum(c in ".,;:" for c in word), sum(c in "#*$%&|<>@" for c in word), hidden and inner != "")
-        at = self.known[word] = self.count
-        self.count += 1
+        signs = () if word.isalpha() else tuple(sum(map(word.count, group)) for group in ("!?", ".,;:", "#*$%&|<>@"))
+        capitals = word.isupper() and sum(map(str.isalpha, word)) > 1
+        if not (weight or hidden or capitals or any(signs) or inner in self.you):
+            return None
+        return (weight > 0, weight > 3, weight, inner in self.you, capitals, *(signs or (0, 0, 0)), hidden)
+
+    def number(self, word: str) -> int:
+        row, at = self.row(word), 0
+        if row is not None:
+            if self.count >= len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[self.count], at = row, self.count
+            self.count += 1
+        self.known[word] = at
         return at
 
-    def of(self, text: str | None) -> list[float]:
-        words = WORD.findall(text or "")
-        n = len(words)
-        if not n:
-            return [0.0] * len(FEATURES)
-        if self.count > self.limit:
-            self.known, self.count = {}, 0
-        at = np.fromiter(map(self.number, words), np.int64, n)
-        rows = self.rows[at]
-        hits, strong, weight, you, capitals, marks, points, symbols, hidden = rows.sum(axis=0, dtype=float)
-        near = 0
-        if hits and you:
-            there = np.flatnonzero(rows[:, 3])
-            mine = np.flatnonzero(rows[:, 0])
-            k = np.searchsorted(there, mine)
-            gap = np.minimum(np.abs(mine - there[np.minimum(k, len(there) - 1)]), np.abs(mine - there[np.maximum(k - 1, 0)]))
-            near = int((gap <= NEAR).sum())
-        digits = sum(map(str.isdigit, text)) if any(d in text for d in "0123456789") else 0
-        return [np.log1p(n), hits / n, strong / n, weight / n, np.log1p(hits), near / n, you / n, capitals / n, marks / n, points / n, symbols / n, hidden / n, digits / len(text), float(rows[:, 2].max())]
+    def of(self, texts: pa.Array) -> np.ndarray:
+        """[text, feature]; all 0 for a text without words."""
+        out = np.zeros((len(texts), len(FEATURES)))
+        if not len(texts):
+            return out
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        parts = pc.split_pattern_regex(texts, GAP_SQL)  # at least one word of each text, which may be empty
+        starts, coded = parts.offsets.to_numpy()[:-1], parts.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.known) > self.limit:
+            self._clear()
+        get, number = self.known.get, self.number
+        numbers = np.fromiter((number(w) if (k := get(w)) is None else k for w in distinct), np.int64, len(distinct))
+        indices = coded.indices.to_numpy()
+        real = np.fromiter((w != "" for w in distinct), bool, len(distinct))[indices]
+        rows = self.rows[numbers[indices]]
+        n = np.add.reduceat(real.astype(np.int64), starts)
+        per = np.maximum(n, 1)
+        hits, strong, weight, you, capitals, marks, points, symbols, hidden = np.add.reduceat(rows, starts, axis=0, dtype=float).T
+        owner = np.repeat(np.arange(len(texts)), np.diff(np.append(starts, len(indices))))
+        place = np.cumsum(real) + owner * (NEAR + 1)  # words of two texts are never near
+        there, mine = place[rows[:, 3] > 0], np.flatnonzero(rows[:, 0] > 0)
+        near = np.zeros(len(texts))
+        if len(there) and len(mine):
+            k = np.searchsorted(there, place[mine])
+            gap = np.minimum(np.abs(place[mine] - there[np.minimum(k, len(there) - 1)]), np.abs(place[mine] - there[np.maximum(k - 1, 0)]))
+            near = np.bincount(owner[mine][gap <= NEAR], minlength=len(texts))
+        digits = pc.count_substring_regex(texts, "[0-9]").to_numpy() / np.maximum(1, pc.utf8_length(texts).to_numpy())
+        columns = (np.log1p(n), hits / per, strong / per, weight / per, np.log1p(hits), near / per, you / per, capitals / per, marks / per, points / per, symbols / per, hidden / per, np.where(n > 0, digits, 0), np.maximum.reduceat(rows[:, 2], starts))
+        for k, c in enumerate(columns):
+            out[:, k] = c
+        return out
 
 
 @dataclass
@@ -150,9 +185,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
     def run(batches):
         f = Features(words)
-        for b in slices(batches, limit=1_000_000):
-            rows = [f.of(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "label", "part", "x"])
+        for b in slices(batches, limit=2_000_000):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(list(f.of(b.column(1))), pa.list_(pa.float64()))], names=["doc_id", "label", "part", "x"])
 
     rows = map_texts(sample.select("doc_id", "text", "label", part.cast("int").alias("part")), run, "doc_id long, label int, part int, x array<double>").toPandas().sort_values("doc_id")
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES))
@@ -171,9 +205,8 @@ def classify(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
 
     def run(batches):
         f = Features(model.lexicon)
-        for b in slices(batches, limit=1_000_000):
-            x = np.array([f.of(t) for t in b.column(2).to_pylist()], float).reshape(-1, len(FEATURES))
-            s = model.score(x)
+        for b in slices(batches, limit=2_000_000):
+            s = model.score(f.of(b.column(2)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= cut).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (split_of("doc_id", 5) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
@@ -186,9 +219,8 @@ def without_toxic(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
 
     def run(batches):
         f = Features(model.lexicon)
-        for b in slices(batches, limit=1_000_000):
-            x = np.array([f.of(t) for t in b.column(at).to_pylist()], float).reshape(-1, len(FEATURES))
-            yield b.filter(pa.array(model.score(x) < cut))
+        for b in slices(batches, limit=2_000_000):
+            yield b.filter(pa.array(model.score(f.of(b.column(at))) < cut))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -502,6 +502,15 @@ def test_toxicity(spark, docs, odd, empty):
     assert toxicity.without_toxic(odd, model).columns == odd.columns and toxicity.learn(empty, labels).trees == []
 
 
+def test_toxic_features_by_hand():
+    f = toxicity.Features({"=idiot": 4.0, "^stup": 2.0})
+    x = {t: dict(zip(toxicity.FEATURES, r)) for t, r in zip(["a", "b", "c", "d"], f.of(pa.array(["you are an IDIOT!! 1 2 ", "stupid a b c d e f you", None, "  \n idi0t, soooo"])).tolist())}
+    a, b, c, d = x.values()
+    assert a["log_words"] == np.log1p(6) and a["hits"] == a["strong"] == a["capitals"] == a["near_you"] == pytest.approx(1 / 6) and a["marks"] == pytest.approx(2 / 6) and a["top_weight"] == 4.0 and a["digits"] == pytest.approx(2 / 23)
+    assert b["hits"] == pytest.approx(1 / 8) and b["strong"] == b["near_you"] == 0 and b["you"] == pytest.approx(1 / 8) and b["top_weight"] == 2.0
+    assert set(c.values()) == {0.0} and d["hits"] == 0.5 and d["obfuscated"] == 1.0 and d["points"] == 0.5
+
+
 def test_isotonic_and_trees():
     xs, ys = trees.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert (np.diff(ys) >= 0).all() and (np.diff(xs) >= 0).all()
