@@ -325,13 +325,24 @@ def j19_exact_copies(spark, d):
     return J.dedupe_exact(table(spark, d, "documents").select("doc_id", "text"), c("text"), [c("doc_id")]).select("doc_id", "first_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {NOTES}, p AS (SELECT score_id, string, ix AS p, onset64 / 8.0::DOUBLE + discount AS x, row_number() OVER (PARTITION BY score_id, string ORDER BY ix, onset64 / 8.0::DOUBLE + discount) AS k FROM notes WHERE flag <> 'R'),
+t AS (SELECT score_id, string, list({{'t': CAST(ix AS INT), 'x': onset64 / 8.0::DOUBLE + discount}}) AS ts FROM notes WHERE flag <> 'A' GROUP BY ALL),
+r AS (SELECT score_id, string, CAST(0 AS BIGINT) AS k, CAST([] AS INT[]) AS used, CAST(NULL AS INT) AS p, CAST(NULL AS INT) AS t FROM t UNION ALL
+ SELECT score_id, string, k, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.t) END, p, best.t FROM (SELECT r.score_id, r.string, p.k, r.used, CAST(p.p AS INT) AS p,
+  list_sort(list_transform(list_filter(ts, lambda c: abs(p.x - c.x) <= 0.26 AND NOT list_contains(r.used, c.t)), lambda c: {{'d': abs(p.x - c.x), 't': c.t}}))[1] AS best FROM r JOIN p ON p.score_id = r.score_id AND p.string = r.string AND p.k = r.k + 1 JOIN t ON t.score_id = r.score_id AND t.string = r.string))
+SELECT score_id, string, p AS pred_ord, t AS truth_ord FROM r WHERE t IS NOT NULL""")
 def j16_match_events(spark, d):
     n = notes(spark, d).withColumn("ord", c("ix")).withColumn("onset", c("onset64") / 8.0 + c("discount"))
     return J.match_events(n.filter("flag <> 'R'"), n.filter("flag <> 'A'"), ["score_id", "string"], tolerance=0.26)
 
 
-@query()
+@query(f"""WITH RECURSIVE {NOTES}, b AS (SELECT measure AS image_id, string % 2 AS category_id, CAST(measure * 10 + ix AS INT) AS ord, CAST(price AS DOUBLE) AS x, q * 100.0::DOUBLE AS w, discount * 10 AS score, flag FROM notes),
+p AS (SELECT *, row_number() OVER (PARTITION BY image_id, category_id ORDER BY score DESC, ord) AS k FROM b WHERE flag <> 'R' AND score >= 0.35), t AS (SELECT image_id, category_id, list({{'t': ord, 'x': x, 'w': w}}) AS ts FROM b WHERE flag = 'R' GROUP BY ALL),
+r AS (SELECT image_id, category_id, CAST(0 AS BIGINT) AS k, CAST([] AS INT[]) AS used, CAST(NULL AS INT) AS ord, CAST(NULL AS INT) AS t FROM t UNION ALL
+ SELECT image_id, category_id, k, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.t) END, ord, best.t FROM (SELECT r.image_id, r.category_id, p.k, r.used, p.ord,
+  list_sort(list_filter(list_transform(list_filter(ts, lambda c: NOT list_contains(r.used, c.t)), lambda c: {{'d': -greatest(0.0, least(p.x + p.w, c.x + c.w) - greatest(p.x, c.x)) * 10.0 / (p.w * 10.0 + c.w * 10.0 - greatest(0.0, least(p.x + p.w, c.x + c.w) - greatest(p.x, c.x)) * 10.0), 't': c.t}}), lambda c: c.d <= -0.5))[1] AS best
+  FROM r JOIN p ON p.image_id = r.image_id AND p.category_id = r.category_id AND p.k = r.k + 1 JOIN t ON t.image_id = r.image_id AND t.category_id = r.category_id))
+SELECT p.image_id, p.category_id, p.ord, p.score, r.t AS truth_ord FROM p LEFT JOIN r ON r.image_id = p.image_id AND r.category_id = p.category_id AND r.ord = p.ord""")
 def j17_match_detections(spark, d):
     n = notes(spark, d).select(c("measure").alias("image_id"), (c("string") % 2).alias("category_id"), (c("measure") * 10 + c("ix")).cast("int").alias("ord"), c("price").alias("x"), F.lit(0.0).alias("y"), (c("q") * 100.0).alias("w"), F.lit(10.0).alias("h"), (c("discount") * 10).alias("score"), "flag")
     return J.match_detections(n.filter("flag <> 'R'"), n.filter("flag = 'R'")).select("image_id", "category_id", "ord", "score", "truth_ord")

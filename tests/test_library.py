@@ -98,6 +98,13 @@ def test_greedy_matching(spark):
     assert sorted(values(J.match_detections(det, truth), "ord", "truth_ord"), key=str) == [(0, 7), (1, None)]
 
 
+def test_chords_match_by_notes_and_place(spark):
+    kind = "image_id int, notes string, x double, ord int"
+    p = spark.createDataFrame([(1, "1:5,2:7", 10.0, 0), (1, "1:5,2:7", 11.0, 1), (1, "3:1", 50.0, 2)], kind)
+    t = spark.createDataFrame([(1, "1:5,2:7", 12.0, 0), (1, "1:5,2:7", 30.0, 1), (1, "3:2", 50.0, 2)], kind)
+    assert values(J.match_chords(p, t, 4.0), "pred_ord", "truth_ord") == [(0, 0)]
+
+
 def test_alignment_is_applied_once(spark):
     pts = spark.createDataFrame([], "score_id string, measure_number int, time_seconds double, label string")
     sug = spark.createDataFrame([("s", 1, 0.0, "A" * 200), ("s", 9, 16.0, "B")], "score_id string, measure_number int, time_seconds double, label string")
