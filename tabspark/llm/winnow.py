@@ -84,7 +84,7 @@ def with_next(df: DataFrame, carried: list[str], ranges: int | None = None) -> D
     ids follow each other in the order of their columns; a null id comes last.
     """
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    ranges = ranges or min(RANGES, max(64, df.count() // PER_RANGE))
+    ranges = ranges or min(RANGES, max(1024, df.count() // PER_RANGE))
     cuts = df.select(F.percentile_approx(key, [i / ranges for i in range(ranges)] + [1.0], 100_000).alias("cuts"), F.max(key).alias("high")).first()
     bounds = [0] if cuts["high"] is None else sorted({*cuts["cuts"], cuts["high"]})
     rows = df.select(key.alias("id"), "doc_id", *carried).withColumn("range", _range_of(bounds, F.col("id")).cast("int"))
