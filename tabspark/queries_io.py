@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import models as M, scalars as S
-from .operators import aggs as A, edits as U, seq as W, signal as T
+from .operators import aggs as A, edits as U, joins as J, seq as W, signal as T
 from .queries import NOTES, POINTS, c, notes, points, query, table
 from .queries_more import ID, IDS, text
 from .sources import io as IO
@@ -250,3 +250,33 @@ def z3_stream_status(spark, d):
     e = _stream(spark, d, "events").select(c("user_id").alias("score_id"), (c("event_id") % 2).alias("analysis_id"), c("ts").cast("timestamp").alias("ts"), c("event_type").alias("status"), F.lit("").alias("message"))
     current = table(spark, d, "events").select(c("user_id").alias("score_id"), (c("user_id") % 2).alias("analysis_id")).distinct()
     return _drained(Z.stream_status(e, current), "complete").select("score_id", "status", c("ts").cast("timestamp_ntz").alias("ts"))
+
+
+# -- more signal, sequences and matching -------------------------------------------------------------------------
+
+@query("""WITH s AS (SELECT vec_id, i, sqrt(abs(CAST(embedding[i + 1] AS DOUBLE))) AS m, i * 5512.5 / 63 AS hz FROM embeddings, range(0, 64) t(i)), p AS (SELECT vec_id, CAST(((69 + CAST(round_even(12 * log2(greatest(hz, 1.0) / 440.0), 0) AS INT)) % 12 + 12) % 12 AS INT) AS pc, CASE WHEN hz BETWEEN 55 AND 2000 THEN m ELSE 0 END AS w FROM s),
+b AS (SELECT e.vec_id, CAST(k AS INT) AS pitch_class, coalesce(sum(w), 0) AS v FROM embeddings e CROSS JOIN range(0, 12) t(k) LEFT JOIN p ON p.vec_id = e.vec_id AND p.pc = k GROUP BY ALL)
+SELECT vec_id, pitch_class, round(v / greatest(sqrt(sum(v * v) OVER (PARTITION BY vec_id)), 1e-9), 6) AS share FROM b""")
+def t5_chroma(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("spec"))
+    return e.select("vec_id", F.posexplode(T.chroma(c("spec"))).alias("pitch_class", "v")).select("vec_id", "pitch_class", F.round("v", 6).alias("share"))
+
+
+@query(f"""WITH RECURSIVE {NOTES}, b AS (SELECT measure AS image_id, CAST(string % 2 AS VARCHAR) AS notes, ix, CAST(q AS DOUBLE) AS x, flag FROM notes), p AS (SELECT *, row_number() OVER (PARTITION BY image_id, notes ORDER BY ix) AS k FROM b WHERE flag <> 'R'),
+t AS (SELECT image_id, notes, list({{'t': CAST(ix AS INT), 'x': x}}) AS ts FROM b WHERE flag <> 'A' GROUP BY ALL),
+r AS (SELECT image_id, notes, CAST(0 AS BIGINT) AS k, CAST([] AS INT[]) AS used, CAST(NULL AS INT) AS p, CAST(NULL AS INT) AS t FROM t UNION ALL
+ SELECT image_id, notes, k, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.t) END, p, best.t FROM (SELECT r.image_id, r.notes, p.k, r.used, CAST(p.ix AS INT) AS p,
+  list_sort(list_transform(list_filter(ts, lambda c: abs(p.x - c.x) <= 6 AND NOT list_contains(r.used, c.t)), lambda c: {{'d': abs(p.x - c.x), 't': c.t}}))[1] AS best FROM r JOIN p ON p.image_id = r.image_id AND p.notes = r.notes AND p.k = r.k + 1 JOIN t ON t.image_id = r.image_id AND t.notes = r.notes))
+SELECT image_id, notes, p AS pred_ord, t AS truth_ord FROM r WHERE t IS NOT NULL""")
+def j18_match_chords(spark, d):
+    n = notes(spark, d).select(c("measure").alias("image_id"), (c("string") % 2).cast("string").alias("notes"), c("ix").alias("ord"), c("q").cast("double").alias("x"), "flag")
+    return J.match_chords(n.filter("flag <> 'R'"), n.filter("flag <> 'A'"), 6.0)
+
+
+@query(f"""WITH RECURSIVE {NOTES}, w AS (SELECT measure, row_number() OVER o AS i, CAST(q AS DOUBLE) AS a, CAST(lead(q) OVER o AS DOUBLE) AS b, CAST(lead(q, 2) OVER o AS DOUBLE) AS e FROM notes WINDOW o AS (PARTITION BY measure ORDER BY q)),
+k AS (SELECT *, row_number() OVER (PARTITION BY measure ORDER BY i) AS k FROM w WHERE e IS NOT NULL AND (e - a) / 2 BETWEEN 4 AND 12 AND abs(b - a - (e - a) / 2) <= 3 AND abs(e - b - (e - a) / 2) <= 3),
+r AS (SELECT measure, k, i AS last, 0 AS system, true AS taken FROM k WHERE k = 1 UNION ALL SELECT k.measure, k.k, CASE WHEN k.i >= r.last + 3 THEN k.i ELSE r.last END, CASE WHEN k.i >= r.last + 3 THEN r.system + 1 ELSE r.system END, k.i >= r.last + 3 FROM r JOIN k ON k.measure = r.measure AND k.k = r.k + 1)
+SELECT r.measure, r.system, (k.e - k.a) / 2 AS spacing, k.a AS first, k.e AS last FROM r JOIN k USING (measure, k) WHERE r.taken""")
+def w10_staff_groups(spark, d):
+    g = W.staff_groups(notes(spark, d).select("measure", c("q").alias("y")), ["measure"], "y", 3, 4.0, 12.0, 3.0)
+    return g.select("measure", "system", "spacing", F.get("lines", F.lit(0)).alias("first"), F.get("lines", F.lit(2)).alias("last"))
