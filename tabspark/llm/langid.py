@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -124,8 +125,9 @@ def folded(text: str) -> np.ndarray:
     return np.frombuffer(" ".join(text.lower().split()).encode("utf-32-le", "replace"), np.uint32)
 
 
+@lru_cache(1)
 def letters() -> np.ndarray:
-    """Whether a code point is a letter."""
+    """Whether a code point is a letter; made once in each worker."""
     return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), bool, 0x110000)
 
 
