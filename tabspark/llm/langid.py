@@ -29,6 +29,7 @@ SAMPLE_CHARS = 40_000  # characters of each language that its automaton is built
 CHECK_CHARS = 10_000  # characters of each language that its norm is measured on, at most
 HEAD_CHARS = 400  # characters that one training text gives, from a place anywhere in it, so that many texts count
 ALL_CHARS = 2_000_000  # characters of all languages together, at most, so that the tables are small (about 40 bytes each)
+BROADCAST = 100_000  # languages whose sizes are broadcast, at most; those of more are joined
 STRETCH = 512
 
 
@@ -219,7 +220,9 @@ def learn(docs: DataFrame, chars: int = SAMPLE_CHARS, check: int = CHECK_CHARS,
     of the id."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (split_of("doc_id", 5) != 0))
     sizes = known.groupBy("lang").agg(F.count("*").alias("size"))
-    share = min(1.0, total / max(1, (chars + check) * sizes.count()))
+    languages = sizes.count()
+    sizes = F.broadcast(sizes) if languages <= BROADCAST else sizes  # a language and a number each
+    share = min(1.0, total / max(1, (chars + check) * languages))
     chars, check = max(1, int(chars * share)), max(1, int(check * share))
     wanted = max(1, 4 * (chars + check) // head)  # texts of each language; some are short
     place = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_003))
