@@ -280,3 +280,17 @@ SELECT r.measure, r.system, (k.e - k.a) / 2 AS spacing, k.a AS first, k.e AS las
 def w10_staff_groups(spark, d):
     g = W.staff_groups(notes(spark, d).select("measure", c("q").alias("y")), ["measure"], "y", 3, 4.0, 12.0, 3.0)
     return g.select("measure", "system", "spacing", F.get("lines", F.lit(0)).alias("first"), F.get("lines", F.lit(2)).alias("last"))
+
+
+@query(f"""WITH RECURSIVE {POINTS}, k AS (SELECT CAST(score_id AS VARCHAR) AS run_id, us AS ord, CAST(value AS DOUBLE) AS v, row_number() OVER (PARTITION BY score_id ORDER BY us) AS k FROM points),
+r AS (SELECT run_id, k, ord, v, v AS last, true AS taken FROM k WHERE k = 1 UNION ALL SELECT k.run_id, k.k, k.ord, k.v, CASE WHEN abs(k.v - r.last) >= 25 THEN k.v ELSE r.last END, abs(k.v - r.last) >= 25 FROM r JOIN k ON k.run_id = r.run_id AND k.k = r.k + 1)
+SELECT run_id, ord, v AS value FROM r WHERE taken""")
+def z2_stream_suppress(spark, d):
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        e = _stream(spark, d, "events").select(c("user_id").cast("string").alias("run_id"), F.unix_micros(c("ts").cast("timestamp")).alias("ord"), c("value").cast("double").alias("value"))
+        return _drained(Z.stream_suppress(e, 25.0), "append")
+    finally:
+        spark.conf.set(provider, before)

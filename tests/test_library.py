@@ -356,3 +356,17 @@ def test_stream_status(spark, tmp_path):
     q = Z.stream_status(events, current).writeStream.format("memory").queryName("status").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert values(spark.table("status"), "score_id", "status") == [("a", "finish")]
+
+
+def test_stream_suppress(spark, tmp_path):
+    src = tmp_path / "in"
+    rows = [("a", 0, 1.0), ("a", 1, 1.2), ("a", 2, 2.5), ("a", 3, 2.6), ("b", 0, 9.0)]
+    spark.createDataFrame(rows, "run_id string, ord long, value double").coalesce(1).write.parquet(str(src))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        frames = spark.readStream.schema("run_id string, ord long, value double").parquet(str(src))
+        q = Z.stream_suppress(frames, 1.0).writeStream.format("memory").queryName("suppress").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert sorted(values(spark.table("suppress"), "run_id", "ord")) == [("a", 0), ("a", 2), ("b", 0)]
