@@ -191,12 +191,25 @@ class Model:
                 todo, s = todo[~same], to[~same]
             return more, end, met
 
+        base, held, to, root = map(memoryview, (table.base, table.state, table.to, table.root))
+
+        def walk_one(at: int, s: int) -> tuple[int, int, bool]:
+            """The same of one lane, number by number: few lanes need it, one after the other."""
+            more, size = 0, int(sizes[at])
+            for c, own in zip(lanes[:size, at].tolist(), starts[:size, at].tolist()):
+                k = base[s] + c
+                new = s == 0 or held[k] != s
+                more += new - own
+                if new and own:
+                    return more, int(state[at]), True
+                s = root[c] if new else to[k]
+            return more, s, False
+
         more, end, met = walk(lane[parts], state[lane[parts - 1]])
         place = {int(p): i for i, p in enumerate(parts)}
         for i in np.flatnonzero(~met).tolist():  # the next part was entered in a state that is not that of the true parse
             while not met[i] and (j := place.get(int(parts[i]) + 1)) is not None:
-                x, e, m = walk(lane[parts[j : j + 1]], end[i : i + 1])
-                more[j], end[j], met[j] = x[0], e[0], m[0]
+                more[j], end[j], met[j] = walk_one(int(lane[parts[j]]), int(end[i]))
                 i = j
         return more
 
