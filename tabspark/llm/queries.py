@@ -1,10 +1,10 @@
-"""The registered queries of the ten corpus operators, with production parameters, and their SQL."""
+"""The registered queries of the thirteen corpus operators, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, langid, minhash, packing, planes, quality, toxicity, weak, winnow
+from . import bpe, html, langid, minhash, packing, phrases, planes, quality, toxicity, weak, winnow
 from .common import read
 
 
@@ -60,9 +60,13 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.id_files(read(spark, sf_dir, "documents"), _file("byte_bpe_50k.json"), "byte")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_wrapper_html, op3_rule_quality, op4_best_fit_packing, op5_winnowing, op6_weak_supervision, op7_byte_bpe, op8_language, op9_toxicity, op10_token_planes)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(read(spark, sf_dir, "documents"))
 
-# Only classes of near duplicates can be said in SQL without a model or a hash function of the library.
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_wrapper_html, op3_rule_quality, op4_best_fit_packing, op5_winnowing, op6_weak_supervision, op7_byte_bpe, op8_language, op9_toxicity, op10_token_planes, op11_collocations)}
+
+# The others need a model, a tokenizer or a hash function of the library.
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": r"""
 WITH RECURSIVE w AS (
@@ -77,4 +81,28 @@ links AS (
 reach AS (SELECT doc_id, doc_id AS other FROM g UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON reach.other = links.x)
 SELECT g.doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, min(reach.other) AS component_id, g.doc_id = min(reach.other) AS kept
 FROM g JOIN reach USING (doc_id) GROUP BY g.doc_id, len(g.s)""",
+    "op11_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (
+  SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(ws) >= m)),
+total AS (SELECT lang, count(*) AS n FROM g WHERE m = 1 GROUP BY lang),
+f AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS ws, count(*) AS f FROM g GROUP BY lang, m, phrase HAVING count(*) >= 100),
+cut AS (
+  SELECT lang, m, phrase, f AS a, k, array_to_string(ws[1:k], ' ') AS x, array_to_string(ws[k + 1:m], ' ') AS y
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1)),
+s AS (
+  SELECT cut.lang, cut.phrase, cut.m, a, k, l.f AS l, r.f AS r, n, (1000 * a::HUGEINT * n::HUGEINT) // (l.f::HUGEINT * r.f::HUGEINT) AS score
+  FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = x JOIN f r ON r.lang = cut.lang AND r.phrase = y JOIN total ON total.lang = cut.lang),
+worst AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_part AS (
+  SELECT DISTINCT b.lang, array_to_string(b.ws[i:i + q - 1], ' ') AS phrase, b.f
+  FROM (SELECT *, unnest(range(1, m - q + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS q FROM f WHERE m > 2)) b),
+live AS (
+  SELECT * FROM worst WHERE NOT EXISTS (SELECT 1 FROM inner_part b WHERE b.lang = worst.lang AND b.phrase = worst.phrase AND 100 * b.f >= 100 * worst.a))
+SELECT * FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM live)
+WHERE rank <= 2000""",
 }
