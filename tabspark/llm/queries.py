@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, langid, minhash, packing, phrases, planes, quality, toxicity, weak, winnow
+from . import bpe, html, langid, minhash, negatives, overlap, packing, phrases, planes, quality, toxicity, weak, winnow
 from .common import read
 
 
@@ -64,7 +64,15 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_wrapper_html, op3_rule_quality, op4_best_fit_packing, op5_winnowing, op6_weak_supervision, op7_byte_bpe, op8_language, op9_toxicity, op10_token_planes, op11_collocations)}
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_wrapper_html, op3_rule_quality, op4_best_fit_packing, op5_winnowing, op6_weak_supervision, op7_byte_bpe, op8_language, op9_toxicity, op10_token_planes, op11_collocations, op12_decontamination, op13_hard_negatives)}
 
 # The others need a model, a tokenizer or a hash function of the library.
 ORACLE_SQL: dict[str, str] = {
@@ -105,4 +113,36 @@ live AS (
 SELECT * FROM (
   SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM live)
 WHERE rank <= 2000""",
+    "op12_decontamination": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_ix, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+win AS (
+  SELECT DISTINCT item, least(len(ws), 10) AS m, array_to_string(ws[i:i + 9], ' ') AS w
+  FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+place AS (
+  SELECT row_ix, i, m, array_to_string(ws[i:i + m - 1], ' ') AS w
+  FROM (SELECT row_ix, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM win) WHERE len(ws) >= m)),
+hit AS (SELECT row_ix, i, m, item FROM place JOIN win USING (m, w)),
+words AS (SELECT row_ix, count(DISTINCT p) AS n FROM (SELECT row_ix, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT row_ix, i, m FROM hit)) GROUP BY row_ix),
+items AS (SELECT row_ix, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hit GROUP BY row_ix)
+SELECT doc_id, len(ws) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (row_ix) LEFT JOIN items USING (row_ix)""",
+    "op13_hard_negatives": r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT row_number() OVER () AS ix, * FROM (SELECT DISTINCT * FROM v WHERE vec_id % 100 = 0)),
+s AS (
+  SELECT ix, a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, CAST(list_inner_product(a.e, v.e) AS BIGINT) AS score
+  FROM a JOIN v ON v.vec_id IS DISTINCT FROM a.vec_id),
+pos AS (
+  SELECT ix, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY ix ORDER BY score DESC, vec_id NULLS LAST) AS place
+  FROM s WHERE same QUALIFY place <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT pos.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY pos.ix, pos.place ORDER BY s.score DESC, s.vec_id NULLS LAST) AS rank
+  FROM pos JOIN s ON s.ix = pos.ix AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+WHERE rank <= 10""",
 }
