@@ -118,25 +118,25 @@ class _Top:
         return key, {"id": pa.array(self.ids[key, place], pa.int64(), mask=self.state[key, place] == 1), "score": pa.array(scores, pa.int64())}
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], anchors: np.ndarray) -> Iterator[tuple]:
+def _tiles(batches: Iterator[pa.RecordBatch], anchors: np.ndarray, tile: tuple[int, int]) -> Iterator[tuple]:
     """(slice of anchors, scores, ids, null flags, labels) of blocks of rows in the order of their ids."""
     for batch in batches:
-        for at in range(0, batch.num_rows, TILE[1]):
-            part = batch.slice(at, TILE[1])
+        for at in range(0, batch.num_rows, tile[1]):
+            part = batch.slice(at, tile[1])
             nulls = np.asarray(part.column("vec_id").is_null())
             ids = part.column("vec_id").fill_null(0).to_numpy(zero_copy_only=False)
             order = np.lexsort((ids, nulls))
             part, ids, nulls = part.take(pa.array(order)), ids[order], nulls[order].astype(np.int64)
             rows, labels = matrix(part.column("embedding")), part.column("label").to_numpy(zero_copy_only=False)
-            for a in range(0, len(anchors), TILE[0]):
-                yield np.arange(a, min(a + TILE[0], len(anchors))), products(anchors[a : a + TILE[0]], rows), ids, nulls, labels
+            for a in range(0, len(anchors), tile[0]):
+                yield np.arange(a, min(a + tile[0], len(anchors))), products(anchors[a : a + tile[0]], rows), ids, nulls, labels
 
 
-def _positives(block: object, k: int):
+def _positives(block: object, k: int, tile: tuple[int, int]):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor_ids, anchor_labels, anchors = block.value
         top = _Top(len(anchor_ids), k)
-        for these, scores, ids, nulls, labels in _tiles(batches, anchors):
+        for these, scores, ids, nulls, labels in _tiles(batches, anchors, tile):
             allowed = (anchor_labels[these, None] == labels) & ((anchor_ids[these, None] != ids) | (nulls == 1))
             top.add(these, scores, _best(scores, allowed, k), ids, nulls)
         key, out = top.table()
@@ -145,24 +145,24 @@ def _positives(block: object, k: int):
     return find
 
 
-def _negatives(block: object, positives: object, k: int, low: int, high: int):
+def _negatives(block: object, positives: object, k: int, low: int, high: int, tile: tuple[int, int]):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor_ids, anchor_labels, anchors = block.value
         owner, scores_of = positives.value  # sorted by owner
         least = np.array([-(-low * s // 100) for s in scores_of.tolist()], object)
         most = np.array([high * s // 100 for s in scores_of.tolist()], object)
         top = _Top(len(owner), k)
-        for these, scores, ids, nulls, labels in _tiles(batches, anchors):
+        for these, scores, ids, nulls, labels in _tiles(batches, anchors, tile):
             other = anchor_labels[these, None] != labels
             some = np.arange(*np.searchsorted(owner, [these[0], these[-1] + 1]))
             if not len(some):
                 continue
             limit = (np.clip(least[some], -LONG, LONG).astype(np.int64), np.clip(most[some], -LONG, LONG).astype(np.int64)) if scores.dtype != object else (least[some], most[some])
             row = owner[some] - these[0]
-            for c in range(0, len(some), TILE[0]):
-                r, own = row[c : c + TILE[0]], scores[row[c : c + TILE[0]]]
-                allowed = (other[r] & (own >= limit[0][c : c + TILE[0], None]) & (own <= limit[1][c : c + TILE[0], None])).astype(bool)
-                top.add(some[c : c + TILE[0]], own, _best(own, allowed, k), ids, nulls)
+            for c in range(0, len(some), tile[0]):
+                r, own = row[c : c + tile[0]], scores[row[c : c + tile[0]]]
+                allowed = (other[r] & (own >= limit[0][c : c + tile[0], None]) & (own <= limit[1][c : c + tile[0], None])).astype(bool)
+                top.add(some[c : c + tile[0]], own, _best(own, allowed, k), ids, nulls)
         key, out = top.table()
         yield pa.RecordBatch.from_pydict({"p": pa.array(key, pa.int64()), "a": pa.array(owner[key], pa.int64()), **out})
 
@@ -189,12 +189,12 @@ def mine(rows: DataFrame, every: int = 100, positives: int = 5, negatives: int =
         part = anchors.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == k).toArrow()
         ids = part["vec_id"].to_numpy()
         block = spark.sparkContext.broadcast((ids, part["label"].to_numpy(), matrix(part["embedding"])))
-        near = pool.mapInArrow(_positives(block, positives), "a long, id long, score long")
+        near = pool.mapInArrow(_positives(block, positives, TILE), "a long, id long, score long")
         near = near.withColumn("best", best("a", positives)).filter("best").drop("best").toArrow().sort_by([("a", "ascending"), ("score", "descending"), ("id", "ascending")])
         found = spark.sparkContext.broadcast((near["a"].to_numpy(), near["score"].to_numpy()))
         names = spark.createDataFrame(pa.table({"p": pa.array(np.arange(len(near))), "anchor_id": pa.array(ids[near["a"].to_numpy()], pa.int64()), "positive_id": near["id"], "positive_score": near["score"]}))
         rank = F.row_number().over(Window.partitionBy("p").orderBy(F.desc("score"), F.asc_nulls_last("id")))
-        far = pool.mapInArrow(_negatives(block, found, negatives, low, high), "p long, a long, id long, score long").withColumn("rank", rank).filter(f"rank <= {int(negatives)}")
+        far = pool.mapInArrow(_negatives(block, found, negatives, low, high, TILE), "p long, a long, id long, score long").withColumn("rank", rank).filter(f"rank <= {int(negatives)}")
         out = far.join(F.broadcast(names), "p").select("anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
         out.write.mode("append").parquet(f"{folder}/negatives")
     return spark.read.schema(out.schema).parquet(f"{folder}/negatives")

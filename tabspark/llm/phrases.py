@@ -50,18 +50,22 @@ def _rows(counts: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.binary()).cast(pa.string()), pa.array([of[k] for k in part], pa.int64())], ["lang", "phrase", "f"])
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_words(held: int):
     """Counts of words; the count of the empty phrase is that of all words."""
-    counts: dict[str, Counter] = defaultdict(Counter)
-    for lang, words in _words(batches):
-        found = counts[lang]
-        found.update(words)
-        breaks = found.pop(BREAK, 0)
-        found[b""] += len(words) - breaks
-        if sum(map(len, counts.values())) > HELD:
-            yield from _rows(counts)
-            counts.clear()
-    yield from _rows(counts)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter] = defaultdict(Counter)
+        for lang, words in _words(batches):
+            found = counts[lang]
+            found.update(words)
+            breaks = found.pop(BREAK, 0)
+            found[b""] += len(words) - breaks
+            if sum(map(len, counts.values())) > held:
+                yield from _rows(counts)
+                counts.clear()
+        yield from _rows(counts)
+
+    return count
 
 
 def _spot(first: "F.Column", second: "F.Column | None" = None) -> "F.Column":
@@ -93,8 +97,8 @@ class _Ids(dict):
 
     def __missing__(self, word: bytes) -> int:
         code = zlib.crc32(word)
-        at = (code * MIX[0] + self.lang * MIX[2]) % BITS
         earlier, now, frequent = self.bitmaps
+        at = (code * MIX[0] + self.lang * MIX[2]) % (len(frequent) * 64)
         number = 0
         if _has(frequent, at):
             number = len(self.words) * 4 + (1 if _has(earlier, at) else 2 if _has(now, at) else 3)
@@ -128,7 +132,7 @@ def _grow(lengths: range, word_maps: object, pair_map: object = None):
             alive = (row[:-1] > 0) & (row[1:] > 0)  # pairs at each place
             if pair_map is not None:
                 hashes = np.array(known.hashes, np.uint64)[row >> 2]
-                at = (hashes[:-1] * np.uint64(MIX[0]) + hashes[1:] * np.uint64(MIX[1]) + np.uint64(known.lang * MIX[2])) % np.uint64(BITS)
+                at = (hashes[:-1] * np.uint64(MIX[0]) + hashes[1:] * np.uint64(MIX[1]) + np.uint64(known.lang * MIX[2])) % np.uint64(len(pair_map.value) * 64)
                 alive &= (np.minimum(stage[:-1], stage[1:]) == 3) | _has(pair_map.value, at)
             whole = np.ones(len(row), bool)
             for m in range(2, lengths.stop):
@@ -176,7 +180,7 @@ def mine(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, c
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     texts = spread(texts, folder, "texts")
     added = lambda counted: counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    found = stored(added(texts.mapInArrow(_count_words, COUNTS)).filter(f"f >= {int(least)} or phrase = ''"), folder, "words")
+    found = stored(added(texts.mapInArrow(_count_words(HELD), COUNTS)).filter(f"f >= {int(least)} or phrase = ''"), folder, "words")
     words, totals = found.filter("phrase <> ''"), {r["lang"]: r["f"] for r in found.filter("phrase = ''").collect()}
     mass = Window.partitionBy("lang")
     steps = words.groupBy("lang", "f").agg(F.count("*").alias("words")).select(
