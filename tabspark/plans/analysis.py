@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import aggs as A, joins as J, seq as W, signal as T
+from ..sources.scratch import scratch, written
 
 
 def recognise_measures(labels: DataFrame, candidates: DataFrame, capacity: Column) -> dict[str, DataFrame]:
@@ -21,13 +22,41 @@ def recognise_measures(labels: DataFrame, candidates: DataFrame, capacity: Colum
     return {"starts": starts, "measures": measures, "missing": A.missing_measures(measures, ["score_id"]), "unresolved": numbered.filter("number is null")}
 
 
-def analyse_audio(audio: DataFrame) -> dict[str, DataFrame]:
-    """Novelty, onsets, tempo and beat phase of recordings (score_id, samples)."""
-    frames = T.frame_signal(audio).withColumn("spectrum", T.spectrum("frame")).withColumn("rms", T.rms(F.col("frame"))).drop("frame")
-    novelty = T.novelty(T.flux(frames), ["score_id"], "frame_ix")
-    tempo = T.estimate_tempo(novelty, ["score_id"])
-    fine = T.refine_tempo(novelty, tempo, ["score_id"])
-    return {"novelty": novelty, "onsets": T.onsets(novelty, ["score_id"]), "tempo": fine.join(tempo.select("score_id", "confidence"), "score_id"), "phase": T.beat_phase(novelty, fine, ["score_id"])}
+def detect_sections(frames: DataFrame, beats: DataFrame, durations: DataFrame) -> DataFrame:
+    """(score_id, section, label, start_seconds, end_seconds, confidence) from frames (t, rms, novelty, chroma), beats
+    (beat, t) and durations."""
+    keys = ["score_id"]
+    segments = T.segment_novelty(T.segment_features(frames, T.segment_edges(beats, durations, keys), keys), keys, "segment")
+    spans = T.section_boundaries(segments, keys).withColumnsRenamed({"start": "section", "end": "_z"})
+    times = segments.select("score_id", "segment", F.col("start").alias("_at"), F.col("end").alias("_to"), "segment_novelty", "feature")
+    mean = F.array(*(F.avg(F.get("feature", F.lit(i))) for i in range(15)))
+    first = F.min(F.struct("segment", "_at", "segment_novelty"))
+    inside = times.join(spans, keys).filter("segment >= section and segment < _z").groupBy("score_id", "section").agg(mean.alias("feature"), first.alias("_f"), F.max("_to").alias("_to"))
+    named = T.label_sections(inside, keys, "section", "feature")
+    peak = segments.groupBy("score_id").agg(F.max("segment_novelty").alias("_peak"))
+    out = inside.join(named, ["score_id", "section"]).join(peak, keys)
+    return out.select("score_id", "section", T.section_name(F.col("label")).alias("label"), F.round("_f._at", 3).alias("start_seconds"), F.round("_to", 3).alias("end_seconds"), T.boundary_confidence(F.col("section"), F.col("_f.segment_novelty"), F.col("_peak")).alias("confidence"))
+
+
+def analyse_audio(audio: DataFrame, hints: DataFrame | None = None, scores: DataFrame | None = None, visual: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Novelty, onsets, tempo, beats and sections of recordings (score_id, samples), and, with ``scores`` (score_id,
+    source_kind, start_measure, end_measure, measure_count), suggestions of how measures align. What later steps read
+    again is written to a scratch folder, so each step runs once."""
+    folder = scratch(audio.sparkSession)
+    spectra = T.frame_signal(audio).withColumn("spectrum", T.spectrum("frame")).withColumn("rms", T.rms(F.col("frame"))).drop("frame")
+    features = T.flux(spectra).select("score_id", "frame_ix", "t", "flux", "rms", T.chroma(F.col("spectrum")).alias("chroma"))
+    novelty = written(T.novelty(written(features, folder, "features"), ["score_id"], "frame_ix"), folder, "novelty")
+    tempo = written(T.estimate_tempo(novelty, ["score_id"], hints=hints), folder, "tempo")
+    durations = audio.select("score_id", (F.size("samples") / T.RATE).alias("duration"))
+    plan = tempo.select("score_id", "tempo_bpm", F.col("phase_seconds").alias("phase")).join(durations, "score_id").join(T.active_start(novelty, ["score_id"]), "score_id")
+    beats = written(T.beat_grid(plan), folder, "beats")
+    sections = written(detect_sections(novelty, beats, durations), folder, "sections")
+    out = {"novelty": novelty, "onsets": T.onsets(novelty, ["score_id"]), "tempo": tempo, "beats": beats, "sections": sections}
+    if scores is not None:
+        first = beats.groupBy("score_id").agg(F.min("t").alias("first_beat"))
+        whole = scores.join(plan.select("score_id", "tempo_bpm", "duration"), "score_id").join(first, "score_id", "left")
+        out["suggestions"] = T.suggest_alignment(whole, sections, visual)
+    return out
 
 
 def score_recognition(pred: DataFrame, truth: DataFrame, tolerance: float = 0.26) -> DataFrame:

@@ -664,9 +664,10 @@ def t12_beat_grid(spark, d):
     return T.beat_grid(s).select("score_id", c("beat").cast("long").alias("beat"), "t")
 
 
-@query(f"""WITH {POINTS} SELECT score_id, event_id, round(abs(coalesce(avg(value) OVER (PARTITION BY score_id ORDER BY us ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) - avg(value) OVER (PARTITION BY score_id ORDER BY us ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), 0)), 6) AS segment_novelty FROM points""")
+@query(f"""WITH {POINTS} SELECT score_id, event_id, round(abs(CASE WHEN lag(value, 2) OVER w IS NULL OR lead(value, 2) OVER w IS NULL THEN 0 ELSE (value + lead(value) OVER w) / 2 - (lag(value) OVER w + lag(value, 2) OVER w) / 2 END), 6) AS segment_novelty FROM points WINDOW w AS (PARTITION BY score_id ORDER BY us)""")
 def t14_segment_novelty(spark, d):
-    return T.segment_novelty(points(spark, d), ["score_id"], "us", ["value"]).select("score_id", "event_id", F.round("segment_novelty", 6).alias("segment_novelty"))
+    p = points(spark, d).withColumn("feature", F.array(c("value").cast("double")))
+    return T.segment_novelty(p, ["score_id"], "us").select("score_id", "event_id", F.round("segment_novelty", 6).alias("segment_novelty"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT vec_id AS start, CAST(vec_id // 8 AS BIGINT) AS score_id, row_number() OVER (PARTITION BY vec_id // 8 ORDER BY vec_id) AS k, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -678,10 +679,11 @@ def t16_section_labels(spark, d):
     return T.label_sections(e, ["score_id"], "start", "embedding", 0.6)
 
 
-@query("SELECT s_suppkey AS score_id, CAST(m AS INT) AS measure_number, round(0.5 + (m - 1) * 2.0, 3) AS time_seconds, 'audio_beat_grid' AS basis FROM supplier, generate_series(1, 40) g(m) WHERE (m % 8 = 1 OR m = 1 + s_suppkey % 40) AND m <= 1 + s_suppkey % 40 AND 0.5 + (m - 1) * 2.0 <= 60")
+@query("""SELECT s_suppkey AS score_id, CAST(m AS INT) AS measure_number, round(0.5 + (m - 1) * 2.0, 3) AS time_seconds, round_even((m - 1) / (s_suppkey % 40)::DOUBLE, 5) AS score_position, CASE WHEN m % 8 = 1 THEN '自动 · 节拍网格' ELSE '自动 · 结尾' END AS label, CASE WHEN m % 8 = 1 THEN 0.62 ELSE 0.58 END::DOUBLE AS confidence, 'audio_beat_grid' AS basis
+FROM supplier, generate_series(1, 40) g(m) WHERE s_suppkey % 40 > 0 AND (m % 8 = 1 OR m = 1 + s_suppkey % 40) AND m <= 1 + s_suppkey % 40 AND 0.5 + (m - 1) * 2.0 <= 60""")
 def t18_align_grid(spark, d):
-    s = table(spark, d, "supplier").select(c("s_suppkey").alias("score_id"), (1 + c("s_suppkey") % 40).cast("int").alias("measures"), F.lit(0.5).alias("first_beat"), F.lit(4).alias("beats"), F.lit(120.0).alias("tempo_bpm"), F.lit(60.0).alias("duration"))
-    return T.align_grid(s)
+    s = table(spark, d, "supplier").select(c("s_suppkey").alias("score_id"), F.lit("audio").alias("source_kind"), F.lit(1).alias("start_measure"), F.lit(None).cast("int").alias("end_measure"), (1 + c("s_suppkey") % 40).cast("int").alias("measure_count"), F.lit(0.5).alias("first_beat"), F.lit(120.0).alias("tempo_bpm"), F.lit(60.0).alias("duration"))
+    return T.suggest_alignment(s, spark.createDataFrame([], "score_id bigint, start_seconds double, label string"))
 
 
 @query(f"""WITH RECURSIVE {NOTES}, p AS (SELECT DISTINCT score_id, measure AS m FROM notes), x AS (SELECT score_id, m, min(m) OVER (PARTITION BY score_id ORDER BY m RANGE BETWEEN 8 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM p),

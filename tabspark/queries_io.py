@@ -198,13 +198,13 @@ def frames(spark, d) -> DataFrame:
     return T.frame_signal(table(spark, d, "embeddings").select(c("vec_id").alias("score_id"), c("embedding").cast("array<double>").alias("samples")), 16, 8, 3)
 
 
-@query(f"WITH {FRAMES} SELECT score_id, frame_ix, round(sqrt(list_sum(list_transform(x, lambda v: v * v)) / 16), 6) AS rms FROM f")
+@query(f"WITH {FRAMES} SELECT score_id, frame_ix, round((frame_ix * 8 + 8) / 11025.0::DOUBLE, 7) AS t, round(sqrt(list_sum(list_transform(x, lambda v: v * v)) / 16 + 1e-12), 6) AS rms FROM f")
 def t1_t2_frames(spark, d):
-    return frames(spark, d).select("score_id", "frame_ix", F.round(T.rms(c("frame")), 6).alias("rms"))
+    return frames(spark, d).select("score_id", "frame_ix", F.round("t", 7).alias("t"), F.round(T.rms(c("frame")), 6).alias("rms"))
 
 
 @query(f"""WITH {FRAMES}, b AS (SELECT score_id, frame_ix, k, sqrt(pow(list_sum(list_transform(range(0, 16), lambda n: x[n + 1] * (0.5 - 0.5 * cos(2 * pi() * n / 15)) * cos(2 * pi() * k * n / 16))), 2) + pow(list_sum(list_transform(range(0, 16), lambda n: x[n + 1] * (0.5 - 0.5 * cos(2 * pi() * n / 15)) * sin(2 * pi() * k * n / 16))), 2)) AS m FROM f, range(0, 9) t(k)),
-p AS (SELECT *, lag(m) OVER (PARTITION BY score_id, k ORDER BY frame_ix) AS p FROM b) SELECT score_id, frame_ix, round(coalesce(sum(greatest(0.0, ln(1 + m) - ln(1 + p))), 0) / 9, 5) AS flux FROM p GROUP BY ALL""")
+p AS (SELECT *, lag(m) OVER (PARTITION BY score_id, k ORDER BY frame_ix) AS p FROM b) SELECT score_id, frame_ix, round(sum(greatest(0.0, m - coalesce(p, 0))) / (sum(m) + 1e-8), 5) AS flux FROM p GROUP BY ALL""")
 def t3_t4_flux(spark, d):
     f = frames(spark, d).select("score_id", "frame_ix", T.spectrum("frame").alias("spectrum"))
     return T.flux(f).select("score_id", "frame_ix", F.round("flux", 5).alias("flux"))
@@ -254,9 +254,9 @@ def z3_stream_status(spark, d):
 
 # -- more signal, sequences and matching -------------------------------------------------------------------------
 
-@query("""WITH s AS (SELECT vec_id, i, sqrt(abs(CAST(embedding[i + 1] AS DOUBLE))) AS m, i * 5512.5 / 63 AS hz FROM embeddings, range(0, 64) t(i)), p AS (SELECT vec_id, CAST(((69 + CAST(round_even(12 * log2(greatest(hz, 1.0) / 440.0), 0) AS INT)) % 12 + 12) % 12 AS INT) AS pc, CASE WHEN hz BETWEEN 55 AND 2000 THEN m ELSE 0 END AS w FROM s),
+@query("""WITH s AS (SELECT vec_id, i, sqrt(abs(CAST(embedding[i + 1] AS DOUBLE))) AS m, i * 5512.5 / 63 AS hz FROM embeddings, range(0, 64) t(i)), p AS (SELECT vec_id, CAST(((69 + CAST(round_even(12 * log2(greatest(hz, 1.0) / 440.0), 0) AS INT)) % 12 + 12) % 12 AS INT) AS pc, CASE WHEN hz BETWEEN 55 AND 5000 THEN m ELSE 0 END AS w FROM s),
 b AS (SELECT e.vec_id, CAST(k AS INT) AS pitch_class, coalesce(sum(w), 0) AS v FROM embeddings e CROSS JOIN range(0, 12) t(k) LEFT JOIN p ON p.vec_id = e.vec_id AND p.pc = k GROUP BY ALL)
-SELECT vec_id, pitch_class, round(v / greatest(sqrt(sum(v * v) OVER (PARTITION BY vec_id)), 1e-9), 6) AS share FROM b""")
+SELECT vec_id, pitch_class, round(coalesce(v / nullif(sqrt(sum(v * v) OVER (PARTITION BY vec_id)), 0), 0), 6) AS share FROM b""")
 def t5_chroma(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("spec"))
     return e.select("vec_id", F.posexplode(T.chroma(c("spec"))).alias("pitch_class", "v")).select("vec_id", "pitch_class", F.round("v", 6).alias("share"))

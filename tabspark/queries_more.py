@@ -313,13 +313,6 @@ def t16_boundary_confidence(spark, d):
     return p.select("event_id", T.boundary_confidence(c("i"), c("v"), c("top")).alias("confidence"))
 
 
-@query("""SELECT label, vec_id // 10 AS segment, round(avg(embedding[1]), 5) AS energy, round(avg(embedding[2]), 5) AS activity, round(avg(embedding[3]), 5) AS c0, round(avg(embedding[14]), 5) AS c11 FROM embeddings GROUP BY ALL""")
-def t13_segment_features(spark, d):
-    e = table(spark, d, "embeddings").select("label", c("vec_id").alias("t"), F.get("embedding", F.lit(0)).alias("rms"), F.get("embedding", F.lit(1)).alias("novelty"), F.slice("embedding", 3, 12).alias("chroma"))
-    s = T.segment_features(e, ["label"], F.lit(10.0))
-    return s.select("label", c("segment").cast("long").alias("segment"), F.round("energy", 5).alias("energy"), F.round("activity", 5).alias("activity"), F.round(F.get("chroma", F.lit(0)), 5).alias("c0"), F.round(F.get("chroma", F.lit(11)), 5).alias("c11"))
-
-
 # -- edits -----------------------------------------------------------------------------------------------------
 
 @query("SELECT s_suppkey AS score_id, CASE WHEN s_suppkey % 2 = 0 THEN CAST(60 + s_suppkey % 90 AS DOUBLE) ELSE 100.0 END AS tempo_bpm, CASE WHEN s_suppkey % 2 = 0 THEN 'user' ELSE 'visual' END AS tempo_source, s_suppkey % 2 = 0 AS tempo_locked, '<sound tempo=\"' || CASE WHEN s_suppkey % 2 = 0 THEN printf('%.1f', CAST(60 + s_suppkey % 90 AS DOUBLE)) ELSE '100.0' END || '\"/>' AS xml FROM supplier")

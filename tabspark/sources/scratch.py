@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -28,3 +28,9 @@ def scratch(spark: SparkSession) -> str:
 
     atexit.register(drop)
     return folder
+
+
+def written(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """``df`` as a table in a scratch folder: worked out once, whoever reads it, and kept when executors are lost."""
+    df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")

@@ -166,25 +166,6 @@ def test_insert_and_refinger(spark):
     assert values(U.refinger(n.filter("selected"), ["score_id"], 1), "string", "fret", "moved") == [(2, 10, True)]
 
 
-def test_click_track_tempo(spark):
-    import numpy as np
-
-    rate, seconds = 11_025, 24
-    x = np.zeros(rate * seconds)
-    for k in range(seconds * 2):
-        a = int((0.25 + k * 0.5) * rate)
-        x[a : a + int(0.025 * rate)] += np.sin(2 * np.pi * 900 * np.arange(int(0.025 * rate)) / rate)[: len(x) - a]
-    audio = spark.createDataFrame([("s", x.tolist())], "score_id string, samples array<double>")
-    f = T.frame_signal(audio).withColumn("spectrum", T.spectrum("frame")).withColumn("rms", T.rms(F.col("frame"))).drop("frame")
-    n = T.novelty(T.flux(f), ["score_id"], "frame_ix").select("score_id", "frame_ix", "t", "novelty").cache()
-    coarse = T.estimate_tempo(n, ["score_id"])
-    fine = T.refine_tempo(n, coarse, ["score_id"]).first()
-    assert abs(fine.tempo_bpm - 120) < 5
-    assert T.onsets(n, ["score_id"], gap_frames=2).count() >= 30
-    phase = T.beat_phase(n, coarse, ["score_id"]).first().phase
-    assert 0 <= phase < coarse.first().lag
-
-
 def test_sources_round_trip(spark, tmp_path):
     doc = {"engine": "e", "score_id": "s", "frames": [{"name": "f", "time_seconds": 1.0}], "measures": [{"number": 1, "events": [{"onset": 0.0, "duration": 2.0, "rest": False, "notes": [{"string": 1, "fret": 5}]}]}], "sync_suggestions": [{"measure_number": 1, "time_seconds": 0.5}]}
     (tmp_path / "d.json").write_text(json.dumps(doc, indent=1))
