@@ -92,9 +92,9 @@ def validate_measures(events: DataFrame, keys: Sequence[str], capacity: Column)
 
 
 def sync_suggestions(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A10: earliest time at which a measure is highlighted."""
+    """A10: earliest time at which a measure is highlighted, to a thousandth."""
     known = frames.filter("start_measure is not null and highlighted_index is not null")
-    return known.groupBy(*keys, (F.col("start_measure") + F.col("highlighted_index")).alias("measure_number")).agg(F.min("time_seconds").alias("time_seconds"))
+    return known.groupBy(*keys, (F.col("start_measure") + F.col("highlighted_index")).alias("measure_number")).agg(F.round(F.min("time_seconds"), 3).alias("time_seconds"))
 
 
 def tempo_from_sync(points: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -106,16 +106,33 @@ def tempo_from_sync(points: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def median_of_first(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[Column], n: int = 8) -> DataFrame:
-    """Median of a value over the first ``n`` rows that have one, to a tenth."""
+    """Median, to a tenth, of the values that the first ``n`` rows have; keys whose first rows have none are left
+    out."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.filter(F.col(value).isNotNull()).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).groupBy(*keys).agg(F.round(F.median(value), 1).alias(value))
-
-
-def recognition_summary(measures: DataFrame, keys: Sequence[str], expected: Column) -> DataFrame:
-    """Counts, coverage of the expected measures, mean confidence times coverage, measures under 60."""
-    g = measures.groupBy(*keys).agg(F.count("*").alias("measures"), F.max(expected).alias("expected"), F.avg("confidence").alias("mean"), F.sum(F.when(F.col("confidence") < 60, 1).otherwise(0)).alias("low"))
-    g = g.withColumn("coverage", F.least(F.lit(1.0), F.col("measures") / F.greatest(F.lit(1), F.col("expected"))))
-    return g.withColumn("confidence", F.col("mean") * F.col("coverage")).drop("mean")
+    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.round(F.median(value), 1).alias(value))
+
+
+def recognition_summary(glyphs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of all glyphs (label, confidence) how many have a label, their share, the mean confidence of those over 100
+    times that share (both to a thousandth), and how many of them are under 60."""
+    known = F.col("label").isNotNull() & (F.col("label") != "")
+    g = glyphs.groupBy(*keys).agg(F.count("*").alias("total_glyphs"), F.count(F.when(known, 1)).alias("recognized_glyphs"), F.avg(F.when(known, F.col("confidence"))).alias("_m"), F.count(F.when(known & (F.col("confidence") < 60), 1)).alias("low_confidence_glyphs"))
+    share = F.col("recognized_glyphs") / F.col("total_glyphs")
+    return g.select(*keys, "total_glyphs", "recognized_glyphs", "low_confidence_glyphs", F.bround(share, 3).alias("glyph_coverage"), F.bround(F.coalesce("_m", F.lit(0.0)) / 100 * share, 3).alias("confidence"))
+
+
+def summary_counts(marks: DataFrame, frames: DataFrame, measures: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, kind, name, n): marks by technique, parsed frames by layout and polarity, frames that failed
+    (``status`` error) or have no start measure, and measures with the first, the last and how many are missing."""
+    tall = lambda df, kind, name: df.groupBy(*keys, F.lit(kind).alias("kind"), name.cast("string").alias("name")).agg(F.count("*").alias("n"))
+    parsed = frames.filter("status <> 'error'")
+    span = measures.groupBy(*keys).agg(F.countDistinct("number").alias("count"), F.min("number").cast("long").alias("start"), F.max("number").cast("long").alias("end"))
+    span = span.select(*keys, F.lit("measures").alias("kind"), F.inline(F.array(*(F.struct(F.lit(k).alias("name"), v.alias("n")) for k, v in (("count", F.col("count")), ("start", F.col("start")), ("end", F.col("end")), ("missing", F.col("end") - F.col("start") + 1 - F.col("count")))))))
+    parts = [tall(marks, "technique", F.col("technique")), tall(parsed, "layout", F.col("layout")), tall(parsed, "polarity", F.col("polarity")), tall(frames.filter("status = 'error'"), "frames", F.lit("failed")), tall(parsed, "frames", F.lit("parsed")), tall(parsed.filter("start_measure is null"), "frames", F.lit("unresolved")), span]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
@@ -177,8 +194,9 @@ def covered_length(segments: DataFrame, keys: Sequence[str], start: str = "start
 
 
 def staff_rows(lines: DataFrame, keys: Sequence[str], least: float = 70.0) -> DataFrame:
-    """Rows of near-horizontal lines (x1, y1, x2, y2), by quarter points of their height, that cover enough."""
-    flat = lines.filter(F.abs(F.col("y1") - F.col("y2")) <= 1).withColumn("y", F.bround((F.col("y1") + F.col("y2")) * 2) / 4).withColumn("start", F.least("x1", "x2")).withColumn("end", F.greatest("x1", "x2"))
+    """Rows of lines (x1, y1, x2, y2) that are level within 0.3 and 2 long or more, by quarter points of their height,
+    that cover enough."""
+    flat = lines.filter((F.abs(F.col("y1") - F.col("y2")) <= 0.3) & (F.abs(F.col("x1") - F.col("x2")) >= 2)).withColumn("y", F.bround((F.col("y1") + F.col("y2")) * 2) / 4).withColumn("start", F.least("x1", "x2")).withColumn("end", F.greatest("x1", "x2"))
     cov = covered_length(flat, [*keys, "y"])
     ext = flat.groupBy(*keys, "y").agg(F.min("start").alias("left"), F.max("end").alias("right"))
     return cov.join(ext, [*keys, "y"]).filter(F.col("covered") >= least)
@@ -309,8 +327,8 @@ def tempo_from_pages(pages: DataFrame, keys: Sequence[str] = ("doc_id",)) -> Dat
 
 
 def tempo_from_score(marks: DataFrame, keys: Sequence[str] = ("score_id",)) -> DataFrame:
-    """The first positive tempo (text) in document order (ord), to a tenth."""
-    m = marks.withColumn("_t", F.col("tempo").try_cast("double")).filter("_t > 0")
+    """The first tempo (text) of 30 to 300 in document order (ord), to a tenth."""
+    m = marks.withColumn("_t", F.trim("tempo").try_cast("double")).filter("_t between 30 and 300")
     return m.groupBy(*keys).agg(F.min(F.struct("ord", "_t")).alias("f")).select(*keys, F.round("f._t", 1).alias("tempo"))
 
 

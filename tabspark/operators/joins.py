@@ -3,12 +3,14 @@ join with a residual condition; ordered ones are windows over a union. Ties go t
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from ..functions.scalars import iou
+from pyspark.sql import types as T
 
 
 def resolve_sessions(sessions: DataFrame, owners: DataFrame, now: Column) -> DataFrame:
@@ -156,27 +158,83 @@ def apply_alignment(points: DataFrame, suggestions: DataFrame, order: Sequence[C
     return points.unionByName(new.select(*[c for c in points.columns if c in new.columns]), allowMissingColumns=True)
 
 
-def _take_first_free(predictions: Column, fits, better) -> Column:
-    """Fold over ordered predictions: each takes the best free target index that fits; array of (prediction, target)."""
-    start = F.struct(F.array().cast("array<struct<p:int,t:int>>").alias("out"), F.array().cast("array<int>").alias("used"))
-
-    def step(s: Column, p: Column) -> Column:
-        free = F.filter(fits(p), lambda c: ~F.array_contains(s["used"], c["t"]))
-        best = F.array_min(F.transform(free, better))
-        t = best["t"]
-        return F.when(F.size(free) > 0, F.struct(F.concat(s["out"], F.array(F.struct(p["p"].alias("p"), t.alias("t")))).alias("out"), F.concat(s["used"], F.array(t)).alias("used"))).otherwise(s)
-
-    return F.aggregate(predictions, start, step, lambda s: s["out"])
+MATCHES = T.ArrayType(T.StructType([T.StructField("p", T.IntegerType()), T.StructField("t", T.IntegerType())]))
+
+
+@F.pandas_udf(MATCHES)
+def _nearest_free(p: pd.Series, px: pd.Series, t: pd.Series, tx: pd.Series, tolerance: pd.Series) -> pd.Series:
+    """Greedy matching on a line: predictions in their order take the nearest free target, of equally near ones that of
+    the least number. Targets lie sorted by place; free neighbours on both sides are found by pointers that skip what
+    is used, so a list costs no more than sorting it."""
+
+    def find(jump: list[int], i: int) -> int:
+        root = i
+        while jump[root] != root:
+            root = jump[root]
+        while jump[i] != root:
+            jump[i], i = root, jump[i]
+        return root
+
+    def one(p, px, t, tx, tolerance: float) -> list[dict]:
+        targets = sorted(zip(tx.tolist(), t.tolist()))
+        xs = [x for x, _ in targets]
+        n, out = len(xs), []
+        up, down = list(range(n + 1)), list(range(n + 1))  # next free place at or after i; before i, counted from 1
+        for q, number in sorted(zip(px.tolist(), p.tolist()), key=lambda a: a[1]):
+            i = bisect.bisect_left(xs, q)
+            right, left = find(up, i), find(down, i)
+            options = [(abs(q - xs[right]), targets[right][1], right)] if right < n else []
+            if left:
+                first = find(up, bisect.bisect_left(xs, xs[left - 1]))  # the least number at the same place
+                options.append((abs(q - xs[first]), targets[first][1], first))
+            if options and min(options)[0] <= tolerance:
+                _, target, at = min(options)
+                up[at], down[at + 1] = at + 1, at
+                out.append({"p": number, "t": target})
+        return out
+
+    return pd.Series([one(*x) for x in zip(p, px, t, tx, tolerance)], dtype=object)
 
 
 def match_events(pred: DataFrame, truth: DataFrame, keys: Sequence[str], at: str = "onset", tolerance: float = 0.26) -> DataFrame:
     """Greedy one-to-one matching. Predictions, in the order ``ord``, take the nearest unused target (ord) of
-    the same key (which holds the note set) within the tolerance. One row for each match: keys, pred_ord, truth_ord."""
-    p = pred.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("ord").cast("int").alias("p"), F.col(at).cast("double").alias("x")))).alias("ps"))
-    t = truth.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("ord").cast("int").alias("t"), F.col(at).cast("double").alias("x")))).alias("ts"))
-    near = lambda q: F.filter(F.transform("ts", lambda c: F.struct(F.abs(q["x"] - c["x"]).alias("d"), c["t"].alias("t"))), lambda c: c["d"] <= tolerance)
-    found = p.join(t, list(keys)).select(*keys, F.explode(_take_first_free(F.col("ps"), near, lambda c: c)).alias("m"))
-    return found.select(*keys, F.col("m.p").alias("pred_ord"), F.col("m.t").alias("truth_ord"))
+    the same key (which holds the note set) within the tolerance. One row for each match: keys, pred_ord, truth_ord.
+
+    Where neighbours on the line, of either side, are further apart than the tolerance, no match can reach across; so
+    a key falls into stretches that are matched one by one."""
+    side = lambda df, n: df.select(*keys, F.col("ord").cast("int").alias("_o"), F.col(at).cast("double").alias("_x"), F.lit(n).alias("_side"))
+    w = Window.partitionBy(*keys).orderBy("_x", "_side", "_o")
+    both = side(pred, 0).unionByName(side(truth, 1)).withColumn("_new", F.when(F.col("_x") - F.lag("_x").over(w) <= tolerance, 0).otherwise(1)).withColumn("_part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    of = lambda n: F.collect_list(F.when(F.col("_side") == n, F.struct("_o", "_x")))
+    parts = both.groupBy(*keys, "_part").agg(of(0).alias("_p"), of(1).alias("_t")).filter("size(_p) > 0 and size(_t) > 0")
+    of_all = lambda c, n: F.transform(c, lambda v: v[n])
+    found = _nearest_free(of_all("_p", "_o"), of_all("_p", "_x"), of_all("_t", "_o"), of_all("_t", "_x"), F.lit(float(tolerance)))
+    return parts.select(*keys, F.explode(found).alias("m")).select(*keys, F.col("m.p").alias("pred_ord"), F.col("m.t").alias("truth_ord"))
+
+
+@F.pandas_udf(MATCHES)
+def _widest_free(p: pd.Series, t: pd.Series, least: pd.Series) -> pd.Series:
+    """Greedy matching of boxes: arrays of (number, x, y, w, h) as rows of doubles, detections in their order. A box only
+    looks at the targets whose left edge can lie within its reach."""
+
+    def one(p, t, least: float) -> list[dict]:
+        p, t = np.stack(p), np.stack(t)
+        t = t[np.argsort(t[:, 1], kind="stable")]
+        free, widest, out = np.ones(len(t), bool), t[:, 3].max(), []
+        for number, x, y, w, h in p.tolist():
+            i = int(np.searchsorted(t[:, 1], x - widest))
+            some = t[i : int(np.searchsorted(t[:, 1], x + w, "right"))]
+            inter = np.maximum(0.0, np.minimum(x + w, some[:, 1] + some[:, 3]) - np.maximum(x, some[:, 1])) * np.maximum(0.0, np.minimum(y + h, some[:, 2] + some[:, 4]) - np.maximum(y, some[:, 2]))
+            union = w * h + some[:, 3] * some[:, 4] - inter
+            over = np.where(union > 0, inter / np.where(union > 0, union, 1), 0.0)
+            ok = np.flatnonzero(free[i : i + len(some)] & (over >= least))
+            if len(ok):
+                best = min(ok, key=lambda k: (-over[k], some[k, 0]))
+                free[i + best] = False
+                out.append({"p": int(number), "t": int(some[best, 0])})
+        return out
+
+    return pd.Series([one(*x) for x in zip(p, t, least)], dtype=object)
 
 
 def match_detections(detections: DataFrame, truth: DataFrame, least_score: float = 0.35, least_iou: float = 0.5) -> DataFrame:
@@ -184,11 +242,11 @@ def match_detections(detections: DataFrame, truth: DataFrame, least_score: float
     largest overlap, the first of equals. Returns the kept detections with truth_ord, null for a false positive."""
     keys = ["image_id", "category_id"]
     kept = detections.filter(F.col("score") >= least_score)
-    box = lambda c: [c[n] for n in ("x", "y", "w", "h")]
-    p = kept.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("ord").cast("int").alias("p"), *[F.col(c).cast("double").alias(c) for c in "xywh"]))).alias("ps"))
-    t = truth.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("ord").cast("int").alias("t"), *[F.col(c).cast("double").alias(c) for c in "xywh"]))).alias("ts"))
-    over = lambda q: F.filter(F.transform("ts", lambda c: F.struct((-iou(box(q), box(c))).alias("d"), c["t"].alias("t"))), lambda c: c["d"] <= -least_iou)
-    found = p.join(t, keys).select(*keys, F.explode(_take_first_free(F.col("ps"), over, lambda c: c)).alias("m"))
+    box = lambda x: F.array(*(x[n].cast("double") for n in ("ord", "x", "y", "w", "h")))
+    row = F.struct(F.col("ord").cast("int").alias("ord"), "x", "y", "w", "h")
+    p = kept.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("ord").cast("int").alias("o"), row.alias("b")))), lambda x: box(x["b"])).alias("ps"))
+    t = truth.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(row)), box).alias("ts"))
+    found = p.join(t, keys).select(*keys, F.explode(_widest_free("ps", "ts", F.lit(float(least_iou)))).alias("m"))
     return kept.join(found.select(*keys, F.col("m.p").alias("ord"), F.col("m.t").alias("truth_ord")), [*keys, "ord"], "left")
 
 

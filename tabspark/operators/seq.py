@@ -7,8 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import split_rest
 
@@ -82,18 +85,33 @@ def peaks(df: DataFrame, keys: Sequence[str], order: str, value: str, threshold:
     return df.withColumn("_p", (F.col(value) >= p) & (F.col(value) > n) & (F.col(value) >= threshold)).filter("_p").drop("_p")
 
 
-def thin_peaks(df: DataFrame, keys: Sequence[str], order: str, value: str, gap: float) -> DataFrame:
-    """Peaks at least ``gap`` from the last kept; a higher one that is nearer takes its place."""
-    t = df.schema[order].dataType.simpleString()
-    start = F.array().cast(f"array<struct<o:{t},v:double>>")
-    item = F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _thinned(orders: pd.Series, values: pd.Series, gap: pd.Series) -> pd.Series:
+    """Which peaks of a run stay: one pass that carries the place of the last kept one."""
 
-    def step(s: Column, x: Column) -> Column:
-        last = F.element_at(s, -1)
-        near = (F.size(s) > 0) & (x["o"] - last["o"] < gap)
-        return F.when(near & (x["v"] > last["v"]), F.concat(F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))), F.array(x))).when(near, s).otherwise(F.concat(s, F.array(x)))
+    def one(o, v, gap: float) -> list[bool]:
+        kept, last = [False] * len(o), -1
+        for i, (x, y) in enumerate(zip(o.tolist(), v.tolist())):
+            if last < 0 or x - o[last] >= gap:
+                kept[i], last = True, i
+            elif y > v[last]:
+                kept[last], kept[i], last = False, True, i
+        return kept
 
-    return fold(df, keys, item, start, step).select(*keys, F.inline("out")).withColumnsRenamed({"o": order, "v": value})
+    return pd.Series([one(np.asarray(o), np.asarray(v), g) for o, v, g in zip(orders, values, gap)], dtype=object)
+
+
+def thin_peaks(df: DataFrame, keys: Sequence[str], order: str, value: str, gap: float) -> DataFrame:
+    """Peaks at least ``gap`` from the last kept; a higher one that is nearer takes its place.
+
+    A peak that far from the peak before it is kept whatever came earlier, so a series falls into runs that are thinned
+    one by one, each in one pass over its peaks."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    runs = df.withColumn("_new", F.when(F.col(order) - F.lag(order).over(w) < gap, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    xs = runs.groupBy(*keys, "_run").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("_xs"))
+    stays = _thinned(F.transform("_xs", lambda x: x["o"]), F.transform("_xs", lambda x: x["v"]), F.lit(float(gap)))
+    kept = xs.withColumn("_k", stays).select(*keys, F.inline(F.filter("_xs", lambda x, i: F.get("_k", i))))
+    return kept.withColumnsRenamed({"o": order, "v": value})
 
 
 def moving_baseline(df: DataFrame, keys: Sequence[str], order: str, value: str, width: int = 9) -> DataFrame:
@@ -109,26 +127,58 @@ def spacing_stats(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     return g.select(*keys, "spacing", F.try_divide(F.greatest(F.col("_hi") - F.col("spacing"), F.col("spacing") - F.col("_lo")), F.col("spacing")).alias("irregularity"))
 
 
-def staff_groups(rows: DataFrame, keys: Sequence[str], y: str = "y", lines: int = 6, low: float = 4.0, high: float = 12.0, deviation: float = 0.8) -> DataFrame:
-    """Groups of ``lines`` rows with even spacing, from the top, without overlap."""
+def _middle(gaps: Column, n: int) -> Column:
+    """Median of an array of ``n`` values."""
+    s = F.sort_array(gaps)
+    return F.get(s, F.lit(n // 2)) if n % 2 else (F.get(s, F.lit(n // 2 - 1)) + F.get(s, F.lit(n // 2))) / 2
+
+
+def _uneven(gaps: Column, middle: Column, n: int) -> Column:
+    """Mean deviation of gaps from their median, over it."""
+    return F.aggregate(F.transform(gaps, lambda g: F.abs(g - middle)), F.lit(0.0), lambda s, v: s + v) / n / middle
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``value`` as a column that is worked out once: a filter on what follows isn't put before it with its expression."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
+def _regular(groups: DataFrame, lines: int) -> DataFrame:
+    """Spacing (median gap) and irregularity (mean deviation from it, over it) of groups of ``lines`` values."""
+    g = _once(groups, "gaps", _gaps(F.col("lines")))
+    g = _once(g, "spacing", _middle(F.col("gaps"), lines - 1))
+    return _once(g, "irregularity", F.when(F.col("spacing") > 0, _uneven(F.col("gaps"), F.col("spacing"), lines - 1)))
+
+
+def _gaps(values: Column) -> Column:
+    return F.transform(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), lambda v, i: v - F.get(values, i))
+
+
+def staff_groups(rows: DataFrame, keys: Sequence[str], y: str = "y", lines: int = 6, low: float = 4.0, high: float = 12.0, deviation: float = 0.8, left: str | None = None, right: str | None = None, width: float = 0.0) -> DataFrame:
+    """Groups of ``lines`` rows whose gaps are near their median, from the top, without overlap; with extents
+    (left, right) those of their rows, and only groups as wide as ``width``."""
     w = Window.partitionBy(*keys).orderBy(y)
-    c = rows.withColumn("_i", F.row_number().over(w)).withColumn("lines", F.collect_list(F.col(y).cast("double")).over(w.rowsBetween(0, lines - 1))).filter(F.size("lines") == lines)
-    gaps = F.transform(F.slice("lines", 2, lines - 1), lambda v, i: v - F.get("lines", i))
-    c = c.withColumn("_g", gaps).withColumn("spacing", F.aggregate("_g", F.lit(0.0), lambda s, v: s + v) / (lines - 1))
+    ahead = w.rowsBetween(0, lines - 1)
+    c = rows.withColumn("_i", F.row_number().over(w)).withColumn("lines", F.collect_list(F.col(y).cast("double")).over(ahead))
+    edge = {"left": F.min(left).over(ahead) if left else F.lit(None), "right": F.max(right).over(ahead) if right else F.lit(None)}
+    c = c.withColumns({n: e.cast("double") for n, e in edge.items()}).filter(F.size("lines") == lines).withColumn("_g", _gaps(F.col("lines"))).withColumn("spacing", _middle(F.col("_g"), lines - 1))
     c = c.filter(F.col("spacing").between(low, high) & F.forall("_g", lambda g: F.abs(g - F.col("spacing")) <= deviation))
-    item = F.struct("_i", "spacing", "lines")
-    start = F.array().cast("array<struct<_i:int,spacing:double,lines:array<double>>>")
+    c = c.filter(F.col("right") - F.col("left") >= width) if left and right else c
+    item = F.struct("_i", "spacing", "lines", "left", "right")
+    start = F.array().cast("array<struct<_i:int,spacing:double,lines:array<double>,left:double,right:double>>")
     step = lambda s, v: F.when((F.size(s) > 0) & (v["_i"] < F.coalesce(F.try_element_at(s, F.lit(-1))["_i"], F.lit(-lines)) + lines), s).otherwise(F.concat(s, F.array(v)))
-    return fold(c, keys, item, start, step).select(*keys, F.posexplode("out").alias("system", "g")).select(*keys, "system", "g.spacing", "g.lines")
+    return fold(c, keys, item, start, step).select(*keys, F.posexplode("out").alias("system", "g")).select(*keys, "system", "g.spacing", "g.lines", "g.left", "g.right")
 
 
 def system_bounds(groups: DataFrame, keys: Sequence[str], top: str, bottom: str, spacing: str, page_height: Column, above: float = 15, below: float = 5, least: float = 7) -> DataFrame:
-    """Crop of each system: so many spacings above and below, cut half-way to its neighbours and at the page;
-    those less than ``least`` spacings high are left out."""
+    """Crop of each system in whole pixels: so many spacings above and below, cut half-way to its neighbours and at
+    the page; those less than ``least`` spacings high are left out."""
     w = Window.partitionBy(*keys).orderBy(top)
-    up = F.coalesce((F.lag(bottom).over(w) + F.col(top)) / 2, F.lit(0.0))
-    down = F.coalesce((F.col(bottom) + F.lead(top).over(w)) / 2, page_height)
-    g = groups.withColumn("crop_top", F.greatest(F.lit(0.0), up, F.col(top) - above * F.col(spacing))).withColumn("crop_bottom", F.least(page_height, down, F.col(bottom) + below * F.col(spacing)))
+    px = lambda v: F.bround(v.cast("double")).cast("int")
+    height = page_height.cast("int")
+    up = F.coalesce(px((F.lag(bottom).over(w) + F.col(top)) / 2), F.lit(0))
+    down = F.coalesce(px((F.col(bottom) + F.lead(top).over(w)) / 2), height)
+    g = groups.withColumn("crop_top", F.greatest(F.lit(0), up, px(F.col(top) - above * F.col(spacing)))).withColumn("crop_bottom", F.least(height, down, px(F.col(bottom) + below * F.col(spacing))))
     return g.filter(F.col("crop_bottom") - F.col("crop_top") >= least * F.col(spacing))
 
 
@@ -307,53 +357,78 @@ def leader_clusters(glyphs: DataFrame, threshold: float = 0.075) -> DataFrame:
     return glyphs.groupBy("run_id").applyInPandas(run, f"run_id {s['run_id'].dataType.simpleString()}, ord {s['ord'].dataType.simpleString()}, cluster_id int, distance double")
 
 
-def line_groups(centres: DataFrame, keys: Sequence[str], lines: int, low: float, high: float, tolerance: float = 0.2) -> DataFrame:
-    """Regular groups of ``lines`` centres (y, strength) on a page. For each pair of centres as first two lines,
-    the nearest centre to each further place, within the tolerance of the spacing, is taken; of groups that overlap,
-    the most regular (then the strongest) stays. A page has some hundred centres."""
-
-    def run(pdf):
-        import numpy as np
-        import pandas as pd
-
-        p = pdf.sort_values("y")
-        y, s = p["y"].to_numpy(float), p["strength"].to_numpy(float)
-        found = []
-        for i in range(len(y)):
-            for j in range(i + 1, len(y)):
-                gap = y[j] - y[i]
-                if gap > high:
-                    break
-                if gap < low:
-                    continue
-                at = [int(np.abs(y - (y[i] + k * gap)).argmin()) for k in range(lines)]
-                if len(set(at)) < lines or np.abs(y[at] - (y[i] + gap * np.arange(lines))).max() > tolerance * gap:
-                    continue
-                d = np.diff(y[at])
-                irregular = float(np.abs(d - np.median(d)).max() / np.median(d))
-                if irregular <= tolerance:
-                    found.append((irregular, -float(s[at].sum()), y[at].tolist(), float(np.median(d))))
-        kept = []
-        for q in sorted(found):
-            if all(q[2][-1] < k[2][0] or q[2][0] > k[2][-1] for k in kept):
-                kept.append(q)
-        kept.sort(key=lambda q: q[2][0])
-        head = {k: [p[k].iloc[0]] * len(kept) for k in keys}
-        return pd.DataFrame({**head, "group": range(len(kept)), "spacing": [q[3] for q in kept], "irregularity": [q[0] for q in kept], "lines": [q[2] for q in kept]})
-
-    ks = ", ".join(f"{k} {centres.schema[k].dataType.simpleString()}" for k in keys)
-    return centres.groupBy(*keys).applyInPandas(run, f"{ks}, group int, spacing double, irregularity double, lines array<double>")
-
-
-def highlight_index(runs: DataFrame, measures: DataFrame, keys: Sequence[str], tolerance: float = 0.08) -> DataFrame:
-    """Runs (side top or bottom, x1, x2) that pair up with equal extents name the highlighted measure: the one
-    that holds the middle of the first pair from the left."""
-    side = lambda v, n: runs.filter(F.col("side") == v).select(*keys, F.col("x1").alias(f"{n}1"), F.col("x2").alias(f"{n}2"))
-    pair = side("top", "a").join(side("bottom", "b"), list(keys))
-    width = F.col("a2") - F.col("a1")
-    pair = pair.filter((F.abs(F.col("a1") - F.col("b1")) <= tolerance * width) & (F.abs(F.col("a2") - F.col("b2")) <= tolerance * width))
-    first = pair.groupBy(*keys).agg(F.min(F.struct("a1", "a2")).alias("p")).withColumn("x", (F.col("p.a1") + F.col("p.a2")) / 2)
-    return first.join(measures, list(keys)).filter("x >= left and x < right").groupBy(*keys).agg(F.min("measure_index").alias("highlighted_index"))
+def _extended(centres: DataFrame, keys: Sequence[str], y: str, lines: int, ahead: int | None, low: Column, high: Column, reach: float, slack: float, share: float, strength: str | None = None) -> DataFrame:
+    """Groups of ``lines`` centres grown from pairs (first, second) ``low`` to ``high`` apart, the second at most
+    ``ahead`` centres after the first: each further line is the centre after the last that is nearest to its place
+    (of equally near ones the first), no more than max(slack, share * gap) from it. Rows: keys, pair (places of both),
+    lines, strengths, gaps, spacing, irregularity. A centre only sees the centres within ``reach`` below it."""
+    single = centres.groupBy(*keys, F.col(y).cast("double").alias("_y")).agg((F.max(strength) if strength else F.lit(0.0)).cast("double").alias("_s"))
+    part = ", ".join(f"`{k}`" for k in keys)
+    near = single.withColumn("_i", F.expr(f"row_number() over (partition by {part} order by _y)")).withColumn("_near", F.expr(f"collect_list(struct(_y as y, _s as s)) over (partition by {part} order by _y range between current row and {float(reach)}D following)")).filter("size(_near) > 1")
+    last = F.size("_near") - 1
+    pairs = near.withColumn("_j", F.explode(F.sequence(F.lit(1), F.least(last, F.lit(ahead)) if ahead else last)))
+    pairs = pairs.withColumn("_first", F.col("_near")[0]["y"]).withColumn("_gap", F.get("_near", F.col("_j"))["y"] - F.col("_first")).filter((F.col("_gap") >= low) & (F.col("_gap") <= high))
+
+    def step(s: Column, k: Column) -> Column:
+        place = F.col("_first") + F.col("_gap") * k
+        options = F.filter(F.transform(F.col("_near"), lambda c, i: F.struct(F.abs(c["y"] - place).alias("d"), i.alias("i"))), lambda c: (c["i"] > s["at"]) & (c["d"] <= F.greatest(F.lit(slack), F.col("_gap") * share)))
+        take = lambda best: F.struct(F.coalesce(best, F.lit(2**30)).alias("at"), F.when(best.isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(best))).alias("out"))
+        return F.get(F.transform(F.array(F.array_min(options)["i"]), take), F.lit(0))
+
+    grown = _once(pairs, "_at", F.aggregate(F.sequence(F.lit(2), F.lit(lines - 1)), F.struct(F.col("_j").alias("at"), F.array(F.lit(0), F.col("_j")).alias("out")), step, lambda s: s["out"])).filter(F.size("_at") == lines)
+    found = _once(grown.select(*keys, F.struct(F.col("_i").alias("i"), F.col("_j").alias("j")).alias("pair"), "_at", "_near"), "_l", F.transform("_at", lambda i: F.get("_near", i)))
+    return _regular(found.select(*keys, "pair", F.transform("_l", lambda c: c["y"]).alias("lines"), F.transform("_l", lambda c: c["s"]).alias("strengths")), lines)
+
+
+def line_groups(centres: DataFrame, keys: Sequence[str], y: str = "y", lines: int = 6, low: float = 4.0, high: float = 80.0, tolerance: float = 0.2) -> DataFrame:
+    """Regular groups of ``lines`` line centres of a page, in two passes of interval selection.
+
+    First windows of consecutive centres (median gap ``low`` to ``high``, irregularity at most ``tolerance``), from the
+    top; then, where nothing lies, groups grown over stray centres from pairs at most four centres apart, the most
+    regular first. Equal centres count once. One row a group: keys, group (from the top), lines, spacing, irregularity,
+    recovered."""
+    w = Window.partitionBy(*keys).orderBy(y)
+    single = centres.select(*keys, y).distinct()
+    run = single.withColumn("lines", F.collect_list(F.col(y).cast("double")).over(w.rowsBetween(0, lines - 1))).filter(F.size("lines") == lines)
+    run = _regular(run, lines).filter(F.col("spacing").between(low, high))
+    grown = _extended(single, keys, y, lines, 4, F.lit(low), F.lit(high), high * lines, 3.0, 0.25)
+    top = F.get("lines", F.lit(0))
+    item = lambda phase, a, b, i, j: F.struct(F.lit(phase).alias("phase"), a.alias("a"), b.alias("b"), i.cast("int").alias("i"), j.cast("int").alias("j"), "lines", "spacing", "irregularity")
+    both = run.filter(F.col("irregularity") <= tolerance).select(*keys, item(0, top, F.col("irregularity"), F.lit(0), F.lit(0)).alias("x"))
+    both = both.unionByName(grown.filter(F.col("irregularity") <= tolerance).select(*keys, item(1, F.col("irregularity"), top, F.col("pair.i"), F.col("pair.j")).alias("x")))
+    kept = "array<struct<lines:array<double>,spacing:double,irregularity:double,recovered:boolean>>"
+    clear = lambda s, v: F.forall(s, lambda k: (F.element_at(v["lines"], -1) < k["lines"][0]) | (v["lines"][0] > F.element_at(k["lines"], -1)))
+    step = lambda s, v: F.when(clear(s, v), F.concat(s, F.array(F.struct(v["lines"].alias("lines"), v["spacing"].alias("spacing"), v["irregularity"].alias("irregularity"), (v["phase"] == 1).alias("recovered"))))).otherwise(s)
+    out = fold(both, keys, F.col("x"), F.array().cast(kept), step, lambda s: F.sort_array(s))
+    return out.select(*keys, F.posexplode("out").alias("group", "g")).select(*keys, "group", "g.*")
+
+
+def best_line_group(centres: DataFrame, keys: Sequence[str], lines: int, height: float, y: str = "y", strength: str = "strength") -> DataFrame:
+    """The one group of ``lines`` centres of a frame of this height with the largest mean strength less 80 times its
+    irregularity (0.22 at most), grown from any pair 5 to height / 4 apart; of equal ones the first."""
+    grown = _extended(centres, keys, y, lines, None, F.lit(5.0), F.lit(height / 4), height / 4 * lines, 2.0, 0.28, strength).filter("irregularity <= 0.22")
+    score = F.aggregate("strengths", F.lit(0.0), lambda s, v: s + v) / lines - F.col("irregularity") * 80
+    best = grown.groupBy(*keys).agg(F.min(F.struct((-score).alias("s"), "pair", "lines", "spacing", "irregularity")).alias("b"))
+    return best.select(*keys, (-F.col("b.s")).alias("score"), "b.lines", "b.spacing", "b.irregularity")
+
+
+def highlight_index(runs: DataFrame, measures: DataFrame, staffs: DataFrame, keys: Sequence[str], tolerance: float = 0.08) -> DataFrame:
+    """The highlighted measure of a frame. runs: the longest dark run (y, x1, x2) of image rows; measures:
+    measure_index, left, right; staffs: top, bottom.
+
+    Runs of 0.65 to 1.15 median measures on consecutive rows are one bar, with mean height and median ends in whole
+    pixels. A bar over the staff and one under it whose ends differ by at most ``tolerance`` measures make a pair; the
+    first pair, from the top, whose middle lies in a measure (ends included, the first measure of two) decides."""
+    size = measures.groupBy(*keys).agg(F.median(F.col("right") - F.col("left")).alias("_w"))
+    wide = runs.join(size, list(keys)).filter((F.col("x2") - F.col("x1")).between(F.col("_w") * 0.65, F.col("_w") * 1.15))
+    px = lambda v: F.bround(v.cast("double"))
+    bars = islands(wide, keys, "y", 1).groupBy(*keys, "island", "_w").agg(px(F.avg("y")).alias("y"), px(F.median("x1")).alias("a"), px(F.median("x2")).alias("z")).join(staffs, list(keys))
+    over = bars.filter("y < top").select(*keys, "_w", F.col("y").alias("_ty"), F.col("a").alias("_ta"), F.col("z").alias("_tz"))
+    under = bars.filter("y > bottom").select(*keys, F.col("y").alias("_by"), F.col("a").alias("_ba"), F.col("z").alias("_bz"))
+    near = lambda p, q: F.abs(F.col(p) - F.col(q)) <= F.col("_w") * tolerance
+    pairs = over.join(under, list(keys)).filter(near("_ta", "_ba") & near("_tz", "_bz")).withColumn("_x", (F.col("_ta") + F.col("_tz") + F.col("_ba") + F.col("_bz")) / 4)
+    hit = pairs.join(measures, list(keys)).filter("_x >= left and _x <= right")
+    return hit.groupBy(*keys).agg(F.min(F.struct("_ty", "_by", "measure_index")).alias("_h")).select(*keys, F.col("_h.measure_index").alias("highlighted_index"))
 
 
 def bar_candidates(profile: DataFrame, keys: Sequence[str], spacing: float) -> DataFrame:

@@ -325,14 +325,14 @@ def j19_exact_copies(spark, d):
     return J.dedupe_exact(table(spark, d, "documents").select("doc_id", "text"), c("text"), [c("doc_id")]).select("doc_id", "first_id")
 
 
-@query(f"""WITH RECURSIVE {NOTES}, p AS (SELECT score_id, string, ix AS p, onset64 / 8.0::DOUBLE + discount AS x, row_number() OVER (PARTITION BY score_id, string ORDER BY ix, onset64 / 8.0::DOUBLE + discount) AS k FROM notes WHERE flag <> 'R'),
-t AS (SELECT score_id, string, list({{'t': CAST(ix AS INT), 'x': onset64 / 8.0::DOUBLE + discount}}) AS ts FROM notes WHERE flag <> 'A' GROUP BY ALL),
+@query(f"""WITH RECURSIVE {NOTES}, p AS (SELECT score_id, string, measure * 10 + ix AS p, onset64 / 8.0::DOUBLE + discount AS x, row_number() OVER (PARTITION BY score_id, string ORDER BY measure * 10 + ix) AS k FROM notes WHERE flag <> 'R'),
+t AS (SELECT score_id, string, list({{'t': CAST(measure * 10 + ix AS INT), 'x': onset64 / 8.0::DOUBLE + discount}}) AS ts FROM notes WHERE flag <> 'A' GROUP BY ALL),
 r AS (SELECT score_id, string, CAST(0 AS BIGINT) AS k, CAST([] AS INT[]) AS used, CAST(NULL AS INT) AS p, CAST(NULL AS INT) AS t FROM t UNION ALL
  SELECT score_id, string, k, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.t) END, p, best.t FROM (SELECT r.score_id, r.string, p.k, r.used, CAST(p.p AS INT) AS p,
   list_sort(list_transform(list_filter(ts, lambda c: abs(p.x - c.x) <= 0.26 AND NOT list_contains(r.used, c.t)), lambda c: {{'d': abs(p.x - c.x), 't': c.t}}))[1] AS best FROM r JOIN p ON p.score_id = r.score_id AND p.string = r.string AND p.k = r.k + 1 JOIN t ON t.score_id = r.score_id AND t.string = r.string))
 SELECT score_id, string, p AS pred_ord, t AS truth_ord FROM r WHERE t IS NOT NULL""")
 def j16_match_events(spark, d):
-    n = notes(spark, d).withColumn("ord", c("ix")).withColumn("onset", c("onset64") / 8.0 + c("discount"))
+    n = notes(spark, d).withColumn("ord", (c("measure") * 10 + c("ix")).cast("int")).withColumn("onset", c("onset64") / 8.0 + c("discount"))
     return J.match_events(n.filter("flag <> 'R'"), n.filter("flag <> 'A'"), ["score_id", "string"], tolerance=0.26)
 
 
@@ -405,7 +405,7 @@ def a8_vote_measures(spark, d):
     return A.vote_measures(notes(spark, d).select("measure", c("flag").alias("signature"), c("q").cast("double").alias("quality"), c("ix").alias("ord")), ["measure"])
 
 
-@query(f"WITH {POINTS} SELECT score_id, kind, min(t) AS t FROM points GROUP BY ALL")
+@query(f"WITH {POINTS} SELECT score_id, kind, round(min(t), 3) AS t FROM points GROUP BY ALL")
 def a10_earliest(spark, d):
     p = points(spark, d).select("score_id", "kind", F.lit(0).alias("start_measure"), F.hash("kind").alias("highlighted_index"), c("t").alias("time_seconds"))
     return A.sync_suggestions(p, ["score_id", "kind"]).select("score_id", "kind", c("time_seconds").alias("t"))
@@ -418,15 +418,30 @@ def a11_tempo_from_sync(spark, d):
     return A.tempo_from_sync(p, ["measure"])
 
 
-@query(f"WITH {POINTS} SELECT score_id, round(quantile_cont(value, 0.5), 1) AS value FROM (SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY us, event_id) AS r FROM points WHERE value IS NOT NULL) WHERE r <= 8 GROUP BY score_id")
+@query(f"""WITH {POINTS} SELECT score_id, round(quantile_cont(value, 0.5), 1) AS value FROM (SELECT score_id, CASE WHEN event_id % 3 > 0 THEN value END AS value, row_number() OVER (PARTITION BY score_id ORDER BY us, event_id) AS r FROM points)
+WHERE r <= 8 AND value IS NOT NULL GROUP BY score_id""")
 def a12_median_of_first(spark, d):
-    return A.median_of_first(points(spark, d), ["score_id"], "value", [c("us"), c("event_id")], 8)
+    p = points(spark, d).withColumn("value", F.when(c("event_id") % 3 > 0, c("value")))
+    return A.median_of_first(p, ["score_id"], "value", [c("us"), c("event_id")], 8)
 
 
-@query(f"WITH {NOTES} SELECT score_id, count(*) AS measures, 700 AS expected, CAST(sum(CASE WHEN q < 20 THEN 1 ELSE 0 END) AS BIGINT) AS low, round(least(1.0, count(*) / 700.0), 6) AS coverage, round(avg(q * 3) * least(1.0, count(*) / 700.0), 6) AS confidence FROM notes GROUP BY score_id")
+@query(f"""WITH {NOTES}, g AS (SELECT score_id, fret % 7 > 0 AND q % 5 > 0 AS known, 2 * q AS confidence FROM notes), s AS (SELECT score_id, count(*) AS total, count(*) FILTER (known) AS seen, coalesce(avg(confidence) FILTER (known), 0) AS mean, count(*) FILTER (known AND confidence < 60) AS low FROM g GROUP BY score_id)
+SELECT score_id, total AS total_glyphs, seen AS recognized_glyphs, low AS low_confidence_glyphs, round_even(seen / total::DOUBLE, 3) AS glyph_coverage, round_even(mean / 100 * (seen / total::DOUBLE), 3) AS confidence FROM s""")
 def a13_summary(spark, d):
-    s = A.recognition_summary(notes(spark, d).withColumn("confidence", c("q") * 3), ["score_id"], F.lit(700))
-    return s.withColumn("coverage", F.round("coverage", 6)).withColumn("confidence", F.round("confidence", 6))
+    glyphs = notes(spark, d).withColumn("confidence", c("q") * 2).withColumn("label", F.when(c("q") % 5 == 0, "").when(c("fret") % 7 > 0, c("fret").cast("string")))
+    return A.recognition_summary(glyphs, ["score_id"])
+
+
+@query(f"""WITH {NOTES}, f AS (SELECT score_id, CASE WHEN q % 4 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN fret % 3 > 0 THEN measure END AS start_measure, CASE WHEN string < 3 THEN 'tab_only' ELSE 'staff_tab_pair' END AS layout, CASE WHEN ix % 2 = 0 THEN 'dark_on_light' ELSE 'light_on_dark' END AS polarity FROM notes),
+m AS (SELECT score_id, count(DISTINCT measure) AS n, min(measure) AS a, max(measure) AS z FROM notes GROUP BY score_id)
+SELECT score_id, 'technique' AS kind, 't' || string AS name, count(*) AS n FROM notes WHERE fret % 5 = 0 GROUP BY ALL UNION ALL SELECT score_id, 'layout', layout, count(*) FROM f WHERE status = 'ok' GROUP BY ALL UNION ALL SELECT score_id, 'polarity', polarity, count(*) FROM f WHERE status = 'ok' GROUP BY ALL
+UNION ALL SELECT score_id, 'frames', CASE WHEN status = 'ok' THEN 'parsed' ELSE 'failed' END, count(*) FROM f GROUP BY ALL UNION ALL SELECT score_id, 'frames', 'unresolved', count(*) FROM f WHERE status = 'ok' AND start_measure IS NULL GROUP BY ALL
+UNION ALL SELECT score_id, 'measures', unnest(['count', 'start', 'end', 'missing']), unnest([n, a, z, z - a + 1 - n]) FROM m""")
+def a13_summary_counts(spark, d):
+    n = notes(spark, d)
+    frames = n.select("score_id", F.when(c("q") % 4 == 0, "error").otherwise("ok").alias("status"), F.when(c("fret") % 3 > 0, c("measure")).alias("start_measure"), F.when(c("string") < 3, "tab_only").otherwise("staff_tab_pair").alias("layout"), F.when(c("ix") % 2 == 0, "dark_on_light").otherwise("light_on_dark").alias("polarity"))
+    marks = n.filter("fret % 5 = 0").select("score_id", F.concat(F.lit("t"), c("string").cast("string")).alias("technique"))
+    return A.summary_counts(marks, frames, n.select("score_id", c("measure").alias("number")), ["score_id"])
 
 
 @query("SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL")

@@ -273,13 +273,14 @@ def j18_match_chords(spark, d):
     return J.match_chords(n.filter("flag <> 'R'"), n.filter("flag <> 'A'"), 6.0)
 
 
-@query(f"""WITH RECURSIVE {NOTES}, w AS (SELECT measure, row_number() OVER o AS i, CAST(q AS DOUBLE) AS a, CAST(lead(q) OVER o AS DOUBLE) AS b, CAST(lead(q, 2) OVER o AS DOUBLE) AS e FROM notes WINDOW o AS (PARTITION BY measure ORDER BY q)),
-k AS (SELECT *, row_number() OVER (PARTITION BY measure ORDER BY i) AS k FROM w WHERE e IS NOT NULL AND (e - a) / 2 BETWEEN 4 AND 12 AND abs(b - a - (e - a) / 2) <= 3 AND abs(e - b - (e - a) / 2) <= 3),
-r AS (SELECT measure, k, i AS last, 0 AS system, true AS taken FROM k WHERE k = 1 UNION ALL SELECT k.measure, k.k, CASE WHEN k.i >= r.last + 3 THEN k.i ELSE r.last END, CASE WHEN k.i >= r.last + 3 THEN r.system + 1 ELSE r.system END, k.i >= r.last + 3 FROM r JOIN k ON k.measure = r.measure AND k.k = r.k + 1)
-SELECT r.measure, r.system, (k.e - k.a) / 2 AS spacing, k.a AS first, k.e AS last FROM r JOIN k USING (measure, k) WHERE r.taken""")
+@query(f"""WITH RECURSIVE {NOTES}, w AS (SELECT measure, row_number() OVER o AS i, CAST(q AS DOUBLE) AS a, CAST(lead(q) OVER o AS DOUBLE) AS b, CAST(lead(q, 2) OVER o AS DOUBLE) AS e, CAST(lead(q, 3) OVER o AS DOUBLE) AS f, min(fret) OVER u AS "left", max(fret + 5 * string) OVER u AS "right" FROM notes WINDOW o AS (PARTITION BY measure ORDER BY q, ix), u AS (PARTITION BY measure ORDER BY q, ix ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+m AS (SELECT *, list_sort([b - a, e - b, f - e])[2] AS m FROM w WHERE f IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY measure ORDER BY i) AS k FROM m WHERE m BETWEEN 3 AND 14 AND abs(b - a - m) <= 4 AND abs(e - b - m) <= 4 AND abs(f - e - m) <= 4 AND "right" - "left" >= 20),
+r AS (SELECT measure, k, i AS last, 0 AS system, true AS taken FROM k WHERE k = 1 UNION ALL SELECT k.measure, k.k, CASE WHEN k.i >= r.last + 4 THEN k.i ELSE r.last END, CASE WHEN k.i >= r.last + 4 THEN r.system + 1 ELSE r.system END, k.i >= r.last + 4 FROM r JOIN k ON k.measure = r.measure AND k.k = r.k + 1)
+SELECT r.measure, r.system, k.m AS spacing, k.a AS first, k.f AS last, CAST("left" AS DOUBLE) AS "left", CAST("right" AS DOUBLE) AS "right" FROM r JOIN k USING (measure, k) WHERE r.taken""")
 def w10_staff_groups(spark, d):
-    g = W.staff_groups(notes(spark, d).select("measure", c("q").alias("y")), ["measure"], "y", 3, 4.0, 12.0, 3.0)
-    return g.select("measure", "system", "spacing", F.get("lines", F.lit(0)).alias("first"), F.get("lines", F.lit(2)).alias("last"))
+    rows = notes(spark, d).select("measure", F.struct(c("q").alias("q"), "ix").alias("o"), c("q").alias("y"), c("fret").alias("a"), (c("fret") + 5 * c("string")).alias("z"))
+    g = W.staff_groups(rows.select("measure", (c("y") + c("o.ix") * 0.0).alias("y"), "a", "z", "o"), ["measure"], "y", 4, 3.0, 14.0, 4.0, "a", "z", 20.0)
+    return g.select("measure", "system", "spacing", F.get("lines", F.lit(0)).alias("first"), F.get("lines", F.lit(3)).alias("last"), "left", "right")
 
 
 @query(f"""WITH RECURSIVE {POINTS}, k AS (SELECT CAST(score_id AS VARCHAR) AS run_id, us AS ord, CAST(value AS DOUBLE) AS v, row_number() OVER (PARTITION BY score_id ORDER BY us) AS k FROM points),

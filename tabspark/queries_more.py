@@ -233,18 +233,18 @@ def a17_predicted_events(spark, d):
     return A.predicted_events(m.withColumnRenamed("measure", "number")).select("score_id", "number", "ord", "pos", F.get("notes", F.lit(0)).alias("first"))
 
 
-@query(f"""WITH {NOTES}, l AS (SELECT measure, round_even((fret * 0.5 + fret * 0.5 + (q % 3) * 0.75) * 2, 0) / 4 AS y, ix * 10 AS a, ix * 10 + q AS b FROM notes WHERE (q % 3) * 0.75 <= 1),
+@query(f"""WITH {NOTES}, l AS (SELECT measure, round_even((fret * 0.5 + fret * 0.5 + (q % 3) * 0.2) * 2, 0) / 4 AS y, least(ix * 10, ix * 10 + q - 3) AS a, greatest(ix * 10, ix * 10 + q - 3) AS b FROM notes WHERE (q % 3) * 0.2 <= 0.3 AND abs(q - 3) >= 2),
 m AS (SELECT *, max(b) OVER (PARTITION BY measure, y ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS x FROM l), i AS (SELECT *, sum(CASE WHEN x IS NULL OR a > x + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY measure, y ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM m),
 v AS (SELECT measure, y, sum(n) AS covered, min(a) AS "left", max(b) AS "right" FROM (SELECT measure, y, g, max(b) - min(a) AS n, min(a) AS a, max(b) AS b FROM i GROUP BY ALL) GROUP BY ALL)
-SELECT measure, CAST(y AS DOUBLE) AS y, CAST(covered AS BIGINT) AS covered, "left", "right" FROM v WHERE covered >= 30""")
+SELECT measure, CAST(y AS DOUBLE) AS y, CAST(covered AS BIGINT) AS covered, "left", "right" FROM v WHERE covered >= 3""")
 def a22_staff_rows(spark, d):
-    lines = notes(spark, d).select("measure", (c("ix") * 10).alias("x1"), (c("fret") * 0.5).alias("y1"), (c("ix") * 10 + c("q")).alias("x2"), (c("fret") * 0.5 + (c("q") % 3) * 0.75).alias("y2"))
-    return A.staff_rows(lines, ["measure"], 30.0).select("measure", "y", c("covered").cast("long").alias("covered"), "left", "right")
+    lines = notes(spark, d).select("measure", (c("ix") * 10).alias("x1"), (c("fret") * 0.5).alias("y1"), (c("ix") * 10 + c("q") - 3).alias("x2"), (c("fret") * 0.5 + (c("q") % 3) * 0.2).alias("y2"))
+    return A.staff_rows(lines, ["measure"], 3.0).select("measure", "y", c("covered").cast("long").alias("covered"), "left", "right")
 
 
-@query(f"WITH {POINTS} SELECT score_id, round(arg_min(CAST(value AS DOUBLE), event_id), 1) AS tempo FROM points WHERE event_id % 3 <> 0 AND value > 0 GROUP BY score_id")
+@query(f"WITH {POINTS} SELECT score_id, round(arg_min(floor(CAST(value AS DOUBLE)) * 3 + event_id % 2 * 0.04, event_id), 1) AS tempo FROM points WHERE event_id % 3 <> 0 AND floor(CAST(value AS DOUBLE)) * 3 + event_id % 2 * 0.04 BETWEEN 30 AND 300 GROUP BY score_id")
 def p14_score_tempo(spark, d):
-    marks = points(spark, d).select("score_id", c("event_id").alias("ord"), F.when(c("event_id") % 3 == 0, "fast").otherwise(c("value").cast("string")).alias("tempo"))
+    marks = points(spark, d).select("score_id", c("event_id").alias("ord"), F.when(c("event_id") % 3 == 0, "fast").otherwise(text(" ", F.floor(c("value").cast("double")) * 3 + c("event_id") % 2 * 0.04, " ")).alias("tempo"))
     return A.tempo_from_score(marks)
 
 
@@ -255,21 +255,60 @@ def p27_collapse_categories(spark, d):
 
 # -- sequences -------------------------------------------------------------------------------------------------
 
-@query(f"""WITH {NOTES} SELECT measure, ix, crop_top, crop_bottom FROM (SELECT measure, ix, greatest(0.0, coalesce((lag(onset64 * 2 + 10.0) OVER w + onset64 * 2) / 2, 0.0), onset64 * 2 - 15.0 * (1 + q % 3)) AS crop_top,
-least(150.0, coalesce((onset64 * 2 + 10.0 + lead(onset64 * 2) OVER w) / 2, 150.0), onset64 * 2 + 10.0 + 5 * (1 + q % 3)) AS crop_bottom, 1 + q % 3 AS spacing FROM notes WINDOW w AS (PARTITION BY measure ORDER BY onset64)) WHERE crop_bottom - crop_top >= 7 * spacing""")
+@query(f"""WITH {NOTES}, g AS (SELECT measure, ix, onset64 * 2.03::DOUBLE AS top, onset64 * 2.03::DOUBLE + 10.5 AS bottom, 1.0::DOUBLE + q % 3 AS spacing FROM notes), b AS (SELECT measure, ix, spacing, greatest(0, coalesce(round_even((lag(bottom) OVER w + top) / 2, 0), 0), round_even(top - 15 * spacing, 0)) AS crop_top,
+least(150, coalesce(round_even((bottom + lead(top) OVER w) / 2, 0), 150), round_even(bottom + 5 * spacing, 0)) AS crop_bottom FROM g WINDOW w AS (PARTITION BY measure ORDER BY top)) SELECT measure, ix, CAST(crop_top AS INT) AS crop_top, CAST(crop_bottom AS INT) AS crop_bottom FROM b WHERE crop_bottom - crop_top >= 7 * spacing""")
 def w12_system_bounds(spark, d):
-    g = notes(spark, d).select("measure", "ix", (c("onset64") * 2.0).alias("top"), (c("onset64") * 2 + 10.0).alias("bottom"), (1.0 + c("q") % 3).alias("spacing"))
-    return W.system_bounds(g, ["measure"], "top", "bottom", "spacing", F.lit(150.0)).select("measure", "ix", "crop_top", "crop_bottom")
+    g = notes(spark, d).select("measure", "ix", (c("onset64") * 2.03).alias("top"), (c("onset64") * 2.03 + 10.5).alias("bottom"), (1.0 + c("q") % 3).alias("spacing"))
+    return W.system_bounds(g, ["measure"], "top", "bottom", "spacing", F.lit(150)).select("measure", "ix", "crop_top", "crop_bottom")
 
 
-@query(f"""WITH {NOTES}, p AS (SELECT a.measure, a.q * 1.0 AS a1, a.q + a.duration64 * 1.0 AS a2, b.q * 1.0 AS b1, b.q + b.duration64 * 1.0 AS b2 FROM notes a JOIN notes b ON a.measure = b.measure AND a.ix % 2 = 1 AND b.ix % 2 = 0),
-f AS (SELECT measure, (a1 + a2) / 2 AS x FROM (SELECT *, row_number() OVER (PARTITION BY measure ORDER BY a1, a2) AS k FROM p WHERE abs(a1 - b1) <= 0.3 * (a2 - a1) AND abs(a2 - b2) <= 0.3 * (a2 - a1)) WHERE k = 1)
-SELECT f.measure, min(n.ix) AS highlighted_index FROM f JOIN notes n ON f.measure = n.measure AND x >= (n.ix - 1) * 12 AND x < n.ix * 12 GROUP BY f.measure""")
+@query("""WITH runs AS (SELECT DISTINCT l_suppkey AS frame, l_orderkey % 97 AS y, min(l_partkey % 4) OVER w * 60 + min(l_quantity % 7) OVER w AS x1, min(l_partkey % 4) OVER w * 60 + min(l_quantity % 7) OVER w + 30 + 4 * (max(l_quantity) OVER w % 11) AS x2 FROM lineitem WINDOW w AS (PARTITION BY l_suppkey, l_orderkey % 97)),
+bars AS (SELECT s_suppkey AS frame, k AS measure_index, k * 60.0::DOUBLE + s_suppkey % 3 * 5 AS "left", k * 60.0::DOUBLE + s_suppkey % 3 * 5 + 60 AS "right" FROM supplier, range(4) g(k)), size AS (SELECT frame, median("right" - "left") AS w FROM bars GROUP BY frame),
+wide AS (SELECT runs.*, w, y - row_number() OVER (PARTITION BY frame ORDER BY y) AS island FROM runs JOIN size USING (frame) WHERE x2 - x1 BETWEEN w * 0.65 AND w * 1.15),
+rep AS (SELECT frame, w, round_even(avg(y), 0) AS y, round_even(median(CAST(x1 AS DOUBLE)), 0) AS a, round_even(median(CAST(x2 AS DOUBLE)), 0) AS z FROM wide GROUP BY frame, w, island),
+pair AS (SELECT t.frame, t.y AS ty, b.y AS y, (t.a + t.z + b.a + b.z) / 4 AS x FROM rep t JOIN rep b ON t.frame = b.frame AND t.y < 30 AND b.y > 60 AND abs(t.a - b.a) <= t.w * 0.08 AND abs(t.z - b.z) <= t.w * 0.08)
+SELECT frame, arg_min(measure_index, (ty, y, measure_index)) AS highlighted_index FROM pair JOIN bars USING (frame) WHERE x >= "left" AND x <= "right" GROUP BY frame""")
 def w25_highlight_index(spark, d):
-    n = notes(spark, d)
-    runs = n.select("measure", F.when(c("ix") % 2 == 1, "top").otherwise("bottom").alias("side"), (c("q") * 1.0).alias("x1"), (c("q") + c("duration64") * 1.0).alias("x2"))
-    bars = n.select("measure", c("ix").alias("measure_index"), ((c("ix") - 1) * 12).alias("left"), (c("ix") * 12).alias("right"))
-    return W.highlight_index(runs, bars, ["measure"], 0.3)
+    start = F.min(c("l_partkey") % 4) * 60 + F.min(c("l_quantity") % 7)
+    runs = table(spark, d, "lineitem").groupBy(c("l_suppkey").alias("frame"), (c("l_orderkey") % 97).alias("y")).agg(start.alias("x1"), (start + 30 + 4 * (F.max("l_quantity") % 11)).alias("x2"))
+    suppliers = table(spark, d, "supplier").select(c("s_suppkey").alias("frame"))
+    left = c("measure_index") * 60.0 + c("frame") % 3 * 5
+    bars = suppliers.withColumn("measure_index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))).withColumn("left", left).withColumn("right", left + 60)
+    return W.highlight_index(runs, bars, suppliers.select("frame", F.lit(30).alias("top"), F.lit(60).alias("bottom")), ["frame"])
+
+
+CENTRES = """c AS (SELECT DISTINCT l_suppkey AS doc_id, l_returnflag || l_linestatus AS page, (l_orderkey % 50) * 20 + l_linenumber % 3 AS y FROM lineitem), p AS (SELECT doc_id, page, list(y ORDER BY y) AS ys FROM c GROUP BY ALL)"""
+
+
+def _centres(spark, d):
+    return table(spark, d, "lineitem").select(c("l_suppkey").alias("doc_id"), F.concat("l_returnflag", "l_linestatus").alias("page"), (c("l_orderkey") % 50 * 20 + c("l_linenumber") % 3).alias("y"), c("l_quantity").cast("double").alias("strength"))
+
+
+# Both passes of the search: windows of six neighbours, then groups grown from pairs; e2 to e5 add a line each.
+GROWN = "\n".join(f"""e{k} AS (SELECT e.doc_id, e.page, i, j, any_value(one) AS one, any_value(gap) AS gap, arg_min(c.y, (abs(c.y - (one + gap * {k})), c.y)) AS stop, list_append(any_value(g), arg_min(c.y, (abs(c.y - (one + gap * {k})), c.y))) AS g FROM e{k - 1} e JOIN c ON c.doc_id = e.doc_id AND c.page = e.page AND c.y > e.stop AND abs(c.y - (one + gap * {k})) <= greatest(SLACK, gap * SHARE) GROUP BY e.doc_id, e.page, i, j),""" for k in range(2, 6))
+
+
+@query(f"""WITH RECURSIVE {CENTRES}, e1 AS (SELECT doc_id, page, i, i + k AS j, ys[i] AS one, ys[i + k] - ys[i] AS gap, ys[i + k] AS stop, [ys[i], ys[i + k]] AS g FROM (SELECT *, unnest(range(1, len(ys) + 1)) AS i FROM p), range(1, 5) t(k) WHERE i + k <= len(ys) AND ys[i + k] - ys[i] BETWEEN 4 AND 80),
+{GROWN.replace("SLACK", "3.0").replace("SHARE", "0.25")}
+q AS (SELECT doc_id, page, 1 AS phase, i, j, g FROM e5 UNION ALL SELECT doc_id, page, 0, 0, 0, ys[i:i + 5] FROM (SELECT *, unnest(range(1, len(ys) - 4)) AS i FROM p)),
+s AS (SELECT *, list_sort(list_transform(range(1, 6), lambda x: g[x + 1] - g[x]))[3] AS m FROM q), u AS (SELECT *, list_avg(list_transform(range(1, 6), lambda x: abs(g[x + 1] - g[x] - m))) / m AS r FROM s WHERE phase = 1 OR m BETWEEN 4 AND 80),
+k AS (SELECT doc_id, page, phase, g, CAST(m AS DOUBLE) AS m, r, row_number() OVER (PARTITION BY doc_id, page ORDER BY phase, CASE WHEN phase = 0 THEN g[1] ELSE r END, CASE WHEN phase = 0 THEN r ELSE g[1] END, i, j) AS k FROM u WHERE r <= 0.2),
+z AS (SELECT doc_id, page, k, [{{'g': g, 'm': m, 'r': r, 'p': phase}}] AS kept FROM k WHERE k = 1 UNION ALL SELECT k.doc_id, k.page, k.k, CASE WHEN len(list_filter(kept, lambda x: NOT (k.g[6] < x.g[1] OR k.g[1] > x.g[6]))) = 0 THEN list_append(kept, {{'g': k.g, 'm': k.m, 'r': k.r, 'p': k.phase}}) ELSE kept END FROM z JOIN k ON k.doc_id = z.doc_id AND k.page = z.page AND k.k = z.k + 1),
+o AS (SELECT doc_id, page, unnest(arg_max(kept, k)) AS x FROM z GROUP BY doc_id, page)
+SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY x.g[1]) - 1 AS INT) AS "group", CAST(x.g[1] AS DOUBLE) AS first, CAST(x.g[6] AS DOUBLE) AS last, x.m AS spacing, round(x.r, 6) AS irregularity, x.p = 1 AS recovered FROM o""")
+def w11_line_groups(spark, d):
+    g = W.line_groups(_centres(spark, d), ["doc_id", "page"])
+    return g.select("doc_id", "page", "group", c("lines")[0].alias("first"), c("lines")[5].alias("last"), "spacing", F.round("irregularity", 6).alias("irregularity"), "recovered")
+
+
+@query(f"""WITH c AS (SELECT l_suppkey AS doc_id, l_returnflag || l_linestatus AS page, (l_orderkey % 50) * 20 + l_linenumber % 3 AS y, max(l_quantity)::DOUBLE AS s FROM lineitem GROUP BY ALL), p AS (SELECT doc_id, page, list(y ORDER BY y) AS ys FROM c GROUP BY ALL),
+e1 AS (SELECT doc_id, page, i, j, ys[i] AS one, ys[j] - ys[i] AS gap, ys[j] AS stop, [ys[i], ys[j]] AS g FROM (SELECT *, unnest(range(i + 1, len(ys) + 1)) AS j FROM (SELECT *, unnest(range(1, len(ys) + 1)) AS i FROM p)) WHERE ys[j] - ys[i] BETWEEN 5 AND 50),
+{GROWN.replace("SLACK", "2.0").replace("SHARE", "0.28")}
+q AS (SELECT doc_id, page, i, j, g FROM e5), s AS (SELECT *, list_sort(list_transform(range(1, 6), lambda x: g[x + 1] - g[x]))[3] AS m FROM q), u AS (SELECT *, list_avg(list_transform(range(1, 6), lambda x: abs(g[x + 1] - g[x] - m))) / m AS r FROM s),
+v AS (SELECT u.doc_id, u.page, i, j, avg(c.s) - 80 * any_value(r) AS score FROM (SELECT *, unnest(g) AS one_y FROM u WHERE r <= 0.22) u JOIN c ON c.doc_id = u.doc_id AND c.page = u.page AND c.y = u.one_y GROUP BY ALL)
+SELECT doc_id, page, round(max(score), 6) AS score FROM v GROUP BY ALL""")
+def w11_best_line_group(spark, d):
+    return W.best_line_group(_centres(spark, d), ["doc_id", "page"], 6, 200.0).select("doc_id", "page", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {NOTES}, p AS (SELECT measure, q, ix, 0.8 + (fret % 10) / 50.0 AS share, 0.85 + (string % 3) / 20.0 AS run, q % 4 AS below FROM notes), k AS (SELECT *, share >= 0.86 AND run >= 0.9 AS weak, share >= 0.86 AND run >= 0.9 AND below <= 2.0 AS ok FROM p), h AS (SELECT *, sum(ok::INT) OVER (PARTITION BY measure) AS n FROM k),

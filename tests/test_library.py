@@ -134,12 +134,6 @@ def test_clusters(spark):
     assert [r.cluster_id for r in W.leader_clusters(df, 0.075).orderBy("ord").collect()] == [0, 0, 1]
 
 
-def test_line_groups(spark):
-    ys = [*range(250, 351, 20), *range(700, 781, 20), *range(850, 951, 20)]
-    df = spark.createDataFrame([(1, float(y), 1.0) for y in ys], "page int, y double, strength double")
-    assert [r.lines[0] for r in W.line_groups(df, ["page"], 6, 10, 40).orderBy("group").collect()] == [250.0, 850.0]
-
-
 def test_staff_rows_and_groups(spark):
     rows = [(1, 50.0, float(y), 550.0, float(y)) for y in range(100, 151, 10)]
     lines = spark.createDataFrame(rows, "page int, x1 double, y1 double, x2 double, y2 double")
