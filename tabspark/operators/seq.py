@@ -5,6 +5,7 @@ or runs of a recording, which are small by nature. Grouped pandas functions are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -269,6 +270,45 @@ def signature_changes(measures: DataFrame, keys: Sequence[str], order: str = "nu
     return known.withColumn("changed", before.isNull() | (before != F.col("_s"))).withColumn("ts_num", F.col("_s.ts_num")).withColumn("ts_den", F.col("_s.ts_den")).drop("_s")
 
 
+def starts_of(pdf: pd.DataFrame) -> pd.DataFrame:
+    """W23 of one score's labels."""
+    frames = pdf.sort_values(["t", "frame_id"]).groupby(["t", "frame_id"], sort=True)
+    seen = [(t, f, [(int(i), int(v), float(c)) for i, v, c in zip(g["index"], g["value"], g["conf"]) if i == i and v == v and i is not None and v is not None]) for (t, f), g in frames]
+    observed = [v for *_, ls in seen for _, v, _ in ls if v <= 1000]
+    out = pdf[["score_id"]].iloc[:1]
+    if not observed:
+        rows = [(f, None, None) for _, f, _ in seen]
+    else:
+        top = min(1000, max(256, max(observed) + 12))
+        emit = np.zeros((len(seen), top + 1))
+        for e, (_, _, ls) in zip(emit, seen):
+            for i, v, c in ls:
+                if 0 <= v - i <= top:
+                    e[v - i] += 35.0 + max(0.0, c)
+        score, back = emit[0] - np.arange(top + 1) * 0.25, []
+        for k in range(1, len(seen)):
+            dt = max(0.05, seen[k][0] - seen[k - 1][0])
+            jump = min(top, max(3, math.ceil(dt * 2.0) + 2))
+            best, arg = np.full(top + 1, -np.inf), np.zeros(top + 1, np.int64)
+            for d in range(jump, -1, -1):  # the least earlier state wins ties: from the longest step down
+                cand = np.full(top + 1, -np.inf)
+                cand[d:] = score[: top + 1 - d] - abs(d - dt * 0.75) * 7.0
+                better = cand > best
+                best[better], arg[better] = cand[better], (np.arange(top + 1) - d)[better]
+            score = best + emit[k]
+            back.append(arg)
+        state = int(score.argmax())
+        path = [state]
+        for arg in reversed(back):
+            state = int(arg[state])
+            path.append(state)
+        rows = []
+        for (_, f, ls), s, e in zip(seen, reversed(path), emit):
+            fit = [c for i, v, c in ls if v == s + i]
+            rows.append((f, s, min(100.0, sum(fit) / len(fit)) if fit else min(45.0, e[s] / 2)))
+    return pd.DataFrame({"score_id": [out["score_id"].iloc[0]] * len(rows), "frame_id": [r[0] for r in rows], "start_measure": pd.array([r[1] for r in rows], "Int32"), "confidence": pd.array([r[2] for r in rows], "Float64")})
+
+
 def smooth_starts(labels: DataFrame) -> DataFrame:
     """Start numbers of the frames of each score as the best monotone path.
 
@@ -278,83 +318,37 @@ def smooth_starts(labels: DataFrame) -> DataFrame:
     mean of its fitting labels, else at most 45. Scores without a label up to 1000 keep null starts. One score is one
     group of a few hundred frames; the maximum over steps is a numpy operation for all states at once.
     """
-
-    def run(pdf):
-        import math
-
-        import numpy as np
-
-        frames = pdf.sort_values(["t", "frame_id"]).groupby(["t", "frame_id"], sort=True)
-        seen = [(t, f, [(int(i), int(v), float(c)) for i, v, c in zip(g["index"], g["value"], g["conf"]) if i == i and v == v and i is not None and v is not None]) for (t, f), g in frames]
-        observed = [v for *_, ls in seen for _, v, _ in ls if v <= 1000]
-        out = pdf[["score_id"]].iloc[:1]
-        if not observed:
-            rows = [(f, None, None) for _, f, _ in seen]
-        else:
-            top = min(1000, max(256, max(observed) + 12))
-            emit = np.zeros((len(seen), top + 1))
-            for e, (_, _, ls) in zip(emit, seen):
-                for i, v, c in ls:
-                    if 0 <= v - i <= top:
-                        e[v - i] += 35.0 + max(0.0, c)
-            score, back = emit[0] - np.arange(top + 1) * 0.25, []
-            for k in range(1, len(seen)):
-                dt = max(0.05, seen[k][0] - seen[k - 1][0])
-                jump = min(top, max(3, math.ceil(dt * 2.0) + 2))
-                best, arg = np.full(top + 1, -np.inf), np.zeros(top + 1, np.int64)
-                for d in range(jump, -1, -1):  # the least earlier state wins ties: from the longest step down
-                    cand = np.full(top + 1, -np.inf)
-                    cand[d:] = score[: top + 1 - d] - abs(d - dt * 0.75) * 7.0
-                    better = cand > best
-                    best[better], arg[better] = cand[better], (np.arange(top + 1) - d)[better]
-                score = best + emit[k]
-                back.append(arg)
-            state = int(score.argmax())
-            path = [state]
-            for arg in reversed(back):
-                state = int(arg[state])
-                path.append(state)
-            rows = []
-            for (_, f, ls), s, e in zip(seen, reversed(path), emit):
-                fit = [c for i, v, c in ls if v == s + i]
-                rows.append((f, s, min(100.0, sum(fit) / len(fit)) if fit else min(45.0, e[s] / 2)))
-        import pandas as pd
-
-        return pd.DataFrame({"score_id": [out["score_id"].iloc[0]] * len(rows), "frame_id": [r[0] for r in rows], "start_measure": pd.array([r[1] for r in rows], "Int32"), "confidence": pd.array([r[2] for r in rows], "Float64")})
-
     s = labels.schema
-    return labels.groupBy("score_id").applyInPandas(run, f"score_id {s['score_id'].dataType.simpleString()}, frame_id {s['frame_id'].dataType.simpleString()}, start_measure int, confidence double")
+    return labels.groupBy("score_id").applyInPandas(starts_of, f"score_id {s['score_id'].dataType.simpleString()}, frame_id {s['frame_id'].dataType.simpleString()}, start_measure int, confidence double")
+
+
+def clusters_of(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """W24 of one run's glyphs."""
+    pdf = pdf.sort_values("ord")
+    x = np.stack(pdf["feature"].map(lambda v: np.asarray(v, np.int8)).tolist())
+    sums, sizes, protos, out = [], [], np.zeros((0, x.shape[1]), np.int8), []
+    for row in x:
+        d = (protos != row).mean(axis=1) if len(protos) else np.zeros(0)
+        k = int(d.argmin()) if len(d) else -1
+        if k >= 0 and d[k] <= threshold:
+            sums[k] += row
+            sizes[k] += 1
+            protos[k] = sums[k] / sizes[k] >= 0.5
+            out.append((k, float(d[k])))
+        else:
+            sums.append(row.astype(float))
+            sizes.append(1)
+            protos = np.vstack([protos, row])
+            out.append((len(sizes) - 1, 0.0))
+    return pd.DataFrame({"run_id": pdf["run_id"].values, "ord": pdf["ord"].values, "cluster_id": [k for k, _ in out], "distance": [d for _, d in out]})
 
 
 def leader_clusters(glyphs: DataFrame, threshold: float = 0.075) -> DataFrame:
     """Clusters of each run's glyphs (run_id, ord, feature) in order: a glyph joins the nearest prototype within
     the threshold (the first of equals), whose prototype is the majority of its members' cells; else it leads a new
     cluster. Returns run_id, ord, cluster_id, distance. A run is one recording, so a group is bounded by its length."""
-
-    def run(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values("ord")
-        x = np.stack(pdf["feature"].map(lambda v: np.asarray(v, np.int8)).tolist())
-        sums, sizes, protos, out = [], [], np.zeros((0, x.shape[1]), np.int8), []
-        for row in x:
-            d = (protos != row).mean(axis=1) if len(protos) else np.zeros(0)
-            k = int(d.argmin()) if len(d) else -1
-            if k >= 0 and d[k] <= threshold:
-                sums[k] += row
-                sizes[k] += 1
-                protos[k] = sums[k] / sizes[k] >= 0.5
-                out.append((k, float(d[k])))
-            else:
-                sums.append(row.astype(float))
-                sizes.append(1)
-                protos = np.vstack([protos, row])
-                out.append((len(sizes) - 1, 0.0))
-        return pd.DataFrame({"run_id": pdf["run_id"].values, "ord": pdf["ord"].values, "cluster_id": [k for k, _ in out], "distance": [d for _, d in out]})
-
     s = glyphs.schema
-    return glyphs.groupBy("run_id").applyInPandas(run, f"run_id {s['run_id'].dataType.simpleString()}, ord {s['ord'].dataType.simpleString()}, cluster_id int, distance double")
+    return glyphs.groupBy("run_id").applyInPandas(lambda pdf: clusters_of(pdf, threshold), f"run_id {s['run_id'].dataType.simpleString()}, ord {s['ord'].dataType.simpleString()}, cluster_id int, distance double")
 
 
 def _extended(centres: DataFrame, keys: Sequence[str], y: str, lines: int, ahead: int | None, low: Column, high: Column, reach: float, slack: float, share: float, strength: str | None = None) -> DataFrame:

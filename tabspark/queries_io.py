@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .functions import models as M, scalars as S
-from .operators import aggs as A, edits as U, joins as J, seq as W, signal as T
+from .functions import models as M, scalars as S, tables as TF
+from .operators import aggs as A, edits as U, joins as J, seq as W, signal
 from .queries import NOTES, POINTS, c, notes, points, query, table
 from .queries_more import ID, IDS, text
 from .sources import io as IO
@@ -64,12 +66,12 @@ def s8_label_list(spark, d):
     return IO.read_label_list(spark, folder)
 
 
-@query(f"WITH {NOTES} SELECT CAST(measure AS INT) AS number, CAST(row_number() OVER (PARTITION BY measure ORDER BY onset64) AS INT) AS place, string, fret FROM notes WHERE ix <= 5")
+@query(f"WITH {NOTES} SELECT CAST(measure AS INT) AS number, CAST(row_number() OVER (PARTITION BY measure ORDER BY onset64) AS INT) AS place, string, fret FROM notes")
 def s9_s14_score_xml(spark, d):
     folder = scratch(spark)
     one = F.array(F.struct("string", "fret", F.lit(None).cast("string").alias("technique")))
-    n = notes(spark, d).filter("ix <= 5")
-    events = n.select(c("measure").alias("score_id"), c("measure").alias("number"), "onset64", F.lit(12).alias("duration64"), one.alias("notes"), F.lit(4).alias("ts_num"), F.lit(4).alias("ts_den"), F.lit(True).alias("changed"))
+    n = notes(spark, d)
+    events = n.select(c("measure").alias("score_id"), c("measure").alias("number"), ((c("ix") - 1) * 8).alias("onset64"), F.lit(8).alias("duration64"), one.alias("notes"), F.lit(4).alias("ts_num"), F.lit(4).alias("ts_den"), F.lit(True).alias("changed"))
     IO.render_score_xml(events).select(F.regexp_replace("xml", "</?part>", "")).write.text(folder)
     back = IO.read_score_xml(spark, folder, lines=True).filter("not rest")
     return back.select("number", F.expr("row_number() OVER (PARTITION BY number ORDER BY ix)").alias("place"), "string", "fret")
@@ -195,19 +197,19 @@ FRAMES = "f AS (SELECT vec_id AS score_id, CAST(i AS INT) AS frame_ix, CAST(embe
 
 
 def frames(spark, d) -> DataFrame:
-    return T.frame_signal(table(spark, d, "embeddings").select(c("vec_id").alias("score_id"), c("embedding").cast("array<double>").alias("samples")), 16, 8, 3)
+    return signal.frame_signal(table(spark, d, "embeddings").select(c("vec_id").alias("score_id"), c("embedding").cast("array<double>").alias("samples")), 16, 8, 3)
 
 
 @query(f"WITH {FRAMES} SELECT score_id, frame_ix, round((frame_ix * 8 + 8) / 11025.0::DOUBLE, 7) AS t, round(sqrt(list_sum(list_transform(x, lambda v: v * v)) / 16 + 1e-12), 6) AS rms FROM f")
 def t1_t2_frames(spark, d):
-    return frames(spark, d).select("score_id", "frame_ix", F.round("t", 7).alias("t"), F.round(T.rms(c("frame")), 6).alias("rms"))
+    return frames(spark, d).select("score_id", "frame_ix", F.round("t", 7).alias("t"), F.round(signal.rms(c("frame")), 6).alias("rms"))
 
 
 @query(f"""WITH {FRAMES}, b AS (SELECT score_id, frame_ix, k, sqrt(pow(list_sum(list_transform(range(0, 16), lambda n: x[n + 1] * (0.5 - 0.5 * cos(2 * pi() * n / 15)) * cos(2 * pi() * k * n / 16))), 2) + pow(list_sum(list_transform(range(0, 16), lambda n: x[n + 1] * (0.5 - 0.5 * cos(2 * pi() * n / 15)) * sin(2 * pi() * k * n / 16))), 2)) AS m FROM f, range(0, 9) t(k)),
 p AS (SELECT *, lag(m) OVER (PARTITION BY score_id, k ORDER BY frame_ix) AS p FROM b) SELECT score_id, frame_ix, round(sum(greatest(0.0, m - coalesce(p, 0))) / (sum(m) + 1e-8), 5) AS flux FROM p GROUP BY ALL""")
 def t3_t4_flux(spark, d):
-    f = frames(spark, d).select("score_id", "frame_ix", T.spectrum("frame").alias("spectrum"))
-    return T.flux(f).select("score_id", "frame_ix", F.round("flux", 5).alias("flux"))
+    f = frames(spark, d).select("score_id", "frame_ix", signal.spectrum("frame").alias("spectrum"))
+    return signal.flux(f).select("score_id", "frame_ix", F.round("flux", 5).alias("flux"))
 
 
 @query(f"""WITH RECURSIVE {NOTES}, p AS (SELECT measure, CAST(q * 4 AS DOUBLE) AS x, row_number() OVER (PARTITION BY measure ORDER BY q, ix) AS k FROM notes), g AS (SELECT measure, x - lag(x) OVER (PARTITION BY measure ORDER BY k) AS g FROM p), m AS (SELECT measure, 0.3 * median(g) AS m FROM g WHERE g >= 20 GROUP BY measure),
@@ -259,7 +261,7 @@ b AS (SELECT e.vec_id, CAST(k AS INT) AS pitch_class, coalesce(sum(w), 0) AS v F
 SELECT vec_id, pitch_class, round(coalesce(v / nullif(sqrt(sum(v * v) OVER (PARTITION BY vec_id)), 0), 0), 6) AS share FROM b""")
 def t5_chroma(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("spec"))
-    return e.select("vec_id", F.posexplode(T.chroma(c("spec"))).alias("pitch_class", "v")).select("vec_id", "pitch_class", F.round("v", 6).alias("share"))
+    return e.select("vec_id", F.posexplode(signal.chroma(c("spec"))).alias("pitch_class", "v")).select("vec_id", "pitch_class", F.round("v", 6).alias("share"))
 
 
 @query(f"""WITH RECURSIVE {NOTES}, b AS (SELECT measure AS image_id, CAST(string % 2 AS VARCHAR) AS notes, ix, CAST(q AS DOUBLE) AS x, flag FROM notes), p AS (SELECT *, row_number() OVER (PARTITION BY image_id, notes ORDER BY ix) AS k FROM b WHERE flag <> 'R'),
@@ -287,11 +289,112 @@ def w10_staff_groups(spark, d):
 r AS (SELECT run_id, k, ord, v, v AS last, true AS taken FROM k WHERE k = 1 UNION ALL SELECT k.run_id, k.k, k.ord, k.v, CASE WHEN abs(k.v - r.last) >= 25 THEN k.v ELSE r.last END, abs(k.v - r.last) >= 25 FROM r JOIN k ON k.run_id = r.run_id AND k.k = r.k + 1)
 SELECT run_id, ord, v AS value FROM r WHERE taken""")
 def z2_stream_suppress(spark, d):
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        e = _stream(spark, d, "events").select(c("user_id").cast("string").alias("run_id"), F.unix_micros(c("ts").cast("timestamp")).alias("ord"), c("value").cast("double").alias("value"))
-        return _drained(Z.stream_suppress(e, 25.0), "append")
-    finally:
-        spark.conf.set(provider, before)
+    own = spark.newSession()  # its state store is no concern of the caller's session
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    e = _stream(own, d, "events").select(c("user_id").cast("string").alias("run_id"), F.unix_micros(c("ts").cast("timestamp")).alias("ord"), c("value").cast("double").alias("value"))
+    out = _drained(Z.stream_suppress(e, 25.0), "append")
+    return spark.read.schema(out.schema).parquet(*out.inputFiles())
+
+
+
+# -- scans of trees and of one large document, table functions ----------------------------------------------------
+
+@query(f"""WITH {NOTES}, k AS (SELECT score_id, measure % 40 AS number, max(q) AS quality, max(duration64) / 8 AS d, min(fret) AS fret, min(string) AS string FROM notes GROUP BY ALL) SELECT CAST(score_id AS VARCHAR) AS score_id, CAST(number AS INT) AS number, CAST(d AS DOUBLE) AS duration, string, fret FROM k WHERE score_id % 3 > 0""")
+def s3_diagnostics(spark, d):
+    folder = scratch(spark)
+    m = notes(spark, d).groupBy("score_id", (c("measure") % 40).alias("number")).agg(F.max("q").alias("quality"), (F.max("duration64") / 8).alias("d"), F.min("fret").alias("fret"), F.min("string").alias("string"))
+    event = F.struct(F.lit(0.0).alias("onset"), c("d").alias("duration"), F.lit(False).alias("rest"), F.array(F.struct("string", "fret")).alias("notes"))
+    docs = m.groupBy("score_id").agg(F.collect_list(F.struct("number", "quality", F.array(event).alias("events"))).alias("measures"))
+    whole = F.struct(F.when(c("score_id") % 3 > 0, "tab").otherwise("other").alias("engine"), c("score_id").cast("string").alias("score_id"), "measures")
+    docs.select(F.to_json(whole, {"pretty": "true"}).alias("value"), c("score_id").alias("document")).write.partitionBy("document").text(folder)
+    return IO.read_diagnostics(spark, folder, "tab")["notes"].select("score_id", "number", "duration", "string", "fret")
+
+
+@query(f"WITH {NOTES} SELECT measure * 8 + ix AS id, measure AS image_id, string AS category_id, CAST(q AS DOUBLE) AS x, CAST(fret AS DOUBLE) AS y, CAST(duration64 AS DOUBLE) AS area FROM notes")
+def s6_scan_coco(spark, d):
+    """Every note as an annotation of one document, which is written as a single file and read by many tasks."""
+    folder = scratch(spark)
+    n = notes(spark, d)
+    box = F.array(c("q").cast("double"), c("fret").cast("double"), F.lit(9.0), F.lit(4.0))
+    note = F.to_json(F.struct((c("measure") * 8 + c("ix")).alias("id"), c("measure").alias("image_id"), c("string").alias("category_id"), box.alias("bbox"), c("duration64").cast("double").alias("area"), F.lit(0).alias("iscrowd")))
+    head = spark.createDataFrame([(0, '{"info": {"year": 2020}, "images": ['), (2, '], "categories": [{"id": 1, "name": "fret"}], "annotations": ['), (4, '{"id": "not a number"}]}')], "part int, value string")
+    images = n.select("measure").distinct().select(F.lit(1).alias("part"), F.to_json(F.struct(c("measure").alias("id"), F.lit("p.png").alias("file_name"))).alias("value"))
+    lines = head.unionByName(images).unionByName(n.select(F.lit(3).alias("part"), F.concat(note, F.lit(",")).alias("value"))).withColumn("last", F.lead("part").over(Window.partitionBy("part").orderBy("value")).isNull())
+    lines = lines.select("part", F.when((c("part") == 1) & ~c("last"), F.concat("value", F.lit(","))).otherwise(c("value")).alias("value"))
+    lines.coalesce(1).sortWithinPartitions("part").select("value").write.text(folder, lineSep=" ")  # one file is the point
+    return IO.scan_coco(spark, folder)["annotations"].select("id", "image_id", "category_id", c("bbox")[0].alias("x"), c("bbox")[1].alias("y"), "area")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS project_id, 'v' || (CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END) || '-' || o_custkey AS source_id FROM orders WHERE o_orderkey % 5 > 0 OR o_orderkey % 3 = 0")
+def s10_project_metadata(spark, d):
+    """Two generations of metadata files; the later one holds a third of the projects, and some values are no objects."""
+    folder = scratch(spark)
+    o = table(spark, d, "orders")
+    for version, rows in ((1, o), (2, o.filter("o_orderkey % 3 = 0"))):
+        entry = F.concat(F.lit('"'), c("o_orderkey").cast("string"), F.when((c("o_orderkey") % 5 == 0) & F.lit(version == 1), '":7').otherwise(F.concat(F.lit('":'), F.to_json(F.struct(F.concat(F.lit(f"v{version}-"), c("o_custkey").cast("string")).alias("source_id"))))))
+        one = rows.groupBy(F.floor(c("o_orderkey") / 4096).alias("k")).agg(F.concat(F.lit('{"projects":{'), F.array_join(F.collect_list(entry), ","), F.lit("}}")).alias("value"))
+        one.write.partitionBy("k").text(f"{folder}/generation-{version}")
+        spark.createDataFrame([("not json",), ('{"projects": 3}',)], "value string").write.text(f"{folder}/bad-{version}")
+    return IO.read_project_metadata(spark, folder, "part-*").select("project_id", "source_id")
+
+
+@query("SELECT s_nationkey AS project_id, s_suppkey AS run_id, CAST(k AS INT) AS frame, sha256(s_name || k || chr(10)) AS sha256 FROM supplier, range(1, 4) g(k) WHERE s_suppkey % 5 > 0 AND k <= 1 + s_suppkey % 3")
+def s11_scan_frames(spark, d):
+    """Frame files of a run for each supplier; those whose first frame is missing are no runs."""
+    folder = scratch(spark)
+    s = table(spark, d, "supplier").withColumn("k", F.explode(F.sequence(F.lit(1), (1 + c("s_suppkey") % 3).cast("int")))).filter("s_suppkey % 5 > 0 or k > 1")
+    s.select(F.concat("s_name", c("k").cast("string")).alias("value"), c("s_nationkey").alias("p"), c("s_suppkey").alias("r"), "k").write.partitionBy("p", "r", "k").text(f"{folder}/raw")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(conf)
+    for f in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/raw").select("path").collect():  # names of files, by the file system as any recorder would
+        p, r, k = (x.split("=")[1] for x in f["path"].split("/")[-4:-1])
+        to = jvm.org.apache.hadoop.fs.Path(f"{folder}/media/{p}/analysis/{r}/frame-{int(k):04d}.png")
+        fs.mkdirs(to.getParent())
+        fs.rename(jvm.org.apache.hadoop.fs.Path(f["path"]), to)
+    return IO.scan_frames(spark, f"{folder}/media").select(c("project_id").cast("long").alias("project_id"), c("run_id").cast("long").alias("run_id"), "frame", "sha256")
+
+
+CLUSTERS = """e AS (SELECT label * 1000000 + vec_id // 1000 AS run_id, vec_id AS ord, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS f FROM embeddings), k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ord) AS k FROM e),
+r AS (SELECT run_id, k, ord, [f] AS sums, [1] AS sizes, CAST(1 AS BIGINT) AS at, CAST(0 AS DOUBLE) AS distance FROM k WHERE k = 1 UNION ALL
+ SELECT run_id, k, ord, CASE WHEN hit THEN list_transform(sums, lambda s, i: CASE WHEN i = best THEN list_transform(s, lambda x, j: x + f[j]) ELSE s END) ELSE list_append(sums, f) END, CASE WHEN hit THEN list_transform(sizes, lambda n, i: CASE WHEN i = best THEN n + 1 ELSE n END) ELSE list_append(sizes, 1) END, CASE WHEN hit THEN best ELSE len(sizes) + 1 END, CASE WHEN hit THEN least_d ELSE 0 END
+ FROM (SELECT *, list_min(ds) AS least_d, list_position(ds, list_min(ds)) AS best, list_min(ds) <= 0.3 AS hit FROM (SELECT r.run_id, k.k, k.ord, k.f, r.sums, r.sizes, list_transform(r.sums, lambda s, i: list_sum(list_transform(s, lambda x, j: CASE WHEN (x / r.sizes[i] >= 0.5) <> (k.f[j] = 1) THEN 1 ELSE 0 END)) / len(k.f)::DOUBLE) AS ds FROM r JOIN k ON k.run_id = r.run_id AND k.k = r.k + 1)))
+SELECT run_id, ord, CAST(at - 1 AS INT) AS cluster_id, round(distance, 6) AS distance FROM r"""
+
+
+@query(f"WITH RECURSIVE {CLUSTERS.replace(' AS at,', ' AS place,').replace('at - 1', 'place - 1')}")
+def f4_leader_clusters_sql(spark, d):
+    """The solver as a table function, called from SQL."""
+    TF.register(spark)
+    glyphs = table(spark, d, "embeddings").select((c("label") * 1_000_000 + F.floor(c("vec_id") / 1000)).alias("run_id"), c("vec_id").alias("ord"), F.transform("embedding", lambda x: (x > 0).cast("tinyint")).alias("feature"))
+    return spark.sql("SELECT run_id, ord, cluster_id, round(distance, 6) AS distance FROM leader_clusters(TABLE({glyphs}), 0.3)", glyphs=glyphs)
+
+
+@query()
+def f4_smooth_starts_sql(spark, d):
+    TF.register(spark)
+    week = 7 * 24 * 3_600_000_000
+    p = points(spark, d).select((c("score_id") * 1000 + F.floor(c("us") / week) % 1000).alias("score_id"), c("event_id").alias("frame_id"), (c("us") % week / 6e8).alias("t"), (c("event_id") % 3).cast("int").alias("index"), c("value").alias("conf"))
+    labels = p.withColumn("value", F.when(c("frame_id") % 7 == 0, 900).otherwise((c("t") * 0.75).cast("int") + c("index")))
+    return spark.sql("SELECT score_id, frame_id, start_measure, confidence FROM smooth_starts(TABLE({labels}))", labels=labels)
+
+
+def sixteen_steps():
+    """A model that reads a vector of 64 as the outputs of 16 steps for 4 classes."""
+
+    def model(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"vec_id": frame["vec_id"], "logits": [np.asarray(v, float).reshape(16, 4).tolist() for v in frame["embedding"]]})
+
+    return model
+
+
+sixteen_steps.schema = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("logits", T.ArrayType(T.ArrayType(T.DoubleType())))])
+
+
+@query("""WITH s AS (SELECT vec_id, unnest(range(0, 16)) AS j, embedding AS e FROM embeddings), r AS (SELECT vec_id, j, e[4 * j + 1 : 4 * j + 4] AS r FROM s), b AS (SELECT vec_id, j, list_position(r, list_max(r)) - 1 AS i, CAST(list_max(r) AS DOUBLE) AS p FROM r), k AS (SELECT *, lag(i) OVER (PARTITION BY vec_id ORDER BY j) AS was FROM b)
+SELECT vec_id, coalesce(string_agg(substr('358', i, 1), '' ORDER BY j) FILTER (i <> 0 AND i IS DISTINCT FROM was), '') AS text, round(coalesce(avg(p) FILTER (i <> 0 AND i IS DISTINCT FROM was), 0), 5) AS confidence FROM k GROUP BY vec_id""")
+def f1_predict_sql(spark, d):
+    """Inference as a table function, decoded by built-in expressions."""
+    TF.register(spark)
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    read = spark.sql("SELECT * FROM predict(TABLE({vectors}), 'tabspark.queries_io:sixteen_steps', 32)", vectors=vectors)
+    return M.read_text(read, "logits", "358").select("vec_id", "text", F.round("confidence", 5).alias("confidence"))

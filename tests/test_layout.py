@@ -84,7 +84,7 @@ def test_staffs_take_the_median_gap_and_their_extents(spark):
     rows = spark.createDataFrame([(1, float(y), 10.0 + k, 95.0 + 3 * k if k < 6 else 300.0) for k, y in enumerate(ys)], "page int, y double, left double, right double")
     got = [(r.spacing, r.lines[0], r.left, r.right) for r in W.staff_groups(rows, ["page"], left="left", right="right", width=90.0).orderBy("system").collect()]
     assert got == [(7.0, 100.0, 10.0, 110.0), (6.0, 300.0, 16.0, 300.0)]
-    lines = spark.createDataFrame([(1, 0.0, 10.0, 100.0, 10.3), (1, 0.0, 50.0, 100.0, 50.31), (1, 0.0, 20.0, 1.9, 20.0), (1, 5.0, 30.0, 80.0, 30.0)], "page int, x1 double, y1 double, x2 double, y2 double")
+    lines = spark.createDataFrame([(1, 0.0, 10.0, 100.0, 10.25), (1, 0.0, 50.0, 100.0, 50.31), (1, 0.0, 20.0, 1.9, 20.0), (1, 5.0, 30.0, 80.0, 30.0)], "page int, x1 double, y1 double, x2 double, y2 double")
     assert sorted((r.y, r.covered, r.left, r.right) for r in A.staff_rows(lines, ["page"]).collect()) == [(10.0, 100.0, 0.0, 100.0), (30.0, 75.0, 5.0, 80.0)]
 
 
