@@ -176,33 +176,69 @@ def blocks_of(a: list[Run], b: list[Run]) -> list[tuple[list[Run], list[Run]]]:
     return [(a[i : i + WIDTH], b[i : i + WIDTH]) for i in range(0, min(len(a), len(b)), WIDTH)]
 
 
+def signed(tops: list[Run]) -> tuple[dict[int, int], dict[int, int]]:
+    """Number of each run's shape by its id (equal subtrees have equal numbers), and the size of each shape."""
+    shapes: dict[tuple, int] = {}
+    sign, size = {}, {}
+    for top in tops:
+        order = [top]
+        for run in order:
+            order += run.kids
+        for run in reversed(order):
+            shape = (run.label, *(sign[id(k)] for k in run.kids))
+            sign[id(run)] = n = shapes.setdefault(shape, len(shapes))
+            size[n] = 1 + sum(size[sign[id(k)]] for k in run.kids)
+    return sign, size
+
+
 def aligned(page: Run, pivot: Run) -> list[tuple[Run, Run]]:
     """Pairs of the largest matching of two trees that keeps order, parents and labels (simple tree matching: the
     children of a pair are aligned by dynamic programming). Pairs are listed from the root down and weighed from the
-    leaves up, so depth does not matter."""
-    pairs = [(page, pivot)]
+    leaves up, so depth does not matter.
+
+    The weight of a pair hangs on the shapes of its subtrees only, so it is worked out once for each two shapes, and
+    equal ones match whole; a table of children is made again where the matching is read off, so none is kept."""
+    sign, size = signed([page, pivot])
+    of = lambda u, v: (sign[id(u)], sign[id(v)])
+    pairs, seen = [(page, pivot)], {of(page, pivot)}
     for a, b in pairs:
+        if sign[id(a)] == sign[id(b)]:
+            continue
         for x, y in blocks_of(a.kids, b.kids):
-            pairs += [(u, v) for u in x for v in y if u.label == v.label]
+            first = {sign[id(v)]: v for v in reversed(y)}
+            for u in {sign[id(u)]: u for u in reversed(x)}.values():
+                for v in first.values():
+                    if u.label == v.label and of(u, v) not in seen:
+                        seen.add(of(u, v))
+                        pairs.append((u, v))
     weight: dict[tuple[int, int], int] = {}
-    tables: dict[tuple[int, int], list[list[list[int]]]] = {}
-    for a, b in reversed(pairs):
-        total, made = 1, []
-        for x, y in blocks_of(a.kids, b.kids):
-            best = [[0] * (len(y) + 1)]
-            for u in x:
-                above, row = best[-1], [0]
-                for j, v in enumerate(y):
-                    row.append(max(above[j + 1], row[j], above[j] + weight.get((id(u), id(v)), 0)))
-                best.append(row)
-            total += best[-1][-1]
-            made.append(best)
-        weight[id(a), id(b)] = total
-        tables[id(a), id(b)] = made
+
+    def table(x: list[Run], y: list[Run]) -> list[list[int]]:
+        best = [[0] * (len(y) + 1)]
+        for u in x:
+            above, row = best[-1], [0]
+            for j, v in enumerate(y):
+                row.append(max(above[j + 1], row[j], above[j] + (weight[of(u, v)] if u.label == v.label else 0)))
+            best.append(row)
+        return best
+
+    depth: dict[int, int] = {}
+    for top in (page, pivot):  # children come before parents when shapes are taken by height
+        order = [top]
+        for run in order:
+            order += run.kids
+        for run in reversed(order):
+            depth[sign[id(run)]] = 1 + max((depth[sign[id(k)]] for k in run.kids), default=0)
+    for a, b in sorted(pairs, key=lambda p: min(depth[sign[id(p[0])]], depth[sign[id(p[1])]])):
+        same = sign[id(a)] == sign[id(b)]
+        weight[of(a, b)] = size[sign[id(a)]] if same else 1 + sum(table(x, y)[-1][-1] for x, y in blocks_of(a.kids, b.kids))
     chosen = [(page, pivot)]
     for a, b in chosen:
-        for (x, y), best in zip(blocks_of(a.kids, b.kids), tables[id(a), id(b)]):
-            i, j = len(x), len(y)
+        if sign[id(a)] == sign[id(b)]:
+            chosen += reversed([*zip(a.kids, b.kids)])
+            continue
+        for x, y in blocks_of(a.kids, b.kids):
+            best, i, j = table(x, y), len(x), len(y)
             while i and j:
                 if best[i][j] == best[i - 1][j]:
                     i -= 1

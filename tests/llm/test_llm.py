@@ -1,4 +1,4 @@
-"""The ten corpus operators and the pipeline, against brute force, public libraries, round trips and held-out rows."""
+"""The first ten corpus operators and the pipeline, against brute force, public libraries, round trips and held-out rows."""
 
 import hashlib
 import io
@@ -674,3 +674,23 @@ def test_pipeline_stages_on_a_larger_table(spark):
     begun = time.monotonic()
     kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["quality"](spark, d, folder).select("doc_id").collect()}
     assert kept == {r.doc_id for r in quality.classify(d, rules).collect() if r.predicted} and time.monotonic() - begun < 120
+
+
+def test_alignment_of_large_pages_takes_little_memory():
+    """A page of thousands of alternating blocks with unequal children: subtrees of one shape are weighed once."""
+    import random
+    import time
+    import tracemalloc
+
+    def forum(seed):
+        rng = random.Random(seed)
+        posts = "".join(f'<div class="{"xy"[i % 2]}">' + "".join(f"<h3>t{rng.random()}</h3><p>{'w ' * rng.randrange(1, 9)}</p>" for _ in range(rng.randrange(1, 6))) + "</div>" for i in range(1200))
+        return f'<body><div class="top">menu</div>{posts}<div class="foot">f</div></body>'
+
+    a, b = (html.folded(html.parse(forum(seed))[0]) for seed in (1, 2))
+    tracemalloc.start()
+    begun = time.monotonic()
+    pairs = html.aligned(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pairs) > 5000 and time.monotonic() - begun < 30 and peak < 60_000_000
