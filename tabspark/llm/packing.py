@@ -18,8 +18,8 @@ from .common import shared_dir, slices, stored
 from .tokenids import END_ID, SLICE, encoder
 
 CAPACITY = 2048
-ROUNDS = 4  # of multiplicative weights, at most, for each linear program
-GAP = 0.01  # between a linear program's cover and its bound
+ROUNDS = 24  # of multiplicative weights, at most, for each linear program; that of a corpus needs some three
+GAP = 0.01  # between a linear program's value and its bound
 
 
 def knapsack(value: np.ndarray, capacity: int) -> np.ndarray:
@@ -58,45 +58,45 @@ def filled(first: int, left: np.ndarray, value: np.ndarray, best: np.ndarray, ca
     return config, total
 
 
-def fractional(demand: np.ndarray, capacity: int, rounds: int = ROUNDS, gap: float = GAP, eps: float = 0.1, slack: float = 0.02) -> tuple[dict[tuple, float], float]:
-    """(configurations with their multiplicities, bound): the linear program that covers the demand by as few
-    configurations as it can, by multiplicative weights; multiplicities cover no length more than its demand.
+def fractional(demand: np.ndarray, capacity: int, rounds: int = ROUNDS, gap: float = GAP, eta: float = 4.0, slack: float = 0.02) -> tuple[dict[tuple, float], float]:
+    """(configurations with their multiplicities, bound): the linear program that covers the whole demand by as few
+    configurations as it can, by multiplicative weights.
 
-    Every round prices lengths by their weights, starting at their volume (the dual of the volume bound). One knapsack
-    table gives the best value of a configuration, so the sum of all prices over it bounds any solution from below.
-    The round's configurations go along that table, and only those within ``slack`` of the best value enter (or the
-    first, if there is no such). What is covered loses weight. It ends when the cover is within ``gap`` of the bound.
+    Prices of lengths begin at their volume (the dual of the volume bound) and fall by exp(-eta * cover) as what is
+    covered of their demand grows. A round's knapsack table gives the best value of a configuration under its prices,
+    so the price of the whole demand over it bounds any solution from below. Configurations go along that table, the
+    least covered lengths first; the best one and those within ``slack`` of its value enter, until a length has had
+    an eighth of its demand in this round (later a thirty-second). It ends when the multiplicities, brought up to a full
+    cover of every length, are within ``gap`` of the bound, or after ``rounds``. The program of a whole corpus, whose
+    bound is the volume, ends after a few rounds; hard ones of few pieces come within some 4 % in 300 rounds.
     """
-    lengths = np.arange(len(demand))
+    lengths, ids = np.arange(len(demand)), np.flatnonzero(demand > 0)
     live = demand > 0
-    weight = np.where(live, lengths * demand, 0).astype(float)
     covered, found, bound = np.zeros(len(demand)), {}, 0.0
-    for _ in range(rounds):
-        value = np.divide(weight, demand, out=np.zeros(len(demand)), where=live)
-        best = knapsack(value, capacity)
-        bound = max(bound, weight.sum() / best[capacity])
-        left, took, value[~live] = demand.copy(), False, -np.inf
-        for first in np.flatnonzero(live)[::-1].tolist():
-            while left[first] and (not took or value[first] + best[capacity - first] >= (1 - slack) * best[capacity]):
-                config, total = filled(first, left, value, best, capacity)
+    for turn in range(rounds):
+        step = 1 / 8 if turn < 8 else 1 / 32
+        price = np.where(live, lengths * np.exp(-eta * (covered - covered[ids].min())), 0.0)
+        best = knapsack(price, capacity)
+        bound = max(bound, float((price * demand).sum()) / best[capacity])
+        left, value, took = step * demand, np.where(live, price, -np.inf), False
+        for first in ids[np.lexsort((-ids, covered[ids]))].tolist():
+            while left[first] > 0 and (not took or value[first] + best[capacity - first] >= (1 - slack) * best[capacity]):
+                config, total = filled(first, demand, value, best, capacity)
                 if took and total < (1 - slack) * best[capacity]:
                     break
-                times = min(int(left[l]) // k for l, k in config.items())
+                times = min(left[l] / k for l, k in config.items())
                 key = tuple(sorted(config.items(), reverse=True))
                 found[key] = found.get(key, 0.0) + times
                 for l, k in config.items():
                     left[l] -= k * times
-                    if not left[l]:
-                        value[l] = -np.inf
+                    if left[l] <= 1e-9 * demand[l]:
+                        left[l], value[l] = 0.0, -np.inf
                 took = True
-        share = np.divide(demand - left, demand, out=np.zeros(len(demand)), where=live)
-        covered += share
-        weight *= (1 - eps) ** share
-        weight /= weight.max()
-        least = covered[live].min()
+        covered[ids] += step - left[ids] / demand[ids]
+        least = covered[ids].min()
         if least > 0 and sum(found.values()) / least <= (1 + gap) * bound:
             break
-    return {k: x / covered.max() for k, x in found.items()}, bound
+    return {k: x / covered[ids].min() for k, x in found.items()} if covered[ids].min() > 0 else found, bound
 
 
 def plan(demand: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, gap: float = GAP, seed: int = 4) -> list[tuple[dict[int, int], int]]:

@@ -307,6 +307,33 @@ def test_packing_plan_is_optimal_on_small_instances():
         assert got <= least(left, 20) + 1
         columns, bound = packing.fractional(np.bincount(left, minlength=21), 20)
         assert bound <= least(left, 20) + 1e-9 and sum(left) / 20 <= bound + 1e-9
+        assert covers(columns, np.bincount(left, minlength=21)) and bound - 1e-9 <= sum(columns.values())
+
+
+def covers(columns, demand):
+    """Whether multiplicities of configurations cover the demand of every length."""
+    slots = np.zeros(len(demand))
+    for config, x in columns.items():
+        for l, k in config:
+            slots[l] += k * x
+    return (slots >= demand * (1 - 1e-9)).all()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_the_linear_program_is_solved_to_its_gap(seed):
+    """Prices lead to a cover of every length: within 1 % of the bound in a few rounds where lengths are many, as in a
+    corpus, and near it where volume is no good guide."""
+    rng = np.random.default_rng(seed)
+    many = np.bincount(np.minimum(rng.geometric(0.012, 60_000), 499), minlength=501)
+    thirds = np.zeros(501, np.int64)
+    thirds[[171, 172, 180, 260, 320]] = rng.integers(300, 900, 5)  # two of the first three leave a gap no length fits
+    for demand, rounds, over in ((many, 16, 1.01), (thirds, 300, 1.06)):
+        columns, bound = packing.fractional(demand, 500, rounds)
+        assert covers(columns, demand) and bound - 1e-9 <= sum(columns.values()) <= over * bound
+        assert all(sum(l * k for l, k in config) <= 500 for config in columns)
+        made = sum(t for _, t in packing.plan(demand, 500))
+        assert bound - 1e-9 <= made <= np.ceil(1.02 * bound) + 3
+    assert bound > 1.05 * (thirds * np.arange(501)).sum() / 500  # far over the volume bound
 
 
 def brute_winnow(tokens, k, w):
