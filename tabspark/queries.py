@@ -643,7 +643,7 @@ def w23_smooth_starts(spark, d):
 @query()
 def w24_leader_clusters(spark, d):
     e = table(spark, d, "embeddings").select((c("label") * 1_000_000 + F.floor(c("vec_id") / 1000)).alias("run_id"), c("vec_id").alias("ord"), F.transform("embedding", lambda x: (x > 0).cast("tinyint")).alias("feature"))
-    return W.leader_clusters(e, 0.3)
+    return W.leader_clusters(e, 0.3).withColumn("distance", F.round("distance", 6))
 
 
 # -- signal ----------------------------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from .functions import models as M, scalars as S, tables as TF
 from .operators import aggs as A, edits as U, joins as J, seq as W, signal
-from .queries import NOTES, POINTS, c, notes, points, query, table
+from .queries import NOTES, ORACLE_SQL, POINTS, c, notes, points, query, table
 from .queries_more import ID, IDS, text
 from .sources import io as IO
 from .sources.scratch import scratch
@@ -369,6 +369,9 @@ def f4_leader_clusters_sql(spark, d):
     return spark.sql("SELECT run_id, ord, cluster_id, round(distance, 6) AS distance FROM leader_clusters(TABLE({glyphs}), 0.3)", glyphs=glyphs)
 
 
+ORACLE_SQL["w24_leader_clusters"] = ORACLE_SQL["f4_leader_clusters_sql"]  # the same clusters by the operator itself
+
+
 @query()
 def f4_smooth_starts_sql(spark, d):
     TF.register(spark)
