@@ -16,12 +16,15 @@ In each table entry all members are compared with its least member. What these c
 across components: pairs that meet and that two exact bounds allow, the one above and that of parity sketches (the
 sketches of two sets differ in at most as many bits as the sets in elements). Both bounds and the components are
 conditions of the join, so only pairs that are very likely alike leave it, to be compared on full sets. So every pair
-that meets in a table is compared, ruled out for certain, or already in one component.
+that meets in a table is compared, ruled out for certain, or already in one component. The pairs of a sub-key are dealt
+to cells of bounded size, and those inside its largest component are never formed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,7 @@ SHINGLE = 5  # words
 SUB = 16  # sub-keys in each collection
 MISS = 3e-5  # probability, at most, that two sets of the least similarity meet in no table
 SKETCH = 512  # bits of a parity sketch
+BLOCK = 4096  # members of a sub-key, about, on each side of a task's pairs
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _U = np.uint64
 
@@ -176,10 +180,11 @@ def components(edges: DataFrame, folder: str, name: str = "cc", rounds: int = 60
     before = None
     for i in range(1, rounds + 1):
         both = one.select("u", "v").union(one.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # stored, so that the join reads two plain exchanges and can split the neighbours of a hub
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), folder, f"{name}-{i}m")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.filter("u <> v").distinct(), folder, f"{name}-{i}l")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), folder, f"{name}-{i}s")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         one = stored(small.filter("u <> v").select("u", "v").distinct(), folder, f"{name}-{i}")
         now = one.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -207,6 +212,26 @@ def _tables(live: DataFrame) -> DataFrame:
     return live.select(F.explode(table).alias("table"), "rep", "n", "m")
 
 
+def _dealt(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The members of the sub-keys that hold several components, with the largest component of the key (``major``) and
+    the numbers of rows and columns that its pairs are dealt to: about ``block`` members of the other components a
+    row, ``block`` members of all a column."""
+    counts = members.groupBy("key", "component").agg(F.count("*").alias("c"))
+    keys = counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.sum("c").alias("c"), F.count("*").alias("components")).filter("components > 1")
+    rows, columns = F.ceil((F.col("c") - F.col("most.c")) / block), F.ceil(F.col("c") / block)
+    return members.join(keys.select("key", F.col("most.component").alias("major"), rows.cast("int").alias("rows"), columns.cast("int").alias("columns")), "key")
+
+
+def _sides(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sides x and y of the join within sub-keys: each pair of a member outside the largest component and any other
+    member meets in one cell (row, column), so neither a hot sub-key nor a large component lands in one task."""
+    side = ["key", "rep", "n", "m", "kb", "sketch", "component", "major"]
+    row, column = F.pmod(F.xxhash64("rep"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("columns")).cast("int")
+    x = open_.filter("component <> major").select(*side, row.alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"))
+    y = open_.select(*side, column.alias("column"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"))
+    return x.alias("x"), y.alias("y")
+
+
 def classes(df: DataFrame, threshold: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document; near-duplicate if 100 * |A & B| >= threshold * |A | B|.
 
@@ -246,14 +271,15 @@ def classes(df: DataFrame, threshold: int = 85) -> DataFrame:
     # two that meet have a sub-key of A in common: those of several components are paired by it
     named = live.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     members = stored(named.select("rep", "n", "m", "kb", "sketch", "component", F.explode("ka").alias("key")), folder, "members")
-    several = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    open_ = stored(members.join(several, "key", "left_semi"), folder, "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    both = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))
-    both &= possible(F.col("x.n"), F.col("x.m"), F.col("y.n"), F.col("y.m"), threshold)
-    both &= sketched(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n"), F.col("y.n"), threshold)
-    both &= F.arrays_overlap("x.kb", "y.kb")
-    cross = x.join(y.hint("merge"), both).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    open_ = stored(_dealt(members), folder, "open")
+    x, y = _sides(open_)
+    both = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "row", "column")]
+    # x is never of the key's largest component; two of the others are paired once
+    both.append((F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.component") < F.col("y.component"))))
+    both.append(possible(F.col("x.n"), F.col("x.m"), F.col("y.n"), F.col("y.m"), threshold))
+    both.append(sketched(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n"), F.col("y.n"), threshold))
+    both.append(F.arrays_overlap("x.kb", "y.kb"))
+    cross = x.join(y.hint("merge"), reduce(and_, both)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     more = stored(confirmed(cross, sets, threshold), folder, "edges-2")
     if not more.isEmpty():
         found = components(edges.union(more), folder, "cc2")

@@ -128,6 +128,30 @@ def test_minhash_bounds_are_exact():
     assert [minhash.width_for(t) for t in (85, 80)] == [4, 3] and 2 * (1 - 0.8**3) ** minhash.SUB <= minhash.MISS
 
 
+@pytest.mark.parametrize("block", [5, 40, 1000])
+def test_minhash_pairs_of_a_sub_key_are_dealt_once(spark, block):
+    owner = [0] * 60 + [1] * 25 + [2] * 3 + list(range(100, 120))  # members of one key by component; key 2 has one component only
+    rows = [(1, i, c) for i, c in enumerate(owner)] + [(2, i, 0) for i in range(9)]
+    members = spark.createDataFrame(rows, "key long, rep long, component long").selectExpr("*", "1L n", "1L m", "array(1L) kb", "array(1L) sketch")
+    open_ = minhash._dealt(members, block)
+    assert open_.filter("key = 2").count() == 0
+    x, y = ([(r.rep, r.row, r.column, r.component, r.major) for r in side.collect()] for side in minhash._sides(open_))
+    assert {m for *_, m in x} == {0} and 0 not in {c for *_, c, _ in x}
+    cells = {}
+    for rep, row, column, c, _ in y:
+        cells.setdefault((row, column), []).append((rep, c))
+    met = Counter((min(a, b), max(a, b)) for a, row, column, c, _ in x for b, d in cells.get((row, column), []) if c != d and (d == 0 or c < d))
+    want = {(a, b) for a in range(len(owner)) for b in range(a + 1, len(owner)) if owner[a] != owner[b]}
+    assert set(met) == want and set(met.values()) == {1}
+
+
+def test_minhash_hot_sub_key_has_no_hot_cell(spark):
+    members = spark.range(20_000).selectExpr("7L key", "id rep", "id component", "100L n", "100L m", "array(1L) kb", "array(1L) sketch")
+    for side in minhash._sides(minhash._dealt(members)):
+        sizes = [r["count"] for r in side.groupBy("key", "row", "column").count().collect()]
+        assert len(sizes) == 25 and max(sizes) < 1.2 * minhash.BLOCK
+
+
 def test_minhash_odd_rows(odd, empty):
     got = {r.doc_id: r for r in minhash.classes(odd).collect()}
     assert len(got) == len(ODD) + 1 and got[3].n_shingles == 0 and got[3].kept and got[5].component_id == 4 and not got[5].kept and got[None].kept
