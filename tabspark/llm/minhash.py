@@ -197,10 +197,10 @@ def components(edges: DataFrame, folder: str, name: str = "cc", rounds: int = 60
     return roots.union(roots.select(F.col("component").alias("node"), "component").distinct())
 
 
-def _candidates(reps: DataFrame) -> DataFrame:
+def _candidates(reps: DataFrame, folder: str) -> DataFrame:
     """(rep, n, ka, kb): representatives with the sub-keys of A and of B that another one has too, some of each."""
     sub = reps.select("rep", "n", F.explode("keys").alias("key"))
-    shared = sub.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    shared = stored(sub.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), folder, "shared")  # as in _dealt
     met = sub.join(shared, "key").groupBy("rep", "n").agg(F.collect_list("key").alias("keys"))
     odd = lambda k: k.bitwiseAND(F.lit(1)) == 1
     return met.select("rep", "n", F.filter("keys", lambda k: ~odd(k)).alias("ka"), F.filter("keys", odd).alias("kb")).filter("size(ka) > 0 and size(kb) > 0")
@@ -212,14 +212,15 @@ def _tables(live: DataFrame) -> DataFrame:
     return live.select(F.explode(table).alias("table"), "rep", "n", "m")
 
 
-def _dealt(members: DataFrame, block: int = BLOCK) -> DataFrame:
+def _dealt(members: DataFrame, folder: str, block: int = BLOCK) -> DataFrame:
     """The members of the sub-keys that hold several components, with the largest component of the key (``major``) and
     the numbers of rows and columns that its pairs are dealt to: about ``block`` members of the other components a
     row, ``block`` members of all a column."""
     counts = members.groupBy("key", "component").agg(F.count("*").alias("c"))
     keys = counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.sum("c").alias("c"), F.count("*").alias("components")).filter("components > 1")
     rows, columns = F.ceil((F.col("c") - F.col("most.c")) / block), F.ceil(F.col("c") / block)
-    return members.join(keys.select("key", F.col("most.component").alias("major"), rows.cast("int").alias("rows"), columns.cast("int").alias("columns")), "key")
+    keys = keys.select("key", F.col("most.component").alias("major"), rows.cast("int").alias("rows"), columns.cast("int").alias("columns"))
+    return members.join(stored(keys, folder, "keys"), "key")  # stored, so that the join can split a hot sub-key's members
 
 
 def _sides(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -253,7 +254,7 @@ def classes(df: DataFrame, threshold: int = 85) -> DataFrame:
     firsts = sig.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
     firsts = stored(firsts, folder, "representatives")
     reps = sig.join(firsts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "keys")
-    met = stored(_candidates(reps), folder, "candidates")
+    met = stored(_candidates(reps, folder), folder, "candidates")
     # a merge join at every size: the ids grow with the input, so they are never broadcast
     texts = docs.join(met.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
     sets = stored(map_texts(texts, _full_sets, "rep long, grams array<long>, sketch array<long>"), folder, "sets")
@@ -271,7 +272,7 @@ def classes(df: DataFrame, threshold: int = 85) -> DataFrame:
     # two that meet have a sub-key of A in common: those of several components are paired by it
     named = live.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     members = stored(named.select("rep", "n", "m", "kb", "sketch", "component", F.explode("ka").alias("key")), folder, "members")
-    open_ = stored(_dealt(members), folder, "open")
+    open_ = stored(_dealt(members, folder), folder, "open")
     x, y = _sides(open_)
     both = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "row", "column")]
     # x is never of the key's largest component; two of the others are paired once

@@ -129,11 +129,11 @@ def test_minhash_bounds_are_exact():
 
 
 @pytest.mark.parametrize("block", [5, 40, 1000])
-def test_minhash_pairs_of_a_sub_key_are_dealt_once(spark, block):
+def test_minhash_pairs_of_a_sub_key_are_dealt_once(spark, tmp_path, block):
     owner = [0] * 60 + [1] * 25 + [2] * 3 + list(range(100, 120))  # members of one key by component; key 2 has one component only
     rows = [(1, i, c) for i, c in enumerate(owner)] + [(2, i, 0) for i in range(9)]
     members = spark.createDataFrame(rows, "key long, rep long, component long").selectExpr("*", "1L n", "1L m", "array(1L) kb", "array(1L) sketch")
-    open_ = minhash._dealt(members, block)
+    open_ = minhash._dealt(members, str(tmp_path), block)
     assert open_.filter("key = 2").count() == 0
     x, y = ([(r.rep, r.row, r.column, r.component, r.major) for r in side.collect()] for side in minhash._sides(open_))
     assert {m for *_, m in x} == {0} and 0 not in {c for *_, c, _ in x}
@@ -145,9 +145,9 @@ def test_minhash_pairs_of_a_sub_key_are_dealt_once(spark, block):
     assert set(met) == want and set(met.values()) == {1}
 
 
-def test_minhash_hot_sub_key_has_no_hot_cell(spark):
+def test_minhash_hot_sub_key_has_no_hot_cell(spark, tmp_path):
     members = spark.range(20_000).selectExpr("7L key", "id rep", "id component", "100L n", "100L m", "array(1L) kb", "array(1L) sketch")
-    for side in minhash._sides(minhash._dealt(members)):
+    for side in minhash._sides(minhash._dealt(members, str(tmp_path))):
         sizes = [r["count"] for r in side.groupBy("key", "row", "column").count().collect()]
         assert len(sizes) == 25 and max(sizes) < 1.2 * minhash.BLOCK
 
