@@ -3,12 +3,14 @@
 Pages become small trees (long runs of like siblings count as one repeated node). Every page of a host is aligned with
 one page of it, the host's pivot, by simple tree matching, which names each of its nodes: by the pivot's node that it
 is aligned with, or by its path below the last one that is. Over the host's pages, texts that stand in the same place
-on most pages that have the place are the template; what varies is a slot. A page's text is that of its slots.
+on most pages that have the place are the template; what varies is a slot. A slot outside articles whose text is mostly
+that of links, over all its pages, is a menu, however its entries vary. A page's text is that of its other slots.
 
 A host may repeat an article, and a copy is no template. So inside an article (or main) element, pages with the same
 longest text count once. Elsewhere every page counts. What is neither constant nor article is read off the tags and
 names around it: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are never
-content, however their text varies; and if a page marks an article, only slots inside it are content.
+content, however their text varies; and if a page marks an article, only slots inside it are content. Inside an article
+the name of a paragraph, heading, list item or cell says nothing: only those of elements that group others do.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import map_texts, shared_dir, slices, stored
 
 CONSTANT = 0.6  # share of the pages with a place that have the same text there, from which it is template
-LEAST = 3  # pages that must have the text for that
+LINKED = 0.6  # share of a place's characters that stand in links, from which it is a menu
+LEAST = 3  # pages that must have the text, or the menu, for that
 RUN = 4  # like siblings in a row that are aligned one by one; longer runs count as one repeated node
 WIDTH = 200  # children that are aligned at once; more are aligned block by block
 SPLIT = 2000  # pages of one host that meet its pivot in one group
@@ -36,6 +39,7 @@ EMPTY = frozenset("area base br col embed hr img input link meta param source tr
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul video audio canvas".split())
 NEVER = frozenset("nav header footer aside form menu button select input option dialog head title script style noscript template iframe svg math textarea object embed canvas audio video".split())
 CLOSES_P = BLOCK - {"br", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
+GROUPS = frozenset("div section ul ol dl table details figure fieldset center".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIMITS = frozenset("html body article main section div table ul ol dl nav header footer aside form td th blockquote".split())
 # Parts of class names, ids and roles that mark what is not the article.
@@ -49,21 +53,22 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "name", "skip", "article", "children", "key")
+    __slots__ = ("tag", "name", "skip", "article", "children", "key", "size", "linked")
 
     def __init__(self, tag: str, name: str, skip: bool, article: bool):
         self.tag, self.name, self.skip, self.article = tag, name, skip, article
         self.children, self.key = [], ""
+        self.size = self.linked = 0  # characters of its own blocks, and of those in links
 
     @property
     def label(self) -> str:
         return f"{self.tag}.{self.name}"
 
 
-def _marks(attributes: str) -> tuple[str, bool]:
-    """(names of an element in order, whether they or its state say that it is not content)."""
+def _marks(attributes: str) -> tuple[str, bool, bool]:
+    """(names of an element in order, whether its state says that it is not content, whether they do)."""
     if "=" not in attributes and "hidden" not in attributes:
-        return "", False
+        return "", False, False
     names, off = [], False
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
@@ -72,7 +77,7 @@ def _marks(attributes: str) -> tuple[str, bool]:
         else:
             names.append(value)
     name = " ".join(names)
-    return name, off or bool(NAMES.search(name))
+    return name, off, bool(NAMES.search(name))
 
 
 def parse(html: str | None) -> tuple[Node, list[tuple[Node, str]]]:
@@ -85,21 +90,29 @@ def parse(html: str | None) -> tuple[Node, list[tuple[Node, str]]]:
     root = Node("", "", False, False)
     stack, blocks, run = [root], [], []
     text, at, n = html or "", 0, len(html or "")
+    linked, link = 0, 0  # characters of the run in links; depth at which the open link began
 
     def flush():
+        nonlocal linked
         if run:
             words = _SPACE.sub(" ", unescape("".join(run))).strip()
             run.clear()
             if words:
                 blocks.append((stack[-1], words))
+                stack[-1].size += len(words)
+                stack[-1].linked += min(linked, len(words))
+        linked = 0
 
     def close_to(i: int):
+        nonlocal link
         flush()
         del stack[i:]
+        link = link if link <= i else 0  # a link that nothing ends does so with the element around it
 
     for m in iter(lambda: _TOKEN.search(text, at), None):
         if m.start() > at:
             run.append(text[at : m.start()])
+            linked += len(run[-1].strip()) if link else 0
         at = m.end()
         tag = m[2]
         if tag is None:
@@ -110,6 +123,8 @@ def parse(html: str | None) -> tuple[Node, list[tuple[Node, str]]]:
             at = end.end() if end else n
             continue
         if tag not in BLOCK and tag not in NEVER:
+            if tag == "a":
+                link = len(stack) if not m[1] and "href" in m[3].lower() else 0
             continue
         if m[1]:
             i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
@@ -128,8 +143,9 @@ def parse(html: str | None) -> tuple[Node, list[tuple[Node, str]]]:
                 i -= 1
             if i > 0 and stack[i].tag in SIBLINGS[tag]:
                 close_to(i)
-        name, off = _marks(m[3])
+        name, off, named = _marks(m[3])
         up = stack[-1]
+        off |= named and (not up.article or tag in GROUPS)
         body = tag in ("article", "main", "body", "html")
         node = Node(tag, name, up.skip or tag in NEVER and not (tag == "header" and up.article) or (off and not body), up.article or tag in ("article", "main"))
         up.children.append(node)
@@ -282,11 +298,12 @@ def longest_text(html: Column) -> Column:
 
 
 def main_text(blocks: list[tuple[Node, str]], template: frozenset[int]) -> str:
-    """The blocks of slots: not template, not what is never content, and inside the article if the page marks one."""
+    """The blocks of slots: not template (a text in a place, or a place outside articles as a whole), not what is never
+    content, and inside the article if the page marks one."""
     kept = [(x, t) for x, t in blocks if not x.skip]
     if any(x.article for x, _ in kept):
         kept = [(x, t) for x, t in kept if x.article]
-    return " ".join(t for x, t in kept if place_id(x.key, t) not in template)
+    return " ".join(t for x, t in kept if place_id(x.key, t) not in template and (x.article or place_id(x.key) not in template))
 
 
 class Pivots:
@@ -309,20 +326,29 @@ def _count(batches):
     pivots = Pivots()
     for b in slices(batches, "html"):
         seen: dict[tuple[str, int, int, int], int] = {}
+        sizes: dict[tuple[str, int, int, int], list[int]] = {}  # of places outside articles: characters, those in links
         for html, host, pivot, once in zip(*(b.column(i).to_pylist() for i in range(4))):
             if not html:
                 continue
             root, blocks = parse(html)
             name_places(root, pivots(host, pivot))
-            here = set()
+            here, nodes = set(), {}
             for x, t in blocks:
                 if not x.skip:
                     place, page = place_id(x.key), once if x.article else 0
                     here |= {(host, place, 0, page), (host, place, place_id(x.key, t), page)}
+                    if not x.article:
+                        nodes[id(x)] = x, (host, place, 0, page)
+            for x, k in nodes.values():
+                sum_ = sizes.setdefault(k, [0, 0])
+                sum_[0] += x.size
+                sum_[1] += x.linked
             for k in here:
                 seen[k] = seen.get(k, 0) + 1
         keys = list(zip(*seen)) if seen else [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), *(pa.array(k, pa.int64()) for k in (*keys[1:], list(seen.values())))], names=["host", "place", "text", "page", "n"])
+        size, linked = zip(*(sizes.get(k, (0, 0)) for k in seen)) if seen else ((), ())
+        numbers = (*keys[1:], list(seen.values()), size, linked)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), *(pa.array(k, pa.int64()) for k in numbers)], names=["host", "place", "text", "page", "n", "size", "linked"])
 
 
 def _take(batches):
@@ -360,12 +386,14 @@ def extract(pages: DataFrame) -> DataFrame:
         return given.join(parts, ["host", "part"], "left")
 
     counted = met(dealt.filter(F.length("html") > 0).select("html", "host", "part", longest_text(F.col("html")).alias("once")), pivots)
-    seen = map_texts(counted.select("html", "host", "pivot", "once"), _count, "host string, place long, text long, page long, n long")
-    seen = seen.groupBy("host", "place", "text", "page").agg(F.sum("n").alias("n")).withColumn("n", F.when(F.col("page") == 0, F.col("n")).otherwise(1))
-    seen = stored(seen.groupBy("host", "place", "text").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST), folder, "seen")
+    seen = map_texts(counted.select("html", "host", "pivot", "once"), _count, "host string, place long, text long, page long, n long, size long, linked long")
+    sums = [F.sum(c).alias(c) for c in ("n", "size", "linked")]
+    seen = seen.groupBy("host", "place", "text", "page").agg(*sums).withColumn("n", F.when(F.col("page") == 0, F.col("n")).otherwise(1))
+    seen = stored(seen.groupBy("host", "place", "text").agg(*sums).filter(F.col("n") >= LEAST), folder, "seen")
     places = seen.filter("text = 0").select("host", "place", F.col("n").alias("pages"))
     fixed = seen.filter("text <> 0").join(places, ["host", "place"]).filter(F.col("n") >= CONSTANT * F.col("pages"))
-    templates = fixed.groupBy("host").agg(F.collect_list("text").alias("template"))
+    menus = seen.filter("text = 0 and linked > 0").filter(F.col("linked") >= LINKED * F.col("size")).select("host", F.col("place").alias("text"))
+    templates = fixed.select("host", "text").union(menus).groupBy("host").agg(F.collect_list("text").alias("template"))
     wrappers = stored(pivots.join(templates, "host", "left"), folder, "wrappers")
     full = met(dealt, wrappers).select("page_id", "url", "html", "host", "pivot", "template")
     return map_texts(full, _take, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long")

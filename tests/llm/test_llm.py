@@ -248,6 +248,41 @@ def test_html_only_alignment_tells_slot_from_template(spark):
     assert got == want
 
 
+def test_html_names_inside_an_article():
+    text = lambda x: html.main_text(html.parse(x)[1], frozenset())
+    assert text("<article><h2 class='subtitle header'>Sub</h2><p class='side-note'>a</p><p>t</p></article>") == "Sub a t"
+    assert text("<article><p>t</p><div class='comments'><p>c</p></div><section class='ad'>x</section><p hidden>h</p><aside>s</aside></article>") == "t"
+    assert text("<p class='ad'>x</p><div id='share'>y</div><p>t</p>") == "t"
+
+
+def test_html_links_are_measured():
+    root, blocks = html.parse("<div><a href=x>Home</a> | <a href=y>News &amp; more</a></div><p>a <a name=z>long line of text with <a href=x>one link</a> in it</p>")
+    menu, line = (x for x, _ in blocks)
+    assert menu.linked >= html.LINKED * menu.size and (line.size, line.linked) == (39, 8)
+    assert [x.linked for x, _ in html.parse("<p><a href=x>open<p>next</p></a><p>z</p>")[1]] == [4, 0, 0]
+    assert [x.linked for x, _ in html.parse("<a href=x><div>card</div></a><div>z</div>")[1]] == [4, 0]
+
+
+def test_html_menus_that_vary_are_told_by_their_links(spark):
+    """Neutral tags without names, and no text that two pages share: only the places can tell."""
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 100_000, n))
+    links = lambda n: " ".join(f"<a href='/{k}'>{words(2)}</a>" for k in range(n))
+    rows, want = [], {}
+    for i in range(20):
+        own = [words(30) for _ in range(int(rng.integers(1, 9)))]
+        linked = f"<p>{own[0]} <a href='/x'>see</a></p>" + "".join(f"<p>{x}</p>" for x in own[1:])
+        rows.append((i, f"http://vary.example.org/{i}", f"<div>{links(int(rng.integers(2, 9)))}</div><div>{linked}</div><table><tr><td>{links(3)}</td></tr></table>"))
+        want[i] = " ".join([f"{own[0]} see", *own[1:]])
+    for i in range(20, 30):  # inside an article a line of links is content
+        t = words(3)
+        rows.append((i, f"http://article.example.org/{i}", f"<article><p><a href='/'>{t}</a></p><p>x{i}</p></article>"))
+        want[i] = f"{t} x{i}"
+    rows += [(30, "http://few.example.org/1", "<p><a href=x>two words</a></p>"), (31, "http://few.example.org/2", "<p><a href=x>more</a></p>")]  # too few pages to tell
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want | {30: "two words", 31: "more"}
+
+
 def test_quality_and_statistics(spark, docs, odd, empty):
     labels = spark.read.parquet(str(DATA / "labels.parquet"))
     rules = quality.learn(docs, labels)
