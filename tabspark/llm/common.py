@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -11,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")  # a word of every word-based operator
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -56,8 +58,24 @@ def spread(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else stored(df.repartition(cores), folder, name)
 
 
-def map_texts(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def map_texts(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: "str | T.StructType") -> DataFrame:
+    """``fn`` over the Arrow batches of each task. Workers outlive their stage, and their allocators keep what they had,
+    so a task begins and ends by giving back what is free."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return what this process has freed to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4_000_000, rows: int = 2048) -> Iterator[pa.RecordBatch]:

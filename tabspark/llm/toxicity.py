@@ -222,7 +222,7 @@ def without_toxic(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
         for b in slices(batches, limit=2_000_000):
             yield b.filter(pa.array(model.score(f.of(b.column(at))) < cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)
 
 
 def run(docs: DataFrame, labels: DataFrame) -> DataFrame:
