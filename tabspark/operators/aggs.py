@@ -106,10 +106,10 @@ def tempo_from_sync(points: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def median_of_first(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[Column], n: int = 8) -> DataFrame:
-    """Median, to a tenth, of the values that the first ``n`` rows have; keys whose first rows have none are left
-    out."""
+    """Median, to a tenth (that is, ten times it to a whole number), of the values that the first ``n`` rows have;
+    keys whose first rows have none are left out."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.round(F.median(value), 1).alias(value))
+    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).filter(F.col(value).isNotNull()).groupBy(*keys).agg((F.round(F.median(value) * 10) / 10).alias(value))
 
 
 def recognition_summary(glyphs: DataFrame, keys: Sequence[str]) -> DataFrame:

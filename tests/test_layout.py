@@ -159,3 +159,9 @@ def test_long_lists_stay_linear(spark):
     boxes = spark.range(4000).select(F.lit(1).alias("image_id"), F.lit(1).alias("category_id"), F.col("id").cast("int").alias("ord"), (F.col("id") * 5.0).alias("x"), F.lit(0.0).alias("y"), F.lit(9.0).alias("w"), F.lit(4.0).alias("h"), F.lit(0.9).alias("score"))
     assert J.match_detections(boxes, boxes).filter("truth_ord = ord").count() == 4000
     assert time.monotonic() - begun < 60
+
+
+def test_a_median_is_rounded_after_it_is_scaled(spark):
+    f = spark.createDataFrame([("s", 1, 14.85), ("s", 2, 16.45), ("t", 1, -14.85), ("t", 2, -16.45)], "score_id string, ix int, tempo double")  # their mean is 15.649999999999999
+    got = A.median_of_first(f, ["score_id"], "tempo", [F.col("ix")])
+    assert sorted((r.score_id, r.tempo) for r in got.collect()) == [("s", 15.7), ("t", -15.7)]
