@@ -48,8 +48,12 @@ class SmoothStarts(_Whole):
         own = _types(rows, "score_id", "frame_id", "t", "index", "value", "conf")
         return AnalyzeResult(T.StructType([*own[:2], T.StructField("start_measure", T.IntegerType()), T.StructField("confidence", T.DoubleType())]), partitionBy=[PartitioningColumn("score_id")], orderBy=[OrderingColumn("t"), OrderingColumn("frame_id")])
 
-    def solve(self, frame: pd.DataFrame) -> pd.DataFrame:
-        return W.starts_of(frame)
+    def eval(self, row):
+        self.rows.append(tuple(row[n] for n in ("score_id", "frame_id", "t", "index", "value", "conf")))
+
+    def terminate(self):
+        if self.rows:
+            yield from ((self.rows[0][0], *r) for r in W.starts_of(r[1:] for r in self.rows))
 
 
 class LeaderClusters(_Whole):

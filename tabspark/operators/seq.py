@@ -5,14 +5,17 @@ or runs of a recording, which are small by nature. Grouped pandas functions are
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.scalars import split_rest
 
@@ -270,43 +273,117 @@ def signature_changes(measures: DataFrame, keys: Sequence[str], order: str = "nu
     return known.withColumn("changed", before.isNull() | (before != F.col("_s"))).withColumn("ts_num", F.col("_s.ts_num")).withColumn("ts_den", F.col("_s.ts_den")).drop("_s")
 
 
-def starts_of(pdf: pd.DataFrame) -> pd.DataFrame:
-    """W23 of one score's labels."""
-    frames = pdf.sort_values(["t", "frame_id"]).groupby(["t", "frame_id"], sort=True)
-    seen = [(t, f, [(int(i), int(v), float(c)) for i, v, c in zip(g["index"], g["value"], g["conf"]) if i == i and v == v and i is not None and v is not None]) for (t, f), g in frames]
+def _sliding_max(x: np.ndarray, width: int) -> np.ndarray:
+    """Maximum of each value and the ``width - 1`` before it, by doubled widths."""
+    if width >= len(x):
+        return np.maximum.accumulate(x)
+    m, p = x, 1
+    while p < width:
+        d = min(p, width - p)
+        m = np.concatenate([m[:d], np.maximum(m[d:], m[:-d])])
+        p += d
+    return m
+
+
+def start_path(times: list[float], emits: list[dict[int, float]], top: int) -> list[int]:
+    """The best monotone path of W23: a state for each frame, by the frames' times and what each adds to which states.
+
+    A step's cost has the slope 7 on both sides of its best length, so the best predecessors of all states are two
+    sliding maxima, whatever the longest step. Their sums are rounded otherwise than those of single steps, and many
+    steps are equally good but for rounding; so where the way back meets several predecessors within what rounding can
+    change, the sums of single steps decide, which are then worked out for those states alone (for all states of the
+    frames so far, where more than 64 of a frame are asked for)."""
+    n, states = len(times), np.arange(top + 1)
+    slope = states * 7.0
+    near, steps = np.zeros((n, top + 1)), [(0.0, 0)]
+    near[0] = states * -0.25
+    for s, v in emits[0].items():
+        near[0, s] = v - s * 0.25
+    for k in range(1, n):
+        dt = max(0.05, times[k] - times[k - 1])
+        jump, want = min(top, max(3, math.ceil(dt * 2.0) + 2)), dt * 0.75
+        steps.append((want, jump))
+        a, score = int(min(jump, want)), near[k - 1]
+        best = _sliding_max(score - slope, a + 1) + slope - 7.0 * want
+        if jump > a:
+            best[a + 1 :] = np.maximum(best[a + 1 :], _sliding_max(score + slope, jump - a)[: top - a] - slope[a + 1 :] + 7.0 * want)
+        for s, v in emits[k].items():
+            best[s] += v
+        near[k] = best
+    slack = (np.abs(near).max() + 7.0 * (top + max(w for w, _ in steps))) * n * 1e-14
+    exact: list = [{} for _ in range(n)]  # of some states each, or arrays of all
+
+    def options(k: int, s: int) -> np.ndarray:
+        want, jump = steps[k]
+        sums = near[k - 1, max(0, s - jump) : s + 1][::-1] - np.abs(np.arange(min(jump, s) + 1) - want) * 7.0
+        return np.flatnonzero(~(sums < sums.max() - slack))
+
+    def decided(k: int, s: int, d: np.ndarray) -> tuple[float, int]:
+        """Sum and length of the best step, of equal ones the longest: the least earlier state."""
+        sums = np.array([exact[k - 1][s - x] for x in d.tolist()]) - np.abs(d - steps[k][0]) * 7.0
+        at = len(d) - 1 - int(sums[::-1].argmax())
+        return float(sums[at]), int(d[at])
+
+    def work_out_all(last: int) -> None:
+        for k in range(last + 1):
+            if isinstance(exact[k], dict):
+                if k:
+                    want, jump = steps[k]
+                    before = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(jump, -np.inf), exact[k - 1]]), jump + 1)
+                    exact[k] = (before - np.abs(np.arange(jump, -1, -1) - want) * 7.0).max(axis=1)
+                    for s, v in emits[k].items():
+                        exact[k][s] += v
+                else:
+                    exact[0] = near[0]
+
+    def work_out(k: int, wanted: list[int]) -> None:
+        """Sums of single steps of states of a frame, and of those that they come from."""
+        todo: list[tuple[int, dict[int, np.ndarray]]] = []
+        while k >= 0 and isinstance(exact[k], dict) and (new := [s for s in wanted if s not in exact[k]]):
+            if len(new) > 64:
+                work_out_all(k)
+                break
+            own = {s: options(k, s) if k else None for s in new}
+            todo.append((k, own))
+            wanted, k = sorted({s - x for s, d in own.items() for x in d.tolist()}) if k else [], k - 1
+        for k, own in reversed(todo):
+            for s, d in own.items():
+                exact[k][s] = decided(k, s, d)[0] + emits[k].get(s, 0.0) if k else emits[0].get(s, 0.0) - s * 0.25
+
+    last = np.flatnonzero(~(near[-1] < near[-1].max() - slack)).tolist()
+    if len(last) > 1:
+        work_out(n - 1, last)
+    path = [last[0] if len(last) == 1 else max(last, key=lambda s: (exact[-1][s], -s))]
+    for k in range(n - 1, 0, -1):
+        s = path[-1]
+        d = options(k, s)
+        if len(d) > 1:
+            work_out(k - 1, [s - x for x in d.tolist()])
+        path.append(s - (int(d[0]) if len(d) == 1 else decided(k, s, d)[1]))
+    return path[::-1]
+
+
+def starts_of(rows: Iterable[tuple]) -> list[tuple]:
+    """W23 of one score's labels (frame_id, t, index, value, conf), in the order of t and frame_id: rows (frame_id,
+    start_measure, confidence)."""
+    seen = []
+    for (t, f), own in itertools.groupby((r for r in rows if r[0] is not None and r[1] is not None and r[1] == r[1]), key=lambda r: (r[1], r[0])):
+        seen.append((t, f, [(int(i), int(v), math.nan if c is None else float(c)) for _, _, i, v, c in own if i is not None and v is not None and i == i and v == v]))
     observed = [v for *_, ls in seen for _, v, _ in ls if v <= 1000]
-    out = pdf[["score_id"]].iloc[:1]
     if not observed:
-        rows = [(f, None, None) for _, f, _ in seen]
-    else:
-        top = min(1000, max(256, max(observed) + 12))
-        emit = np.zeros((len(seen), top + 1))
-        for e, (_, _, ls) in zip(emit, seen):
-            for i, v, c in ls:
-                if 0 <= v - i <= top:
-                    e[v - i] += 35.0 + max(0.0, c)
-        score, back = emit[0] - np.arange(top + 1) * 0.25, []
-        for k in range(1, len(seen)):
-            dt = max(0.05, seen[k][0] - seen[k - 1][0])
-            jump = min(top, max(3, math.ceil(dt * 2.0) + 2))
-            best, arg = np.full(top + 1, -np.inf), np.zeros(top + 1, np.int64)
-            for d in range(jump, -1, -1):  # the least earlier state wins ties: from the longest step down
-                cand = np.full(top + 1, -np.inf)
-                cand[d:] = score[: top + 1 - d] - abs(d - dt * 0.75) * 7.0
-                better = cand > best
-                best[better], arg[better] = cand[better], (np.arange(top + 1) - d)[better]
-            score = best + emit[k]
-            back.append(arg)
-        state = int(score.argmax())
-        path = [state]
-        for arg in reversed(back):
-            state = int(arg[state])
-            path.append(state)
-        rows = []
-        for (_, f, ls), s, e in zip(seen, reversed(path), emit):
-            fit = [c for i, v, c in ls if v == s + i]
-            rows.append((f, s, min(100.0, sum(fit) / len(fit)) if fit else min(45.0, e[s] / 2)))
-    return pd.DataFrame({"score_id": [out["score_id"].iloc[0]] * len(rows), "frame_id": [r[0] for r in rows], "start_measure": pd.array([r[1] for r in rows], "Int32"), "confidence": pd.array([r[2] for r in rows], "Float64")})
+        return [(f, None, None) for _, f, _ in seen]
+    top, emits = min(1000, max(256, max(observed) + 12)), []
+    for *_, ls in seen:
+        e: dict[int, float] = {}
+        for i, v, c in ls:
+            if 0 <= v - i <= top:
+                e[v - i] = e.get(v - i, 0.0) + (35.0 + max(0.0, c))
+        emits.append(e)
+    out = []
+    for (_, f, ls), s, e in zip(seen, start_path([float(t) for t, *_ in seen], emits, top), emits):
+        fit = [c for i, v, c in ls if v == s + i]
+        out.append((f, s, min(100.0, sum(fit) / len(fit)) if fit else min(45.0, e.get(s, 0.0) / 2)))
+    return out
 
 
 def smooth_starts(labels: DataFrame) -> DataFrame:
@@ -315,11 +392,21 @@ def smooth_starts(labels: DataFrame) -> DataFrame:
     labels: score_id, frame_id, t, index (null for a frame without a label), value, conf. States are start numbers;
     a label that fits adds 35 + its confidence; a step of d measures in time dt costs 7 * |d - 0.75 dt|, and d lies
     between 0 and max(3, ceil(2 dt) + 2). The first frame prefers small numbers slightly. A frame's confidence is the
-    mean of its fitting labels, else at most 45. Scores without a label up to 1000 keep null starts. One score is one
-    group of a few hundred frames; the maximum over steps is a numpy operation for all states at once.
+    mean of its fitting labels, else at most 45. Scores without a label up to 1000 keep null starts. Scores lie sorted
+    in their partition and are read one after the other; one is a group of a few hundred frames.
     """
     s = labels.schema
-    return labels.groupBy("score_id").applyInPandas(starts_of, f"score_id {s['score_id'].dataType.simpleString()}, frame_id {s['frame_id'].dataType.simpleString()}, start_measure int, confidence double")
+    names = ["score_id", "frame_id", "t", "index", "value", "conf"]
+    out = T.StructType([s["score_id"], s["frame_id"], T.StructField("start_measure", T.IntegerType()), T.StructField("confidence", T.DoubleType())])
+    form = pa.schema([*to_arrow_schema(T.StructType(out.fields[:2])), pa.field("start_measure", pa.int32()), pa.field("confidence", pa.float64())])
+
+    def solve(batches):
+        rows = (r for b in batches for r in zip(*(b.column(n).to_pylist() for n in names)))
+        found = ((score, *r) for score, own in itertools.groupby(rows, key=lambda r: r[0]) for r in starts_of(r[1:] for r in own))
+        while some := list(itertools.islice(found, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*some), form)], schema=form)
+
+    return labels.select(*names).repartition("score_id").sortWithinPartitions("score_id", "t", "frame_id").mapInArrow(solve, out)
 
 
 def clusters_of(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:

@@ -1,6 +1,9 @@
 """The library's operators on small tables with the values that their rules give."""
 
 import json
+import math
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -340,3 +343,46 @@ def test_stream_suppress(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert sorted(values(spark.table("suppress"), "run_id", "ord")) == [("a", 0), ("a", 2), ("b", 0)]
+
+
+def _every_step(labels):
+    """W23 with all steps of all states tried one by one, as the operator's words have it."""
+    frames = sorted({(r[1], r[0]) for r in labels})
+    of = {f: [(i, v, c) for g, _, i, v, c in labels if g == f and v is not None] for _, f in frames}
+    top = min(1000, max(256, max(v for ls in of.values() for _, v, _ in ls if v <= 1000) + 12))
+    emits = [[sum((35.0 + c for i, v, c in of[f] if v - i == s), 0.0) for s in range(top + 1)] for _, f in frames]
+    score, back = [e - s * 0.25 for s, e in enumerate(emits[0])], []
+    for (was, _), (now, _), e in zip(frames, frames[1:], emits[1:]):
+        dt = max(0.05, now - was)
+        jump = max(3, math.ceil(dt * 2.0) + 2)
+        steps = [max((score[p] - abs(s - p - dt * 0.75) * 7.0, -p) for p in range(max(0, s - jump), s + 1)) for s in range(top + 1)]
+        score = [v + e[s] for s, (v, _) in enumerate(steps)]
+        back.append([-p for _, p in steps])
+    path = [max(range(top + 1), key=lambda s: (score[s], -s))]
+    for b in reversed(back):
+        path.append(b[path[-1]])
+    return dict(zip([f for _, f in frames], reversed(path)))
+
+
+def test_smoothing_tries_every_step_in_linear_time(spark):
+    rng, rows, want = random.Random(7), [], {}
+    for score, dt in (("a", 1.0), ("b", 40.0), ("c", 0.04), ("d", 2.0)):
+        t, own = 0.0, []
+        for f in range(14):
+            own += [(f, t, i, rng.choice([int(t * 0.75) + i, int(t * 0.75) + i + rng.randrange(-4, 5), rng.randrange(1100)]), float(rng.randrange(90)) if score == "d" else rng.random() * 90) for i in range(rng.choice([1, 2]))]
+            t += dt if score == "d" else rng.random() * dt * 2
+        rows += [(score, *r) for r in own]
+        want |= {(score, f): s for f, s in _every_step([r if r[3] >= r[2] else (*r[:3], None, r[4]) for r in own]).items()}
+    df = spark.createDataFrame(rows, "score_id string, frame_id int, t double, index int, value int, conf double")
+    assert {(r.score_id, r.frame_id): r.start_measure for r in W.smooth_starts(df).collect()} == want
+    same = [(f, f * 400.0, f % 3, 100 + f % 3, 50.0) for f in range(12)]  # nearly all paths are equally good
+    path = _every_step(same)
+    assert {r[0]: r[1] for r in W.starts_of(same)} == path
+    many, t = [], 0.0
+    for f in range(1000):
+        t = t + rng.random() * 150 if f % 12 else 0.0
+        many.append((f, t, f % 3, int(t * 0.75) + f % 3, rng.random() * 90))
+    start = time.process_time()
+    for k in range(0, 1000, 12):  # 4 to 5 s where each step is tried for itself
+        assert len(W.starts_of(many[k : k + 12])) == len(many[k : k + 12])
+    assert time.process_time() - start < 2
