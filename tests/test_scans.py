@@ -7,6 +7,7 @@ import zipfile
 
 import pytest
 
+from tabspark import queries
 from tabspark.functions import tables
 from tabspark.operators import seq as W
 from tabspark.sources import io as IO
@@ -97,3 +98,10 @@ def test_a_task_lists_many_folders(spark, tmp_path):
         sc.setLocalProperty("spark.jobGroup.id", None)
     assert sum(sc.statusTracker().getStageInfo(i).numTasks for j in jobs for i in j.stageIds) <= 4 * sc.defaultParallelism  # one for each folder before
     assert {(r.run_id, r.sha256) for r in got.collect()} == {(str(i), hashlib.sha256(f"c{i}".encode()).hexdigest()) for i in range(60)}
+
+
+def test_tasks_stay_small_as_tables_grow(spark, monkeypatch):
+    monkeypatch.setattr(queries, "TASK_ROWS", 1000)
+    few, many = queries.dealt(spark.range(4000), "id"), queries.dealt(spark.range(50_000), "id")
+    assert few.rdd.getNumPartitions() == spark.range(4000).rdd.getNumPartitions() and many.rdd.getNumPartitions() == 50 and many.count() == 50_000
+    assert queries.notes(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 6
