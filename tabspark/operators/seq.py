@@ -142,18 +142,6 @@ def _uneven(gaps: Column, middle: Column, n: int) -> Column:
     return F.aggregate(F.transform(gaps, lambda g: F.abs(g - middle)), F.lit(0.0), lambda s, v: s + v) / n / middle
 
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """``value`` as a column that is worked out once: a filter on what follows isn't put before it with its expression."""
-    return df.withColumn(name, F.explode(F.array(value)))
-
-
-def _regular(groups: DataFrame, lines: int) -> DataFrame:
-    """Spacing (median gap) and irregularity (mean deviation from it, over it) of groups of ``lines`` values."""
-    g = _once(groups, "gaps", _gaps(F.col("lines")))
-    g = _once(g, "spacing", _middle(F.col("gaps"), lines - 1))
-    return _once(g, "irregularity", F.when(F.col("spacing") > 0, _uneven(F.col("gaps"), F.col("spacing"), lines - 1)))
-
-
 def _gaps(values: Column) -> Column:
     return F.transform(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), lambda v, i: v - F.get(values, i))
 
@@ -438,27 +426,91 @@ def leader_clusters(glyphs: DataFrame, threshold: float = 0.075) -> DataFrame:
     return glyphs.groupBy("run_id").applyInPandas(lambda pdf: clusters_of(pdf, threshold), f"run_id {s['run_id'].dataType.simpleString()}, ord {s['ord'].dataType.simpleString()}, cluster_id int, distance double")
 
 
-def _extended(centres: DataFrame, keys: Sequence[str], y: str, lines: int, ahead: int | None, low: Column, high: Column, reach: float, slack: float, share: float, strength: str | None = None) -> DataFrame:
-    """Groups of ``lines`` centres grown from pairs (first, second) ``low`` to ``high`` apart, the second at most
-    ``ahead`` centres after the first: each further line is the centre after the last that is nearest to its place
-    (of equally near ones the first), no more than max(slack, share * gap) from it. Rows: keys, pair (places of both),
-    lines, strengths, gaps, spacing, irregularity. A centre only sees the centres within ``reach`` below it."""
-    single = centres.groupBy(*keys, F.col(y).cast("double").alias("_y")).agg((F.max(strength) if strength else F.lit(0.0)).cast("double").alias("_s"))
-    part = ", ".join(f"`{k}`" for k in keys)
-    near = single.withColumn("_i", F.expr(f"row_number() over (partition by {part} order by _y)")).withColumn("_near", F.expr(f"collect_list(struct(_y as y, _s as s)) over (partition by {part} order by _y range between current row and {float(reach)}D following)")).filter("size(_near) > 1")
-    last = F.size("_near") - 1
-    pairs = near.withColumn("_j", F.explode(F.sequence(F.lit(1), F.least(last, F.lit(ahead)) if ahead else last)))
-    pairs = pairs.withColumn("_first", F.col("_near")[0]["y"]).withColumn("_gap", F.get("_near", F.col("_j"))["y"] - F.col("_first")).filter((F.col("_gap") >= low) & (F.col("_gap") <= high))
+BLOCK = 200_000
+
+
+def _search(y: np.ndarray, low: np.ndarray, high: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each x the first place from low to before high of sorted values that are not under it; high, if there is none."""
+    while (wide := low < high).any():
+        middle = np.where(wide, (low + high) // 2, 0)
+        under = y[middle] < x
+        low, high = np.where(wide & under, middle + 1, low), np.where(wide & ~under, middle, high)
+    return low
+
+
+def _pairs(y: np.ndarray, end: np.ndarray, ahead: int | None, low: float, high: float):
+    """Pairs (first, second) of places of sorted centres ``low`` to ``high`` apart, the second at most ``ahead`` centres
+    after the first and before its page's end, in blocks of about BLOCK."""
+    i = np.arange(len(y))
+    reach = y + high
+    last = _search(y, i + 1, end if ahead is None else np.minimum(end, i + 1 + ahead), reach + 2 * np.spacing(np.abs(reach)))
+    n = last - i - 1
+    for some in np.split(i, np.flatnonzero(np.diff(np.cumsum(n) // BLOCK)) + 1):
+        first = np.repeat(some, n[some])
+        second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
+        gap = y[second] - y[first]
+        ok = (gap >= low) & (gap <= high)
+        yield first[ok], second[ok]
+
+
+def _grown(y: np.ndarray, end: np.ndarray, first: np.ndarray, second: np.ndarray, lines: int, slack: float, share: float) -> np.ndarray:
+    """Groups (rows of places) of ``lines`` centres grown from pairs: each further line is the centre after the last that is
+    nearest to its place (of equally near ones the first), no more than max(slack, share * gap) from it."""
+    at = np.stack([first, second], axis=1)
+    for k in range(2, lines):
+        last, stop, gap = at[:, -1], end[at[:, 0]], y[at[:, 1]] - y[at[:, 0]]
+        place = y[at[:, 0]] + gap * k
+        away = lambda i: np.where((i > last) & (i < stop), np.abs(y[np.minimum(i, len(y) - 1)] - place), np.inf)  # noqa: B023, E731
+        right = _search(y, last + 1, stop, place)
+        best = np.where(away(right - 1) <= away(right), right - 1, right)
+        d = away(best)
+        while (same := (away(best - 1) == d) & np.isfinite(d)).any():
+            best = best - same
+        ok = d <= np.maximum(slack, gap * share)
+        at = np.column_stack([at, best])[ok]
+    return at
+
+
+def _regular(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spacing (median gap) and irregularity (mean deviation from it, over it) of groups, one a row."""
+    gaps = np.diff(lines, axis=1)
+    n, s = gaps.shape[1], np.sort(gaps, axis=1)
+    middle = s[:, n // 2] if n % 2 else (s[:, n // 2 - 1] + s[:, n // 2]) / 2
+    return middle, sum(np.abs(g - middle) for g in gaps.T) / n / middle
+
+
+def _pages(centres: DataFrame, keys: Sequence[str], y: str, strength: str | None, found, out: str) -> DataFrame:
+    """Of the sorted distinct centres of many pages at a time what ``found(page, end, y, strength)`` tells: numbers of
+    pages and the columns of ``out``. A centre's place is in the arrays; ``end`` is where the next page begins."""
+    value = (F.max(strength) if strength else F.lit(0.0)).cast("double")
+    single = centres.filter(F.abs(F.col(y).cast("double")) < float("inf")).groupBy(*keys, F.col(y).cast("double").alias("_y")).agg(value.alias("_s"))
+    lists = single.groupBy(*keys).agg(F.collect_list("_y").alias("_ys"), F.collect_list(F.coalesce("_s", F.lit(float("nan")))).alias("_ss"))
+    names = [f.strip().split()[0] for f in out.split(",")]
+
+    def solve(batches):
+        for b in batches:
+            size = b.column("_ys").value_lengths().to_numpy(zero_copy_only=False)
+            for pages in np.split(np.arange(len(size)), np.flatnonzero(np.diff(np.cumsum(size) // BLOCK)) + 1) if len(size) else ():
+                some = b.slice(pages[0], len(pages))
+                page = np.repeat(np.arange(len(pages)), size[pages])
+                ys, ss = (some.column(x).flatten().to_numpy(zero_copy_only=False) for x in ("_ys", "_ss"))
+                order = np.lexsort((ys, page))
+                of, columns = found(page, np.cumsum(size[pages])[page], ys[order], ss[order])
+                own = pa.array(of)
+                yield pa.RecordBatch.from_arrays([*(some.column(k).take(own) for k in keys), *columns], names=[*keys, *names])
+
+    types = ", ".join(f"`{k}` {single.schema[k].dataType.simpleString()}" for k in keys)
+    return lists.select(*keys, "_ys", "_ss").mapInArrow(solve, f"{types}, {out}")
+
 
-    def step(s: Column, k: Column) -> Column:
-        place = F.col("_first") + F.col("_gap") * k
-        options = F.filter(F.transform(F.col("_near"), lambda c, i: F.struct(F.abs(c["y"] - place).alias("d"), i.alias("i"))), lambda c: (c["i"] > s["at"]) & (c["d"] <= F.greatest(F.lit(slack), F.col("_gap") * share)))
-        take = lambda best: F.struct(F.coalesce(best, F.lit(2**30)).alias("at"), F.when(best.isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(best))).alias("out"))
-        return F.get(F.transform(F.array(F.array_min(options)["i"]), take), F.lit(0))
+def _rows(values: np.ndarray) -> pa.Array:
+    """The rows of a table of numbers as an array of lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel()))
 
-    grown = _once(pairs, "_at", F.aggregate(F.sequence(F.lit(2), F.lit(lines - 1)), F.struct(F.col("_j").alias("at"), F.array(F.lit(0), F.col("_j")).alias("out")), step, lambda s: s["out"])).filter(F.size("_at") == lines)
-    found = _once(grown.select(*keys, F.struct(F.col("_i").alias("i"), F.col("_j").alias("j")).alias("pair"), "_at", "_near"), "_l", F.transform("_at", lambda i: F.get("_near", i)))
-    return _regular(found.select(*keys, "pair", F.transform("_l", lambda c: c["y"]).alias("lines"), F.transform("_l", lambda c: c["s"]).alias("strengths")), lines)
+
+def _heads(page: np.ndarray) -> np.ndarray:
+    """Places where a page begins, in sorted numbers of pages."""
+    return np.flatnonzero(np.diff(page, prepend=-1))
 
 
 def line_groups(centres: DataFrame, keys: Sequence[str], y: str = "y", lines: int = 6, low: float = 4.0, high: float = 80.0, tolerance: float = 0.2) -> DataFrame:
@@ -467,30 +519,58 @@ def line_groups(centres: DataFrame, keys: Sequence[str], y: str = "y", lines: in
     First windows of consecutive centres (median gap ``low`` to ``high``, irregularity at most ``tolerance``), from the
     top; then, where nothing lies, groups grown over stray centres from pairs at most four centres apart, the most
     regular first. Equal centres count once. One row a group: keys, group (from the top), lines, spacing, irregularity,
-    recovered."""
-    w = Window.partitionBy(*keys).orderBy(y)
-    single = centres.select(*keys, y).distinct()
-    run = single.withColumn("lines", F.collect_list(F.col(y).cast("double")).over(w.rowsBetween(0, lines - 1))).filter(F.size("lines") == lines)
-    run = _regular(run, lines).filter(F.col("spacing").between(low, high))
-    grown = _extended(single, keys, y, lines, 4, F.lit(low), F.lit(high), high * lines, 3.0, 0.25)
-    top = F.get("lines", F.lit(0))
-    item = lambda phase, a, b, i, j: F.struct(F.lit(phase).alias("phase"), a.alias("a"), b.alias("b"), i.cast("int").alias("i"), j.cast("int").alias("j"), "lines", "spacing", "irregularity")
-    both = run.filter(F.col("irregularity") <= tolerance).select(*keys, item(0, top, F.col("irregularity"), F.lit(0), F.lit(0)).alias("x"))
-    both = both.unionByName(grown.filter(F.col("irregularity") <= tolerance).select(*keys, item(1, F.col("irregularity"), top, F.col("pair.i"), F.col("pair.j")).alias("x")))
-    kept = "array<struct<lines:array<double>,spacing:double,irregularity:double,recovered:boolean>>"
-    clear = lambda s, v: F.forall(s, lambda k: (F.element_at(v["lines"], -1) < k["lines"][0]) | (v["lines"][0] > F.element_at(k["lines"], -1)))
-    step = lambda s, v: F.when(clear(s, v), F.concat(s, F.array(F.struct(v["lines"].alias("lines"), v["spacing"].alias("spacing"), v["irregularity"].alias("irregularity"), (v["phase"] == 1).alias("recovered"))))).otherwise(s)
-    out = fold(both, keys, F.col("x"), F.array().cast(kept), step, lambda s: F.sort_array(s))
-    return out.select(*keys, F.posexplode("out").alias("group", "g")).select(*keys, "group", "g.*")
+    recovered. What meets in one row is one page; a task reckons many pages at a time."""
+
+    def found(page, end, y, _):
+        i = np.arange(len(y))
+        i = i[i + lines <= end]
+        at = [i[:, None] + np.arange(lines)]
+        at += [_grown(y, end, *pair, lines, 3.0, 0.25) for pair in _pairs(y, end, 4, low, high)]
+        own, phase = np.concatenate(at), np.repeat([0, 1], [len(i), sum(map(len, at[1:]))])
+        spacing, uneven = _regular(y[own])
+        ok = (uneven <= tolerance) & ((phase == 1) | (spacing >= low) & (spacing <= high))
+        own, phase, spacing, uneven = own[ok], phase[ok], spacing[ok], uneven[ok]
+        top, bottom, of = y[own[:, 0]], y[own[:, -1]], page[own[:, 0]]
+        left = np.lexsort((own[:, 1], own[:, 0], np.where(phase == 0, uneven, top), np.where(phase == 0, top, uneven), phase, of))
+        kept = [left[:0]]
+        while len(left):  # the first of each page stays, and what lies clear of it
+            heads = _heads(of[left])
+            kept.append(left[heads])
+            best = np.repeat(left[heads], np.diff(heads, append=len(left)))
+            left = left[(bottom[left] < top[best]) | (top[left] > bottom[best])]
+        kept = np.concatenate(kept)
+        kept = kept[np.lexsort((top[kept], of[kept]))]
+        heads = _heads(of[kept])
+        group = np.arange(len(kept)) - np.repeat(heads, np.diff(heads, append=len(kept)))
+        return of[kept], [pa.array(group, pa.int32()), _rows(y[own[kept]]), pa.array(spacing[kept]), pa.array(uneven[kept]), pa.array(phase[kept] == 1)]
+
+    return _pages(centres, keys, y, None, found, "group int, lines array<double>, spacing double, irregularity double, recovered boolean")
 
 
 def best_line_group(centres: DataFrame, keys: Sequence[str], lines: int, height: float, y: str = "y", strength: str = "strength") -> DataFrame:
     """The one group of ``lines`` centres of a frame of this height with the largest mean strength less 80 times its
-    irregularity (0.22 at most), grown from any pair 5 to height / 4 apart; of equal ones the first."""
-    grown = _extended(centres, keys, y, lines, None, F.lit(5.0), F.lit(height / 4), height / 4 * lines, 2.0, 0.28, strength).filter("irregularity <= 0.22")
-    score = F.aggregate("strengths", F.lit(0.0), lambda s, v: s + v) / lines - F.col("irregularity") * 80
-    best = grown.groupBy(*keys).agg(F.min(F.struct((-score).alias("s"), "pair", "lines", "spacing", "irregularity")).alias("b"))
-    return best.select(*keys, (-F.col("b.s")).alias("score"), "b.lines", "b.spacing", "b.irregularity")
+    irregularity (0.22 at most), grown from any pair 5 to height / 4 apart; of equal ones the first. Unknown strengths
+    are left out of the mean."""
+
+    def found(page, end, y, s):
+        best = [np.empty((0, lines), np.int64)]
+        for pair in _pairs(y, end, None, 5.0, height / 4):
+            best.append(first(page, y, s, _grown(y, end, *pair, lines, 2.0, 0.28)))
+        at = first(page, y, s, np.concatenate(best))
+        spacing, uneven = _regular(y[at])
+        return page[at[:, 0]], [pa.array(score(y, s, at), from_pandas=True), _rows(y[at]), pa.array(spacing), pa.array(uneven)]
+
+    def score(y, s, at):
+        known = ~np.isnan(s[at])
+        with np.errstate(invalid="ignore"):  # no strength is known
+            return sum(np.where(known, s[at], 0.0).T) / known.sum(axis=1) - _regular(y[at])[1] * 80
+
+    def first(page, y, s, at):
+        at = at[_regular(y[at])[1] <= 0.22]
+        at = at[np.lexsort((at[:, 1], at[:, 0], -score(y, s, at), page[at[:, 0]]))]
+        return at[_heads(page[at[:, 0]])]
+
+    return _pages(centres, keys, y, strength, found, "score double, lines array<double>, spacing double, irregularity double")
 
 
 def highlight_index(runs: DataFrame, measures: DataFrame, staffs: DataFrame, keys: Sequence[str], tolerance: float = 0.08) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import models as M, scalars as S
 from .operators import aggs as A, edits as U, joins as J, seq as W, signal as T
-from .queries import NOTES, POINTS, c, notes, points, query, table
+from .queries import NOTES, POINTS, c, dealt, notes, points, query, table
 
 ID = ("score_id", "measure", "ix")
 IDS = "score_id, measure, ix"
@@ -281,7 +281,7 @@ CENTRES = """c AS (SELECT DISTINCT l_suppkey AS doc_id, l_returnflag || l_linest
 
 
 def _centres(spark, d):
-    return table(spark, d, "lineitem").select(c("l_suppkey").alias("doc_id"), F.concat("l_returnflag", "l_linestatus").alias("page"), (c("l_orderkey") % 50 * 20 + c("l_linenumber") % 3).alias("y"), c("l_quantity").cast("double").alias("strength"))
+    return dealt(table(spark, d, "lineitem"), "l_suppkey").select(c("l_suppkey").alias("doc_id"), F.concat("l_returnflag", "l_linestatus").alias("page"), (c("l_orderkey") % 50 * 20 + c("l_linenumber") % 3).alias("y"), c("l_quantity").cast("double").alias("strength"))
 
 
 # Both passes of the search: windows of six neighbours, then groups grown from pairs; e2 to e5 add a line each.
