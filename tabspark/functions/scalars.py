@@ -288,15 +288,33 @@ def capacity64(num: Column, den: Column) -> Column:
     return F.when((num >= 1) & den.isin(list(DENOMINATORS)), (num * 64 / den).cast("int"))
 
 
-def split_rest(units64: Column) -> Column:
-    """M8: a gap as rests, longest first: array of 64ths."""
-    start = F.struct(F.array().cast("array<int>").alias("out"), units64.cast("int").alias("left"))
+def rests_under(limit: int = RESTS[0]) -> list[list[int]]:
+    """M8: the rests of each gap under the limit, longest first."""
+    out = []
+    for left in range(limit):
+        rests = []
+        while left:
+            rests.append(next(d for d in RESTS if d <= left))
+            left -= rests[-1]
+        out.append(rests)
+    return out
 
-    def step(s: Column, d: Column) -> Column:
-        n = F.floor(s["left"] / d).cast("int")
-        return F.struct(F.concat(s["out"], F.array_repeat(d, n)).alias("out"), (s["left"] - n * d).cast("int").alias("left"))
 
-    return F.aggregate(F.array(*map(F.lit, RESTS)), start, step, lambda s: s["out"])
+def split_rest(units64: Column) -> Column:
+    """M8: a gap as rests, longest first: array of 64ths."""
+    whole = F.lit(RESTS[0])
+    gap = units64.cast("int")
+    table = F.array(*[F.array(*map(F.lit, rests)).cast("array<int>") for rests in rests_under()])
+    return F.concat(F.array_repeat(whole, F.floor(gap / whole).cast("int")), F.get(table, F.pmod(gap, whole)))
+
+
+def rests_of(start: Column, gap64: Column) -> Column:
+    """M8: the rests of a gap with their places: array of structs (onset64, duration64)."""
+    whole, gap = F.lit(RESTS[0]), gap64.cast("int")
+    n = F.floor(gap / whole).cast("int")
+    item = lambda at, d: F.struct((start + at).cast("int").alias("onset64"), d.alias("duration64"))
+    table = F.array(*[F.array(*[F.struct(F.lit(sum(rests[:i])).alias("at"), F.lit(d).alias("d")) for i, d in enumerate(rests)]).cast("array<struct<at:int,d:int>>") for rests in rests_under()])
+    return F.concat(F.transform(F.array_repeat(whole, n), lambda d, i: item(i * whole, d)), F.transform(F.get(table, F.pmod(gap, whole)), lambda r: item(n * whole + r["at"], r["d"])))
 
 
 def on_grid(x: Column, k: int) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.scalars import split_rest
+from ..functions.scalars import rests_of
 
 
 def fold(df: DataFrame, keys: Sequence[str], item: Column, start: Column, step, finish=None) -> DataFrame:
@@ -241,15 +241,22 @@ def rest_capacity(events: DataFrame, keys: Sequence[str], capacity: int = 64) ->
     return j.withColumn("following_rest", F.col("_r") + tail).drop("_b", "_r", "_lb", "_e")
 
 
+def with_gaps(events: DataFrame, keys: Sequence[str], order: Sequence[str], capacity: int = 64) -> DataFrame:
+    """Events and, in one pass over them, where the gap before each (``gap_at``, ``gap``) and the gap after the last of its
+    measure (``end_at``, ``end_gap``) begins and how long it is, in 64ths; null where there is none."""
+    w = Window.partitionBy(*keys).orderBy("onset64", *order)
+    end = F.col("onset64") + F.col("duration64")
+    e = events.withColumn("gap_at", F.coalesce(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_last", F.lead(F.lit(1)).over(w).isNull())
+    e = e.withColumn("gap", F.when(F.col("onset64") > F.col("gap_at"), F.col("onset64") - F.col("gap_at")))
+    e = e.withColumn("end_at", F.when(F.col("_last"), F.max(end).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    return e.withColumn("end_gap", F.when(F.col("end_at") < capacity, capacity - F.col("end_at"))).drop("_last")
+
+
 def fill_rests(events: DataFrame, keys: Sequence[str], capacity: int = 64) -> DataFrame:
     """The rests that fill the gaps before events and the end: (keys, onset64, duration64), split by M8."""
-    w = Window.partitionBy(*keys).orderBy("onset64", "ord").rowsBetween(Window.unboundedPreceding, -1)
-    e = events.withColumn("_from", F.coalesce(F.max(F.col("onset64") + F.col("duration64")).over(w), F.lit(0)))
-    before = e.filter(F.col("onset64") > F.col("_from")).select(*keys, F.col("_from").alias("start"), (F.col("onset64") - F.col("_from")).alias("gap"))
-    end = e.groupBy(*keys).agg(F.max(F.col("onset64") + F.col("duration64")).alias("start")).filter(F.col("start") < capacity).withColumn("gap", F.lit(capacity) - F.col("start"))
-    gaps = before.unionByName(end.select(*keys, "start", "gap")).withColumn("_r", split_rest(F.col("gap")))
-    at = F.transform("_r", lambda d, i: F.struct((F.col("start") + F.aggregate(F.slice("_r", F.lit(1), i), F.lit(0), lambda s, v: s + v)).cast("int").alias("onset64"), d.alias("duration64")))
-    return gaps.select(*keys, F.inline(at))
+    e = with_gaps(events, keys, ["ord"], capacity)
+    gaps = e.select(*keys, F.inline(F.array(F.struct(F.col("gap_at").alias("start"), "gap"), F.struct(F.col("end_at").alias("start"), F.col("end_gap").alias("gap"))))).filter("gap is not null")
+    return gaps.select(*keys, F.inline(rests_of(F.col("start"), F.col("gap"))))
 
 
 def signature_changes(measures: DataFrame, keys: Sequence[str], order: str = "number") -> DataFrame:

@@ -1,6 +1,7 @@
 """The library's operators on small tables with the values that their rules give."""
 
 import json
+import re
 import math
 import random
 import time
@@ -283,6 +284,34 @@ def test_score_tempo_and_link_ends(spark, tmp_path):
     assert "slide" not in xml and "pull-off" not in xml  # no later note on their strings
 
 
+def test_score_xml_in_one_pass(spark, tmp_path):
+    """Texts are made where the events lie, which are read once; events of one onset keep their own notes."""
+    rows = [("s", 1, 8, 8, [(1, 3, None), (2, 5, None)], 4, 4, True), ("s", 1, 8, 8, [(6, 1, None)], 4, 4, True), ("s", 2, 100, 4, [], 4, 4, False), ("t", 1, 0, 64, [(3, 0, "slide")], 3, 4, False)]
+    e = spark.createDataFrame(rows, "score_id string, number int, onset64 int, duration64 int, notes array<struct<string:int,fret:int,technique:string>>, ts_num int, ts_den int, changed boolean")
+    out = IO.render_score_xml(e.repartition(3, "score_id"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    xml = {r.score_id: r.xml for r in out.collect()}
+    sign = "<attributes><time><beats>4</beats><beat-type>4</beat-type></time></attributes>"
+    assert xml["s"].startswith(f'<part><measure number="1">{sign}<note><rest/><duration>8</duration>') and xml["s"].count("<fret>3</fret>") == xml["s"].count("<fret>1</fret>") == 1 and xml["s"].count("<chord/>") == 1
+    assert "".join(re.findall("<rest/><duration>([0-9]+)<", xml["s"].split('number="2"')[1])) == "64324" + "4" and "".join(re.findall("<rest/><duration>([0-9]+)<", xml["s"].split('number="2"')[0])) == "848"
+    assert xml["t"].startswith('<part><measure number="1"><note><pitch>') and "rest" not in xml["t"]
+    lines = [x + "</measure>" for x in re.sub("</?part>", "", xml["s"]).split("</measure>")[:-1]]
+    (tmp_path / "lines.txt").write_text("\n".join([*lines, '<measure number="9"><note>', "", '<measure number="x"><note><duration> 4 </duration></note></measure>']))
+    got = IO.read_score_xml(spark, str(tmp_path / "lines.txt"), lines=True).select("number", "ix", "rest", "duration", "string", "fret").collect()
+    assert sorted(tuple(r)[4:] for r in got if r.number == 1 and not r.rest) == [(1, 3), (2, 5), (6, 1)] and sum(r.duration for r in got if r.rest and r.number) == 8 + 48 + 100 + 4
+    assert [tuple(r) for r in got if r.number is None] == [(None, 0, False, 4, None, None)]
+
+
+def test_rests_of_any_gap(spark):
+    df = spark.range(300).select(F.col("id").cast("int").alias("g")).withColumn("r", S.split_rest(F.col("g"))).withColumn("p", S.rests_of(F.lit(5), F.col("g")))
+    for r in df.collect():
+        left, want = r.g, []
+        while left:
+            want.append(max(d for d in S.RESTS if d <= left))
+            left -= want[-1]
+        assert r.r == want and [tuple(x) for x in r.p] == [(5 + sum(want[:i]), d) for i, d in enumerate(want)]
+
+
 def test_models(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(5)], "id int, x double")
     got = models.predict(df, lambda: lambda f: f.assign(x=f["x"] * 2), "id int, x double", batch=2)
