@@ -8,10 +8,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .seq import BLOCK, search
+
 
 def resolve_sessions(sessions: DataFrame, owners: DataFrame, now: Column) -> DataFrame:
     """Sessions that have not run out with their owner."""
@@ -212,42 +215,92 @@ def match_events(pred: DataFrame, truth: DataFrame, keys: Sequence[str], at: str
     return parts.select(*keys, F.explode(found).alias("m")).select(*keys, F.col("m.p").alias("pred_ord"), F.col("m.t").alias("truth_ord"))
 
 
-@F.pandas_udf(MATCHES)
-def _widest_free(p: pd.Series, t: pd.Series, least: pd.Series) -> pd.Series:
-    """Greedy matching of boxes: arrays of (number, x, y, w, h) as rows of doubles, detections in their order. A box only
-    looks at the targets whose left edge can lie within its reach."""
-
-    def one(p, t, least: float) -> list[dict]:
-        p, t = np.stack(p), np.stack(t)
-        t = t[np.argsort(t[:, 1], kind="stable")]
-        free, widest, out = np.ones(len(t), bool), t[:, 3].max(), []
-        for number, x, y, w, h in p.tolist():
-            i = int(np.searchsorted(t[:, 1], x - widest))
-            some = t[i : int(np.searchsorted(t[:, 1], x + w, "right"))]
-            inter = np.maximum(0.0, np.minimum(x + w, some[:, 1] + some[:, 3]) - np.maximum(x, some[:, 1])) * np.maximum(0.0, np.minimum(y + h, some[:, 2] + some[:, 4]) - np.maximum(y, some[:, 2]))
-            union = w * h + some[:, 3] * some[:, 4] - inter
-            over = np.where(union > 0, inter / np.where(union > 0, union, 1), 0.0)
-            ok = np.flatnonzero(free[i : i + len(some)] & (over >= least))
-            if len(ok):
-                best = min(ok, key=lambda k: (-over[k], some[k, 0]))
-                free[i + best] = False
-                out.append({"p": int(number), "t": int(some[best, 0])})
-        return out
-
-    return pd.Series([one(*x) for x in zip(p, t, least)], dtype=object)
+def _overlap(p: Sequence[np.ndarray], t: Sequence[np.ndarray]) -> np.ndarray:
+    """Intersection over union of boxes (x, y, w, h), 0 for an empty union."""
+    (x, y, w, h), (tx, ty, tw, th) = p, t
+    inter = np.maximum(0.0, np.minimum(x + w, tx + tw) - np.maximum(x, tx)) * np.maximum(0.0, np.minimum(y + h, ty + th) - np.maximum(y, ty))
+    union = w * h + tw * th - inter
+    return np.where(union > 0, inter / np.where(union > 0, union, 1), 0.0)
+
+
+def _best_boxes(p: Sequence[np.ndarray], t: Sequence[np.ndarray], number: np.ndarray, low: np.ndarray, high: np.ndarray, least: float) -> np.ndarray:
+    """For each box in order the place of the free target from low to before high of the largest overlap, the least number
+    first; -1 where none has the least overlap. One box after the other, for groups with too many pairs to hold."""
+    free, out = np.ones(len(number), bool), np.full(len(low), -1)
+    for k, (i, j) in enumerate(zip(low, high)):
+        over = _overlap([v[k] for v in p], [v[i:j] for v in t])
+        ok = np.flatnonzero(free[i:j] & (over >= least))
+        if len(ok):
+            out[k] = i + min(ok, key=lambda n: (-over[n], number[i + n]))
+            free[out[k]] = False
+    return out
+
+
+def _taken(pg: np.ndarray, p: Sequence[np.ndarray], tg: np.ndarray, t: Sequence[np.ndarray], number: np.ndarray, groups: int, least: float) -> np.ndarray:
+    """Greedy matching of boxes in many groups at a time: for each box (in order in its group) the place of its target or
+    -1. Targets are sorted by their left edges in a group; a box only looks at those whose left edge lies within its
+    reach. A box takes its best target as soon as no box before it may want that one, which is what taking turns gives."""
+    widest = np.zeros(groups)
+    np.maximum.at(widest, tg, t[2])
+    begin, end = np.searchsorted(tg, pg), np.searchsorted(tg, pg, "right")
+    low, high = search(t[0], begin, end, p[0] - widest[pg]), search(t[0], begin, end, np.nextafter(p[0] + p[2], np.inf))
+    n = np.maximum(high - low, 0)
+    large = np.bincount(pg, n, groups)[pg] > BLOCK
+    out = np.full(len(pg), -1)
+    for g in np.unique(pg[large]):
+        own, here = slice(*np.searchsorted(pg, [g, g + 1])), slice(*np.searchsorted(tg, [g, g + 1]))
+        best = _best_boxes([v[own] for v in p], [v[here] for v in t], number[here], low[own] - here.start, high[own] - here.start, least)
+        out[own] = np.where(best < 0, -1, best + here.start)
+    n[large] = 0
+    i, pairs = np.arange(len(pg)), []
+    for some in np.split(i, np.flatnonzero(np.diff(np.cumsum(n) // BLOCK)) + 1):
+        a = np.repeat(some, n[some])
+        b = low[a] + np.arange(len(a)) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
+        over = _overlap([v[a] for v in p], [v[b] for v in t])
+        ok = over >= least
+        pairs.append((a[ok], b[ok], over[ok]))
+    a, b, over = (np.concatenate(x) for x in zip(*pairs))
+    order = np.lexsort((number[b], -over, a))
+    a, b = a[order], b[order]
+    first = np.empty(len(tg), np.int64)
+    while len(a):
+        first[b[::-1]] = a[::-1]  # the first box that may want each target
+        best = np.flatnonzero(np.diff(a, prepend=-1))
+        best = best[first[b[best]] == a[best]]
+        out[a[best]] = b[best]
+        used = np.zeros(len(tg), bool)
+        used[b[best]] = True
+        left = (out[a] < 0) & ~used[b]
+        a, b = a[left], b[left]
+    return out
 
 
 def match_detections(detections: DataFrame, truth: DataFrame, least_score: float = 0.35, least_iou: float = 0.5) -> DataFrame:
     """Greedy matching in (image, class): detections by falling score (then ``ord``) take the unused target of the
-    largest overlap, the first of equals. Returns the kept detections with truth_ord, null for a false positive."""
-    keys = ["image_id", "category_id"]
+    largest overlap, the first of equals. Returns the kept detections with truth_ord, null for a false positive. What
+    meets in one row is an image's class; a task matches many at a time."""
+    keys, box = ["image_id", "category_id"], ["x", "y", "w", "h"]
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def targets(ps: pa.Array, ts: pa.Array) -> pa.Array:
+        size, of = ps.value_lengths().to_numpy(zero_copy_only=False), ts.value_lengths().to_numpy(zero_copy_only=False)
+        pg, tg = np.repeat(np.arange(len(ps)), size), np.repeat(np.arange(len(ts)), of)
+        p, t = ({n: x.flatten().field(n).to_numpy(zero_copy_only=False) for n in ("score", "ord", *box)} for x in (ps, ts))
+        by, order = np.lexsort((p["ord"], -p["score"], pg)), np.lexsort((t["ord"], t["x"], tg))
+        number = t["ord"][order]
+        best = np.empty(len(pg), np.int64)
+        best[by] = _taken(pg[by], [p[n][by] for n in box], tg, [t[n][order] for n in box], number, len(ps), least_iou)
+        known = pa.array(np.append(number, 0).astype(np.int32)[best], pa.int32(), mask=best < 0)
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), known)
+
     kept = detections.filter(F.col("score") >= least_score)
-    box = lambda x: F.array(*(x[n].cast("double") for n in ("ord", "x", "y", "w", "h")))
-    row = F.struct(F.col("ord").cast("int").alias("ord"), "x", "y", "w", "h")
-    p = kept.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("ord").cast("int").alias("o"), row.alias("b")))), lambda x: box(x["b"])).alias("ps"))
-    t = truth.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(row)), box).alias("ts"))
-    found = p.join(t, keys).select(*keys, F.explode(_widest_free("ps", "ts", F.lit(float(least_iou)))).alias("m"))
-    return kept.join(found.select(*keys, F.col("m.p").alias("ord"), F.col("m.t").alias("truth_ord")), [*keys, "ord"], "left")
+    measures = lambda score: F.struct(score.cast("double").alias("score"), F.col("ord").cast("int").cast("double").alias("ord"), *(F.col(n).cast("double").alias(n) for n in box))
+    rest = [n for n in kept.columns if n not in keys]
+    p = kept.select(*keys, F.struct(measures(F.col("score")).alias("m"), F.struct(*rest).alias("row")).alias("_p"))
+    t = truth.dropna(subset=keys).select(*keys, measures(F.lit(0.0)).alias("_t"))
+    both = p.unionByName(t, allowMissingColumns=True).groupBy(*keys).agg(F.collect_list("_p").alias("_p"), F.collect_list("_t").alias("_t")).filter("size(_p) > 0")
+    rows = F.inline(F.arrays_zip(F.col("_p")["row"].alias("row"), F.col("_m").alias("truth_ord")))
+    return both.withColumn("_m", targets(F.col("_p")["m"], F.col("_t"))).select(*keys, rows).select(*keys, "row.*", "truth_ord").select(*kept.columns, "truth_ord")
 
 
 def dedupe_exact(frames: DataFrame, content: Column, order: Sequence[Column], parsed: Column | None = None) -> DataFrame:

@@ -436,7 +436,7 @@ def leader_clusters(glyphs: DataFrame, threshold: float = 0.075) -> DataFrame:
 BLOCK = 200_000
 
 
-def _search(y: np.ndarray, low: np.ndarray, high: np.ndarray, x: np.ndarray) -> np.ndarray:
+def search(y: np.ndarray, low: np.ndarray, high: np.ndarray, x: np.ndarray) -> np.ndarray:
     """For each x the first place from low to before high of sorted values that are not under it; high, if there is none."""
     while (wide := low < high).any():
         middle = np.where(wide, (low + high) // 2, 0)
@@ -450,7 +450,7 @@ def _pairs(y: np.ndarray, end: np.ndarray, ahead: int | None, low: float, high:
     after the first and before its page's end, in blocks of about BLOCK."""
     i = np.arange(len(y))
     reach = y + high
-    last = _search(y, i + 1, end if ahead is None else np.minimum(end, i + 1 + ahead), reach + 2 * np.spacing(np.abs(reach)))
+    last = search(y, i + 1, end if ahead is None else np.minimum(end, i + 1 + ahead), reach + 2 * np.spacing(np.abs(reach)))
     n = last - i - 1
     for some in np.split(i, np.flatnonzero(np.diff(np.cumsum(n) // BLOCK)) + 1):
         first = np.repeat(some, n[some])
@@ -468,7 +468,7 @@ def _grown(y: np.ndarray, end: np.ndarray, first: np.ndarray, second: np.ndarray
         last, stop, gap = at[:, -1], end[at[:, 0]], y[at[:, 1]] - y[at[:, 0]]
         place = y[at[:, 0]] + gap * k
         away = lambda i: np.where((i > last) & (i < stop), np.abs(y[np.minimum(i, len(y) - 1)] - place), np.inf)  # noqa: B023, E731
-        right = _search(y, last + 1, stop, place)
+        right = search(y, last + 1, stop, place)
         best = np.where(away(right - 1) <= away(right), right - 1, right)
         d = away(best)
         while (same := (away(best - 1) == d) & np.isfinite(d)).any():

@@ -4,6 +4,7 @@ import random
 import statistics
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +182,40 @@ def test_long_lists_stay_linear(spark):
     assert time.monotonic() - begun < 60
 
 
+def plain_boxes(p, t, least):
+    used, out = set(), []
+    for ord, x, y, w, h, _ in sorted(p, key=lambda b: (-b[5], b[0])):
+        over = []
+        for k, (number, a, b, c, d, _) in enumerate(t):
+            inter = max(0.0, min(x + w, a + c) - max(x, a)) * max(0.0, min(y + h, b + d) - max(y, b))
+            if k not in used and inter / (w * h + c * d - inter) >= least:
+                over.append((-inter / (w * h + c * d - inter), number, k))
+        used |= {min(over)[2]} if over else set()
+        out.append((ord, min(over)[1] if over else None))
+    return out
+
+
+def test_boxes_of_many_groups_are_matched_in_turn(spark, monkeypatch):
+    """As one box after the other would take them, in one grouping of the rows, whether the pairs of a group are held or not."""
+    rng = random.Random(12)
+    box = lambda i: (i, rng.randrange(30) / 2, rng.randrange(6) / 2, rng.choice([4.0, 5.0, 9.0]), rng.choice([3.0, 4.0]), rng.choice([0.4, 0.5, 0.9]))
+    groups = {k: ([box(i) for i in range(rng.randrange(60 if k % 9 == 0 else 5))], [box(i) for i in range(rng.randrange(60 if k % 9 == 0 else 5))]) for k in range(120)}
+    schema = "image_id int, category_id int, ord int, x double, y double, w double, h double, score double"
+    det, truth = (spark.createDataFrame([(k, 1, *b) for k, g in groups.items() for b in g[side]], schema) for side in (0, 1))
+    want = sorted(((k, *m) for k, g in groups.items() for m in plain_boxes(*g, 0.5)), key=str)
+    out = J.match_detections(det, truth)
+    assert sorted(((r.image_id, r.ord, r.truth_ord) for r in out.collect()), key=str) == want and out.columns == [*det.columns, "truth_ord"]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    twins = spark.createDataFrame([(1, 1, 3, 0.0, 0.0, 4.0, 4.0, 0.9), (1, 1, 3, 0.0, 0.0, 4.0, 4.0, 0.8), (None, 1, 3, 0.0, 0.0, 4.0, 4.0, 0.9)], schema)  # of one number; no image
+    assert sorted(((r.image_id, r.score, r.truth_ord) for r in J.match_detections(twins, twins.filter("score = 0.9")).collect()), key=str) == [(1, 0.8, None), (1, 0.9, 3), (None, 0.9, None)]
+    flat = [[(g, *b) for g, k in enumerate(groups) for b in sorted(groups[k][side], key=order)] for side, order in ((0, lambda b: (-b[5], b[0])), (1, lambda b: (b[1], b[0])))]
+    p, t = (np.array(x, float).T for x in flat)
+    for block in (10**6, 0):
+        monkeypatch.setattr(J, "BLOCK", block or 1)
+        at = J._taken(p[0].astype(int), p[2:6], t[0].astype(int), t[2:6], t[1], len(groups), 0.5)
+        assert sorted(((list(groups)[int(g)], int(o), None if i < 0 else int(t[1][i])) for g, o, i in zip(p[0], p[1], at)), key=str) == want
+
+
 def test_a_median_is_rounded_after_it_is_scaled(spark):
     f = spark.createDataFrame([("s", 1, 14.85), ("s", 2, 16.45), ("t", 1, -14.85), ("t", 2, -16.45)], "score_id string, ix int, tempo double")  # their mean is 15.649999999999999
     got = A.median_of_first(f, ["score_id"], "tempo", [F.col("ix")])
