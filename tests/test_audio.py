@@ -2,9 +2,11 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 
+from tabspark import queries
 from tabspark.operators import signal as T
 from tabspark.plans import analysis
 
@@ -131,6 +133,23 @@ def test_segments_by_beats_and_their_novelty(spark):
     assert [r.segment_novelty for r in got] == pytest.approx(rise, abs=1e-9) and rise[-2:] == [0.0, 0.0]
 
 
+def test_novelty_is_zero_at_both_ends_alone(spark, tmp_path):
+    series = {1: [1.0, 5.0, None, 2.0, 8.0, 3.0, 9.0, 4.0, 7.0, None], 2: [1.0, 2.0, 4.0, 8.0], 3: [1.0, 2.0, 4.0, 8.0, 16.0], 4: [3.0], 5: [6.0, 1.0, 2.0, 9.0, None, 4.0, 4.0]}
+    rows = [(s * 100 + i, i, s, v) for s, x in series.items() for i, v in enumerate(x)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+    con.executemany("INSERT INTO events VALUES (?, make_timestamp(CAST(? AS BIGINT) * 1000000), ?, 'view', ?, '{}')", rows)
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    want = {}
+    for s, x in series.items():
+        for i in range(len(x)):
+            near = x[i - 2 : i + 2] if 2 <= i < len(x) - 2 else [0.0] * 4
+            want[s, s * 100 + i] = None if None in near else abs((near[0] + near[1]) / 2 - (near[2] + near[3]) / 2)
+    got = {(r.score_id, r.event_id): r.segment_novelty for r in queries.t14_segment_novelty(spark, str(tmp_path)).collect()}
+    told = {(s, e): v for s, e, v in con.execute(queries.ORACLE_SQL["t14_segment_novelty"]).fetchall()}
+    assert got == want and told == want
+
+
 def test_beats_begin_with_the_first_sound(spark):
     loud = spark.createDataFrame([("a", i, 0.0 if i < 65 else 1.0) for i in range(200)] + [("b", i, 0.0) for i in range(5)], "score_id string, frame_ix int, rms double")
     start = {r.score_id: r.active_start for r in T.active_start(loud, ["score_id"]).collect()}
